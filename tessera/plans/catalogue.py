@@ -1,0 +1,9 @@
+"""The queries of the retrieval and ranking engine and the SQL that checks them."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
