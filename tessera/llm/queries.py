@@ -4,25 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.html_extract import extract_main_text
+from tessera.llm.mixing import cycle, mix
+from tessera.llm.packing import packed_sequences
 from tessera.llm.simhash import simhash_groups
+from tessera.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, 4 bits."""
     found = simhash_groups(_table(spark, sf_dir, "documents"), k=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document against a limit of 2,048 tokens."""
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences of 1,024 tokens."""
+    return packed_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
+
+
+def op8_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources at weights 3, 1, 2 takes from every document, 150 % of all words in total."""
+    taken = mix(_table(spark, sf_dir, "documents"), F.array("source"), cycle([3, 1, 2]), share=1.5, most=2)
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_main_text": op4_main_text,
         "op5_simhash_groups": op5_simhash_groups,
+        "op6_token_counts": op6_token_counts,
+        "op7_packed_sequences": op7_packed_sequences,
+        "op8_mixed_sources": op8_mixed_sources,
     }
 
 
