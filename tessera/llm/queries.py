@@ -8,17 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.ann import nearest
+from tessera.llm.embed_dedup import linked_vectors
 from tessera.llm.html_extract import extract_main_text
 from tessera.llm.mixing import cycle, mix
 from tessera.llm.packing import packed_sequences
+from tessera.llm.sharding import shard_rows
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.token_counts import token_counts
+from tessera.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 7 with row counts at most one apart."""
+    placed = shard_rows(_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_linked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors at cosine 0.95."""
+    return linked_vectors(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to seekable archives, and what they hold when read back."""
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -46,13 +66,23 @@ def op8_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hash_ring_shards": op1_hash_ring_shards,
+        "op2_linked_vectors": op2_linked_vectors,
+        "op3_warc_bundles": op3_warc_bundles,
         "op4_main_text": op4_main_text,
         "op5_simhash_groups": op5_simhash_groups,
         "op6_token_counts": op6_token_counts,
         "op7_packed_sequences": op7_packed_sequences,
         "op8_mixed_sources": op8_mixed_sources,
+        "op10_nearest_vectors": op10_nearest_vectors,
     }
 
 
