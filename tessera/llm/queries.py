@@ -13,6 +13,7 @@ from tessera.llm.embed_dedup import linked_vectors
 from tessera.llm.html_extract import extract_main_text
 from tessera.llm.mixing import cycle, mix
 from tessera.llm.packing import packed_sequences
+from tessera.llm.quality import fold, train, with_score
 from tessera.llm.sharding import shard_rows
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.token_counts import token_counts
@@ -66,6 +67,13 @@ def op8_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = with_score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every vector whose id is divisible by 50."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -82,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_packed_sequences": op7_packed_sequences,
         "op8_mixed_sources": op8_mixed_sources,
+        "op9_quality_scores": op9_quality_scores,
         "op10_nearest_vectors": op10_nearest_vectors,
     }
 
