@@ -231,3 +231,116 @@ def simhash_groups(
     labels = connected_components(edges.unionByName(tied).distinct())
     named = nodes.join(labels, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, names, "left").select(id_col, *names, "component_id")
+
+
+def similar_roots(sets: list[np.ndarray], nodes: np.ndarray, similarity: float) -> np.ndarray:
+    """For each row the smallest node that it reaches by sets of at least that Jaccard similarity; found rows leave the pool."""
+    sizes = np.array([len(x) for x in sets])
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.r_[0, np.cumsum(sizes)]
+    roots = np.empty(len(nodes), dtype=np.int64)
+    left = np.argsort(nodes, kind="stable")
+    mark = np.zeros(len(words), dtype=np.int32)
+    while len(left):
+        root, front, left = nodes[left[0]], [left[0]], left[1:]
+        roots[front] = root
+        while front and len(left):
+            i = front.pop()
+            own = flat[starts[i] : starts[i + 1]]
+            near = left[np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i])]
+            if not len(near):
+                continue
+            mark[own] = 1
+            rows = np.concatenate([flat[starts[j] : starts[j + 1]] for j in near])
+            shared = np.add.reduceat(mark[rows], np.r_[0, np.cumsum(sizes[near])[:-1]])
+            mark[own] = 0
+            found = near[shared >= similarity * (sizes[near] + sizes[i] - shared)]
+            roots[found] = root
+            left = left[~np.isin(left, found)]
+            front += found.tolist()
+    return roots
+
+
+#: Shingles that one task compares exactly; the sets of larger groups are dealt into blocks and all pairs of blocks compared.
+SHINGLES = 2_000_000
+
+
+def _verify(similarity: float):
+    """Rows (group, i, j, node, set) sorted by the first three in; edges (node, smallest node that it reaches) out."""
+
+    def edges(sets: list[bytes], nodes: list[int]) -> pa.RecordBatch:
+        own = np.array(nodes, dtype=np.int64)
+        roots = similar_roots([np.frombuffer(x, dtype=np.uint64) for x in sets], own, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(own[roots != own]), pa.array(roots[roots != own])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, nodes = None, [], []
+        for batch in rows_of(batches, 1024):
+            for group, i, j, node, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if (group, i, j) != at:
+                    if len(nodes) > 1:
+                        yield edges(sets, nodes)
+                    at, sets, nodes = (group, i, j), [], []
+                sets.append(own)
+                nodes.append(node)
+        if len(nodes) > 1:
+            yield edges(sets, nodes)
+
+    return run
+
+
+def _shingle_sets(k: int):
+    """Rows (group, node, text) in; the sorted set of the text's shingle hashes in place of the text out."""
+
+    def one(text: bytes) -> bytes:
+        words = text.lower().split()
+        if not words:
+            return np.zeros(1, dtype=np.uint64).tobytes()
+        n = max(1, len(words) - k + 1)
+        parts = [shingle_hashes(words, min(k, len(words)), at, min(n, at + _STEP)) for at in range(0, n, _STEP)]
+        return np.unique(np.concatenate(parts)).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 256):
+            sets = pa.array([one(t) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["grp", "node", "shingles"])
+
+    return run
+
+
+def verified_groups(
+    docs: DataFrame,
+    k: int = 5,
+    similarity: float = 0.8,
+    radius: int = 28,
+    lanes: int = 2,
+    segments: int = 3,
+    mask_radius: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block: int = BLOCK,
+    shingles: int = SHINGLES,
+) -> DataFrame:
+    """Groups as :func:`simhash_groups` gives them, whose links are confirmed on the texts: ``id_col, component_id``.
+
+    Fingerprints within ``radius`` bits only propose groups.  Of each proposed group one text per fingerprint is read
+    again, and texts are linked if the sets of their k-word shingles have at least that Jaccard similarity.  Texts
+    with one fingerprint count as one.  Same treatment of nulls, repeated ids and empty tables.
+    """
+    scratch = Scratch(docs.sparkSession, "verified")
+    names = [f"f{n}" for n in range(lanes)]
+    prints = scratch.save(fingerprints(docs, k, lanes, id_col, text_col))
+    nodes = scratch.save(prints.groupBy(*names).agg(F.min(id_col).alias("node")).filter("node is not null"))
+    proposed = near_edges(nodes, lanes, radius, covering_masks(lanes, segments, mask_radius), block)
+    members = connected_components(proposed.distinct()).select(F.col("node").alias("_node"), F.col("component").alias("_grp"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text"))
+    read = texts.join(members.hint("shuffle_hash"), F.col("_id") == F.col("_node")).select("_grp", "_node", "_text")
+    sets = scratch.save(read.mapInArrow(_shingle_sets(k), "grp long, node long, shingles binary"))
+    totals = sets.groupBy("grp").agg(F.ceil(F.sum(F.octet_length("shingles")) / F.lit(8 * shingles)).cast("long").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = sets.join(totals, "grp").select("grp", F.inline(pairs), "node", "shingles")
+    edges = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verify(similarity), "a long, b long")
+    labels = connected_components(edges.distinct())
+    named = nodes.join(labels, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, names, "left").select(id_col, "component_id")
