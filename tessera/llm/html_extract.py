@@ -10,6 +10,7 @@ article or main part, surge and dive move to the ends of that element, so that s
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -55,15 +56,14 @@ _DROPPED_NAMES = frozenset(
     "copyright legal toolbar skip skiplink hidden print".split()
 )
 _ARTICLE_NAMES = frozenset("article post entry story articlebody postbody entrycontent content main".split())
-_LINKS = frozenset(["a"])
 
 
 class _Element:
-    __slots__ = ("name", "drop", "keep", "link", "start", "end", "parent", "size")
+    __slots__ = ("name", "drop", "keep", "start", "end", "parent", "out")
 
     def __init__(self, name: str, parent: _Element | None, start: int):
         self.name, self.parent, self.start, self.end = name, parent, start, None
-        self.drop, self.keep, self.link, self.size = 0, 0, name == "a", 0
+        self.drop, self.keep, self.out = 0, 0, False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -105,9 +105,10 @@ def read_blocks(html: str) -> tuple[list[tuple[str, int]], list[_Element]]:
     elements that may hold the article; an element's start and end number the blocks."""
     blocks: list[tuple[str, int, _Element]] = []
     parts: list[str] = []
-    linked = 0
+    linked = keeps = 0  # characters inside links of this block; open holders
+    opens: Counter = Counter()  # open elements by name, so that no search looks for what is not there
     root = _Element("", None, 0)
-    stack, marked = [root], []
+    stack, marked, made = [root], [], []
 
     def close_block() -> None:
         nonlocal linked
@@ -119,10 +120,16 @@ def read_blocks(html: str) -> tuple[list[tuple[str, int]], list[_Element]]:
         linked = 0
 
     def pop_to(at: int) -> None:
+        nonlocal keeps
         while len(stack) > at:
-            stack.pop().end = len(blocks)
+            e = stack.pop()
+            e.end = len(blocks)
+            opens[e.name] -= 1
+            keeps -= e.keep > 0
 
     def find(names, stop) -> int:
+        if not any(opens[x] for x in names):
+            return 0
         for at in range(len(stack) - 1, 0, -1):
             if stack[at].name in names:
                 return at
@@ -134,7 +141,7 @@ def read_blocks(html: str) -> tuple[list[tuple[str, int]], list[_Element]]:
         nonlocal linked
         if text:
             parts.append(text)
-            if find(_LINKS, _SCOPES):
+            if opens["a"]:
                 linked += len(text.strip())
 
     at, n = 0, len(html)
@@ -176,40 +183,39 @@ def read_blocks(html: str) -> tuple[list[tuple[str, int]], list[_Element]]:
             if k:
                 pop_to(k)
                 e.parent = stack[-1]
-        _judge(e, m["attrs"], any(x.keep for x in stack))
+        _judge(e, m["attrs"], keeps > 0)
         if e.drop and name in _INLINE:
             close_block()
             e.start = len(blocks)
         if m["attrs"].endswith("/") and name not in _ENDS_P:
             continue
         stack.append(e)
+        made.append(e)
+        opens[name] += 1
+        keeps += e.keep > 0
         if e.drop or e.keep:
             marked.append(e)
     close_block()
     pop_to(0)
-    total = sum(len(t) for t, _, _ in blocks) or 1
-    for e in marked:
-        e.size = sum(len(t) for t, _, _ in blocks[e.start : e.end])
+    chars = [0]
+    for text, _, _ in blocks:
+        chars.append(chars[-1] + len(text))
     # A name may stand on a wrapper of the whole page ("with-sidebar"): one that holds the article is no ruling.
     for e in marked:
-        if e.drop == 1 and e.size * 2 > total and any(x.keep >= 2 and not x.drop and e.start <= x.start and x.end <= e.end and x is not e for x in marked):
-            e.drop = 0
-
-    def ruled_out(e: _Element | None) -> bool:
-        while e is not None:
-            if e.drop:
-                return True
-            e = e.parent
-        return False
+        if e.drop == 1 and 2 * (chars[e.end] - chars[e.start]) > chars[-1]:
+            if any(x.keep >= 2 and not x.drop and e.start <= x.start and x.end <= e.end and x is not e for x in marked):
+                e.drop = 0
+    for e in made:  # parents come before what they hold
+        e.out = e.drop > 0 or e.parent.out
 
     kept, number = [], [0]
     for text, outside, e in blocks:
-        if not ruled_out(e):
+        if not e.out:
             kept.append((text, outside))
         number.append(len(kept))
     holders = []
     for e in marked:
-        if e.keep and not ruled_out(e):
+        if e.keep and not e.out:
             e.start, e.end = number[e.start], number[e.end]
             if e.start < e.end:
                 holders.append(e)
@@ -281,8 +287,8 @@ def extract_main_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE
     named ``text`` or ``n_chars`` are replaced; an empty table gives no rows.
     """
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    source = pages.select(*rest, utf8(html_col).alias("_html"))
-    schema = source.drop("_html").schema.add("text", "string").add("n_chars", "long")
+    source = pages.select(*rest, utf8(html_col))
+    schema = pages.select(*rest).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 256):

@@ -27,6 +27,8 @@ from tessera.llm.common import Scratch, rows_of, utf8
 CACHE = 500_000
 #: Pieces that one packing group holds on average, and its open bins.
 GROUP, OPEN = 65_536, 1024
+#: Units beyond this length are left to the tokenizers library.
+LONG = 4096
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space beyond ASCII's, and what the library may count as such: units are then not independent.
 _WIDE_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
@@ -62,8 +64,9 @@ class UnitEncoder:
     def _unit(self, unit: str) -> bytes:
         if len(self._units) >= CACHE:
             self._units.clear()
-        # Letters of old, settled blocks; on newer ones two libraries' Unicode tables could differ.
-        ids = self._fast(unit) if max(unit) < "\u0250" else self.library.encode(unit, add_special_tokens=False).ids
+        # Letters of old, settled blocks; on newer ones two libraries' Unicode tables could differ.  The fast library's
+        # pattern can't take very long runs.
+        ids = self._fast(unit) if len(unit) <= LONG and max(unit) < "\u0250" else self.library.encode(unit, add_special_tokens=False).ids
         out = self._units[unit] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
