@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
@@ -26,6 +26,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(_pairs(low, F.col("u"), F.col("m")))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges ``a, b`` with the same components: each first end keeps one edge, to its smallest second end, and its
+    other second ends are tied to that one.
+
+    For a stored table in which a first end has a bounded number of edges (one per table and block of a search) and
+    second ends are few.
+    """
+    low = F.min("b").over(Window.partitionBy("a"))
+    tied = edges.select("b", low.alias("m")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return edges.groupBy("a").agg(F.min("b").alias("b")).unionByName(tied)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """Label each vertex of ``edges`` (two long columns) with the smallest vertex that it reaches.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, rows_of, utf8
-from tessera.llm.components import connected_components
+from tessera.llm.components import connected_components, contracted
 
 #: The most distinct fingerprints that one task compares in one table; larger buckets are compared block by block.
 BLOCK = 65_536
@@ -224,7 +224,7 @@ def simhash_groups(
     names = [f"f{n}" for n in range(lanes)]
     prints = scratch.save(fingerprints(docs, k, lanes, id_col, text_col))
     nodes = scratch.save(prints.groupBy(*names).agg(F.min(id_col).alias("node")).filter("node is not null"))
-    edges = near_edges(nodes, lanes, radius, covering_masks(lanes, segments, mask_radius), block)
+    edges = contracted(scratch.save(near_edges(nodes, lanes, radius, covering_masks(lanes, segments, mask_radius), block)))
     # A repeated id with several texts ties its fingerprints together.
     tied = prints.join(nodes, names).filter(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("a"), F.col("node").alias("b"))
     tied = tied.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
@@ -233,36 +233,74 @@ def simhash_groups(
     return prints.join(named, names, "left").select(id_col, *names, "component_id")
 
 
+class _Postings:
+    """Which rows have a shingle among their first ones, shingles ordered from the rarest.
+
+    Sets of n shingles that reach the similarity share one of the first n - ceil(similarity * n) + 1 of each, so a
+    passage that many texts share, being common, is seldom looked up.
+    """
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, rows: np.ndarray, firsts: np.ndarray):
+        self.rows = rows
+        cuts = np.r_[0, np.cumsum(firsts[rows])]
+        words = flat[np.arange(cuts[-1]) + np.repeat(starts[rows] - cuts[:-1], firsts[rows])]
+        order = np.argsort(words, kind="stable")
+        self.words, self.docs = words[order], np.repeat(rows, firsts[rows])[order]
+
+    def candidates(self, own: np.ndarray) -> list[np.ndarray]:
+        low, high = np.searchsorted(self.words, own, "left"), np.searchsorted(self.words, own, "right")
+        return [self.docs[s:e] for s, e in zip(low.tolist(), high.tolist()) if e > s]
+
+
 def similar_roots(sets: list[np.ndarray], nodes: np.ndarray, similarity: float) -> np.ndarray:
-    """For each row the smallest node that it reaches by sets of at least that Jaccard similarity; found rows leave the pool."""
+    """For each row the smallest node that it reaches by sets of at least that Jaccard similarity.
+
+    A search from row to row; found rows leave the pool, so a dense group costs about its own size.
+    """
     sizes = np.array([len(x) for x in sets])
-    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    _, flat, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     starts = np.r_[0, np.cumsum(sizes)]
-    roots = np.empty(len(nodes), dtype=np.int64)
-    left = np.argsort(nodes, kind="stable")
-    mark = np.zeros(len(words), dtype=np.int32)
-    while len(left):
-        root, front, left = nodes[left[0]], [left[0]], left[1:]
-        roots[front] = root
-        while front and len(left):
+    rare = np.argsort(np.argsort(seen, kind="stable"))[flat]  # a shingle's place from the rarest on
+    flat = np.concatenate([np.sort(rare[s:e]) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())])
+    firsts = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    roots, pool = np.empty(len(nodes), dtype=np.int64), np.ones(len(nodes), dtype=bool)
+    mark = np.zeros(len(seen), dtype=np.int32)
+    index, held = None, len(nodes)
+    for first in np.argsort(nodes, kind="stable").tolist():
+        if not pool[first]:
+            continue
+        front, pool[first] = [first], False
+        held -= 1
+        while front:
             i = front.pop()
+            roots[i] = nodes[first]
+            if not held:
+                continue
+            if index is None or 2 * held < len(index.rows):
+                index = _Postings(flat, starts, np.flatnonzero(pool), firsts)
             own = flat[starts[i] : starts[i + 1]]
-            near = left[np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i])]
+            near = index.candidates(own[: firsts[i]])
+            if not near:
+                continue
+            near = np.unique(np.concatenate(near))
+            near = near[pool[near]]
+            near = near[np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i])]
             if not len(near):
                 continue
             mark[own] = 1
-            rows = np.concatenate([flat[starts[j] : starts[j + 1]] for j in near])
-            shared = np.add.reduceat(mark[rows], np.r_[0, np.cumsum(sizes[near])[:-1]])
+            cuts = np.r_[0, np.cumsum(sizes[near])]
+            at = np.arange(cuts[-1]) + np.repeat(starts[near] - cuts[:-1], sizes[near])
+            shared = np.add.reduceat(mark[flat[at]], cuts[:-1])
             mark[own] = 0
             found = near[shared >= similarity * (sizes[near] + sizes[i] - shared)]
-            roots[found] = root
-            left = left[~np.isin(left, found)]
+            pool[found] = False
+            held -= len(found)
             front += found.tolist()
     return roots
 
 
 #: Shingles that one task compares exactly; the sets of larger groups are dealt into blocks and all pairs of blocks compared.
-SHINGLES = 2_000_000
+SHINGLES = 500_000
 
 
 def _verify(similarity: float):
@@ -331,8 +369,8 @@ def verified_groups(
     names = [f"f{n}" for n in range(lanes)]
     prints = scratch.save(fingerprints(docs, k, lanes, id_col, text_col))
     nodes = scratch.save(prints.groupBy(*names).agg(F.min(id_col).alias("node")).filter("node is not null"))
-    proposed = near_edges(nodes, lanes, radius, covering_masks(lanes, segments, mask_radius), block)
-    members = connected_components(proposed.distinct()).select(F.col("node").alias("_node"), F.col("component").alias("_grp"))
+    proposed = contracted(scratch.save(near_edges(nodes, lanes, radius, covering_masks(lanes, segments, mask_radius), block)))
+    members = connected_components(proposed).select(F.col("node").alias("_node"), F.col("component").alias("_grp"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text"))
     read = texts.join(members.hint("shuffle_hash"), F.col("_id") == F.col("_node")).select("_grp", "_node", "_text")
     sets = scratch.save(read.mapInArrow(_shingle_sets(k), "grp long, node long, shingles binary"))
