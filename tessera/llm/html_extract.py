@@ -10,6 +10,7 @@ article or main part, surge and dive move to the ends of that element, so that s
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -59,11 +60,12 @@ _ARTICLE_NAMES = frozenset("article post entry story articlebody postbody entryc
 
 
 class _Element:
-    __slots__ = ("name", "drop", "keep", "start", "end", "parent", "out")
+    __slots__ = ("name", "drop", "keep", "start", "end", "parent", "out", "above", "wide")
 
     def __init__(self, name: str, parent: _Element | None, start: int):
         self.name, self.parent, self.start, self.end = name, parent, start, None
         self.drop, self.keep, self.out = 0, 0, False
+        self.above = self.wide = 0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -200,11 +202,18 @@ def read_blocks(html: str) -> tuple[list[tuple[str, int]], list[_Element]]:
     chars = [0]
     for text, _, _ in blocks:
         chars.append(chars[-1] + len(text))
-    # A name may stand on a wrapper of the whole page ("with-sidebar"): one that holds the article is no ruling.
-    for e in marked:
-        if e.drop == 1 and 2 * (chars[e.end] - chars[e.start]) > chars[-1]:
-            if any(x.keep >= 2 and not x.drop and e.start <= x.start and x.end <= e.end and x is not e for x in marked):
-                e.drop = 0
+    # A name may stand on a wrapper of the whole page ("with-sidebar").  If every article or main part lies in elements
+    # that names rule out, those around the longest one are no ruling; without such a part, those around most of the text.
+    size = lambda e: chars[e.end] - chars[e.start]
+    for e in made:  # the strongest ruling above each element, and the size of the largest one that is ruled out
+        up = e.parent
+        e.above, e.wide = max(up.above, up.drop), max(up.wide, size(up) if up.drop else 0)
+    inside = [x for x in marked if x.keep and not x.drop and x.above <= 1]
+    marks = [x for x in inside if x.keep >= 2] or [x for x in inside if 2 * x.wide > chars[-1]]
+    if marks and all(x.above for x in marks):
+        y = max(marks, key=size)
+        while y is not None:
+            y.drop, y = 0, y.parent
     for e in made:  # parents come before what they hold
         e.out = e.drop > 0 or e.parent.out
 
@@ -253,19 +262,32 @@ def text_stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE)
     return out
 
 
+def _meets(h: _Element, stretches: list[tuple[int, int]]) -> bool:
+    """Whether a stretch reaches into the element; stretches are in order and apart."""
+    k = bisect_right(stretches, (h.start, len(stretches) and stretches[-1][1])) - 1
+    return any(s < h.end and h.start < e for s, e in stretches[max(0, k) : k + 2])
+
+
 def main_blocks(html: str, window: int = WINDOW, surge: int = SURGE) -> list[str]:
     blocks, holders = read_blocks(html)
     lengths = [outside if 3 * outside >= len(text) else 0 for text, outside in blocks]  # mostly links: no text
     stretches = text_stretches(lengths, window, surge)
     if not stretches:
         stretches = [(0, len(blocks))] if blocks and holders else []
-    text_in = lambda s, e: sum(lengths[s:e])
+    sums = [0]
+    for n in lengths:
+        sums.append(sums[-1] + n)
+    text_in = lambda s, e: sums[e] - sums[s]
     total = sum(text_in(s, e) for s, e in stretches)
     for rank in (3, 2, 1):
-        own = [h for h in holders if h.keep == rank and any(s < h.end and h.start < e for s, e in stretches)]
+        own = [h for h in holders if h.keep == rank and _meets(h, stretches)]
         # The outermost articles; of main parts the innermost that hold most of the text.
         if rank == 3:
-            own = [h for h in own if not any(x is not h and x.start <= h.start and h.end <= x.end and (x.start, x.end) != (h.start, h.end) for x in own)]
+            outer: list[_Element] = []
+            for h in sorted(own, key=lambda h: (h.start, -h.end)):
+                if not outer or h.start >= outer[-1].end:
+                    outer.append(h)
+            own = outer
         elif own:
             own = [h for h in own if 2 * text_in(h.start, h.end) > total]
             own = sorted(own, key=lambda h: h.end - h.start)[:1]
