@@ -25,12 +25,14 @@ def word_count(text: Column) -> Column:
     return words.cast("long")
 
 
-def source_targets(sizes: dict, weights: dict, share: float, most: float) -> dict:
-    """Targets of ``share`` times all sizes by weight, each at most ``most`` times its source's size.
+def source_targets(sizes: dict, weights: dict, share: float, most: float, words: int | None = None) -> dict:
+    """Targets of ``share`` times all ``words`` by weight, each at most ``most`` times its source's size.
+
+    ``words`` is the sum of the sizes, unless sources overlap.
 
     What exceeds that is shared again by weight among the others until none exceeds.
     """
-    left, out = share * sum(sizes.values()), {}
+    left, out = share * (sum(sizes.values()) if words is None else words), {}
     rest = [s for s in sizes if weights[s] > 0]
     while rest:
         total = sum(weights[s] for s in rest)
@@ -171,7 +173,7 @@ def mix(
         for s in pattern:
             each[s] += n
     names = sorted(each)  # Python compares strings by code point
-    targets = source_targets({s: each[s] for s in names}, dict(zip(names, weights([None if none else name for none, name in names]))), share, most)
+    targets = source_targets({s: each[s] for s in names}, dict(zip(names, weights([None if none else name for none, name in names]))), share, most, sum(n for p, n in sizes.items() if p))
     flows = route(sizes, targets, most)
     kind = "pattern array<struct<none boolean, name string>>, flow long, total long, target double, source_size long"
     table = [([*p], sum(flows[p].values()), n, float(sum(targets[s] for s in p)), sum(each[s] for s in p)) for p, n in sizes.items()]

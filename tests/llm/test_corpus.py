@@ -107,7 +107,7 @@ def test_flattened_trees_like_a_walk_row_by_row():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 6))
     y = ((x[:, 0] > 0.3) ^ (x[:, 2] * x[:, 1] > 0)).astype(float)
-    forest = fit(x, y, trees=20, depth=3)
+    forest = fit(x, y, trees=100, depth=3)  # three features decide together, which twenty small trees can't fit
     for row in x[:40]:
         total = forest.base
         for feature, limit, leaf in zip(forest.feature, forest.limit, forest.leaf):
@@ -119,6 +119,19 @@ def test_flattened_trees_like_a_walk_row_by_row():
     assert ((forest.score(x) >= 0.5) == (y > 0.5)).mean() > 0.9
 
 
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    y = ((x[:, 1] > 0.2) & (x[:, 3] > -0.4)).astype(float)
+    p = 1 / (1 + np.exp(-np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    worth = lambda m: g[m].sum() ** 2 / (h[m].sum() + 2.0)
+    cuts = [(f, t) for f in range(4) for t in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 64)[1:-1]))]
+    best = max(cuts, key=lambda c: worth(x[:, c[0]] <= c[1]) + worth(x[:, c[0]] > c[1]))
+    forest = fit(x, y, trees=1, depth=1)
+    assert (forest.feature[0][0], forest.limit[0][0]) == best
+
+
 def test_held_out_accuracy(spark):
     docs, labels = labelled(spark)
     scored = with_score(docs, train(docs, labels)).join(labels, "doc_id").select("score", "quality", (fold() == 1).alias("held")).collect()
