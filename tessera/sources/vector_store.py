@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.vector import vector_stats
 from tessera.sources.tables import _hadoop, canonical_hash, exists
@@ -99,7 +100,7 @@ class VectorStore:
 
 def encode(records: DataFrame, text: str, load_model: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64, prefix: str = "") -> DataFrame:
     """``records`` with unit vectors of ``text``.  ``load_model`` runs once per task and returns the encoder of a batch."""
-    schema = records.schema.add("embedding", "array<float>")
+    schema = T.StructType([*records.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
     at = records.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
