@@ -220,3 +220,22 @@ def test_feedback(spark, tmp_path):
     table = str(tmp_path / "events")
     assert [feedback.append_once(events, table, "id"), feedback.append_once(events, table, "id")] == [4, 0]
     assert feedback.better({"ndcg": 0.51, "recall": 0.4}, {"ndcg": 0.5, "recall": 0.4}) and not feedback.better({"ndcg": 0.505, "recall": 0.5}, {"ndcg": 0.5, "recall": 0.4})
+
+
+# --- experiments
+
+
+def test_grid_pool_and_tags(spark, index):
+    from tessera.plans.experiments import build_pool, compare_first, evaluate_grid, run_grid, weight_grid
+    from tessera.plans.parser import register_tags
+
+    engine = recommender(index, PipelineConfig(top_k=2, candidate_k=8))
+    grid = run_grid({"base": engine}, ["맵지 않은 거"], {"full": engine.config, "plain": EMBEDDING_ONLY}, 2).cache()
+    assert build_pool(grid).count() == 4
+    grades = spark.createDataFrame([("맵지 않은 거", "u5", 2), ("맵지 않은 거", "u0", 0)], "query string, id string, grade int")
+    got = {r["config"]: (r["precision"], r["mrr"], r["unjudged"]) for r in evaluate_grid(grid, grades, 2).collect()}
+    assert got == {"full": (0.5, 1.0, 0.5), "plain": (0.0, 0.0, 0.5)}
+    assert compare_first(grid, "full", "plain").first()["same"] is False
+    assert len(weight_grid(engine.config, [0, 0.3], [0, 0.05, 0.15])) == 6
+    register_tags(spark)
+    assert {r["label"] for r in spark.sql("SELECT * FROM query_tags('피자 말고 매운 거')").collect()} == {"매운", "피자 말고"}
