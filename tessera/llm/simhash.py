@@ -10,6 +10,7 @@ s*(r+1)-1 bits does, because some segment has at most r of them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -325,21 +326,27 @@ def _verify(similarity: float):
     return run
 
 
-def _shingle_sets(k: int):
-    """Rows (group, node, text) in; the sorted set of the text's shingle hashes in place of the text out."""
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles; a text without words has one, zero."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(1, dtype=np.uint64)
+    n = max(1, len(words) - k + 1)
+    parts = [shingle_hashes(words, min(k, len(words)), at, min(n, at + _STEP)) for at in range(0, n, _STEP)]
+    return np.unique(np.concatenate(parts))
 
-    def one(text: bytes) -> bytes:
-        words = text.lower().split()
-        if not words:
-            return np.zeros(1, dtype=np.uint64).tobytes()
-        n = max(1, len(words) - k + 1)
-        parts = [shingle_hashes(words, min(k, len(words)), at, min(n, at + _STEP)) for at in range(0, n, _STEP)]
-        return np.unique(np.concatenate(parts)).tobytes()
+
+def _shingle_sets(k: int, lanes: int):
+    """Rows (id, text) in; the id, a 128-bit digest of the text's shingle set, its fingerprint and the set out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 256):
-            sets = pa.array([one(t) for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["grp", "node", "shingles"])
+            texts = batch.column(1).to_pylist()
+            sets = [shingle_set(t, k).tobytes() for t in texts]
+            digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in sets), dtype=np.int64).reshape(-1, 2)
+            made = np.array([fingerprint(t, k, lanes) for t in texts], dtype=np.int64).reshape(-1, lanes)
+            columns = [batch.column(0), *(pa.array(x) for x in (*digests.T, *made.T)), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "d0", "d1", *(f"f{i}" for i in range(lanes)), "shingles"])
 
     return run
 
@@ -362,23 +369,29 @@ def verified_groups(
 
     Fingerprints that meet in a table and lie within ``radius`` bits on their ``compared`` lanes only propose groups.
     At the defaults (217 tables) some 60 % of the segments of two texts of similarity 0.8 hold few enough differing bits,
-    so about one such pair in 400 meets in no table, and fewer of those more alike.  Of each proposed group one text per fingerprint is read again, and texts are linked if the sets of their k-word shingles have at least that Jaccard similarity.  Texts
-    with one fingerprint count as one.  Same treatment of nulls, repeated ids and empty tables.
+    so about one such pair in 400 meets in no table, and fewer of those more alike.  Only texts whose sets of k-word
+    shingles are equal count as one; within each proposed group texts are linked if their sets have at least that Jaccard
+    similarity.  Same treatment of nulls, repeated ids and empty tables.
     """
     scratch = Scratch(docs.sparkSession, "verified")
     names = [f"f{n}" for n in range(lanes)]
-    prints = scratch.save(fingerprints(docs, k, lanes, id_col, text_col))
-    nodes = scratch.save(prints.groupBy(*names).agg(F.min(id_col).alias("node")).filter("node is not null"))
-    proposed = contracted(scratch.save(near_edges(nodes, lanes, radius, covering_masks(lanes, segments, mask_radius), block, compared)))
-    members = connected_components(proposed).select(F.col("node").alias("_node"), F.col("component").alias("_grp"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text"))
-    read = texts.join(members.hint("shuffle_hash"), F.col("_id") == F.col("_node")).select("_grp", "_node", "_text")
-    sets = scratch.save(read.mapInArrow(_shingle_sets(k), "grp long, node long, shingles binary"))
+    schema = "id long, d0 long, d1 long, " + ", ".join(f"{x} long" for x in names) + ", shingles binary"
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("_text"))
+    made = scratch.save(texts.mapInArrow(_shingle_sets(k, lanes), schema))
+    first = [F.any_value(x).alias(x) for x in (*names, "shingles")]
+    nodes = scratch.save(made.groupBy("d0", "d1").agg(F.min("id").alias("node"), *first).filter("node is not null"))
+    proposed = contracted(scratch.save(near_edges(nodes.select("node", *names), lanes, radius, covering_masks(lanes, segments, mask_radius), block, compared)))
+    members = connected_components(proposed).withColumnRenamed("component", "grp")
+    sets = scratch.save(nodes.select("node", "shingles").join(members, "node").select("grp", "node", "shingles"))
     totals = sets.groupBy("grp").agg(F.ceil(F.sum(F.octet_length("shingles")) / F.lit(8 * shingles)).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     dealt = sets.join(totals, "grp").select("grp", F.inline(pairs), "node", "shingles")
     edges = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verify(similarity), "a long, b long")
-    labels = connected_components(edges.distinct())
-    named = nodes.join(labels, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, names, "left").select(id_col, "component_id")
+    # A repeated id with several texts ties their sets together.
+    ids = nodes.select("d0", "d1", "node")
+    tied = made.select("id", "d0", "d1").join(ids, ["d0", "d1"]).filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    tied = tied.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
+    labels = connected_components(edges.unionByName(tied).distinct())
+    named = ids.join(labels, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
+    return made.select(F.col("id").alias(id_col), "d0", "d1").join(named, ["d0", "d1"], "left").select(id_col, "component_id")

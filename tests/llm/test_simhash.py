@@ -83,6 +83,17 @@ def test_verified_groups_like_brute_force(spark, shingles):
     assert [got[i] for i in range(len(rows))] == root
 
 
+def test_equal_fingerprints_do_not_make_copies(spark):
+    """One long line repeated outweighs all else in a fingerprint; the texts' own words still keep them apart."""
+    rng = random.Random(5)
+    line = " ".join(f"l{i}" for i in range(15))
+    texts = [" ".join([line] * 150) + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(100)) for _ in range(3)]
+    assert fingerprint(texts[0].encode(), 5, 4) == fingerprint(texts[1].encode(), 5, 4)
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in verified_groups(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
 def test_components_of_stars_chains_and_loops(spark):
     edges = [(1, 2), (3, 2), (3, 4), (4, 5), (5, 6), (10, 10), (20, 21), (21, 20), (None, 5)] + [(100, i) for i in range(101, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
