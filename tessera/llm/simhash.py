@@ -1,4 +1,4 @@
-"""SimHash near-duplicates with covering bit masks.
+"""SimHash near-duplicates with covering bit masks, and near-duplicates by the shingle sets themselves.
 
 A fingerprint has one or more 64-bit lanes.  The bits are cut into segments; in a segment every bit position is given
 a random non-zero vector of r+1 bits, and each non-zero vector v of r+1 bits makes one mask: the positions whose
@@ -105,11 +105,32 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
 
 
-def local_roots(prints: np.ndarray, nodes: np.ndarray, radius: int) -> np.ndarray:
-    """For each row the smallest node that it reaches inside this bucket.
+def within(radius: int):
+    """Which rows of a lie within ``radius`` bits of rows of b; leading axes are broadcast."""
+    return lambda a, b: np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) <= radius
+
+
+def may_reach(similarity: float):
+    """Which rows of a may reach the Jaccard similarity with rows of b, by parities and sizes of the sets; none that does is lost.
+
+    A row holds the set's size after the lanes of parities.  The parities differ in at most as many bits as the sets
+    do in members, and sets of sizes m and n at the similarity differ in at most (m + n) (1 - s) / (1 + s).
+    """
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        m, n = a[..., -1].astype(np.int64), b[..., -1].astype(np.int64)
+        bits = sum(np.bitwise_count(a[..., i] ^ b[..., i]).astype(np.int32) for i in range(a.shape[-1] - 1))
+        return (bits <= (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-6) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6)
+
+    return near
+
+
+def local_roots(prints: np.ndarray, nodes: np.ndarray, near) -> np.ndarray:
+    """For each row the smallest node that it reaches inside this bucket; ``near`` is a test of rows or a radius.
 
     A breadth-first search in blocks: found rows leave the pool, so a dense bucket costs about its own size.
     """
+    near = near if callable(near) else within(near)
     m = len(nodes)
     roots = np.empty(m, dtype=np.int64)
     left = np.argsort(nodes, kind="stable")
@@ -120,28 +141,35 @@ def local_roots(prints: np.ndarray, nodes: np.ndarray, radius: int) -> np.ndarra
             now, front = front[:256], front[256:]
             hit = np.zeros(len(left), dtype=bool)
             for at in range(0, len(left), 16_384):
-                hit[at : at + 16_384] = (distances(prints[now], prints[left[at : at + 16_384]]) <= radius).any(axis=0)
+                hit[at : at + 16_384] = near(prints[now][:, None, :], prints[left[at : at + 16_384]][None, :, :]).any(axis=0)
             found, left = left[hit], left[~hit]
             roots[found] = root
             front = np.concatenate([front, found])
     return roots
 
 
-def _cluster(lanes: int, radius: int):
-    """Rows sorted by bucket in, edges (row's node, smallest node that it reaches in the bucket) out."""
+def _cluster(lanes: int, near):
+    """Rows sorted by bucket in, edges (row's node, smallest node that it reaches in the bucket) out; of buckets of up to
+    six rows every near pair."""
 
     def edges(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         starts, sizes = np.r_[0, cuts], np.diff(np.r_[0, cuts, len(nodes)])
-        two = starts[sizes == 2]
-        near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= radius
-        a, b = [nodes[two[near]]], [nodes[two[near] + 1]]
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        a, b = [], []
+        for n in range(2, 7):
+            at = starts[sizes == n]
+            for i in range(n - 1):
+                for j in range(i + 1, n):
+                    hit = at[near(prints[at + i], prints[at + j])]
+                    a.append(np.maximum(nodes[hit + i], nodes[hit + j]))
+                    b.append(np.minimum(nodes[hit + i], nodes[hit + j]))
+        for s, n in zip(starts[sizes > 6].tolist(), sizes[sizes > 6].tolist()):
             own = nodes[s : s + n]
-            roots = local_roots(prints[s : s + n], own, radius)
+            roots = local_roots(prints[s : s + n], own, near)
             a.append(own[roots != own])
             b.append(roots[roots != own])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+        found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -167,24 +195,26 @@ def _cluster(lanes: int, radius: int):
     return run
 
 
-def near_edges(nodes: DataFrame, lanes: int, radius: int, masks: list[list[int]], block: int = BLOCK, compared: int | None = None) -> DataFrame:
-    """Star edges ``a, b`` that connect what lies within ``radius`` bits, over distinct fingerprints ``node, f0 ..``.
-
-    All lanes make table keys; the first ``compared`` (all, if not given) are carried along and compared.  Buckets of
-    at most ``block`` fingerprints are searched in one task each; larger ones are dealt into blocks and every pair of
-    blocks is searched, so that no task holds more than two blocks and no pair is lost.
-    """
-    compared = compared or lanes
-    prints = [f"f{n}" for n in range(compared)]
+def near_edges(nodes: DataFrame, lanes: int, radius: int, masks: list[list[int]], block: int = BLOCK) -> DataFrame:
+    """Star edges ``a, b`` that connect what lies within ``radius`` bits, over distinct fingerprints ``node, f0 ..``."""
+    prints = [f"f{n}" for n in range(lanes)]
     if lanes == 1:
         keys = ["t", "k"]
         entries = [F.struct(F.lit(i).cast("long").alias("t"), F.col("f0").bitwiseAND(F.lit(_signed(m[0]))).alias("k")) for i, m in enumerate(masks)]
     else:  # one hashed key for the table and the masked lanes; a rare clash only adds a comparison
         keys = ["k"]
         entries = [F.struct(F.xxhash64(F.lit(i), *(F.col(f"f{n}").bitwiseAND(F.lit(_signed(x))) for n, x in enumerate(m) if x)).alias("k")) for i, m in enumerate(masks)]
-    spread = nodes.select("node", *prints, F.inline(F.array(*entries)))
+    return bucket_edges(nodes.select("node", *prints, F.inline(F.array(*entries))), keys, prints, within(radius), block)
+
+
+def bucket_edges(spread: DataFrame, keys: list[str], prints: list[str], near, block: int = BLOCK) -> DataFrame:
+    """Edges ``a, b`` that connect what is ``near`` by its ``prints`` within buckets of equal ``keys``.
+
+    Buckets of at most ``block`` rows are searched in one task each; larger ones are dealt into blocks and every pair of
+    blocks is searched, so that no task holds more than two blocks and no pair is lost.
+    """
     sized = spread.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    cluster = _cluster(compared, radius)
+    cluster = _cluster(len(prints), near)
     small = sized.filter((F.col("n") > 1) & (F.col("n") <= block)).select(*keys, "node", *prints).mapInArrow(cluster, "a long, b long")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
@@ -336,62 +366,123 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def _shingle_sets(k: int, lanes: int):
-    """Rows (id, text) in; the id, a 128-bit digest of the text's shingle set, its fingerprint and the set out."""
+def _shingle_sets(k: int):
+    """Rows (group, node, text) in; the text's shingle set in place of the text out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 256):
+            sets = pa.array([shingle_set(t, k).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["grp", "node", "shingles"])
+
+    return run
+
+
+#: Texts from which common shingles are learnt, and the most such shingles: they only order the search.
+SAMPLE, COMMON = 20_000, 500_000
+#: 64-bit lanes of a set's parities.
+PARITIES = 6
+
+
+def _members(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 256):
+            own = np.concatenate([shingle_set(t, k) for t in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["k"])
+
+    return run
+
+
+def common_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a sample of ``id, _text``, sorted, and in how many texts each is there."""
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("_text").mapInArrow(_members(k), "k long")
+    found = some.groupBy("k").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "k").limit(COMMON).toArrow()
+    words, counts = found["k"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(words)
+    return words[order], counts[order]
+
+
+def _prefixes(k: int, similarity: float, words: np.ndarray, counts: np.ndarray):
+    """Rows (id, text) in; the id, a 128-bit digest of the text's shingle set, its parities, size and first shingles out.
+
+    Shingles are ordered from the rarest on, those not known as common by their hash.  Two sets of n and m shingles that
+    reach the similarity share one of the first n - ceil(similarity * n) + 1 and m - ceil(similarity * m) + 1, in
+    whatever order, if it is one for all sets.
+    """
+
+    def first(x: np.ndarray) -> np.ndarray:
+        n = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+        if not len(words):
+            return x[:n]
+        at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+        return x[np.argsort(np.where(words[at] == x, counts[at], 0), kind="stable")[:n]]
+
+    def parities(x: np.ndarray) -> np.ndarray:
+        odd = np.bincount((x % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+        return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 256):
-            texts = batch.column(1).to_pylist()
-            sets = [shingle_set(t, k).tobytes() for t in texts]
-            digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in sets), dtype=np.int64).reshape(-1, 2)
-            made = np.array([fingerprint(t, k, lanes) for t in texts], dtype=np.int64).reshape(-1, lanes)
-            columns = [batch.column(0), *(pa.array(x) for x in (*digests.T, *made.T)), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "d0", "d1", *(f"f{i}" for i in range(lanes)), "shingles"])
+            sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            digests = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), dtype=np.int64).reshape(-1, 2)
+            numbers = [*digests.T, *np.array([parities(x) for x in sets]).T, np.array([len(x) for x in sets], dtype=np.int64)]
+            columns = [batch.column(0), *map(pa.array, numbers), pa.array([first(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "d0", "d1", *(f"p{i}" for i in range(PARITIES)), "size", "firsts"])
 
     return run
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, first shingles) in, one row per shingle out."""
+    for batch in rows_of(batches, 1024):
+        firsts = batch.column(1).to_pylist()
+        nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) // 8 for x in firsts])
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts), dtype=np.int64)), pa.array(nodes)], ["k", "node"])
+
+
 def verified_groups(
     docs: DataFrame,
     k: int = 5,
     similarity: float = 0.8,
-    radius: int = 30,
-    lanes: int = 4,
-    compared: int = 2,
-    segments: int = 7,
-    mask_radius: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
     block: int = BLOCK,
     shingles: int = SHINGLES,
 ) -> DataFrame:
-    """Groups as :func:`simhash_groups` gives them, whose links are confirmed on the texts: ``id_col, component_id``.
+    """Groups of texts linked, directly or through others, by the sets of their k-word shingles: ``id_col, component_id``.
+
+    Texts are linked if their sets have at least that Jaccard similarity; no pair is left out.  Such sets share a shingle
+    among the first of each (see :func:`_prefixes`).  Those that do and that sizes and parities do not keep apart are
+    proposed as groups, in which the sets themselves are compared.  Texts with one set count as one, so equal texts cost
+    one row however many they are.
 
-    Fingerprints that meet in a table and lie within ``radius`` bits on their ``compared`` lanes only propose groups.
-    At the defaults (217 tables) some 60 % of the segments of two texts of similarity 0.8 hold few enough differing bits,
-    so about one such pair in 400 meets in no table, and fewer of those more alike.  Only texts whose sets of k-word
-    shingles are equal count as one; within each proposed group texts are linked if their sets have at least that Jaccard
-    similarity.  Same treatment of nulls, repeated ids and empty tables.
+    Null and empty texts are one set and are linked like any other.  Rows of one id with several texts each take the
+    component of their text; a null id takes that of its set (null if that has no other id).  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "verified")
-    names = [f"f{n}" for n in range(lanes)]
-    schema = "id long, d0 long, d1 long, " + ", ".join(f"{x} long" for x in names) + ", shingles binary"
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("_text"))
-    made = scratch.save(texts.mapInArrow(_shingle_sets(k, lanes), schema))
-    first = [F.any_value(x).alias(x) for x in (*names, "shingles")]
-    nodes = scratch.save(made.groupBy("d0", "d1").agg(F.min("id").alias("node"), *first).filter("node is not null"))
-    proposed = contracted(scratch.save(near_edges(nodes.select("node", *names), lanes, radius, covering_masks(lanes, segments, mask_radius), block, compared)))
-    members = connected_components(proposed).withColumnRenamed("component", "grp")
-    sets = scratch.save(nodes.select("node", "shingles").join(members, "node").select("grp", "node", "shingles"))
+    prints = [*(f"p{i}" for i in range(PARITIES)), "size"]
+    schema = "id long, d0 long, d1 long, " + ", ".join(f"{x} long" for x in prints) + ", firsts binary"
+    made = scratch.save(texts.mapInArrow(_prefixes(k, similarity, *common_shingles(texts, k)), schema))
+    carried = [F.any_value(x).alias(x) for x in (*prints, "firsts")]
+    nodes = scratch.save(made.groupBy("d0", "d1").agg(F.min("id").alias("node"), *carried).filter("node is not null"))
+    keyed = made
+    made = scratch.save(keyed.select("id", "d0", "d1"))
+    scratch.drop(keyed)
+    # Most first shingles are in one set only; the others alone take parities along.
+    postings = nodes.select("node", "firsts").mapInArrow(_postings, "k long, node long")
+    shared = postings.withColumn("n", F.count("*").over(Window.partitionBy("k"))).filter("n > 1").select("k", "node")
+    spread = shared.join(nodes.select("node", *prints), "node").select("k", "node", *prints)
+    proposed = contracted(scratch.save(bucket_edges(spread, ["k"], prints, may_reach(similarity), block).distinct()))
+    members = connected_components(proposed).select(F.col("node").alias("_node"), F.col("component").alias("_grp"))
+    read = texts.join(members.hint("shuffle_hash"), F.col("id") == F.col("_node")).select("_grp", "_node", "_text")
+    sets = scratch.save(read.mapInArrow(_shingle_sets(k), "grp long, node long, shingles binary"))
     totals = sets.groupBy("grp").agg(F.ceil(F.sum(F.octet_length("shingles")) / F.lit(8 * shingles)).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     dealt = sets.join(totals, "grp").select("grp", F.inline(pairs), "node", "shingles")
     edges = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verify(similarity), "a long, b long")
-    # A repeated id with several texts ties their sets together.
+    labels = connected_components(edges.distinct())
     ids = nodes.select("d0", "d1", "node")
-    tied = made.select("id", "d0", "d1").join(ids, ["d0", "d1"]).filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    tied = tied.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
-    labels = connected_components(edges.unionByName(tied).distinct())
     named = ids.join(labels, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
     return made.select(F.col("id").alias(id_col), "d0", "d1").join(named, ["d0", "d1"], "left").select(id_col, "component_id")

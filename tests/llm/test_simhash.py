@@ -94,6 +94,31 @@ def test_equal_fingerprints_do_not_make_copies(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 1}
 
 
+def test_repeated_lines_and_short_texts_are_found(spark):
+    """Pairs at the similarity meet however short they are and however often one of them repeats a line."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = []
+    for _ in range(4):  # the same words, one text with a line of 12 words repeated 60 times
+        own = [word() for _ in range(304)]
+        texts += [" ".join(own), " ".join(own + [f"l{len(texts)}_{i}" for i in range(12)] * 60)]
+    for n in (8, 9, 15, 40):
+        for _ in range(100):  # n shingles against those and as many more as the similarity bears
+            own = [word() for _ in range(n + 4)]
+            texts += [" ".join(own), " ".join(own + [word() for _ in range(n // 4)])]
+    texts += ["a b c d e", "", " ", "b c d e f"]
+    sets = [shingle_set(t) for t in texts]
+    index = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            index.setdefault(x, []).append(i)
+    pairs = {p for at in index.values() for p in combinations(at, 2)} | {(len(texts) - 3, len(texts) - 2)}
+    root = components(len(texts), (p for p in pairs if sets[p[0]] == sets[p[1]] or len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in verified_groups(docs, block=3).collect()}
+    assert len(set(root)) == 407 and [got[i] for i in range(len(texts))] == root
+
+
 def test_components_of_stars_chains_and_loops(spark):
     edges = [(1, 2), (3, 2), (3, 4), (4, 5), (5, 6), (10, 10), (20, 21), (21, 20), (None, 5)] + [(100, i) for i in range(101, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
