@@ -281,16 +281,16 @@ def main_blocks(html: str, window: int = WINDOW, surge: int = SURGE) -> list[str
     total = sum(text_in(s, e) for s, e in stretches)
     for rank in (3, 2, 1):
         own = [h for h in holders if h.keep == rank and _meets(h, stretches)]
-        # The outermost articles; of main parts the innermost that hold most of the text.
-        if rank == 3:
-            outer: list[_Element] = []
-            for h in sorted(own, key=lambda h: (h.start, -h.end)):
-                if not outer or h.start >= outer[-1].end:
-                    outer.append(h)
-            own = outer
-        elif own:
-            own = [h for h in own if 2 * text_in(h.start, h.end) > total]
-            own = sorted(own, key=lambda h: h.end - h.start)[:1]
+        # The outermost ones; of main parts, in place of each the innermost one inside it that holds all of its text.
+        outer: list[_Element] = []
+        picked: list[_Element] = []
+        for h in sorted(own, key=lambda h: (h.start, -h.end)):
+            if not outer or h.start >= outer[-1].end:
+                outer.append(h)
+                picked.append(h)
+            elif rank < 3 and h.end - h.start < picked[-1].end - picked[-1].start and text_in(h.start, h.end) == text_in(outer[-1].start, outer[-1].end):
+                picked[-1] = h
+        own = picked
         if own and 2 * sum(text_in(s, e) for s, e in {(h.start, h.end) for h in own}) > total:
             stretches = sorted({(h.start, h.end) for h in own})
             break

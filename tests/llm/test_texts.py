@@ -216,6 +216,13 @@ def test_article_alone_is_kept(main):
     assert main_text(page) == WANT.format(long=LONG.strip())
 
 
+def test_parts_of_an_article_in_several_holders_stay():
+    first, second = f"<div class=entry-content><p>{LONG * 6}</p></div>", f"<div class=entry-content><p>{LONG * 4}</p></div>"
+    want = f"{(LONG * 6).strip()} {(LONG * 4).strip()}"
+    for page in (f"<div class=story>{first}{second}</div>", f"<div>{first}{second}</div>", f"<main>{first}<p>{LONG}</p></main>"):
+        assert main_text(page) == (want if second in page else f"{(LONG * 6).strip()} {LONG.strip()}")
+
+
 def test_pages_without_marks_keep_what_stands_between_surge_and_dive():
     page = f"<body><div><a href=x>Home</a> <a href=y>About us</a></div><div>{LONG}</div><div>{LONG}</div><div><a href=z>Next page</a></div></body>"
     assert main_text(page) == f"{LONG.strip()} {LONG.strip()}"
