@@ -83,13 +83,16 @@ SELECT query_id, pick::INTEGER AS pick, vec_id, label::VARCHAR AS grp, round(sco
 )
 def flagship_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search, hard filter, preference bonus and capped choice for 20 query vectors."""
-    found = _labelled_neighbours(spark, sf_dir, 20, 50)
+    found = _labelled_neighbours(spark, sf_dir, 20, table(spark, sf_dir, "embeddings").count())
     labels = F.create_map(F.lit("label"), F.col("label").cast("string"))
     hard = [Condition("label", tuple(map(str, range(7))))]
     soft = [Condition("label", ("0", "1", "2"), "soft")]
     config = RankingConfig(collapse_duplicates=False)
     kept = found.withColumn("labels", labels).filter(F.size(drop_reasons(F.col("labels"), hard)) == 0)
     scored = kept.withColumn("score", final_score(F.col("sim"), preference(F.col("labels"), soft)["score"], F.lit(False), F.lit(False), config))
+    # No more of a label than the cap lets through can be chosen: the lists stay short, however far the search goes.
+    ahead = F.row_number().over(Window.partitionBy("query_id", "label").orderBy(*best_first(id_="vec_id")))
+    scored = scored.withColumn("_n", ahead).filter(F.col("_n") <= config.group_cap).drop("_n")
     named = scored.withColumns({"name": F.col("vec_id").cast("string"), "representative": F.col("label").cast("string"), "company": F.lit("-")})
     chosen = select_top_k(named, 5, config, ["query_id"], id_="vec_id")
     out = chosen.select("query_id", F.posexplode("selected").alias("pos", "s"))
@@ -166,7 +169,7 @@ SELECT query_id, pick::INTEGER AS pick, vec_id, label FROM p WHERE pick <= 10"""
 )
 def group_cap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten neighbours with at most two of a label."""
-    found = _labelled_neighbours(spark, sf_dir, 50, 30)
+    found = _labelled_neighbours(spark, sf_dir, 50, table(spark, sf_dir, "embeddings").count())
     return cap_per_group(found, 2, 10, "query_id", "label", [F.asc("rank")]).select("query_id", "pick", "vec_id", "label")
 
 
@@ -179,8 +182,9 @@ SELECT p_brand, pick::INTEGER AS pick, p_partkey FROM p WHERE pick <= 5"""
 )
 def greedy_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five parts of each brand without variants of one name and with at most two of a kind, chosen in order."""
-    top = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    rows = table(spark, sf_dir, "part").withColumn("_c", F.row_number().over(top)).filter("_c <= 40")
+    # Of rows with one name only the first can be chosen.
+    top = Window.partitionBy("p_brand", "p_name").orderBy(F.desc("p_retailprice"), "p_partkey")
+    rows = table(spark, sf_dir, "part").withColumn("_c", F.row_number().over(top)).filter("_c = 1")
     named = rows.select("p_brand", "p_partkey", F.col("p_name").alias("name"), F.col("p_name").alias("representative"), F.lit("-").alias("company"), F.col("p_retailprice").alias("score"))
     chosen = select_top_k(named.withColumn("sim", F.lit(0.0)), 5, RankingConfig(), ["p_brand"], id_="p_partkey")
     out = chosen.select("p_brand", F.posexplode("selected").alias("pos", "s"))
