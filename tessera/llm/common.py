@@ -12,21 +12,33 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir()
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; lost executors reread them instead of recomputing."""
+    """Tables written to the shared folder to cut lineage; lost executors reread them instead of recomputing.
+
+    The folder goes when the application ends, as results may read its tables until then.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        files, path = self._files(self.root)
+        files.deleteOnExit(path)
         self._n = 0
 
+    def _files(self, place: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
@@ -37,9 +49,8 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table written by :meth:`save` that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._files(df._scratch_path)
+        files.delete(path, True)
 
 
 def utf8(column: str | Column) -> Column:
@@ -48,6 +59,25 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")
 
 
+#: A key is hot if it has more than this share of the rows, so there are at most 256 hot keys whatever the input.
+HOT = 1 / 256
+#: Tasks that a hot key's rows are spread over.
+SALTS = 64
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, hot: list, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (one row a key) on ``key``; rows of the ``hot`` keys are dealt to :data:`SALTS` tasks by a
+    hash of ``by``, to which the one row goes as often."""
+    if not hot:
+        return many.join(one, key, how)
+    # Salts only part the tasks: every row of ``many`` meets its key's row exactly once.
+    is_hot = F.col(key).isin(*hot)
+    left = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0))
+    right = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    right = right.withColumn("_salt", F.col("_salt").cast("long"))
+    return left.withColumn("_salt", F.col("_salt").cast("long")).join(right, [key, "_salt"], how).drop("_salt")
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """The same batches in slices of at most ``chunk`` rows, so that a worker holds few decoded texts at a time."""
     for batch in batches:

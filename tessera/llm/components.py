@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import HOT, Scratch, spread_join
 
 
 def _pairs(df: DataFrame, a, b) -> DataFrame:
@@ -13,19 +13,38 @@ def _pairs(df: DataFrame, a, b) -> DataFrame:
     return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # The join is on u, where a star's centre has all its rows: AQE may split that key, as `low` has one row a key.
-    return _pairs(both.filter("v > u").join(low, "u"), F.col("v"), F.col("m"))
+def _lowest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _pairs(edges.join(low, "u"), F.col("v"), F.col("m"))
+def _large_star(edges: DataFrame, hot: list) -> DataFrame:
+    """Each vertex's larger neighbours to its smallest neighbour, or to itself if it has no smaller one.
+
+    The vertex at the centre of a star has all its rows in this join, so ``hot`` ones are dealt to many tasks.
+    """
+    low = _lowest(edges).select(F.col("u").alias("v"), "m")
+    return spread_join(edges, low, "v", "u", hot, "left").select("u", F.coalesce("m", "v").alias("v"))
+
+
+def _small_star(edges: DataFrame, hot: list) -> DataFrame:
+    """Each vertex's smaller neighbours, and itself, to the smallest of them."""
+    low = _lowest(edges)
+    moved = _pairs(spread_join(edges, low, "u", "v", hot), F.col("v"), F.col("m"))
     return moved.unionByName(_pairs(low, F.col("u"), F.col("m")))
 
 
+def _state(edges: DataFrame, before: int):
+    """Number and checksum of the edges, and the vertices that hold a hot share of them as their larger or smaller end.
+
+    Edges only get fewer, so with the number ``before`` there are at most 256 hot vertices on either side.
+    """
+    ends = edges.select(F.xxhash64("u", "v").alias("h"), F.inline(F.array(F.struct(F.lit(True).alias("larger"), F.col("u").alias("x")), F.struct(F.lit(False).alias("larger"), F.col("v").alias("x")))))
+    counts = ends.groupBy("larger", "x").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
+    hot = F.col("n") > max(256, int(before * HOT))
+    some = lambda side: F.collect_list(F.when(hot & side, F.col("x")))
+    return counts.agg(F.sum("n"), F.sum("h"), some(F.col("larger")), some(~F.col("larger"))).first()
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Fewer edges ``a, b`` with the same components: each first end keeps one edge, to its smallest second end, and its
     other second ends are tied to that one.
@@ -38,24 +57,28 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("b")).unionByName(tied)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """Label each vertex of ``edges`` (two long columns) with the smallest vertex that it reaches.
 
-    Alternating large-star and small-star rounds; each round is written to the shared folder and ends the lineage.
-    A star's centre may touch a third of all vertices: minima are pre-aggregated before the shuffle and no
-    neighbour list is gathered.  Returns ``node, component``; null ends and loops are ignored; isolated vertices
-    are not in the output (an empty edge table gives an empty result).
+    Alternating large-star and small-star steps until a round changes nothing; each round is written to the shared
+    folder, which ends the lineage.  Their number grows with the logarithm of a component's size.  A star's centre may
+    touch a third of all vertices: minima are pre-aggregated before the shuffle, hot centres are dealt to many tasks and
+    no neighbour list is gathered.  Returns ``node, component``; null ends and loops are ignored; isolated vertices are
+    not in the output (an empty edge table gives an empty result).
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
     current = scratch.save(_pairs(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), F.col(a), F.col(b)).distinct())
-    seen = None
+    number, seen = current.count(), None
     for _ in range(max_rounds):
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
+        if not number:
+            break
+        twice, checksum, hot_u, hot_v = _state(current, number)
+        number, state = twice // 2, (twice, checksum)
+        if state == seen:
             break
         seen = state
-        following = scratch.save(_small_star(_large_star(current).distinct()).distinct())
+        following = scratch.save(_small_star(_large_star(current, hot_v).distinct(), hot_u).distinct())
         scratch.drop(current)
         current = following
     else:

@@ -1,11 +1,12 @@
 """SimHash near-duplicates with covering bit masks, and near-duplicates by the shingle sets themselves.
 
-A fingerprint has one or more 64-bit lanes.  The bits are cut into segments; in a segment every bit position is given
-a random non-zero vector of r+1 bits, and each non-zero vector v of r+1 bits makes one mask: the positions whose
-vector has an odd dot product with v.  The positions where two fingerprints differ, if at most r in that segment,
-span at most r dimensions, so some v is orthogonal to them all: under its mask the fingerprints are equal.  Hence
-every pair within radius r of a one-segment fingerprint meets in a table, and with s segments every pair within
-s*(r+1)-1 bits does, because some segment has at most r of them.
+Every bit position of a 64-bit fingerprint is given a random non-zero vector of r+1 bits, and each non-zero vector v of
+r+1 bits makes one mask: the positions whose vector has an odd dot product with v.  The positions where two fingerprints
+differ, if at most r, span at most r dimensions, so some v is orthogonal to them all: under its mask the fingerprints are
+equal.  Hence every pair within radius r meets in a table.
+
+Similarity of shingle sets has no such radius: at 0.8 about 10 of 64 bits differ, now and then 20, and no number of bits
+holds every pair.  There the bits that are covered are those of the sets themselves (see :func:`verified_groups`).
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, rows_of, utf8
+from tessera.llm.common import HOT, Scratch, rows_of, utf8
 from tessera.llm.components import connected_components, contracted
 
 #: The most distinct fingerprints that one task compares in one table; larger buckets are compared block by block.
@@ -39,70 +40,43 @@ def shingle_hashes(words: list[bytes], k: int, at: int, upto: int) -> np.ndarray
     return np.array([digest(joined[s:e], 42) for s, e in spans], dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    """Lane 0 is the hash itself; further lanes are a multiply-and-shift mix of it."""
-    if lane == 0:
-        return h
-    x = h + np.uint64(0x9E3779B97F4A7C15 * lane % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprint(text: bytes, k: int, lanes: int = 1) -> list[int]:
-    """One signed 64-bit number per lane; A-Z are lower-cased and words end at ASCII white space."""
+def fingerprint(text: bytes, k: int) -> int:
+    """A signed 64-bit number; A-Z are lower-cased and words end at ASCII white space."""
     words = text.lower().split()
     if not words:
-        return [0] * lanes
+        return 0
     n = max(1, len(words) - k + 1)
-    counts = np.zeros((lanes, 64), dtype=np.int64)
+    counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _STEP):
-        upto = min(n, at + _STEP)
-        h = shingle_hashes(words, min(k, len(words)), at, upto)
-        for lane in range(lanes):
-            bits = np.unpackbits(_mixed(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[lane] += np.add.reduce(bits, axis=0, dtype=np.uint32)
-    packed = np.packbits(2 * counts > n, axis=1, bitorder="little")
-    return packed.view(np.int64).ravel().tolist()
+        h = shingle_hashes(words, min(k, len(words)), at, min(n, at + _STEP))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``f0 .. f{lanes-1}``; texts are read whole and never shuffled."""
-    schema = f"{id_col} long, " + ", ".join(f"f{i} long" for i in range(lanes))
+def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, f0`` of every row; texts are read whole, shingles in steps of 65,536, and never shuffled.
+
+    Null and empty texts have fingerprint zero; null ids and repeated rows are kept; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 512):
-            made = np.array([fingerprint(t, k, lanes) for t in batch.column(1).to_pylist()], dtype=np.int64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, i]) for i in range(lanes))], [id_col, *(f"f{i}" for i in range(lanes))])
-
-    return docs.select(F.col(id_col).cast("long").alias(id_col), utf8(text_col).alias("_text")).mapInArrow(run, schema)
-
-
-def covering_masks(lanes: int, segments: int, r: int, seed: int = 7) -> list[list[int]]:
-    """Per table, one unsigned 64-bit mask per lane; ``segments * (2**(r+1) - 1)`` tables."""
-    rng = np.random.default_rng(seed)
-    places = rng.permutation(64 * lanes) if segments > 1 else np.arange(64 * lanes)
-    out = []
-    for segment in np.array_split(places, segments):
-        # Each non-zero vector is used about equally often, so the masks have about equally many bits.
-        pool = np.arange(len(segment)) % (2 ** (r + 1) - 1) + 1
-        vectors = rng.permutation(pool)
-        for v in range(1, 2 ** (r + 1)):
-            mask = [0] * lanes
-            for place, x in zip(segment.tolist(), vectors.tolist()):
-                if bin(v & x).count("1") % 2:
-                    mask[place // 64] |= 1 << (place % 64)
-            out.append(mask)
-    return out
+            made = [fingerprint(t, k) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], [id_col, "f0"])
 
+    return docs.select(F.col(id_col).cast("long").alias(id_col), utf8(text_col).alias("_text")).mapInArrow(run, f"{id_col} long, f0 long")
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def covering_masks(r: int, seed: int = 7) -> list[int]:
+    """Unsigned 64-bit masks of ``2**(r+1) - 1`` tables: fingerprints within ``r`` bits agree under one of them at least."""
+    # Each non-zero vector is used about equally often, so the masks have about equally many bits.
+    vectors = np.random.default_rng(seed).permutation(np.arange(64) % (2 ** (r + 1) - 1) + 1).tolist()
+    return [sum(1 << place for place, x in enumerate(vectors) if (v & x).bit_count() % 2) for v in range(1, 2 ** (r + 1))]
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits between every row of a and every row of b (rows of unsigned lanes)."""
-    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def within(radius: int):
@@ -195,32 +169,62 @@ def _cluster(lanes: int, near):
     return run
 
 
-def near_edges(nodes: DataFrame, lanes: int, radius: int, masks: list[list[int]], block: int = BLOCK) -> DataFrame:
-    """Star edges ``a, b`` that connect what lies within ``radius`` bits, over distinct fingerprints ``node, f0 ..``."""
-    prints = [f"f{n}" for n in range(lanes)]
-    if lanes == 1:
-        keys = ["t", "k"]
-        entries = [F.struct(F.lit(i).cast("long").alias("t"), F.col("f0").bitwiseAND(F.lit(_signed(m[0]))).alias("k")) for i, m in enumerate(masks)]
-    else:  # one hashed key for the table and the masked lanes; a rare clash only adds a comparison
-        keys = ["k"]
-        entries = [F.struct(F.xxhash64(F.lit(i), *(F.col(f"f{n}").bitwiseAND(F.lit(_signed(x))) for n, x in enumerate(m) if x)).alias("k")) for i, m in enumerate(masks)]
-    return bucket_edges(nodes.select("node", *prints, F.inline(F.array(*entries))), keys, prints, within(radius), block)
+#: One row in so many is looked at to find hot buckets.
+SAMPLED = 64
 
 
-def bucket_edges(spread: DataFrame, keys: list[str], prints: list[str], near, block: int = BLOCK) -> DataFrame:
-    """Edges ``a, b`` that connect what is ``near`` by its ``prints`` within buckets of equal ``keys``.
+def hot_buckets(sample: DataFrame, keys: list[str]) -> dict[tuple, int]:
+    """Buckets with more than a 1/256 share of the rows, at most 256, and about how many rows they have.
 
-    Buckets of at most ``block`` rows are searched in one task each; larger ones are dealt into blocks and every pair of
-    blocks is searched, so that no task holds more than two blocks and no pair is lost.
+    ``sample`` holds the bucket keys of the entries of one node in :data:`SAMPLED`.  What is found here only decides how
+    rows are dealt to tasks: a bucket that the sample misses is counted and split all the same.
+    """
+    counts = sample.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") > max(4, total * HOT)).collect()
+    return {tuple(r[k] for k in keys): r["n"] * SAMPLED for r in found}
+
+
+def in_sample(node: str = "node") -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), node), F.lit(SAMPLED)) == 0
+
+
+def sized_buckets(entries: DataFrame, keys: list[str], hot: dict[tuple, int]) -> tuple[DataFrame, DataFrame]:
+    """``entries`` with the number of rows of their bucket as ``n``: those of other buckets, counted exactly and left in
+    bucket order within their partitions, and those of the ``hot`` buckets with the estimated number."""
+    counted = Window.partitionBy(*keys)
+    if not hot:
+        return entries.withColumn("n", F.count("*").over(counted)), entries.limit(0).withColumn("n", F.lit(0).cast("long"))
+    bucket = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    lit = lambda k: F.lit(k[0]).cast("long") if len(keys) == 1 else F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip(k, keys)))
+    is_hot = bucket.isin(*map(lit, hot)) if len(keys) == 1 else F.array_contains(F.array(*map(lit, hot)), bucket)
+    many = F.map_from_arrays(F.array(*map(lit, hot)), F.array(*(F.lit(n).cast("long") for n in hot.values())))
+    return entries.filter(~is_hot).withColumn("n", F.count("*").over(counted)), entries.filter(is_hot).withColumn("n", many[bucket])
+
+
+def near_edges(nodes: DataFrame, radius: int, masks: list[int], block: int = BLOCK) -> DataFrame:
+    """Star edges ``a, b`` that connect what lies within ``radius`` bits, over distinct fingerprints ``node, f0``."""
+    tables = [F.struct(F.lit(i).cast("long").alias("t"), F.col("f0").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)]
+    entries = nodes.select("node", "f0", F.inline(F.array(*tables)))
+    hot = hot_buckets(entries.filter(in_sample()), ["t", "k"])
+    return bucket_edges(*sized_buckets(entries, ["t", "k"], hot), ["t", "k"], ["f0"], within(radius), block)
+
+
+def bucket_edges(sized: DataFrame, hot: DataFrame, keys: list[str], prints: list[str], near, block: int = BLOCK) -> DataFrame:
+    """Edges ``a, b`` that connect what is ``near`` by its ``prints`` within buckets of equal ``keys`` and size ``n``.
+
+    The rows of a bucket in ``sized`` lie in one partition.  Buckets of at most ``block`` rows are searched in one task
+    each; larger ones and ``hot`` ones, which lie anywhere, are dealt into blocks and every pair of blocks is searched, so
+    that no task holds more than about two blocks and no pair is lost.
     """
-    sized = spread.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     cluster = _cluster(len(prints), near)
-    small = sized.filter((F.col("n") > 1) & (F.col("n") <= block)).select(*keys, "node", *prints).mapInArrow(cluster, "a long, b long")
+    small = sized.filter((F.col("n") > 1) & (F.col("n") <= block)).select(*keys, "node", *prints).sortWithinPartitions(*keys).mapInArrow(cluster, "a long, b long")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     large = (
         sized.filter(F.col("n") > block)
+        .unionByName(hot)
         .select(*keys, F.inline(pairs), "node", *prints)
         .repartition(*keys, "i", "j")
         .sortWithinPartitions(*keys, "i", "j")
@@ -229,37 +233,26 @@ def bucket_edges(spread: DataFrame, keys: list[str], prints: list[str], near, bl
     return small.unionByName(large)
 
 
-def simhash_groups(
-    docs: DataFrame,
-    k: int = 4,
-    radius: int = 4,
-    lanes: int = 1,
-    segments: int = 1,
-    mask_radius: int = 4,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    block: int = BLOCK,
-) -> DataFrame:
-    """``id_col, f0 .., component_id``: documents linked, directly or through others, by fingerprints within ``radius`` bits.
+def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """``id_col, f0, component_id``: documents linked, directly or through others, by fingerprints within ``radius`` bits.
 
-    Every pair within ``segments * (mask_radius + 1) - 1`` bits meets in a table; where ``radius`` is larger, pairs
-    between the two are linked when some table holds both.  Fingerprints are collapsed before any comparison, so
-    equal texts cost one row however many they are.
+    Every such pair meets in one of ``2**(radius + 1) - 1`` tables.  Fingerprints are collapsed before any comparison, so
+    equal texts cost one row however many they are; texts are read whole, however long, and never shuffled.
 
     Null and empty texts have fingerprint zero and are linked like any other.  Rows with one id are one vertex; a
-    null id takes the component of its fingerprint (null if that has no other id).  An empty table gives no rows.
+    null id takes the component of its fingerprint (null if that has no other id).  Other columns of ``docs`` are not
+    read.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    names = [f"f{n}" for n in range(lanes)]
-    prints = scratch.save(fingerprints(docs, k, lanes, id_col, text_col))
-    nodes = scratch.save(prints.groupBy(*names).agg(F.min(id_col).alias("node")).filter("node is not null"))
-    edges = contracted(scratch.save(near_edges(nodes, lanes, radius, covering_masks(lanes, segments, mask_radius), block)))
+    prints = scratch.save(fingerprints(docs, k, id_col, text_col))
+    nodes = scratch.save(prints.groupBy("f0").agg(F.min(id_col).alias("node")).filter("node is not null"))
+    edges = contracted(scratch.save(near_edges(nodes, radius, covering_masks(radius), block)))
     # A repeated id with several texts ties its fingerprints together.
-    tied = prints.join(nodes, names).filter(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("a"), F.col("node").alias("b"))
+    tied = prints.join(nodes, "f0").filter(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("a"), F.col("node").alias("b"))
     tied = tied.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
     labels = connected_components(edges.unionByName(tied).distinct())
-    named = nodes.join(labels, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, names, "left").select(id_col, *names, "component_id")
+    named = nodes.join(labels, "node", "left").select("f0", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, "f0", "left").select(id_col, "f0", "component_id")
 
 
 class _Postings:
@@ -469,11 +462,12 @@ def verified_groups(
     keyed = made
     made = scratch.save(keyed.select("id", "d0", "d1"))
     scratch.drop(keyed)
+    postings = lambda df: df.select("node", "firsts").mapInArrow(_postings, "k long, node long")
+    hot = hot_buckets(postings(nodes.filter(in_sample())), ["k"])
     # Most first shingles are in one set only; the others alone take parities along.
-    postings = nodes.select("node", "firsts").mapInArrow(_postings, "k long, node long")
-    shared = postings.withColumn("n", F.count("*").over(Window.partitionBy("k"))).filter("n > 1").select("k", "node")
-    spread = shared.join(nodes.select("node", *prints), "node").select("k", "node", *prints)
-    proposed = contracted(scratch.save(bucket_edges(spread, ["k"], prints, may_reach(similarity), block).distinct()))
+    shared, common = (x.filter("n > 1").join(nodes.select("node", *prints), "node").select("k", "node", *prints, "n") for x in sized_buckets(postings(nodes), ["k"], hot))
+    edges = bucket_edges(shared.repartition("k"), common, ["k"], prints, may_reach(similarity), block)
+    proposed = contracted(scratch.save(edges.distinct()))
     members = connected_components(proposed).select(F.col("node").alias("_node"), F.col("component").alias("_grp"))
     read = texts.join(members.hint("shuffle_hash"), F.col("id") == F.col("_node")).select("_grp", "_node", "_text")
     sets = scratch.save(read.mapInArrow(_shingle_sets(k), "grp long, node long, shingles binary"))

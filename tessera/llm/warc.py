@@ -135,16 +135,23 @@ def write_archives(pages: DataFrame, root: str, least: int = 0, id_col: str = "p
 
     Of records with equal payloads of at least ``least`` bytes the one with the largest page id is the response and
     the others revisit it.  Groups are found on digests alone, so a payload that a third of the pages share moves no
-    text to one task; the texts are shuffled once, by page id.  A null html is an empty payload; a null url is left
-    out; a page without an id revisits a page that has one, and is a response where none has.  Rows that repeat id and
-    payload are one response and revisits of it.
+    text to one task; the texts are shuffled once, by page id and digest, and a second time only if rows repeat both.
+    A null html is an empty payload; a null url is left out; a page without an id revisits a page that has one, and is
+    a response where none has.  Rows that repeat id and payload are one response and revisits of it.  A record of any
+    length is one frame's, so the longest text bounds a task's memory.  An empty table gives no rows and no file;
+    other columns of ``pages`` are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(html_col).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    keys = rows.filter(F.octet_length("payload") >= least).select("page_id", "digest")
-    first = keys.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    decided = keys.distinct().join(first, "digest").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "response")
+    grouped = rows.groupBy("page_id", "digest").agg(F.count("*").alias("n"), F.max(F.octet_length("payload")).alias("size"))
+    keys = Scratch(pages.sparkSession, "warc-keys").save(grouped)
+    able = keys.filter(F.col("size") >= least)
+    first = able.groupBy("digest").agg(F.max("page_id").alias("response"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    decided = able.join(first, "digest").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "response")
     joined = rows.join(decided, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p")
+    if not keys.filter("n > 1").isEmpty():
+        # Copies of a row are numbered where they lie, so all must lie in one task; whether the join brings them there is its choice.
+        joined = joined.repartition("page_id", "digest")
     ordered = joined.sortWithinPartitions("page_id", "digest", "url").select("page_id", "url", "payload", "digest", F.col("d").isNotNull().alias("shared"), "response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

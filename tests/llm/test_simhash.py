@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import covering_masks, fingerprint, local_roots, simhash_groups, similar_roots, verified_groups
+from tessera.llm.simhash import bucket_edges, covering_masks, fingerprint, hot_buckets, in_sample, local_roots, simhash_groups, similar_roots, sized_buckets, verified_groups, within
 
 from .fixtures import DOCS, components, documents, empty, prose, shingle_set, simhash
 
@@ -13,12 +13,12 @@ from .fixtures import DOCS, components, documents, empty, prose, shingle_set, si
 def test_fingerprint_like_brute_force():
     rng = random.Random(3)
     for text in ["", " \n", "One", "a b c", "a b c d", "A B C D", "x y z", "ä Ö ü \x0b w", *(prose(rng, n) for n in (5, 50, 400))]:
-        assert fingerprint(text.encode(), 4)[0] % 2**64 == simhash(text), text
+        assert fingerprint(text.encode(), 4) % 2**64 == simhash(text), text
 
 
 @pytest.mark.parametrize("bits", [1, 2, 3, 4])
 def test_masks_cover_every_pair_within_the_radius(bits):
-    masks = [m[0] for m in covering_masks(1, 1, 4)]
+    masks = covering_masks(4)
     assert len(masks) == 31
     rng = random.Random(bits)
     for _ in range(3000):
@@ -26,14 +26,6 @@ def test_masks_cover_every_pair_within_the_radius(bits):
         assert any(not flipped & m for m in masks)
 
 
-def test_segments_cover_their_joint_radius():
-    masks = [(m[0] | m[1] << 64) for m in covering_masks(2, 3, 4)]
-    rng = random.Random(0)
-    for _ in range(2000):
-        flipped = sum(1 << i for i in rng.sample(range(128), 14))
-        assert any(not flipped & m for m in masks)
-
-
 @pytest.mark.parametrize("block", [3, 65_536])
 def test_groups_like_brute_force(spark, block):
     docs = documents(spark)
@@ -88,7 +80,7 @@ def test_equal_fingerprints_do_not_make_copies(spark):
     rng = random.Random(5)
     line = " ".join(f"l{i}" for i in range(15))
     texts = [" ".join([line] * 150) + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(100)) for _ in range(3)]
-    assert fingerprint(texts[0].encode(), 5, 4) == fingerprint(texts[1].encode(), 5, 4)
+    assert (fingerprint(texts[0].encode(), 5) ^ fingerprint(texts[1].encode(), 5)).bit_count() <= 4
     docs = spark.createDataFrame([*enumerate(texts), (3, texts[1])], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in verified_groups(docs).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 1}
@@ -121,10 +113,27 @@ def test_repeated_lines_and_short_texts_are_found(spark):
 
 def test_components_of_stars_chains_and_loops(spark):
     edges = [(1, 2), (3, 2), (3, 4), (4, 5), (5, 6), (10, 10), (20, 21), (21, 20), (None, 5)] + [(100, i) for i in range(101, 200)]
+    edges += [(5000, i) for i in range(4000, 4600)] + [(4700, i) for i in range(4701, 5000)]  # hot as the larger and as the smaller end
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 1 for i in range(1, 7)} | {20: 20, 21: 20} | {i: 100 for i in range(100, 200)}
+    assert got == {i: 1 for i in range(1, 7)} | {20: 20, 21: 20} | {i: 100 for i in range(100, 200)} | {i: 4000 for i in [*range(4000, 4600), 5000]} | {i: 4700 for i in range(4700, 5000)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_buckets_are_split_without_losing_a_pair(spark):
+    """A third of the fingerprints in one bucket of some tables, found hot by the sample, and the same without a hot bucket."""
+    rng = np.random.default_rng(8)
+    few = [int(sum(1 << int(i) for i in rng.choice(64, 3, replace=False))) for _ in range(1500)]
+    prints = {p - (1 << 64) if p >> 63 else p for p in [*few, *map(int, rng.integers(0, 2**63, 3000))]}
+    nodes = spark.createDataFrame([(i, p) for i, p in enumerate(sorted(prints))], "node long, f0 long")
+    entries = nodes.selectExpr("node", "f0", "0L as t", "f0 & 15 as k")
+    hot = hot_buckets(entries.filter(in_sample()), ["t", "k"])
+    assert hot
+    got = [
+        sorted((r["node"], r["component"]) for r in connected_components(bucket_edges(*sized_buckets(entries, ["t", "k"], h), ["t", "k"], ["f0"], within(4), block=block)).collect())
+        for h, block in ((hot, 300), ({}, 65_536), (hot, 65_536))
+    ]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_empty_table(spark):
     assert simhash_groups(empty(spark, DOCS)).count() == 0 and verified_groups(empty(spark, DOCS)).count() == 0

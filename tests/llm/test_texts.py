@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -175,6 +176,20 @@ def test_round_trip(spark):
     assert {r["record_type"] for r in round_trip(table, least=1_000_000).collect()} == {"response"}
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_repeated_pages_have_one_response(spark, threshold):
+    """Rows that repeat id and payload, in several partitions, whatever join brings the groups to them."""
+    rows = [(7, "u", "<p>x"), (3, "u", "<p>x")] * 4 + [(None, "u", "<p>x"), (9, None, None), (9, "v", None), (9, "v", "<p>y"), (8, "v", "<p>y" * 50_000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    found = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got)
+    assert found == {(7, 4, "response", None): 1, (7, 4, "revisit", 7): 3, (3, 4, "revisit", 7): 4, (None, 4, "revisit", 7): 1, (9, 0, "response", None): 1, (9, 0, "revisit", 9): 1, (9, 4, "response", None): 1, (8, 200_000, "response", None): 1}
+
+
 def test_one_record_is_read_by_its_index_entry(spark, tmp_path):
     index = write_archives(pages(spark), f"file:{tmp_path}/archives").collect()
     assert len({r["record_id"] for r in index}) == len(index)
