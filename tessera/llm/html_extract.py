@@ -1,10 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-A page is read into blocks (the texts between block-level tags), leaving out what its elements say is no article:
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.  The lengths of the
-blocks outside links are summed over a sliding window; where the sums surge a stretch of text begins, where they dive
-it ends.  Blocks between surge and dive are kept.  Where the page marks the element that holds the stretch as its
-article or main part, surge and dive move to the ends of that element, so that short first and last paragraphs stay.
+A page is read into blocks (the texts between block-level tags) with the length of their text outside links.  Elements that
+are no article by what they are (menus, headers, footers, sidebars, forms, scripts, styles), and containers whose class or id
+says so beyond doubt (adverts, notices, reader comments), are left out; doubtful names only weigh a block's length down.  The
+lengths are summed over a sliding window; where the sums surge a stretch of text begins, where they dive it ends.
+
+Surge and dive are found to the block, while an article's first and last lines and its lists may be short.  So two stretches
+with nothing but short text between them are one, and a stretch runs on to the ends of the container that it began in, or of
+the element that the page marks as its article if that holds most of the text found.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -43,29 +47,42 @@ _ENDS_P = frozenset(
 )
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("article aside blockquote body details div dl fieldset figure footer form header main menu nav ol section table td th ul".split())
-_DROPPED = frozenset("nav footer aside form head button select datalist dialog menu svg canvas object audio video map fieldset address".split())
+_DROPPED = frozenset("nav footer aside form head button select datalist dialog menu svg canvas object audio video map fieldset".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status tablist".split())
-# Words in class and id names that mark what is no article text.
-_DROPPED_NAMES = frozenset(
-    "ad ads adsense adslot adunit advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promotion promoted "
-    "nav navbar navigation navi menu submenu menubar breadcrumb breadcrumbs crumbs pagination pager paging toc "
-    "header masthead topbar footer footnav colophon bottom sidebar sidebars aside rail widget widgets "
-    "cookie cookies consent gdpr privacy notice notices notification notifications alert popup modal overlay lightbox paywall disclaimer "
-    "newsletter subscribe subscription signup signin login register search searchbox form "
-    "share sharing shares social follow related recommended recommendations recirculation teaser teasers trending popular "
-    "comment comments commentlist reply replies respond disqus discussion reactions reviews "
-    "copyright legal toolbar skip skiplink hidden print".split()
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that hold a run of blocks; a list or a table belongs to the one around it.
+_CONTAINERS = frozenset("article body div main section td th".split())
+# Words in class and id names.  These mark what is no article text wherever they stand in a name,
+_SURE = frozenset(
+    "adsense adslot adunit advert adverts advertisement advertising advertorial breadcrumb breadcrumbs colophon comment commentlist comments "
+    "consent cookie cookies disqus gdpr lightbox masthead menubar navbar newsletter pagination paywall sidebar sidebars skiplink sponsor sponsored sponsors submenu topbar".split()
 )
+# these if the rest of the name only says what kind of box it is,
+_ALONE = frozenset(
+    "ad ads alert aside copyright crumbs footer footnav hidden login menu modal nav navi navigation notice notices notification notifications overlay pager paging popup "
+    "promo promoted promotion rail recirculation recommendations recommended related replies search searchbox share shares sharing signin signup skip social subscribe "
+    "teaser teasers toolbar widget widgets".split()
+)
+# and these are in doubt: they weigh a block's text down outside of what is marked as the article.
+_DOUBTFUL = frozenset("bottom discussion disclaimer follow form header legal popular print privacy reactions register reply respond reviews subscription toc trending".split())
+_KINDS = frozenset(
+    "area banner bar block box boxes button buttons col column container content desktop fixed global group inner item items left link links list main mobile outer page panel "
+    "primary right row secondary section site slot sticky top unit wrap wrapper".split()
+)
+#: What a character counts in a block that a doubtful name stands on.
+DOUBT = 0.25
 _ARTICLE_NAMES = frozenset("article post entry story articlebody postbody entrycontent content main".split())
 
 
 class _Element:
-    __slots__ = ("name", "drop", "keep", "start", "end", "parent", "out", "above", "wide")
+    __slots__ = ("name", "drop", "keep", "start", "end", "parent", "out", "above", "wide", "doubt", "box")
 
     def __init__(self, name: str, parent: _Element | None, start: int):
         self.name, self.parent, self.start, self.end = name, parent, start, None
         self.drop, self.keep, self.out = 0, 0, False
         self.above = self.wide = 0
+        self.doubt = parent is not None and parent.doubt  # whether a doubtful name stands on it or around it
+        self.box = self if parent is None or name in _CONTAINERS else parent.box
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -75,6 +92,19 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _verdict(value: str) -> int:
+    """What class and id names say: 2 no article beyond doubt, 1 doubtful, 0 nothing."""
+    said = 0
+    for token in value.split():
+        words = {w.lower() for w in _NAMES.findall(token)}
+        rest = {w for w in words if not w.isdigit()} - _KINDS
+        if words & _SURE or re.sub(r"[^a-z]", "", token.lower()) in _SURE or rest and rest <= _ALONE:
+            return 2
+        if rest and rest <= _ALONE | _DOUBTFUL:
+            said = 1
+    return said
+
+
 def _names(value: str) -> set[str]:
     return {w.lower() for w in _NAMES.findall(value)} | {re.sub(r"[^a-z]", "", w.lower()) for w in value.split()}
 
@@ -94,17 +124,33 @@ def _judge(e: _Element, attrs: str, inside_article: bool) -> None:
             e.drop = 2
         if role in ("article", "main") or a.get("itemprop", "").lower() == "articlebody":
             e.keep = max(e.keep, 3 if role != "main" else 2)
-        if "class" in a or "id" in a:
-            names = _names(a.get("class", "") + " " + a.get("id", ""))
-            if e.name not in ("body", "html") and names & _DROPPED_NAMES:
+        if ("class" in a or "id" in a) and e.name not in ("html", "body", "main") and e.name not in _HEADINGS:
+            names = a.get("class", "") + " " + a.get("id", "")
+            said = _verdict(names)
+            if said == 2:
                 e.drop = max(e.drop, 1)
-            elif e.name in ("div", "section", "td") and names & _ARTICLE_NAMES:
+            elif said == 1:
+                e.doubt = e.doubt or e.name in _SCOPES
+            elif e.name in ("div", "section", "td") and _names(names) & _ARTICLE_NAMES:
                 e.keep = max(e.keep, 1)
+    if e.keep >= 2 or inside_article:
+        e.doubt = False
+
 
+@dataclass(frozen=True)
+class Block:
+    """A text with its characters outside links, weighed; the container it lies in; whether something was left out, or
+    links stand, between it and the block before."""
 
-def read_blocks(html: str) -> tuple[list[tuple[str, int]], list[_Element]]:
-    """The page's blocks, as (text, characters outside links), without those that their elements rule out, and the
-    elements that may hold the article; an element's start and end number the blocks."""
+    text: str
+    length: float
+    box: _Element
+    cut: bool
+
+
+def read_blocks(html: str) -> tuple[list[Block], list[_Element]]:
+    """The page's blocks without those that their elements rule out, and the elements that may hold the article; an
+    element's start and end number the blocks."""
     blocks: list[tuple[str, int, _Element]] = []
     parts: list[str] = []
     linked = keeps = 0  # characters inside links of this block; open holders
@@ -217,10 +263,14 @@ def read_blocks(html: str) -> tuple[list[tuple[str, int]], list[_Element]]:
     for e in made:  # parents come before what they hold
         e.out = e.drop > 0 or e.parent.out
 
-    kept, number = [], [0]
+    kept, number, cut = [], [0], True
     for text, outside, e in blocks:
-        if not e.out:
-            kept.append((text, outside))
+        if e.out:
+            cut = True
+        else:
+            linked = 3 * outside < len(text)  # mostly links: no text
+            kept.append(Block(text, 0 if linked else outside * (DOUBT if e.doubt else 1), e.box, cut or linked))
+            cut = linked
         number.append(len(kept))
     holders = []
     for e in marked:
@@ -262,6 +312,31 @@ def text_stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE)
     return out
 
 
+def run_on(blocks: list[Block], stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches, joined where nothing but text stands between two, and continued to the ends of their containers.
+
+    A stretch ends where something was left out, at blocks of links and, but between two stretches, at doubtful blocks and
+    at another container.  A page's body is no container to run to the ends of.
+    """
+
+    def follows(i: int, inside: _Element) -> bool:
+        """Whether block i goes on from the one before it, in the same container."""
+        return not blocks[i].cut and blocks[i].box is inside and inside.name not in ("", "body") and not inside.doubt
+
+    out: list[tuple[int, int]] = []
+    for start, end in stretches:
+        floor = out[-1][1] if out else 0
+        while start > floor and blocks[start - 1].box is blocks[start].box and follows(start, blocks[start].box) and blocks[start - 1].length:
+            start -= 1
+        while end < len(blocks) and follows(end, blocks[end - 1].box) and blocks[end].length:
+            end += 1
+        if out and (start <= out[-1][1] or not any(b.cut for b in blocks[out[-1][1] : start + 1]) and not any(b.box.doubt for b in blocks[out[-1][1] : start])):
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def _meets(h: _Element, stretches: list[tuple[int, int]]) -> bool:
     """Whether a stretch reaches into the element; stretches are in order and apart."""
     k = bisect_right(stretches, (h.start, len(stretches) and stretches[-1][1])) - 1
@@ -270,11 +345,11 @@ def _meets(h: _Element, stretches: list[tuple[int, int]]) -> bool:
 
 def main_blocks(html: str, window: int = WINDOW, surge: int = SURGE) -> list[str]:
     blocks, holders = read_blocks(html)
-    lengths = [outside if 3 * outside >= len(text) else 0 for text, outside in blocks]  # mostly links: no text
-    stretches = text_stretches(lengths, window, surge)
+    lengths = [b.length for b in blocks]
+    stretches = run_on(blocks, text_stretches(lengths, window, surge))
     if not stretches:
         stretches = [(0, len(blocks))] if blocks and holders else []
-    sums = [0]
+    sums = [0.0]
     for n in lengths:
         sums.append(sums[-1] + n)
     text_in = lambda s, e: sums[e] - sums[s]
@@ -294,7 +369,7 @@ def main_blocks(html: str, window: int = WINDOW, surge: int = SURGE) -> list[str
         if own and 2 * sum(text_in(s, e) for s, e in {(h.start, h.end) for h in own}) > total:
             stretches = sorted({(h.start, h.end) for h in own})
             break
-    return [blocks[i][0] for s, e in stretches for i in range(s, e)]
+    return [b.text for s, e in stretches for b in blocks[s:e]]
 
 
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -305,8 +380,9 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
 def extract_main_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` in place of the html, one row per row; a narrow pass without a shuffle.
 
-    A null or empty html, and one without text, gives an empty text; repeated rows and null ids are kept; columns
-    named ``text`` or ``n_chars`` are replaced; an empty table gives no rows.
+    Pages of any length are read whole, in one pass over their tags.  A null or empty html, and one without text, gives an
+    empty text; repeated rows and null ids are kept; columns named ``text`` or ``n_chars`` are replaced; an empty table
+    gives no rows.
     """
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     source = pages.select(*rest, utf8(html_col))

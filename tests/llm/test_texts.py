@@ -245,6 +245,39 @@ def test_pages_without_marks_keep_what_stands_between_surge_and_dive():
     assert text_stretches([]) == [] and text_stretches([0, 0]) == []
 
 
+def test_names_in_doubt_lose_no_article_text():
+    lines = ['<p class="follow-up">One more word.</p>', '<h2 class="section-header">A head line</h2>', '<section id="reviews"><p>What they say.</p></section>', '<div class="legal-analysis">A law.</div>', "<address>12 Some Road</address>"]
+    said = ["One more word.", "A head line", "What they say.", "A law.", "12 Some Road"]
+    for line, text in zip(lines, said):
+        assert main_text(f"<body><nav>Menu</nav><article><p>{LONG}</p>{line}<p>{LONG}</p></article><footer>{LONG}</footer></body>") == f"{LONG.strip()} {text} {LONG.strip()}"
+    for line in ('<div class="comment-list">', '<div id="cookie-banner">', '<p class="ad">', '<div class="share-buttons">', '<ul class="related-links">', '<div class="site-footer">'):
+        assert main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div>{line}{LONG}{LONG}</body>") == f"{LONG.strip()} {LONG.strip()}", line
+
+
+def test_short_text_between_long_text_stays():
+    short = "".join(f"<p>Line {i}.</p>" for i in range(8))
+    want = " ".join([LONG.strip(), *(f"Line {i}." for i in range(8)), LONG.strip()])
+    for page in (f"<body><p>{LONG}</p>{short}<p>{LONG}</p></body>", f"<div><p>{LONG}</p><ul>{short.replace('p>', 'li>')}</ul><p>{LONG}</p></div>", f"<div><div><p>{LONG}</p></div><div>{short}</div><div><p>{LONG}</p></div></div>"):
+        assert main_text(page) == want
+    assert main_text(f"<div>{short}<p>{LONG}</p>{short}</div>") == " ".join([*(f"Line {i}." for i in range(8)), LONG.strip(), *(f"Line {i}." for i in range(8))])
+    links = "".join(f'<p><a href="/{i}">Some link {i}</a></p>' for i in range(8))
+    assert main_text(f"<body><p>{LONG}</p>{links}<p>{LONG}</p></body>") == f"{LONG.strip()} {LONG.strip()}"
+
+
+def test_stretches_like_brute_force():
+    """Every block belongs to a stretch exactly if a window over it sums to the surge, up to blocks without text at the ends."""
+    rng = random.Random(12)
+    for _ in range(500):
+        lengths = [rng.choice([0, 0, 5, 30, 90, 200]) for _ in range(rng.randrange(1, 40))]
+        sums = [sum(lengths[i : i + 3]) for i in range(len(lengths))]
+        least = min(86, max(sums) / 2)
+        inside = {i + j for i, n in enumerate(sums) if n >= least and n > 0 for j in range(3) if i + j < len(lengths)}
+        found = text_stretches(lengths)
+        assert {i for s, e in found for i in range(s, e)} <= inside
+        assert {i for i in inside if lengths[i]} == {i for s, e in found for i in range(s, e) if lengths[i]}
+        assert all(lengths[s] and lengths[e - 1] for s, e in found)
+
+
 def test_broken_pages():
     for page, text in {"": "", "  ": "", "a < b and c > d": "a < b and c > d", "<p>x": "x", "<script>var x": "", "<!-- x": "", "<article></article>": "", "x &lt;b&gt; &#233;&nbsp;y": "x <b> é y", "<p title='a>b'>t</p>": "t", "<a href='x>t</a>u": "t u".replace(" ", "")}.items():
         assert main_text(page) == text, page
