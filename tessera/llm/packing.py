@@ -23,8 +23,9 @@ from tokenizers import Tokenizer
 
 from tessera.llm.common import Scratch, rows_of, utf8
 
-#: Entries of a worker's table of encoded units; it starts anew when full, which costs time and changes no result.
-CACHE = 500_000
+#: Entries of a worker's table of encoded units, and the longest key that it keeps, so that it holds some 100 MB at most;
+#: it starts anew when full, which costs time and changes no result.
+CACHE, KEY = 500_000, 64
 #: Pieces that one packing group holds on average, and its open bins.
 GROUP, OPEN = 65_536, 1024
 #: Units beyond this length are left to the tokenizers library.
@@ -54,6 +55,7 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._check(path, spec)
         symbols = _byte_symbols()
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self._fast = tiktoken.Encoding("units", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -61,13 +63,26 @@ class UnitEncoder:
         self._special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self._units: dict[str, bytes] = {}
 
+    @staticmethod
+    def _check(path: str, spec: dict) -> None:
+        """Numbers must be merge ranks and the splitting pattern the built-in one; another file would give other ids."""
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or spec["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path} is no plain byte-level BPE model")
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:])):
+            raise ValueError(f"{path} does not number its tokens by their merges")
+
     def _unit(self, unit: str) -> bytes:
-        if len(self._units) >= CACHE:
-            self._units.clear()
         # Letters of old, settled blocks; on newer ones two libraries' Unicode tables could differ.  The fast library's
         # pattern can't take very long runs.
         ids = self._fast(unit) if len(unit) <= LONG and max(unit) < "\u0250" else self.library.encode(unit, add_special_tokens=False).ids
-        out = self._units[unit] = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= KEY:
+            if len(self._units) >= CACHE:
+                self._units.clear()
+            self._units[unit] = out
         return out
 
     def encode(self, text: str) -> bytes:

@@ -3,14 +3,15 @@
 A sequence of BPE tokens is the encoding of its text exactly if each two neighbours, encoded alone, stay as they are.
 So the encoding of a prefix of n symbols is that of a shorter prefix plus one token whose pair with the last token of
 the shorter one is stable; there is one such token.  One pass over a word gives the count of every prefix, and sums
-over words give the count at every position of a text: truncation and budget questions need no second encoding.
+over words give the count at every position of a text: a table with one number a character answers how many tokens any
+prefix has and where to cut for a budget, without a second encoding.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,13 +23,16 @@ from tokenizers import Tokenizer
 
 from tessera.llm.common import rows_of, utf8
 
-#: Entries of a worker's tables of counted chunks, and of words and token pairs; a full table starts anew, which costs
-#: time and changes no result.
-CHUNKS, CACHE = 400_000, 800_000
+#: Entries of a worker's tables of counted chunks, and of words and token pairs, and the longest key that they keep, so
+#: that they hold some 200 MB at most; a full table starts anew, which costs time and changes no result.
+CHUNKS, CACHE, KEY = 400_000, 800_000, 64
 #: Printable ASCII, where the library's normalizer and splitter need not be called.
 _PLAIN = re.compile(rb"[!-~]*\Z")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_CHUNK = re.compile(r"[^ \t-\r]+")
+#: Unicode's white space, which no token of such a tokenizer crosses.
+_RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: What the tokenizer must split like :data:`_PARTS`.
+_PROBE = "it's WE'LL 12ab!?'re <don't>they've I'd'm x'y--#a1"
 
 
 class PrefixCounter:
@@ -36,11 +40,18 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         library = Tokenizer.from_file(path)
+        if library.normalizer is None or library.pre_tokenizer is None:
+            raise ValueError(f"{path} has no normalizer or splitter")
         self._normalize = library.normalizer.normalize_str
         self._split = library.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.end = spec["model"]["end_of_word_suffix"] or ""
+        model = spec["model"]
+        if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges"):
+            raise ValueError(f"{path} is no plain BPE model")
+        if [w for w, _ in self._split(self._normalize(_PROBE))] != [w for run in _PROBE.lower().split() for w in _PARTS.findall(run)]:
+            raise ValueError(f"{path} splits text in another way than is known here")
+        self.end = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
         self._halves: dict[str, tuple[str, str]] = {}
         self._made: dict[str, int] = {}
@@ -115,9 +126,11 @@ class PrefixCounter:
     def _word(self, word: str) -> int:
         n = self._words.get(word)
         if n is None:
-            if len(self._words) >= CACHE:
-                self._words.clear()
-            n = self._words[word] = self.word_prefixes(word, len(word))[1][-1]
+            n = self.word_prefixes(word, len(word))[1][-1]
+            if len(word) <= KEY:
+                if len(self._words) >= CACHE:
+                    self._words.clear()
+                self._words[word] = n
         return n
 
     def _piece(self, text: str) -> int:
@@ -127,8 +140,6 @@ class PrefixCounter:
         """Tokens of a stretch without ASCII white space.  Neither merges nor specials cross such white space."""
         n = self._chunks.get(raw)
         if n is None:
-            if len(self._chunks) >= CHUNKS:
-                self._chunks.clear()
             text = raw.decode("utf-8", "replace")
             if self.special is not None and self.special.search(text):
                 n = sum(i % 2 or self._piece(part) for i, part in enumerate(self.special.split(text)))
@@ -136,31 +147,92 @@ class PrefixCounter:
                 n = sum(map(self._word, _PARTS.findall(text.lower())))
             else:
                 n = self._piece(text)
-            self._chunks[raw] = n
+            if len(raw) <= KEY:
+                if len(self._chunks) >= CHUNKS:
+                    self._chunks.clear()
+                self._chunks[raw] = n
         return n
 
     def count(self, text: bytes) -> int:
         known, chunk = self._chunks.get, self.chunk
         return sum([n if (n := known(raw)) is not None else chunk(raw) for raw in text.split()])
 
-    def prefixes(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends (characters) of the chunks of ``text`` and the exact count of the prefix up to each."""
-        spans = [m.span() for m in _CHUNK.finditer(text)]
-        counts = np.cumsum([self.chunk(text[s:e].encode()) for s, e in spans], dtype=np.int64)
-        return [e for _, e in spans], counts.tolist()
+    def _cuts(self, text: str) -> list[int]:
+        """Counts of the prefixes of 1, 2, ... characters of a stretch without white space and specials."""
+        norm = self._normalize(text)
+        clean = norm == text.lower() and text.isascii()
+        # Where normalized text ends for each prefix; -1 inside a letter with marks, which is normalized as one.
+        place = list(range(1, len(text) + 1)) if clean else self._places(text, norm)
+        if place is None:
+            return [self._piece(text[:n]) for n in range(1, len(text) + 1)]
+        words = [(a, b, word) for word, (a, b) in self._split(norm)]
+        back = {0: 0} | {p: n for n, p in enumerate(place, 1) if p >= 0}
+        out, k, before, sure = [], 0, 0, (0, 0)
+        whole: list[int] = []
+        for n, p in enumerate(place, 1):
+            if p < 0:  # counted anew from the last word that starts at a whole letter
+                out.append(sure[1] + self._piece(text[sure[0] : n]))
+                continue
+            while k < len(words) and words[k][1] < p:
+                before += self._word(words[k][2])
+                k, whole = k + 1, []
+                if k < len(words) and words[k][0] in back:
+                    sure = back[words[k][0]], before
+            if k == len(words) or p <= words[k][0]:
+                out.append(before)
+                continue
+            a, b, word = words[k]
+            if word[0] == "'" and len(word) > 1 and norm[a + 1 : a + 2].isalpha() and p < b:  # half of a contraction is none
+                out.append(before + self._piece(norm[a:p]))
+                continue
+            whole = whole or self.word_prefixes(word)[1]
+            out.append(before + whole[p - a if len(word) == b - a else len(norm[a:p].encode())])
+        return out
 
-    def count_at(self, text: str, n: int, table: tuple[list[int], list[int]]) -> int:
-        """The count of ``text[:n]`` from its prefix table; only a chunk that the cut divides is looked into."""
-        ends, counts = table
-        k = bisect_right(ends, n)
-        before, at = (counts[k - 1], ends[k - 1]) if k else (0, 0)
-        return before + sum(self.chunk(c.encode()) for c in text[at:n].split())
+    def _places(self, text: str, norm: str) -> list[int] | None:
+        """For the prefix of each length its length in ``norm``, or -1; null if letters are not normalized one by one."""
+        starts = [i for i, c in enumerate(text) if not i or not (unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff" or "\ud7b0" <= c <= "\ud7ff")]
+        made = [self._normalize(text[s:e]) for s, e in zip(starts, [*starts[1:], len(text)])]
+        if "".join(made) != norm:
+            return None
+        out = [-1] * len(text)
+        for end, p in zip([*starts[1:], len(text)], np.cumsum([len(m) for m in made]).tolist()):
+            out[end - 1] = p
+        return out
 
-    def truncate(self, text: str, budget: int, table: tuple[list[int], list[int]]) -> str:
-        """``text`` up to the last chunk that ends within ``budget`` tokens."""
-        ends, counts = table
-        k = bisect_right(counts, budget)
-        return text[: ends[k - 1]] if k else ""
+    def _run(self, text: str) -> list[int]:
+        """Counts of the prefixes of 1, 2, ... characters of a stretch without white space."""
+        if self.special is None or not self.special.search(text):
+            return self._cuts(text)
+        out: list[int] = []
+        before, ordinary = 0, ""
+        for i, part in enumerate(self.special.split(text)):
+            if i % 2:  # a special is one token, a part of its string is text
+                out += [before + self._piece(ordinary + part[:n]) for n in range(1, len(part))]
+                before += self._piece(ordinary) + 1
+                out.append(before)
+            else:
+                ordinary = part
+                out += [before + n for n in self._cuts(part)] if part else []
+        return out
+
+    def prefixes(self, text: str) -> np.ndarray:
+        """The exact token count of ``text[:n]`` for n from 0 to the text's length."""
+        out = np.zeros(len(text) + 1, dtype=np.int32)
+        before = at = 0
+        for m in _RUN.finditer(text):
+            out[at + 1 : m.start() + 1] = before
+            counts = self._run(m[0])
+            out[m.start() + 1 : m.end() + 1] = before + np.array(counts, dtype=np.int32)
+            before, at = before + counts[-1], m.end()
+        out[at + 1 :] = before
+        return out
+
+
+def cut_at(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix of at most ``budget`` tokens, from its prefix table (a longer prefix may have fewer)."""
+    fits = np.flatnonzero(np.asarray(counts) <= budget)
+    return int(fits[-1]) if len(fits) else 0
 
 
 @lru_cache(maxsize=4)
@@ -172,7 +244,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
     """``id_col, n_bytes, n_tokens, over_limit`` for every row, from whole texts.
 
     ``tokenizer`` is the path of a tokenizers file.  Null and empty texts have 0 bytes and 0 tokens; repeated rows
-    and null ids are kept; an empty table gives no rows.  One narrow pass without a shuffle.
+    and null ids are kept; texts of any length are counted whole, with or without white space; other columns are not
+    read; an empty table gives no rows.  One narrow pass without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +260,38 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
 
 
 def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, ends, counts``: every chunk end (characters) and the exact token count of the text up to it."""
+    """``id_col, counts``: the exact token count of every prefix of the text, of 0, 1, 2, ... characters.
+
+    Null and empty texts have the one count 0; repeated rows and null ids are kept; a table has a number for each
+    character, so a very long text gives a long one; an empty table gives no rows.  One narrow pass without a shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = counter(tokenizer).prefixes
         for batch in rows_of(batches, 64):
             tables = [prefixes(t.decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[0] for t in tables], kind), pa.array([t[1] for t in tables], kind)], [id_col, "ends", "counts"])
+            ends = np.cumsum([0, *map(len, tables)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tables)))], [id_col, "counts"])
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), utf8(text_col).alias("_text")).mapInArrow(run, f"{id_col} long, counts array<int>")
+
+
+def truncated(docs: DataFrame, tokenizer: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, text, n_tokens``: the longest beginning of each text that has at most ``budget`` tokens, and how many it has.
+
+    Null texts become empty; repeated rows and null ids are kept; an empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes = counter(tokenizer).prefixes
+        for batch in rows_of(batches, 64):
+            texts, counts = [], []
+            for raw in batch.column(1).to_pylist():
+                text = raw.decode("utf-8", "replace")
+                table = prefixes(text)
+                n = cut_at(table, budget)
+                texts.append(text[:n])
+                counts.append(int(table[n]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], [id_col, "text", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), utf8(text_col).alias("_text")).mapInArrow(run, f"{id_col} long, ends array<long>, counts array<long>")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), utf8(text_col).alias("_text")).mapInArrow(run, f"{id_col} long, text string, n_tokens long")

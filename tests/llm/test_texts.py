@@ -1,8 +1,8 @@
 import base64
 import hashlib
 import random
-from collections import Counter
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm.html_extract import extract_main_text, main_text, text_stretches
 from tessera.llm.packing import BestFit, UnitEncoder, cut, packed_sequences
-from tessera.llm.token_counts import PrefixCounter, prefix_tables, token_counts
+from tessera.llm.token_counts import PrefixCounter, cut_at, prefix_tables, token_counts, truncated
 from tessera.llm.warc import read_record, read_seek_table, round_trip, seek_table, write_archives
 
 from .fixtures import documents, empty
@@ -40,14 +40,34 @@ def test_counts_equal_the_library():
 
 
 def test_every_prefix_equals_the_library():
+    """Also inside words, contractions, letters with marks, special strings, and texts without any white space."""
     library, counter = Tokenizer.from_file(WORD), PrefixCounter(WORD)
-    text = "Theand thble reingwh, thorin's été 42x naïveté <|endoftext|>tail end"
-    table = counter.prefixes(text)
-    for i in range(len(text) + 1):
-        assert counter.count_at(text, i, table) == len(library.encode(text[:i], add_special_tokens=False).ids), text[:i]
-    for budget in range(30):
-        kept = counter.truncate(text, budget, table)
-        assert len(library.encode(kept, add_special_tokens=False).ids) <= budget and text.startswith(kept)
+    tokens = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(3)
+    texts = ["Theand thble reingwh, thorin's été 42x naïveté <|endoftext|>tail end", "a<|startoftext|><|endoftext|>it's<|endoftext", "日本語テキスト한국어" * 20, "q" + "e\u0301\u0323" * 30 + "x", "각나다", "!'re'll''s'", "İΣß" * 9]
+    texts += ["".join(rng.choices("theandringso'sétlИ3!", k=120)) for _ in range(20)] + odd_texts(300)
+    for text in texts:
+        text = text[:400]
+        table = counter.prefixes(text)
+        assert table.tolist() == [tokens(text[:i]) for i in range(len(text) + 1)], repr(text)
+        for budget in (0, 1, 7, 30):
+            n = cut_at(table, budget)
+            assert table[n] <= budget and all(c > budget for c in table[n + 1 :].tolist())
+
+
+def test_truncation_keeps_text_without_white_space(spark):
+    docs = spark.createDataFrame([(1, "日本語テキスト" * 400), (2, None), (2, "ab cd"), (None, "a" * 5000)], "doc_id long, text string")
+    library = Tokenizer.from_file(WORD)
+    for r in truncated(docs, WORD, 100).collect():
+        assert len(library.encode(r["text"], add_special_tokens=False).ids) == r["n_tokens"] <= 100
+        assert r["n_tokens"] >= 99 or r["text"] in ("", "ab cd")
+    assert truncated(empty(spark), WORD, 5).count() == 0 and prefix_tables(empty(spark), WORD).count() == 0
+
+
+def test_other_tokenizers_are_refused():
+    for wrong, right in ((BYTE, PrefixCounter), (WORD, UnitEncoder)):
+        with pytest.raises(ValueError):
+            right(wrong)
 
 
 def test_word_prefixes_equal_plain_merging():
@@ -78,7 +98,8 @@ def test_token_count_rows(spark):
     assert got == sorted((str(d), len(t.encode()), k, k > 2048) for (d, t), k in zip(text, n))
     assert token_counts(empty(spark), WORD, 1).count() == 0
     tables = prefix_tables(docs.filter("doc_id < 5"), WORD).collect()
-    assert all(r["counts"] == sorted(r["counts"]) and len(r["ends"]) == len(r["counts"]) for r in tables)
+    text = {r["doc_id"]: r["text"] for r in docs.filter("doc_id < 5").collect()}
+    assert all(len(r["counts"]) == len(text[r["doc_id"]]) + 1 and r["counts"][-1] == len(library.encode(text[r["doc_id"]], add_special_tokens=False).ids) for r in tables)
 
 
 # --- packing
@@ -86,7 +107,7 @@ def test_token_count_rows(spark):
 
 def test_ids_equal_the_library():
     library, units = Tokenizer.from_file(BYTE), UnitEncoder(BYTE)
-    for text in odd_texts():
+    for text in [*odd_texts(), "é" * 5000, "ж" * 5000, "a" * 4095 + "é", "日本" * 3000]:
         assert units.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
 
 
