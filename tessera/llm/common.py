@@ -78,6 +78,23 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, hot: list, h
     return left.withColumn("_salt", F.col("_salt").cast("long")).join(right, [key, "_salt"], how).drop("_salt")
 
 
+#: Bits of the map that :func:`maybe_among` sends to the tasks: at most 2**18 rows of two numbers, whatever the input.
+SLOTS = 1 << 24
+
+
+def maybe_among(df: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: false only where ``key`` is surely none of the ``ids`` (a column of that name).
+
+    What is sent to the tasks is a map of hashed ids of fixed size.  Rows it rules out need no shuffle; with very many ids
+    it rules out fewer, which costs time and changes no result, as a join decides about the rest.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    bit = F.expr("shiftleft(1L, cast(_slot & 63 as int))")
+    words = ids.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    out = df.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word", "left")
+    return out.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_slot", "_word", "_bits")
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """The same batches in slices of at most ``chunk`` rows, so that a worker holds few decoded texts at a time."""
     for batch in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT, Scratch, rows_of, utf8
+from tessera.llm.common import HOT, Scratch, maybe_among, rows_of, utf8
 from tessera.llm.components import connected_components, contracted
 
 #: The most distinct fingerprints that one task compares in one table; larger buckets are compared block by block.
@@ -468,8 +468,10 @@ def verified_groups(
     shared, common = (x.filter("n > 1").join(nodes.select("node", *prints), "node").select("k", "node", *prints, "n") for x in sized_buckets(postings(nodes), ["k"], hot))
     edges = bucket_edges(shared.repartition("k"), common, ["k"], prints, may_reach(similarity), block)
     proposed = contracted(scratch.save(edges.distinct()))
-    members = connected_components(proposed).select(F.col("node").alias("_node"), F.col("component").alias("_grp"))
-    read = texts.join(members.hint("shuffle_hash"), F.col("id") == F.col("_node")).select("_grp", "_node", "_text")
+    members = scratch.save(connected_components(proposed).select(F.col("node").alias("id"), F.col("component").alias("_grp")))
+    # Only the texts of proposed documents travel, and few others.
+    near = maybe_among(texts, members.select("id"), "id", "_maybe").filter("_maybe").drop("_maybe")
+    read = near.join(members.hint("shuffle_hash"), "id").select("_grp", F.col("id").alias("_node"), "_text")
     sets = scratch.save(read.mapInArrow(_shingle_sets(k), "grp long, node long, shingles binary"))
     totals = sets.groupBy("grp").agg(F.ceil(F.sum(F.octet_length("shingles")) / F.lit(8 * shingles)).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -480,3 +482,18 @@ def verified_groups(
     ids = nodes.select("d0", "d1", "node")
     named = ids.join(labels, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
     return made.select(F.col("id").alias(id_col), "d0", "d1").join(named, ["d0", "d1"], "left").select(id_col, "component_id")
+
+
+def one_per_group(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is its group's (``groups`` of :func:`verified_groups`); equal rows count as one.
+
+    Rows of ids that are surely neither dropped nor repeated stay where they are; the others are joined by id.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    own = F.col(id_col) == F.col("component_id")
+    special = scratch.save(groups.groupBy(id_col).agg(F.max(own).alias("_kept"), F.count("*").alias("_n")).filter("not _kept or _n > 1").select(id_col, "_kept"))
+    marked = maybe_among(docs, special.select(id_col), id_col, "_maybe")
+    free = marked.filter("not _maybe").drop("_maybe")
+    checked = marked.filter("_maybe").drop("_maybe").join(special.hint("shuffle_hash"), id_col, "left").filter("_kept is null or _kept").drop("_kept")
+    single = checked.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
+    return free.unionByName(single)
