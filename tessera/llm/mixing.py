@@ -119,54 +119,70 @@ def route(sizes: dict[tuple, int], targets: dict, copies: int) -> dict[tuple, di
     return out
 
 
-def seeded_takes(sized: DataFrame, flows: DataFrame, copies: int, seed: int, whole_only: bool, steps: int = STEPS) -> DataFrame:
-    """``sized`` (id, pattern, size) with ``taken``: each pattern's flow as documents in a seeded order.
+def _step(steps: int) -> Column:
+    """The slice of the seeded order that a row lies in by its ``draw``."""
+    return F.pmod(F.shiftright("draw", 20), F.lit(steps))
 
-    A flow of q times the pattern's size plus r reads every document q times and the head of the order once more, up
-    to r words.  Sums over ``steps`` slices of the order find the slice where r ends; only that slice is ordered
-    document by document, so a pattern that holds most rows is spread over all tasks.  The document at the end is taken
-    in part, or, with ``whole_only``, whole if at least half of it is wanted.
+
+def borders(sized: DataFrame, flows: list[tuple], copies: int, steps: int = STEPS) -> list[tuple]:
+    """(pattern, rounds, step, left) for every pattern: all its documents are read ``rounds`` times, those of the slices before
+    ``step`` once more, and ``left`` words of that slice.
+
+    ``flows``: (pattern, flow, total).  The driver gets one row per pattern, as many as ``flows`` has.
+    """
+    spark = sized.sparkSession
+    kind = "pattern array<struct<none boolean, name string>>, rounds long, goal long"
+    rounds = [(p, min(copies, flow // total) if total else 0, flow, total) for p, flow, total in flows]
+    goals = spark.createDataFrame([(p, q, flow - q * total) for p, q, flow, total in rounds], kind)
+    sums = sized.groupBy("pattern", _step(steps).alias("step")).agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    reached = sums.withColumn("upto", upto).join(F.broadcast(goals), "pattern").filter(F.col("upto") > F.col("goal"))
+    first = reached.groupBy("pattern").agg(F.min_by(F.struct("step", (F.col("goal") - F.col("upto") + F.col("words")).alias("left")), "step").alias("b")).collect()
+    at = {tuple((s["none"], s["name"]) for s in r["pattern"]): (r["b"]["step"], r["b"]["left"]) for r in first}
+    # Without a slice that goes beyond the goal, all of them are read once more.
+    return [(p, q, *at.get(tuple(map(tuple, p)), (steps, 0))) for p, q, _, _ in rounds]
+
+
+def seeded_takes(sized: DataFrame, plan: DataFrame, whole_only: bool, size: Column, steps: int = STEPS) -> DataFrame:
+    """``sized`` (id, pattern, draw, ...) with ``size``, the columns of ``plan`` (pattern, rounds, at, left, ...) and ``taken``.
+
+    Sums over ``steps`` slices of the seeded order found the slice where the last reading ends (:func:`borders`).  All other
+    rows are decided on the spot, without a shuffle; only that slice, one in ``steps``, is ordered document by document, so
+    a pattern that holds most rows is spread over all tasks.  The document at the end is taken in part, or, with
+    ``whole_only``, whole if at least half of it is wanted.  ``plan`` has one row per pattern, which the driver held before.
     """
-    draw = F.xxhash64(F.lit(seed), "id", "size")
-    placed = sized.withColumn("draw", draw).withColumn("step", F.pmod(F.shiftright(draw, 20), F.lit(steps)))
-    sums = placed.groupBy("pattern", "step").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("pattern").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
-    rounds = F.when(F.col("total") > 0, F.least(F.lit(copies), F.floor(F.col("flow") / F.col("total")))).otherwise(0).cast("long")
-    plan = (
-        sums.withColumn("before", F.coalesce(before, F.lit(0)))
-        .join(flows, "pattern")
-        .withColumn("rounds", rounds)
-        .withColumn("goal", F.col("flow") - F.col("rounds") * F.col("total"))
-        .withColumn("inside", F.col("before") + F.col("words") <= F.col("goal"))
-        .withColumn("outside", F.col("before") >= F.col("goal"))
-        .drop("flow", "total", "words")
-    )
-    rows = placed.join(plan, ["pattern", "step"])
+    rows = sized.withColumn("_step", _step(steps)).join(F.broadcast(plan), "pattern")
     order = Window.partitionBy("pattern").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.col("goal") - F.col("before") - (F.sum("size").over(order) - F.col("size"))
+    left = F.col("left") - (F.sum("size").over(order) - F.col("size"))
     if whole_only:
-        part = F.when((F.col("left") > 0) & (2 * F.col("left") >= F.col("size")), F.col("size")).otherwise(0)
+        part = F.when((F.col("_left") > 0) & (2 * F.col("_left") >= F.col("size")), F.col("size")).otherwise(0)
     else:
-        part = F.greatest(F.lit(0), F.least(F.col("left"), F.col("size")))
-    border = rows.filter("not inside and not outside").withColumn("left", left).withColumn("more", part).drop("left")
-    most = rows.filter("inside or outside").withColumn("more", F.when(F.col("inside"), F.col("size")).otherwise(0))
-    return most.unionByName(border).select("id", "pattern", "size", (F.col("rounds") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+        part = F.greatest(F.lit(0), F.least(F.col("_left"), F.col("size")))
+    border = rows.filter(F.col("_step") == F.col("at")).withColumn("size", size).withColumn("_left", left).withColumn("more", part).drop("_left")
+    most = rows.filter(F.col("_step") != F.col("at")).withColumn("size", size).withColumn("more", F.when(F.col("_step") < F.col("at"), F.col("size")).otherwise(0))
+    return most.unionByName(border).withColumn("taken", (F.col("rounds") * F.col("size") + F.col("more")).cast("long"))
 
 
 def mix(
-    docs: DataFrame, members: Column, weights, share: float, most: int, whole_only: bool = False, seed: int = 11, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, members: Column, weights, share: float, most: int, whole_only: bool = False, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False
 ) -> DataFrame:
-    """``id_col, sources, size, source_size, target, taken``: how many words of each document the mix takes.
+    """``id_col, sources, size, source_size, target, taken``: how many words of each document the mix takes; with
+    ``whole_rows`` instead ``row, size, taken``, where ``row`` is a struct of all columns of ``docs``.
 
     ``members``: the array of sources of a document (a null in it is a source of its own; no source: takes 0).
     ``weights``: a function from the list of sources, by code point and null last, to their weights.  ``source_size``
     and ``target`` are sums over the document's sources.  The driver holds one number per pattern and per source,
-    never a document.  No document gives more than ``most`` times its size; null and empty texts have size 0 and give
-    0; repeated rows are documents of their own; an empty table gives no rows.
+    never a document.  No document gives more than ``most`` times its size; null and empty texts, of size 0, give 0;
+    texts are counted whole, however long, and not shuffled (but for one slice in 4,096 with ``whole_rows``); repeated
+    rows are documents of their own, ties in the seeded order go by id and size; a null id is drawn like any other;
+    columns named like those made here don't matter; an empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
     sources = F.array_sort(F.array_distinct(F.transform(members, lambda s: F.struct(s.isNull().alias("none"), F.coalesce(s, F.lit("")).alias("name")))))
-    sized = scratch.save(docs.select(F.col(id_col).cast("long").alias("id"), sources.alias("pattern"), word_count(F.col(text_col)).alias("size")))
+    draw = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))
+    wide = docs.select(F.col(id_col).cast("long").alias("id"), sources.alias("pattern"), draw.alias("draw"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    sized = scratch.save(wide.select("id", "pattern", "draw", word_count(F.col("text")).alias("size")))
     sizes = {tuple((s["none"], s["name"]) for s in r["pattern"]): r["n"] for r in sized.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     each: dict = defaultdict(int)
     for pattern, n in sizes.items():
@@ -175,12 +191,15 @@ def mix(
     names = sorted(each)  # Python compares strings by code point
     targets = source_targets({s: each[s] for s in names}, dict(zip(names, weights([None if none else name for none, name in names]))), share, most, sum(n for p, n in sizes.items() if p))
     flows = route(sizes, targets, most)
-    kind = "pattern array<struct<none boolean, name string>>, flow long, total long, target double, source_size long"
-    table = [([*p], sum(flows[p].values()), n, float(sum(targets[s] for s in p)), sum(each[s] for s in p)) for p, n in sizes.items()]
-    flow_table = docs.sparkSession.createDataFrame(table, kind)
-    taken = seeded_takes(sized, flow_table.select("pattern", "flow", "total"), most, seed, whole_only)
+    plan = borders(sized, [([*p], sum(flows[p].values()), n) for p, n in sizes.items()], most)
+    kind = "pattern array<struct<none boolean, name string>>, rounds long, at long, left long, target double, source_size long"
+    table = [(p, *at, float(sum(targets[tuple(s)] for s in p)), sum(each[tuple(s)] for s in p)) for p, *at in plan]
+    plan_table = spark.createDataFrame(table, kind)
+    if whole_rows:  # words are counted once more, which is cheaper than to carry texts through a shuffle
+        return seeded_takes(wide, plan_table, whole_only, word_count(F.col("text"))).select("row", "size", "taken")
+    taken = seeded_takes(sized, plan_table, whole_only, F.col("size"))
     named = F.transform("pattern", lambda s: F.when(~s["none"], s["name"]))
-    return taken.join(flow_table.select("pattern", "source_size", "target"), "pattern").select(F.col("id").alias(id_col), named.alias("sources"), "size", "source_size", "target", "taken")
+    return taken.select(F.col("id").alias(id_col), named.alias("sources"), "size", "source_size", "target", "taken")
 
 
 def cycle(pattern: list[float]):
