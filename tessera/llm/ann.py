@@ -1,10 +1,14 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, shard results merged.
 
-Vectors are dealt by a hash into shards of bounded size.  A shard's graph has layers; each vector reaches layer l with
-probability M**-l, and a layer is one flat array of neighbour numbers, a row per vector.  Vectors enter a layer in
-batches of growing size.  Each links to neighbours chosen from its nearest ones there so far, skipping those that lie
-nearer to one already chosen; links go both ways and full rows are chosen anew.  A search walks greedily down the upper
-layers and then keeps a beam of the best found on the lowest one.  Searches run for a block of queries at once.
+Vectors are dealt to cells by the nearest of some centres, and by a hash into shards of bounded size within a cell.  A
+shard's graph has layers; each vector reaches layer l with probability M**-l, and a layer is one flat array of neighbour
+numbers, a row per vector.  Vectors enter a layer in batches, those of the layer above first.  A batch finds its
+neighbours by a search of the graph so far, links to those that are not nearer to one already chosen, and full rows are
+chosen anew as links go both ways.  A search walks greedily down the upper layers and then keeps a beam of the best found
+on the lowest one.  Searches run for a block of queries at once.
+
+A query goes to the shards of its nearest cells.  How many cells that takes is measured: some of the queries are compared
+with all vectors, and as many cells are searched as hold the wanted share of their true neighbours.
 """
 
 from __future__ import annotations
@@ -16,13 +20,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, rows_of
 from tessera.llm.embed_dedup import dimension, usable
 
-#: Vectors of a shard on average; links of a vector in the upper layers (twice that in the lowest); candidates that they
-#: are chosen from; beam of a search.
-SHARD, LINKS, CANDIDATES, BEAM = 4096, 16, 64, 160
-_QUERIES = 512
+#: Vectors of a shard; links of a vector in the upper layers (twice that in the lowest); candidates that they are chosen
+#: from; beam of a search.
+SHARD, LINKS, CANDIDATES, BEAM = 16_384, 16, 64, 160
+#: Up to so many vectors of a layer are scanned for a batch's neighbours, which is faster than to search the graph.
+SCAN = 2048
+#: Cells at most, and vectors that their centres are learnt from.
+CELLS, SAMPLE = 1024, 16_384
+#: Queries that are compared with all vectors to choose how many cells are searched, and the share of their true
+#: neighbours that those cells must hold.
+PROBES, HELD = 256, 0.99
+_QUERIES = 256
+
+
+def centres(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 4) -> np.ndarray:
+    """Unit centres of a sample of unit vectors."""
+    rng = np.random.default_rng(seed)
+    at = sample[rng.permutation(len(sample))[:cells]]
+    for _ in range(rounds):
+        own = (sample @ at.T).argmax(axis=1)
+        sums = np.zeros_like(at)
+        np.add.at(sums, own, sample)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        at = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), at)
+    return at
 
 
 def _choose(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
@@ -48,27 +72,22 @@ def _choose(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, m: int) -> np.nda
     return out
 
 
-def _layer(x: np.ndarray, m: int, cap: int, width: int) -> np.ndarray:
-    """Flat neighbour array (-1 for none) over vectors in their order of entry."""
-    n = len(x)
-    out = np.full((n, cap), -1, dtype=np.int32)
-    at, step = 0, 64
-    while at < n:
-        upto = min(n, at + step)
-        sims = x[at:upto] @ x[:upto].T
-        sims[np.arange(upto - at), np.arange(at, upto)] = -np.inf
-        k = min(width, upto - 1)
-        if k:
-            cand = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            near = np.take_along_axis(sims, cand, axis=1)
-            order = np.argsort(-near, axis=1, kind="stable")
-            cand, near = np.take_along_axis(cand, order, axis=1), np.take_along_axis(near, order, axis=1)
-            mine = _choose(x, cand, near, m)
-            out[at:upto, :m] = mine
-            source, place = np.nonzero(mine >= 0)
-            _link_back(x, out, mine[source, place], source + at, cap)
-        at, step = upto, min(1024, 2 * step)
-    return out
+def _insert(x: np.ndarray, out: np.ndarray, at: int, upto: int, cand: np.ndarray, near: np.ndarray, m: int, cap: int) -> None:
+    """Link vectors ``at`` to ``upto`` to chosen ones of their candidates (nearest first, -1 for none), and those back."""
+    mine = _choose(x, cand, near, m)
+    out[at:upto, :m] = mine
+    source, place = np.nonzero(mine >= 0)
+    _link_back(x, out, mine[source, place], source + at, cap)
+
+
+def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, nearest first."""
+    k = min(k, sims.shape[1])
+    pick = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.broadcast_to(np.arange(k), sims.shape)
+    near = np.take_along_axis(sims, pick, axis=1)
+    order = np.argsort(-near, axis=1, kind="stable")
+    pick, near = np.take_along_axis(pick, order, axis=1), np.take_along_axis(near, order, axis=1)
+    return np.where(near > -np.inf, np.take_along_axis(ids, pick, axis=1), -1), near
 
 
 def _link_back(x: np.ndarray, out: np.ndarray, target: np.ndarray, source: np.ndarray, cap: int) -> None:
@@ -93,32 +112,50 @@ def _link_back(x: np.ndarray, out: np.ndarray, target: np.ndarray, source: np.nd
 
 
 class Graph:
-    """Layers over unit vectors (single precision), lowest first: their vectors' numbers and flat neighbour arrays."""
+    """Layers over unit vectors (single precision) in the order of their levels: a layer is the flat neighbour array of the
+    first so many vectors, lowest layer first."""
 
-    def __init__(self, x: np.ndarray, m: int = LINKS, width: int = CANDIDATES, seed: int = 3):
+    def __init__(self, x: np.ndarray, m: int = LINKS, width: int = CANDIDATES, seed: int = 3, scan: int = SCAN):
         rng = np.random.default_rng(seed)
-        self.x = np.ascontiguousarray(x, dtype=np.float32)
         n = len(x)
         level = np.minimum(np.floor(-np.log(1 - rng.random(n)) / np.log(m)), 12).astype(int)
         entry = rng.permutation(n)
-        self.layers = []
-        for lv in range(level.max(initial=0) + 1):
-            who = entry[level[entry] >= lv]
-            self.layers.append((who, _layer(self.x[who], m, 2 * m if lv == 0 else m, width)))
+        self.order = entry[np.argsort(-level[entry], kind="stable")]
+        self.x = np.ascontiguousarray(x[self.order], dtype=np.float32)
+        self.layers: list[np.ndarray] = []
+        for lv in range(level.max(initial=0), -1, -1):
+            self.layers.insert(0, self._layer(int((level >= lv).sum()), m, 2 * m if lv == 0 else m, width, scan))
+
+    def _layer(self, n: int, m: int, cap: int, width: int, scan: int) -> np.ndarray:
+        """Neighbours (-1 for none) of the first n vectors; the layers above are there already."""
+        x, at, step = self.x[:n], 0, 64
+        out = np.full((n, cap), -1, dtype=np.int32)
+        while at < n:
+            upto = min(n, at + step)
+            low = 0 if at <= scan else at  # from here on all are compared
+            sims = x[at:upto] @ x[low:upto].T
+            sims[np.arange(upto - at), np.arange(at - low, upto - low)] = -np.inf
+            cand, near = _top(np.broadcast_to(np.arange(low, upto), sims.shape), sims, width)
+            if low:
+                found, reached = self._walk(x[:at], out[:at], x[at:upto], self._descend(x[at:upto]), width)
+                cand, near = _top(np.concatenate([found, cand], axis=1), np.concatenate([reached, near], axis=1), width)
+            if upto > 1:
+                _insert(x, out, at, upto, cand, near, m, cap)
+            at, step = upto, min(512, 2 * step)
+        return out
+
+    def _descend(self, q: np.ndarray, upto: int = 0) -> np.ndarray:
+        """Where a search of the layer below the finished ones, from layer ``upto`` on, starts."""
+        start = np.zeros((len(q), 1), dtype=np.int64)
+        for links in reversed(self.layers[upto:]):
+            start = self._walk(self.x[: len(links)], links, q, start, 4)[0]
+        return start
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1 for none) and similarities of the best found for each query, nearest first."""
         q = np.ascontiguousarray(q, dtype=np.float32)
-        start = np.zeros((len(q), 1), dtype=np.int64)
-        for lv in range(len(self.layers) - 1, -1, -1):
-            who, links = self.layers[lv]
-            found, sims = self._walk(self.x[who], links, q, start, beam if lv == 0 else 4)
-            if lv:
-                below = self.layers[lv - 1][0]
-                place = np.full(len(self.x), -1)
-                place[below] = np.arange(len(below))
-                start = np.where(found >= 0, place[who[found]], -1)
-        return np.where(found >= 0, who[found], -1), sims
+        found, sims = self._walk(self.x, self.layers[0], q, self._descend(q, 1), beam)
+        return np.where(found >= 0, self.order[found], -1), sims
 
     @staticmethod
     def _walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -162,16 +199,70 @@ def _doubles(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x, y / np.sqrt((y * y).sum(axis=1, keepdims=True))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+def _assigned(at: np.ndarray, dim: int):
+    """Rows (v, ...) in; their nearest centre before them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 4096):
+            if batch.num_rows:
+                cell = (_doubles(batch.column(batch.schema.names.index("v")), dim)[1] @ at.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *batch.columns], ["cell", *batch.schema.names])
+
+    return run
+
+
+def probed_cells(units: DataFrame, asked: DataFrame, at: np.ndarray, dim: int, k: int, held: float = HELD, probes: int = PROBES) -> int:
+    """How many of the cells nearest to a query must be searched to hold a share ``held`` of the k true neighbours.
+
+    At most ``probes`` queries, drawn by a hash, are compared with all vectors, batch by batch; a batch gives their k best.
+    """
+    drawn = asked.orderBy(F.xxhash64("id"), "id").limit(probes).select("id", "v").toArrow()
+    if not drawn.num_rows or len(at) == 1:
+        return 1
+    q = _doubles(drawn.column("v").combine_chunks(), dim)[1]
+    asked_ = drawn.column("id").to_numpy()
+    rank = np.argsort(np.argsort(-(q @ at.T), axis=1, kind="stable"), axis=1)  # a cell's place among those nearest to a query
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 4096):
+            if not batch.num_rows:
+                continue
+            x = _doubles(batch.column(1), dim)[1]
+            sims = q @ x.T
+            cell = (x @ at.T).argmax(axis=1)
+            lists = batch.column(0)
+            alone, first = lists.value_lengths().to_numpy() == 1, lists.flatten().to_numpy()[lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()]
+            sims[alone & (first == asked_[:, None])] = -np.inf  # a query's own vector, unless others equal it
+            top = np.argpartition(-sims, min(k, sims.shape[1]) - 1, axis=1)[:, :k]
+            best = np.take_along_axis(sims, top, axis=1)
+            places = np.take_along_axis(rank, cell[top], axis=1)
+            row = np.repeat(np.arange(len(q)), top.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(best.ravel()), pa.array(places.ravel())], ["q", "s", "place"])
+
+    found = units.select("ids", "v").mapInArrow(run, "q long, s double, place long").filter(F.col("s") > F.lit(float("-inf")))
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "place"))).filter(F.col("n") <= k)
+    counts = {r["place"]: r["n"] for r in best.groupBy("place").agg(F.count("*").alias("n")).collect()}
+    want, seen = held * sum(counts.values()), 0
+    for cells, n in sorted(counts.items()):
+        seen += n
+        if seen >= want:
+            return cells + 1
+    return len(at)
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, beam: int = BEAM, held: float = HELD, cells: int = CELLS
+) -> DataFrame:
     """``query_id, rank, <id_col>, score``: for each row of ``queries`` the k nearest vectors found, by cosine in double
     precision on the vectors as given, ties to the smaller id; all candidates if there are fewer.
 
     Vectors that are null, zero, hold a null or non-finite component, or have another length than most, take no part
     on either side, nor do null ids.  Equal vectors are indexed once with the k + 1 smallest ids, which is all that a
     result can hold.  Rows with a query's id are never its results; a query id with several vectors is searched with
-    one of them.  Empty tables give no rows.
+    one of them.  Other columns are not read.  Empty tables give no rows.
 
-    A task holds one shard's graph; queries are dealt to every shard and stream past it in blocks.
+    Cells are learnt from :data:`SAMPLE` vectors at most; every vector is indexed.  A cell with more than ``shard`` vectors is
+    several shards.  A task holds one shard's graph; the queries dealt to it stream past in blocks.
     """
     scratch = Scratch(vectors.sparkSession, "graph")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
@@ -181,12 +272,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     # The limit on the rank reaches the map side, so a vector with very many copies sends few of them.
     first = good.withColumn("n", F.dense_rank().over(Window.partitionBy("h", "g").orderBy("id"))).filter(F.col("n") <= k + 1)
     units = scratch.save(first.groupBy("h", "g").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("v").alias("v")))
-    shards = max(1, -(-units.count() // shard))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter(usable("v", dim) & F.col("id").isNotNull())
-    asked = asked.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-    base = units.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), F.col("h").alias("at"), "ids", "v")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    sent = asked.select(every.alias("shard"), F.lit(1).alias("role"), F.col("id").alias("at"), F.array("id").alias("ids"), "v")
+    asked = scratch.save(asked.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v")))
+    total = units.count()
+    taken = units.orderBy(F.xxhash64("h", "g"), "h", "g").limit(SAMPLE).select("v").toArrow()
+    at = centres(_doubles(taken.column(0).combine_chunks(), dim)[1], min(cells, max(1, -(-total // shard)))) if total else np.zeros((1, max(1, dim)))
+    near = probed_cells(units, asked, at, dim, k, held)
+    kind = dict(units.dtypes)["v"]
+    base = units.select("h", "ids", "v").mapInArrow(_assigned(at, dim), f"cell int, h long, ids array<long>, v {kind}")
+    held_by = {r["cell"]: r["n"] for r in base.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    parts = np.maximum(1, -(-np.array([held_by.get(c, 0) for c in range(len(at))]) // shard))
+    before = np.cumsum(parts) - parts
+    shards = int(parts.sum())
+    number = lambda values: F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("cell") + 1)
+    dealt = base.select((number(before) + F.pmod("h", number(parts))).cast("int").alias("shard"), F.lit(0).alias("role"), F.col("h").alias("at"), "ids", "v")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 512):
+            if not batch.num_rows:
+                continue
+            close = np.argsort(-(_doubles(batch.column(1), dim)[1] @ at.T), axis=1, kind="stable")[:, :near]
+            many = parts[close].sum(axis=1)
+            to = np.concatenate([np.arange(before[c], before[c] + parts[c]) for row in close for c in row]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(to), *batch.take(pa.array(np.repeat(np.arange(len(close)), many))).columns], ["shard", "id", "v"])
+
+    sent = asked.select("id", "v").mapInArrow(send, f"shard int, id long, v {dict(asked.dtypes)['v']}")
+    sent = sent.select("shard", F.lit(1).alias("role"), F.col("id").alias("at"), F.array("id").alias("ids"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, graph = None, [], None
@@ -206,10 +317,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
                     continue  # an empty shard
                 if graph is None:
                     ids = [i for p in parts for i in p[0].to_pylist()]
-                    raw, unit = (np.concatenate(x) for x in zip(*(_doubles(p[1], dim) for p in parts)))
+                    unit = np.concatenate([_doubles(p[1], dim)[1] for p in parts])
                     graph = Graph(unit)
                 asked_ids = piece[0].flatten().to_pylist()
-                asked_raw, asked_unit = _doubles(piece[1], dim)
+                asked_unit = _doubles(piece[1], dim)[1]
                 for i in range(0, e - s, _QUERIES):
                     yield answers(graph, ids, unit, asked_ids[i : i + _QUERIES], asked_unit[i : i + _QUERIES])
 
@@ -225,8 +336,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
             columns[2] += [-s for s, _ in best]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "id", "score"])
 
-    dealt = base.unionByName(sent).repartition(min(shards, 8192), "shard").sortWithinPartitions("shard", "role", "at")
-    found = dealt.mapInArrow(run, "query_id long, id long, score double")
+    both = dealt.unionByName(sent).repartition(min(shards, 8192), "shard").sortWithinPartitions("shard", "role", "at")
+    found = both.mapInArrow(run, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -9,8 +9,10 @@ On unit vectors, cosine >= c is Euclidean distance <= r with r = sqrt(2 - 2c).
   between the two pivots, a lower bound of its distance to every point there, is at most r.
 
 Each pair is compared in exactly one cell, and cells are joined independently: a cell's own vectors are held in blocks
-of bounded size, visitors stream past them.  A block returns link counts and the edges of a spanning forest of its
-links, never its pairs.
+of bounded size, visitors stream past them.  Of two cells, as of two blocks of one, the one whose turn it is by the parity
+of their numbers receives the other's vectors, so that all receive about equally many.  Blocks grow with the root of the
+number of vectors, and so do the copies of a vector where the bound excludes no cell, up to the largest block that a task
+should hold.  A block returns link counts and the edges of a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -26,9 +28,22 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch
 from tessera.llm.components import connected_components
 
-#: Vectors that pivots and balls are chosen from; a block's own vectors; members in the sample that make a group dense.
-SAMPLE, BLOCK, DENSE = 4096, 2048, 8
-_STEP = 4096
+#: Vectors that pivots and balls are chosen from; the least and the most of a block's own vectors; members in the sample
+#: that make a group dense.
+SAMPLE, BLOCK, DENSE = 4096, (2048, 65_536), 8
+#: Similarities that a block computes at once.
+_AT_ONCE = 1 << 24
+
+
+def block_size(total: int) -> int:
+    """Own vectors of a block for a join of ``total`` vectors."""
+    return min(BLOCK[1], max(BLOCK[0], int(64 * math.sqrt(total))))
+
+
+def receives(own, other) -> np.ndarray:
+    """Whether, of each two cells or blocks, ``own`` receives the vectors of ``other``; of a pair exactly one does."""
+    own, other = np.broadcast_arrays(own, other)
+    return (own != other) & np.where((own + other) % 2 == 0, own < other, own > other)
 
 
 def usable(column: str, dim: int) -> F.Column:
@@ -102,13 +117,19 @@ class Cells:
         home = c.argmax(axis=1)
         # Half the difference of the squared distances over the pivots' distance is the distance to the plane.
         plane = (c[np.arange(len(x)), home][:, None] - c) / self.apart[home]
-        visit = (plane <= self.r + self.eps) & (np.arange(len(self.pivots)) < home[:, None]) & (core[:, None] < 0)
+        visit = (plane <= self.r + self.eps) & receives(np.arange(len(self.pivots))[None, :], home[:, None]) & (core[:, None] < 0)
         i, j = np.nonzero(visit)
         rows.append(i)
         cells.append(j + nb)
         return np.where(core >= 0, core, home + nb), np.concatenate(rows), np.concatenate(cells)
 
 
+def _sums(hit: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``n`` where ``hit`` holds; hits are few."""
+    i, j = np.nonzero(hit)
+    return np.bincount(i, n[j], len(hit)).astype(np.int64)
+
+
 class Block:
     """A cell's own vectors in one task: counts of links and a forest that connects what is linked."""
 
@@ -121,15 +142,17 @@ class Block:
 
     def ready(self) -> None:
         self.nodes, self.n, self.x = (np.concatenate(p) for p in zip(*self.parts))
+        self.parts = [()]  # the arrays are free to go; a block that has vectors stays one
         self.x32, self.links, self.label = self.x.astype(np.float32), np.zeros(len(self.nodes), dtype=np.int64), np.arange(len(self.nodes))
+        self.step = max(16, _AT_ONCE // len(self.nodes))
         if self.ball:  # all linked with each other; counted from the ball's total
             self.label[:] = 0
             return
-        for at in range(0, len(self.nodes), _STEP):
-            hit = self._hits(self.x[at : at + _STEP])
-            hit[np.arange(at, min(at + _STEP, len(hit))), np.arange(hit.shape[1])] = False
-            self.links += hit @ self.n[at : at + _STEP]
-            self._join(hit, self.nodes[at : at + _STEP])
+        for at in range(0, len(self.nodes), self.step):
+            hit = self._hits(self.x[at : at + self.step])
+            hit[np.arange(at, min(at + self.step, len(hit))), np.arange(hit.shape[1])] = False
+            self.links += _sums(hit, self.n[at : at + self.step])
+            self._join(hit, self.nodes[at : at + self.step])
 
     def _hits(self, x: np.ndarray) -> np.ndarray:
         """Single precision decides far from the threshold, double near it."""
@@ -164,9 +187,9 @@ class Block:
 
     def visit(self, nodes: np.ndarray, n: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hit = self._hits(x)
-        self.links += hit @ n
+        self.links += _sums(hit, n)
         self._join(hit, nodes)
-        return nodes, self.n @ hit
+        return nodes, _sums(hit.T, self.n)
 
 
 _OUT = "node long, links long, other long"
@@ -216,8 +239,8 @@ def _cell_join(least: float, dim: int, balls: int):
                     continue  # an empty block has nothing to compare
                 if not hasattr(block, "nodes"):
                     block.ready()
-                for i in range(s, e, _STEP):
-                    j = min(e, i + _STEP)
+                for i in range(s, e, block.step):
+                    j = min(e, i + block.step)
                     found, links = block.visit(nodes[i:j], n[i:j], x[i:j])
                     some = links > 0
                     if some.any():
@@ -231,13 +254,14 @@ def _cell_join(least: float, dim: int, balls: int):
     return run
 
 
-def linked_vectors(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK, dense: int = DENSE) -> DataFrame:
+def linked_vectors(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, block: int | None = None, dense: int = DENSE) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every row: links are pairs with cosine >= ``least``, all and only those.
 
     Vectors that are null, zero, hold a null or non-finite component, or have another length than most, link with
     nothing (0 links, own component, kept).  Equal vectors are one unit with a count before anything is compared, and
     each copy links with the others.  Rows with one id and different vectors are one vertex whose links add up; a null
-    id takes its unit's component.  An empty table gives no rows.
+    id takes its unit's component.  Nothing depends on the order of equal similarities.  Other columns are not read.  An
+    empty table gives no rows.
 
     The driver holds ``sample`` vectors at most; ball and pivot tables derived from them go to the tasks.
     """
@@ -255,6 +279,7 @@ def linked_vectors(vectors: DataFrame, least: float, id_col: str = "vec_id", vec
     chosen = matrix(taken.column(0).combine_chunks(), dim) if total else np.zeros((0, max(dim, 1)))
     if not total:
         return signed.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    block = block or block_size(total)
     balls, pivots = choose_cells(chosen, r, -(-total // block), dense)
     cells = Cells(balls, pivots, r)
     nb = len(balls)
@@ -276,12 +301,14 @@ def linked_vectors(vectors: DataFrame, least: float, id_col: str = "vec_id", vec
                 h, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
                 home, i, c = cells.of(matrix(batch.column(4), dim))
                 own = (h.view(np.uint64) % blocks[home].astype(np.uint64)).astype(np.int64)
-                # A visitor meets every block of a cell; a cell's own vector the earlier blocks of a pivot's cell.
+                # A visitor meets every block of a cell; a pivot's own vector the blocks of its cell that receive its block.
                 visits = np.repeat(np.arange(len(i)), blocks[c])
                 part = np.arange(len(visits)) - np.repeat(np.cumsum(blocks[c]) - blocks[c], blocks[c])
-                before = np.where(home < nb, 0, own)
-                again = np.repeat(np.arange(len(home)), before)
-                earlier = np.arange(len(again)) - np.repeat(np.cumsum(before) - before, before)
+                others = np.where(home < nb, 0, blocks[home])
+                again = np.repeat(np.arange(len(home)), others)
+                earlier = np.arange(len(again)) - np.repeat(np.cumsum(others) - others, others)
+                mine = receives(earlier, own[again])
+                again, earlier = again[mine], earlier[mine]
                 row = np.concatenate([np.arange(len(home)), i[visits], again])
                 columns = (
                     np.concatenate([home, c[visits], home[again]]),

@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from tessera.llm.ann import Graph, nearest
-from tessera.llm.embed_dedup import linked_vectors
+from tessera.llm.ann import Graph, centres, nearest, probed_cells
+from tessera.llm.embed_dedup import Cells, block_size, linked_vectors, receives
 
 from .fixtures import components, unit, vector_rows, vectors
 
@@ -85,3 +85,50 @@ def test_graph_recall():
     want = np.argsort(-(q @ x.T), axis=1)[:, :6]
     assert np.mean([len(set(f[:6]) & set(w)) / 6 for f, w in zip(found, want)]) > 0.95
     assert (np.diff(sims, axis=1) <= 1e-6).all()
+
+
+def test_graph_insertion_by_search_alone():
+    """Without a scan beyond the first vectors, batches find their neighbours in the graph so far."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph(x, scan=64)
+    found, _ = graph.search(x[:100], 120)
+    want = np.argsort(-(x[:100] @ x.T), axis=1)[:, :6]
+    assert np.mean([len(set(f[:6].tolist()) & set(w.tolist())) / 6 for f, w in zip(found, want)]) > 0.95
+    assert sorted(graph.order.tolist()) == list(range(2500)) and all(len(a) >= len(b) for a, b in zip(graph.layers, graph.layers[1:]))
+    assert all(links.max(initial=-1) < len(links) for links in graph.layers)
+
+
+def test_queries_go_to_as_few_cells_as_hold_their_neighbours(spark):
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(12, 8)) * 10
+    rows = [(i, list(map(float, middle[i % 12] + rng.normal(size=8))), 0, 0, 0, 0.0) for i in range(600)]
+    df = vectors(spark, rows)
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = df.selectExpr("array(vec_id) as ids", "embedding as v")
+    asked = df.filter("vec_id % 7 = 0").selectExpr("vec_id as id", "embedding as v")
+    assert probed_cells(units, asked, centres(x, 12), 8, 5) <= 4
+    noise = rng.normal(size=(12, 8))
+    assert probed_cells(units, asked, noise / np.linalg.norm(noise, axis=1, keepdims=True), 8, 5, held=1.0) >= 1
+    got = nearest(df, df.filter("vec_id % 7 = 0"), 5, shard=50).collect()
+    want = brute_nearest(rows, 8, 5, [i for i in range(0, 600, 7)])
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(found[q] & {i for _, i in want[q]}) / 5 for q in want]) >= 0.95
+
+
+def test_each_pair_of_cells_is_compared_once_and_copies_grow_with_the_root():
+    for a in range(9):
+        for b in range(9):
+            assert (int(receives(a, b)) + int(receives(b, a))) == (a != b)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    copies = {}
+    for total in (10_000, 400_000):
+        cells = Cells(np.zeros((0, 64)), x[: -(-total // block_size(total))], 0.3162)
+        copies[total] = 1 + len(cells.of(x)[1]) / len(x)
+    assert copies[400_000] / copies[10_000] < 40**0.5
