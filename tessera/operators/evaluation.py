@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -92,24 +92,37 @@ def bootstrap_draws(n: int, iterations: int, seed: int) -> list[list[int]]:
     return out
 
 
-def paired_bootstrap(diffs: DataFrame, iterations: int = 2000, seed: int = 0) -> DataFrame:
+def hashed_draws(spark: SparkSession, n: int, iterations: int, seed: int) -> DataFrame:
+    """``k, i``: n items drawn in each of so many iterations, by a hash, so that any tool can repeat it; made on the executors."""
+    drawn = spark.range(iterations * n).select(F.floor(F.col("id") / n).cast("long").alias("k"), F.pmod("id", F.lit(n)).alias("j"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("k").cast("string"), F.col("j").cast("string")).cast("binary")
+    return drawn.select("k", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("i"))
+
+
+def paired_bootstrap(diffs: DataFrame, iterations: int = 2000, seed: int = 0, hashed: bool = False) -> DataFrame:
     """One row: mean difference, 95 % interval, number, whether it holds 0, over ``diffs`` (query, diff) in query order.
 
-    One number per evaluated query takes part; the draws are made on the driver and joined by position.
+    One number per evaluated query takes part, counted in billionths, so that sums don't depend on their order.  Draws are
+    those of Python's generator, made on the driver, or with ``hashed`` those of :func:`hashed_draws`.
     """
     n = diffs.count()
     if not n:
         raise ValueError("no differences to resample")
     spark = diffs.sparkSession
-    placed = diffs.select("diff", (F.row_number().over(Window.orderBy("query")) - 1).alias("i"))
-    drawn = [(k, i, c) for k, counts in enumerate(bootstrap_draws(n, iterations, seed)) for i, c in enumerate(counts) if c]
-    draws = spark.createDataFrame(drawn, "k int, i int, c int")
-    means = draws.join(placed, "i").groupBy("k").agg((F.sum(F.col("c") * F.col("diff")) / n).alias("m"))
+    exact = diffs.select("query", F.col("diff").cast("decimal(20,9)").alias("diff"))
+    placed = exact.select("diff", (F.row_number().over(Window.orderBy("query")) - 1).cast("long").alias("i"))
+    if hashed:
+        draws = hashed_draws(spark, n, iterations, seed).withColumn("c", F.lit(1))
+    else:
+        drawn = [(k, i, c) for k, counts in enumerate(bootstrap_draws(n, iterations, seed)) for i, c in enumerate(counts) if c]
+        draws = spark.createDataFrame(drawn, "k long, i long, c int")
+    means = draws.join(placed, "i").groupBy("k").agg((F.sum(F.col("c") * F.col("diff")).cast("double") / n).alias("m"))
     ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)
     ends = ranked.agg(
         F.max(F.when(F.col("r") == int(0.025 * iterations), F.col("m"))).alias("low"), F.max(F.when(F.col("r") == int(0.975 * iterations) - 1, F.col("m"))).alias("high")
     )
-    return diffs.agg(F.avg("diff").alias("mean_diff"), F.count("*").alias("n")).join(ends).withColumn("holds_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
+    mean = exact.agg((F.sum("diff").cast("double") / F.count("*")).alias("mean_diff"), F.count("*").alias("n"))
+    return mean.join(ends).withColumn("holds_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
 
 
 def kappa(pairs: DataFrame, a: str, b: str, values: list) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,18 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, by: Seq
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, low, middle, high, mean`` of numeric columns."""
+    """``column, low, middle, high, mean`` of numeric columns.
+
+    The exact median comes from running counts of the distinct values, which are sorted and may spill, never held at once.
+    """
     long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))))
-    return long.groupBy("column").agg(F.min("v").alias("low"), F.median("v").alias("middle"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    whole = long.groupBy("column").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    values = long.filter(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("c"))
+    running = values.withColumn("upto", F.sum("c").over(Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = running.join(whole.select("column", "n"), "column")
+    first = lambda place: F.min(F.when(F.col("upto") >= place, F.col("v")))
+    middle = placed.groupBy("column").agg(((first(F.floor((F.col("n") + 1) / 2)) + first(F.floor(F.col("n") / 2) + 1)) / 2).alias("middle"))
+    return whole.join(middle, "column", "left").select("column", "low", "middle", "high", "mean")
 
 
 def constant_columns(df: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import company, family, key_tokens, menu_key, mentions, same_menu
 from tessera.schema import UNKNOWN, Condition
 
-#: Query vectors that one pass over the documents holds.
-QUERY_BLOCK = 4096
+#: Documents that a task holds at most, and at least if there are enough for that; queries that are compared with them at once.
+CHUNK, LEAST, AT_ONCE = 65_536, 2048, 256
 
 
 @dataclass(frozen=True)
@@ -30,42 +30,137 @@ class RankingConfig:
     collapse_duplicates: bool = True
 
 
-def top_k_similar(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, query_vec: str = "embedding", doc_vec: str = "embedding", exclude_self: bool = False, digits: int = 6) -> DataFrame:
-    """``query_id, <doc_id>, sim, rank``: the k documents with the largest dot product of each query, ties to the smaller id.
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k largest finite values, ties to the smaller column."""
+    if sims.shape[1] > k:
+        rows, columns = np.nonzero(sims >= -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        rows, columns = np.nonzero(np.ones_like(sims, dtype=bool))
+    real = sims[rows, columns] > -np.inf
+    rows, columns = rows[real], columns[real]
+    order = np.lexsort((columns, -sims[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    return rows[nth < k], columns[nth < k]
+
+
+def _whole(v: Column, dim: int) -> Column:
+    return F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
 
-    Query vectors go to the tasks in blocks of :data:`QUERY_BLOCK`; documents are read once per block, each batch is
-    multiplied as a matrix and only its k best per query are shuffled.  ``sim`` is rounded before it is ranked.
+
+def _against_chunks(queries: DataFrame, docs: DataFrame, answer, schema: str, query_id: str, doc_id: str, query_vec: str, doc_vec: str, per: str | None, limits: tuple[str, str] | None) -> DataFrame:
+    """What ``answer(held, queries)`` yields for every block of queries and chunk of documents.
+
+    Documents are dealt into chunks that a task holds as matrices, one for each value of ``per``; queries stream past each
+    chunk in blocks.  Vectors that are null, hold a null or NaN, or have another length than most queries, and rows
+    without an id, take no part.  ``limits`` names two columns of the queries that come along.
+    """
+    lengths = queries.filter(F.col(query_vec).isNotNull()).groupBy(F.size(query_vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dim = lengths["d"] if lengths else 0
+    kinds = dict(docs.dtypes)
+    id_kind = "string" if kinds[doc_id] == "string" else "long"
+    group_kind = kinds[per] if per else "int"
+
+    def side(df: DataFrame, id_: str, vec: str) -> DataFrame:
+        out = df.withColumns({"_i": F.col(id_), "_v": F.col(vec).cast("array<double>")})
+        return out.filter(_whole(F.col("_v"), dim) & F.col("_i").isNotNull())
+
+    total = docs.count()
+    chunks = max(1, -(-total // CHUNK), min(32, total // LEAST))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    here = side(docs, doc_id, doc_vec).select(
+        F.pmod(F.xxhash64("_i"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("role"), null("long", "q"), F.col("_i").cast(id_kind).alias("i"), (F.col(per) if per else F.lit(0)).alias("g"), null("double", "s"), F.col("_v").alias("v")
+    )
+    near, after = (F.col(limits[0]).cast("double"), F.col(limits[1]).cast(id_kind)) if limits else (F.lit(None).cast("double"), F.lit(None).cast(id_kind))
+    sent = side(queries, query_id, query_vec).select(
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("role"), F.col("_i").cast("long").alias("q"), after.alias("i"), null(group_kind, "g"), near.alias("s"), F.col("_v").alias("v")
+    )
+
+    def hold(parts: list[pa.RecordBatch]) -> list[tuple]:
+        """Per group: its value, ids upwards, and vectors."""
+        table = pa.Table.from_batches(parts).combine_chunks()
+        ids, codes = _keys(table.column("i").combine_chunks()), table.column("g").combine_chunks().dictionary_encode(null_encoding="encode")
+        x, number = _matrix(table.column("v").combine_chunks(), dim), codes.indices.to_numpy()
+        order = np.lexsort((ids, number))
+        cuts = np.r_[0, np.flatnonzero(np.diff(number[order])) + 1, len(order)]
+        return [(codes.dictionary[int(number[order[s]])], ids[order[s:e]], x[order[s:e]]) for s, e in zip(cuts[:-1], cuts[1:])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held = None, [], None
+        for whole in batches:
+            for start in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(start, AT_ONCE)
+                of, role = (batch.column(n).to_numpy() for n in range(2))
+                cuts = np.r_[0, np.flatnonzero((of[1:] != of[:-1]) | (role[1:] != role[:-1])) + 1, len(of)]
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if of[s] != at:
+                        at, parts, held = of[s], [], None
+                    piece = batch.slice(s, e - s)
+                    if role[s] == 0:
+                        parts.append(piece)
+                    elif parts:
+                        held = held or hold(parts)
+                        q = piece.column("q").to_numpy()
+                        yield from answer(held, q, _matrix(piece.column("v"), dim), piece)
+
+    return here.unionByName(sent).repartition(chunks, "chunk").sortWithinPartitions("chunk", "role").mapInArrow(run, schema)
+
+
+def _keys(ids: pa.Array) -> np.ndarray:
+    """Ids that numpy can order: numbers, or texts by code point."""
+    out = ids.to_numpy(zero_copy_only=False)
+    return out.astype(str) if out.dtype == object else out
+
+
+def _matrix(v: pa.Array, dim: int) -> np.ndarray:
+    return v.flatten().to_numpy().reshape(len(v), dim)
+
+
+def top_k_similar(
+    queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, query_vec: str = "embedding", doc_vec: str = "embedding", exclude_self: bool = False, digits: int = 6, per: str | None = None
+) -> DataFrame:
+    """``query_id, <doc_id>, sim, rank``: the k documents with the largest dot product of each query, ties to the smaller id;
+    with ``per`` the k best of each value of that column of ``docs``, and the value.
+
+    ``sim`` is rounded before it is ranked.  Every query meets every document, in blocks; only a chunk's k best travel, and
+    nothing is brought to the driver.  Unusable vectors take no part; empty tables give no rows.
     """
-    wanted = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vec).alias("v")).filter("v is not null").orderBy("q").toArrow()
-    base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(doc_vec).alias("v")).filter("v is not null")
-    parts = []
-    for at in range(0, wanted.num_rows, QUERY_BLOCK):
-        block = wanted.slice(at, QUERY_BLOCK)
-        ids = block.column("q").to_numpy()
-        vectors = np.array(block.column("v").to_pylist(), dtype=np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, vectors=vectors) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                sims = np.round(vectors @ x.T, digits)
-                if exclude_self:
-                    sims[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
-                best = np.take_along_axis(sims, order, axis=1)
-                real = best > -np.inf
-                q = np.repeat(ids, order.shape[1])[real.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[order][real]), pa.array(best[real])], ["q", "d", "sim"])
-
-        parts.append(base.mapInArrow(run, "q long, d long, sim double"))
-    if not parts:
-        return base.limit(0).select(F.col("d").alias("query_id"), F.col("d").alias(doc_id), F.lit(0.0).alias("sim"), F.lit(0).alias("rank"))
-    found = reduce(DataFrame.unionByName, parts)
-    best = Window.partitionBy("q").orderBy(F.desc("sim"), "d")
+    kinds = dict(docs.dtypes)
+    id_kind, group_kind = ("string" if kinds[doc_id] == "string" else "long"), (kinds[per] if per else "int")
+
+    def answer(held: list[tuple], q: np.ndarray, x: np.ndarray, _: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for value, ids, own in held:
+            sims = np.round(x @ own.T, digits)
+            if exclude_self:
+                sims[q[:, None] == ids[None, :]] = -np.inf
+            rows, columns = _best(sims, k)
+            if len(rows):
+                made = [pa.array(q[rows]), pa.array(ids[columns]), pa.array([value.as_py()] * len(rows), value.type), pa.array(sims[rows, columns])]
+                yield pa.RecordBatch.from_arrays(made, ["q", "i", "g", "sim"])
+
+    found = _against_chunks(queries, docs, answer, f"q long, i {id_kind}, g {group_kind}, sim double", query_id, doc_id, query_vec, doc_vec, per, None)
+    best = Window.partitionBy(*(["q", "g"] if per else ["q"])).orderBy(F.desc("sim"), "i")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("query_id"), F.col("d").alias(doc_id), "sim", "rank")
+    return ranked.select(F.col("q").alias("query_id"), F.col("i").alias(doc_id), "sim", "rank", *([F.col("g").alias(per)] if per else []))
+
+
+def places(limits: DataFrame, docs: DataFrame, query_id: str, doc_id: str, sim: str, at: str, query_vec: str = "embedding", doc_vec: str = "embedding", exclude_self: bool = False, digits: int = 6) -> DataFrame:
+    """``query_id, rank``: the rank of the document ``at``, of similarity ``sim``, among all documents of its query.
+
+    Each chunk counts the documents ahead of it, so that only one number per query and chunk travels.
+    """
+
+    def answer(held: list[tuple], q: np.ndarray, x: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        near, after = batch.column("s").to_numpy()[:, None], _keys(batch.column("i"))[:, None]
+        for _, ids, own in held:
+            sims = np.round(x @ own.T, digits)
+            if exclude_self:
+                sims[q[:, None] == ids[None, :]] = -np.inf
+            ahead = (sims > near) | (sims == near) & (ids[None, :] < after)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ahead.sum(axis=1))], ["q", "n"])
+
+    found = _against_chunks(limits, docs, answer, "q long, n long", query_id, doc_id, query_vec, doc_vec, None, (sim, at))
+    return found.groupBy(F.col("q").alias("query_id")).agg((F.sum("n") + 1).alias("rank"))
 
 
 def label(labels: Column, attribute: str) -> Column:
@@ -90,6 +185,34 @@ def drop_reasons(labels: Column, hard: list[Condition]) -> Column:
     return F.array_compact(F.array(*out)) if out else F.array().cast(kind)
 
 
+def failed_conditions(labels: Column, hard: Column) -> Column:
+    """:func:`drop_reasons` for conditions that a column holds (an array of conditions in each row)."""
+    failed = F.filter(hard, lambda c: ~F.array_contains(c["allowed"], label(labels, c["attribute"])))
+
+    def reason(c: Column) -> Column:
+        value = label(labels, c["attribute"])
+        return F.struct(c["attribute"].alias("attribute"), value.alias("value"), c["allowed"].alias("allowed"), c["evidence"].alias("evidence"), (value == UNKNOWN).alias("unknown"))
+
+    return F.transform(failed, reason)
+
+
+def met_preferences(labels: Column, soft: Column) -> Column:
+    """:func:`preference` for conditions that a column holds."""
+
+    def part(keep) -> Column:
+        chosen = F.filter(soft, lambda c: keep(F.array_contains(c["allowed"], label(labels, c["attribute"])), label(labels, c["attribute"]) == UNKNOWN))
+        return F.transform(chosen, lambda c: F.struct(c["attribute"].alias("attribute"), label(labels, c["attribute"]).alias("value"), c["evidence"].alias("evidence")))
+
+    matched = part(lambda met, _: met)
+    share = F.when(F.size(soft) > 0, F.size(matched) / F.size(soft).cast("double")).otherwise(F.lit(0.0))
+    return F.struct(share.alias("score"), matched.alias("matched"), part(lambda met, unknown: ~met & ~unknown).alias("unmatched"), part(lambda met, unknown: ~met & unknown).alias("unknown"))
+
+
+def first_of(terms: Column, name: Column, representative: Column, category: Column) -> Column:
+    """:func:`first_mention` for terms that a column holds."""
+    return F.try_element_at(F.filter(terms, lambda t: mentions(t, name, representative, category)), F.lit(1))
+
+
 def first_mention(terms: list[str], name: Column, representative: Column, category: Column) -> Column:
     """The first of ``terms`` that points at the record, or null."""
     hits = [F.when(mentions(t, name, representative, category), F.lit(t)) for t in terms]
@@ -117,13 +240,13 @@ def final_score(sim: Column, pref: Column, menu: Column, context: Column, config
     return config.similarity_weight * sim + config.preference_weight * pref + bonus
 
 
-def score_candidates(candidates: DataFrame, soft: list[Condition], config: RankingConfig, menu_terms=(), context_terms=()) -> DataFrame:
-    """``candidates`` (name, representative, category, labels, sim) with pref, menu_hit and score."""
+def score_candidates(candidates: DataFrame, config: RankingConfig) -> DataFrame:
+    """``candidates`` (record, sim, and the arrays soft, menu_terms and context of their query) with pref, menu_hit and score."""
     record = (F.col("name"), F.col("representative"), F.col("category"))
     none = F.lit(None).cast("string")
-    menu = first_mention(list(menu_terms), *record) if config.menu_match_weight else none
-    context = first_mention(list(context_terms), *record) if config.context_match_weight else none
-    out = candidates.withColumns({"pref": preference(F.col("labels"), soft), "_menu": menu, "_context": context})
+    menu = first_of(F.col("menu_terms"), *record) if config.menu_match_weight else none
+    context = first_of(F.col("context"), *record) if config.context_match_weight else none
+    out = candidates.withColumns({"pref": met_preferences(F.col("labels"), F.col("soft")), "_menu": menu, "_context": context})
     score = final_score(F.col("sim"), F.col("pref.score"), F.col("_menu").isNotNull(), F.col("_context").isNotNull(), config)
     return out.withColumns({"score": score, "menu_hit": F.coalesce("_menu", "_context")}).drop("_menu", "_context")
 
@@ -141,8 +264,10 @@ def choice_columns(config: RankingConfig) -> dict[str, Column]:
     }
 
 
-def select_top_k(scored: DataFrame, k: int, config: RankingConfig, by: list[str], exempt: Column | None = None, id_: str = "id") -> DataFrame:
-    """Per ``by`` one row with ``selected`` and ``skipped``: arrays of structs (id, name, score, group, pos, reason).
+def select_top_k(scored: DataFrame, k: int, config: RankingConfig, by: list[str], exempt: Column | None = None, id_: str = "id", free: Column | None = None, carry: Column | None = None) -> DataFrame:
+    """Per ``by`` one row with ``selected`` and ``skipped``: arrays of structs (id, name, score, group, pos, reason, row).
+
+    ``exempt``, an array of groups, or ``free``, a condition, frees rows from the cap; ``row`` is what ``carry`` holds.
 
     Records are taken best first; a variant of one taken before and one whose group is at the cap are skipped, until k
     are taken.  With a group penalty the best is sought anew at each step.  The rule depends on the order and
@@ -151,12 +276,13 @@ def select_top_k(scored: DataFrame, k: int, config: RankingConfig, by: list[str]
     """
     table = scored.withColumns(choice_columns(config))
     table = table.withColumn("_pos", F.row_number().over(Window.partitionBy(*by).orderBy(*best_first(id_=id_))))
-    free = F.lit(False) if exempt is None else F.array_contains(exempt, F.col("_group"))
+    if free is None:
+        free = F.lit(False) if exempt is None else F.array_contains(exempt, F.col("_group"))
     item = F.struct(
         F.col("_pos").alias("pos"), F.col(id_).alias("id"), F.col("name"), F.col("score"), F.col("_group").alias("group"), F.col("_key").alias("key"),
-        F.coalesce(free, F.lit(False)).alias("free"), F.lit("").alias("reason"),
+        F.coalesce(free, F.lit(False)).alias("free"), F.lit("").alias("reason"), (F.lit(None).cast("string") if carry is None else carry).alias("row"),
     )
-    lists = table.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lists = table.groupBy(*by).agg(F.array_sort(F.collect_list(item), lambda a, b: a["pos"] - b["pos"]).alias("items"))
     none = F.filter("items", lambda _: F.lit(False))
 
     def with_reason(x: Column, reason: Column) -> Column:
@@ -192,8 +318,8 @@ def select_top_k(scored: DataFrame, k: int, config: RankingConfig, by: list[str]
                 held = F.size(F.filter(state["selected"], lambda s: s["group"] == y["group"]))
                 return y["score"] - F.when(y["free"], 0.0).otherwise(config.group_penalty * held)
 
-            ordered = F.array_sort(F.transform(state["left"], lambda y: F.struct((-worth(y)).alias("w"), y["pos"].alias("p"), y.alias("y"))))
-            x = F.try_element_at(ordered, F.lit(1))["y"]
+            best = F.array_min(F.transform(state["left"], lambda y: F.struct((-worth(y)).alias("w"), y["pos"].alias("p"))))
+            x = F.try_element_at(F.filter(state["left"], lambda y: y["pos"] == best["p"]), F.lit(1))
             selected, skipped = step(state, x)
             more = F.struct(selected.alias("selected"), skipped.alias("skipped"), F.filter(state["left"], lambda y: y["pos"] != x["pos"]).alias("left"))
             return F.when((F.size(state["selected"]) < k) & (F.size(state["left"]) > 0), more).otherwise(state)

@@ -28,32 +28,36 @@ def seeded(id_: str, seed: int = 42):
 
 
 def stratified_take(df: DataFrame, quotas: DataFrame, stratum: str, id_: str, seed: int = 42, queue: str | None = None) -> DataFrame:
-    """``quota`` rows of each stratum in a seeded order, alternating between the values of a boolean ``queue`` if given."""
+    """``quota`` rows of each stratum in a seeded order, alternating between the values of a boolean ``queue`` if given.
+
+    No stratum gives more rows than the largest quota: ranks beyond it are cut before the shuffle, on every partition.
+    """
+    most = quotas.agg(F.max("quota")).first()[0] or 0
     order = [seeded(id_, seed), F.col(id_)]
-    table = df.withColumn("_turn", F.row_number().over(Window.partitionBy(*([stratum, queue] if queue else [stratum])).orderBy(*order)))
+    table = df.withColumn("_turn", F.row_number().over(Window.partitionBy(*([stratum, queue] if queue else [stratum])).orderBy(*order))).filter(F.col("_turn") <= most)
     turn = 2 * F.col("_turn") + (F.col(queue).cast("int") if queue else F.lit(0))
-    table = table.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(turn, *order)))
+    table = table.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(turn, *order))).filter(F.col("_place") <= most)
     return table.join(quotas.select(stratum, "quota"), stratum).filter("_place <= quota").drop("_turn", "_place", "quota")
 
 
 def sample_units(units: DataFrame, total: int, n_first: int, cap: int, stratum: str, group: str, first: str, queue: str, id_: str = "unit_id", seed: int = 42) -> DataFrame:
     """A balanced sample with ``why``: ``n_first`` rows where ``first`` holds, then quotas by stratum, then a fill.
 
-    No group gives more than ``cap`` rows.  Only a group's ``cap`` first rows in the seeded order can be taken, which a
-    window finds before anything else, so what the later steps order is bounded by the groups.
+    No group gives more than ``cap`` rows, over all three parts.  Only a group's ``cap`` first rows in the seeded order can
+    be taken, which a ranked cut finds before anything else; of the rows that come first only ``n_first`` of each queue
+    are ordered with each other.
     """
-    order = [F.desc(first), seeded(id_, seed), F.col(id_)]
-    able = units.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= cap).drop("_n")
-    table = able.withColumn("_q", F.row_number().over(Window.partitionBy(first, queue).orderBy(seeded(id_, seed), id_)))
-    table = table.withColumn("_f", F.row_number().over(Window.partitionBy(first).orderBy(2 * F.col("_q") + F.col(queue).cast("int"), seeded(id_, seed))))
-    ahead = F.col(first) & (F.col("_f") <= n_first)
-    chosen = table.filter(ahead).drop("_q", "_f").withColumn("why", F.lit("first"))
-    rest = table.filter(~ahead).drop("_q", "_f")
+    seeds = [seeded(id_, seed), F.col(id_)]
+    able = units.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(first), *seeds))).filter(F.col("_n") <= cap).drop("_n")
+    heads = able.filter(first).withColumn("_q", F.row_number().over(Window.partitionBy(queue).orderBy(*seeds))).filter(F.col("_q") <= n_first)
+    ahead = heads.orderBy(2 * F.col("_q") + F.col(queue).cast("int"), *seeds).limit(n_first).select(id_)
+    chosen = able.join(ahead, id_, "left_semi").withColumn("why", F.lit("first"))
+    rest = able.join(ahead, id_, "left_anti")
     left = total - chosen.count()
     quotas = sqrt_quotas(rest.groupBy(stratum).agg(F.count("*").alias("n")), left, stratum)
     shared = stratified_take(rest, quotas, stratum, id_, seed, queue).withColumn("why", F.lit("quota"))
     lack = left - shared.count()
-    fill = rest.join(shared.select(id_), id_, "left_anti").orderBy(seeded(id_, seed), id_).limit(max(0, lack)).withColumn("why", F.lit("fill"))
+    fill = rest.join(shared.select(id_), id_, "left_anti").orderBy(*seeds).limit(max(0, lack)).withColumn("why", F.lit("fill"))
     return chosen.unionByName(shared).unionByName(fill)
 
 

@@ -5,8 +5,6 @@ Each query runs an operator over whole tables; each SQL text states the same res
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,9 +16,10 @@ from tessera.operators import cleaning, evaluation, joins, labelqc, profile, sam
 from tessera.operators.ranking import (
     RankingConfig, best_first, cap_per_group, drop_reasons, final_score, first_mention, pick_per_keyword, preference, reason_histogram, select_top_k, top_k_similar,
 )
-from tessera.plans.parser import parse, parse_column, tags
-from tessera.plans.recommend import PipelineConfig, Recommender, item_rows, observe, widening_ladder
-from tessera.schema import RECORD, UNKNOWN, Condition
+from tessera.plans.parser import parse_column, register_tags
+from tessera.plans.recommend import PipelineConfig, observe, recommend_all, widening_ladder
+from tessera.schema import DOMAINS, RECORD, UNKNOWN, Condition
+from tessera.sources.tables import shared_path
 from tessera.streaming import feedback
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +38,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import tessera.plans.report_queries  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import tessera.plans.report_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -50,58 +53,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 # --- retrieval and ranking
 
 
-def _neighbours(spark: SparkSession, sf_dir: str, below: int, k: int) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return top_k_similar(vectors.filter(F.col("vec_id") < below), vectors, k, "vec_id", "vec_id", exclude_self=True)
+#: Queries of the search: every vector whose id is divisible by 50, against all vectors.
+ASKED = "vec_id % 50 = 0"
 
 
-def _labelled_neighbours(spark: SparkSession, sf_dir: str, below: int, k: int) -> DataFrame:
-    return _neighbours(spark, sf_dir, below, k).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+def _neighbours(spark: SparkSession, sf_dir: str, k: int, per: str | None = None) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k_similar(vectors.filter(ASKED), vectors, k, "vec_id", "vec_id", exclude_self=True, per=per)
 
 
 _KNN = """
 s AS (SELECT q.vec_id AS query_id, d.vec_id, d.label, q.label AS q_label,
              round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS sim
-      FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < {below}),
+      FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s)"""
 
 
 @query(
-    f"""WITH {_KNN.format(below=20)},
-k AS (SELECT *, 0.7 * sim + 0.3 * (CASE WHEN label IN (0, 1, 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM r WHERE rank <= 50 AND label BETWEEN 0 AND 6),
+    f"""WITH {_KNN},
+k AS (SELECT *, 0.7 * sim + 0.3 * (CASE WHEN label IN (0, 1, 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM r WHERE label BETWEEN 0 AND 6),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(score, 9) DESC, sim DESC, vec_id) AS n FROM k),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sim DESC, vec_id) AS pick FROM c WHERE n <= 2)
 SELECT query_id, pick::INTEGER AS pick, vec_id, label::VARCHAR AS grp, round(score, 9) AS score FROM p WHERE pick <= 5"""
 )
 def flagship_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search, hard filter, preference bonus and capped choice for 20 query vectors."""
-    found = _labelled_neighbours(spark, sf_dir, 20, table(spark, sf_dir, "embeddings").count())
+    """Search, hard filter, preference bonus and capped choice for every query vector.
+
+    Within a label the score follows the similarity, so no more of a label than the cap lets through can be chosen: the
+    search brings just those, from all vectors.
+    """
+    config = RankingConfig(collapse_duplicates=False)
+    found = _neighbours(spark, sf_dir, config.group_cap, per="label")
     labels = F.create_map(F.lit("label"), F.col("label").cast("string"))
     hard = [Condition("label", tuple(map(str, range(7))))]
     soft = [Condition("label", ("0", "1", "2"), "soft")]
-    config = RankingConfig(collapse_duplicates=False)
     kept = found.withColumn("labels", labels).filter(F.size(drop_reasons(F.col("labels"), hard)) == 0)
     scored = kept.withColumn("score", final_score(F.col("sim"), preference(F.col("labels"), soft)["score"], F.lit(False), F.lit(False), config))
-    # No more of a label than the cap lets through can be chosen: the lists stay short, however far the search goes.
-    ahead = F.row_number().over(Window.partitionBy("query_id", "label").orderBy(*best_first(id_="vec_id")))
-    scored = scored.withColumn("_n", ahead).filter(F.col("_n") <= config.group_cap).drop("_n")
     named = scored.withColumns({"name": F.col("vec_id").cast("string"), "representative": F.col("label").cast("string"), "company": F.lit("-")})
     chosen = select_top_k(named, 5, config, ["query_id"], id_="vec_id")
     out = chosen.select("query_id", F.posexplode("selected").alias("pos", "s"))
     return out.select("query_id", (F.col("pos") + 1).alias("pick"), F.col("s.id").alias("vec_id"), F.col("s.group").alias("grp"), F.round("s.score", 9).alias("score"))
 
 
-@query(f"WITH {_KNN.format(below=50)} SELECT query_id, vec_id, sim, rank::INTEGER AS rank FROM r WHERE rank <= 10")
+@query(f"WITH {_KNN} SELECT query_id, vec_id, sim, rank::INTEGER AS rank FROM r WHERE rank <= 10")
 def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir, 50, 10)
+    return _neighbours(spark, sf_dir, 10)
 
 
 _HARD = [Condition("quality", ("1",)), Condition("lang", ("en", "de"))]
@@ -162,20 +161,19 @@ def menu_mentions_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_KNN.format(below=50)},
-c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM r WHERE rank <= 30),
+    f"""WITH {_KNN},
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM r),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pick FROM c WHERE n <= 2)
 SELECT query_id, pick::INTEGER AS pick, vec_id, label FROM p WHERE pick <= 10"""
 )
 def group_cap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten neighbours with at most two of a label."""
-    found = _labelled_neighbours(spark, sf_dir, 50, table(spark, sf_dir, "embeddings").count())
-    return cap_per_group(found, 2, 10, "query_id", "label", [F.asc("rank")]).select("query_id", "pick", "vec_id", "label")
+    """Ten neighbours with at most two of a label, from all vectors."""
+    found = _neighbours(spark, sf_dir, 2, per="label")
+    return cap_per_group(found, 2, 10, "query_id", "label", [F.desc("sim"), F.asc("vec_id")]).select("query_id", "pick", "vec_id", "label")
 
 
 @query(
-    """WITH b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS c FROM part),
-f AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_retailprice DESC, p_partkey) AS n FROM b WHERE c <= 40),
+    """WITH f AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_retailprice DESC, p_partkey) AS n FROM part),
 g AS (SELECT *, row_number() OVER (PARTITION BY p_brand, string_split(p_name, ' ')[-1] ORDER BY p_retailprice DESC, p_partkey) AS m FROM f WHERE n = 1),
 p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS pick FROM g WHERE m <= 2)
 SELECT p_brand, pick::INTEGER AS pick, p_partkey FROM p WHERE pick <= 5"""
@@ -183,8 +181,7 @@ SELECT p_brand, pick::INTEGER AS pick, p_partkey FROM p WHERE pick <= 5"""
 def greedy_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five parts of each brand without variants of one name and with at most two of a kind, chosen in order."""
     # Of rows with one name only the first can be chosen.
-    top = Window.partitionBy("p_brand", "p_name").orderBy(F.desc("p_retailprice"), "p_partkey")
-    rows = table(spark, sf_dir, "part").withColumn("_c", F.row_number().over(top)).filter("_c = 1")
+    rows = cleaning.first_per_key(table(spark, sf_dir, "part"), ["p_brand", "p_name"], [F.desc("p_retailprice"), F.asc("p_partkey")])
     named = rows.select("p_brand", "p_partkey", F.col("p_name").alias("name"), F.col("p_name").alias("representative"), F.lit("-").alias("company"), F.col("p_retailprice").alias("score"))
     chosen = select_top_k(named.withColumn("sim", F.lit(0.0)), 5, RankingConfig(), ["p_brand"], id_="p_partkey")
     out = chosen.select("p_brand", F.posexplode("selected").alias("pos", "s"))
@@ -197,7 +194,7 @@ def last_token_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_KNN.format(below=20)}, z AS (SELECT count(*) AS size FROM embeddings),
+    f"""WITH {_KNN}, z AS (SELECT count(*) AS size FROM embeddings),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM r WHERE label IN (0, 1)),
 n AS (SELECT query_id, max(CASE WHEN p = 5 THEN rank END) AS need, count(*) AS n FROM p GROUP BY query_id),
 t AS (SELECT q.query_id, n.n, greatest(0, ceil(log2(coalesce(need, size) / 4.0)))::INTEGER AS steps, size
@@ -206,9 +203,8 @@ SELECT query_id, steps, least(size, 4 * (1 << steps))::INTEGER AS range, least(c
 )
 def widening_ladder_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the search of each query widens, doubling from 4, until five neighbours pass."""
-    size = table(spark, sf_dir, "embeddings").count()
-    ranked = _labelled_neighbours(spark, sf_dir, 20, size)
-    return widening_ladder(ranked, "query_id", F.col("label").isin(0, 1), 5, 4, size)
+    vectors = table(spark, sf_dir, "embeddings")
+    return widening_ladder(vectors.filter(ASKED), vectors, F.col("label").isin(0, 1), 5, 4, "vec_id", "vec_id", exclude_self=True)
 
 
 @query(
@@ -223,8 +219,8 @@ def pick_one_per_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_KNN.format(below=50)},
-c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM r WHERE rank <= 30),
+    f"""WITH {_KNN},
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM r),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pick FROM c WHERE n <= 2)
 SELECT query_id, count(*) AS returned, count(*) - count(DISTINCT label) AS repeated,
        count(*) FILTER (label > 6) AS violations, count(*) FILTER (label = 9) AS unknown FROM p WHERE pick <= 10 GROUP BY query_id"""
@@ -237,7 +233,8 @@ def result_observation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT count(*) AS n, min(len(embedding))::INTEGER AS min_dim, max(len(embedding))::INTEGER AS max_dim,
   round(min(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS min_norm,
-  round(max(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS max_norm, true AS finite FROM embeddings"""
+  round(max(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS max_norm,
+  bool_and(len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0) AS finite FROM embeddings"""
 )
 def vector_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = vector_stats(table(spark, sf_dir, "embeddings"), "embedding")
@@ -254,7 +251,11 @@ def exact_dedup_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.deduplicate(docs, ["digest"], "doc_id")[1]
 
 
-@query("SELECT 0::BIGINT AS in_both, 0::BIGINT AS lost, 0::BIGINT AS added, 0::BIGINT AS dangling")
+@query(
+    """WITH m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS k FROM documents), a AS (SELECT doc_id FROM m WHERE doc_id = k), b AS (SELECT doc_id, k FROM m WHERE doc_id <> k)
+SELECT (SELECT count(*) FROM a SEMI JOIN b USING (doc_id)) AS in_both, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM a) AND doc_id NOT IN (SELECT doc_id FROM b)) AS lost,
+  (SELECT count(*) FROM m ANTI JOIN documents USING (doc_id)) AS added, (SELECT count(DISTINCT k) FROM b WHERE k NOT IN (SELECT doc_id FROM a)) AS dangling"""
+)
 def dedup_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     kept, moved = cleaning.deduplicate(docs, ["digest"], "doc_id")
@@ -383,7 +384,8 @@ def company_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH l AS (SELECT o_custkey AS k, count(*) AS l FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS r FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1), b AS (SELECT * FROM l FULL JOIN r USING (k))
 SELECT sum(l)::BIGINT AS n_left, sum(r)::BIGINT AS n_right, count(*) FILTER (l > 1) AS dup_left, count(*) FILTER (r > 1) AS dup_right,
-  count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS joined, count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, false AS is_clean FROM b"""
+  count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS joined, count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only,
+  count(*) FILTER (l > 1 OR r > 1 OR l IS NULL OR r IS NULL) = 0 AS is_clean FROM b"""
 )
 def inner_join_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
@@ -467,23 +469,29 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evaluation
 
 
-def _grades(spark: SparkSession, sf_dir: str, below: int) -> DataFrame:
-    """Judgments of a third less than all pairs of the first vectors with all others; the left side is a few rows."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = vectors.filter(F.col("vec_id") < below).select(F.col("vec_id").alias("query"), F.col("label").alias("q_label"))
-    gap = F.abs(F.col("label") - F.col("q_label"))
-    pairs = vectors.join(F.broadcast(asked), (F.col("vec_id") != F.col("query")) & ((F.col("vec_id") + F.col("query")) % 3 != 0))
-    return pairs.select("query", F.col("vec_id").alias("id"), F.when(gap == 0, 2).when(gap == 1, 1).otherwise(0).alias("grade"))
+#: Neighbours of a query that are judged, but for a third of them.
+POOL = 20
 
 
-def _results(spark: SparkSession, sf_dir: str, below: int, k: int) -> DataFrame:
-    return _neighbours(spark, sf_dir, below, k).select(F.col("query_id").alias("query"), F.col("vec_id").alias("id"), "rank")
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of each query: its nearest vectors with both labels."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = _neighbours(spark, sf_dir, POOL).join(vectors.select("vec_id", "label"), "vec_id")
+    named = vectors.filter(ASKED).select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    return found.join(named, "query_id").select(F.col("query_id").alias("query"), F.col("vec_id").alias("id"), "rank", "label", "q_label")
+
+
+def _grades(found: DataFrame) -> DataFrame:
+    """Judgments of two thirds of the pool, by how far the labels are apart."""
+    gap = F.abs(F.col("label") - F.col("q_label"))
+    judged = found.filter((F.col("id") + F.col("query")) % 3 != 0)
+    return judged.select("query", "id", F.when(gap == 0, 2).when(gap == 1, 1).otherwise(0).alias("grade"))
 
 
 _GRADED = """
-j AS (SELECT query_id, vec_id, CASE abs(label - q_label) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS grade FROM s WHERE (query_id + vec_id) % 3 <> 0),
+j AS (SELECT query_id, vec_id, CASE abs(label - q_label) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS grade FROM r WHERE rank <= 20 AND (query_id + vec_id) % 3 <> 0),
 i AS (SELECT query_id, sum((2.0::DOUBLE ** grade - 1) / log2(p + 1.0)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, vec_id) AS p FROM j) WHERE p <= 5 GROUP BY query_id)"""
-_METRICS = f"""WITH {_KNN.format(below=50)}, {_GRADED},
+_METRICS = f"""WITH {_KNN}, {_GRADED},
 t AS (SELECT r.query_id, r.rank, j.grade, coalesce(j.grade, 0) AS g FROM r LEFT JOIN j USING (query_id, vec_id) WHERE rank <= 5),
 m AS (SELECT query_id AS query, count(*) AS returned, count(*) FILTER (grade IS NULL) AS unjudged, count(*) FILTER (g >= 2) / 5.0::DOUBLE AS precision,
   sum((2.0::DOUBLE ** g - 1) / log2(rank + 1.0)) AS dcg, coalesce(max(CASE WHEN g >= 2 THEN 1.0::DOUBLE / rank END), 0) AS rr, count(*) FILTER (g >= 2) AS n_relevant, count(*) FILTER (g = 1) AS n_partial FROM t GROUP BY query_id),
@@ -492,7 +500,8 @@ e AS (SELECT m.*, CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END AS ndcg FROM m
 
 @query(f"{_METRICS} SELECT query, returned, unjudged, precision, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr, n_relevant, n_partial FROM e")
 def ndcg_precision_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluation.per_query(_results(spark, sf_dir, 50, 5), _grades(spark, sf_dir, 50), 5)
+    found = _found(spark, sf_dir)
+    out = evaluation.per_query(found, _grades(found), 5)
     return out.withColumns({c: F.round(c, 6) for c in ("ndcg", "rr")})
 
 
@@ -500,12 +509,13 @@ def ndcg_precision_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_METRICS} SELECT count(*) AS n_queries, round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, round(sum(unjudged) / greatest(sum(returned), 1)::DOUBLE, 6) AS unjudged FROM e"
 )
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluation.summary(evaluation.per_query(_results(spark, sf_dir, 50, 5), _grades(spark, sf_dir, 50), 5))
+    found = _found(spark, sf_dir)
+    out = evaluation.summary(evaluation.per_query(found, _grades(found), 5))
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "ndcg", "mrr", "unjudged")})
 
 
 @query(
-    f"""WITH {_KNN.format(below=50)}, {_GRADED},
+    f"""WITH {_KNN}, {_GRADED},
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM (SELECT r.query_id, r.rank, j.grade FROM r JOIN j USING (query_id, vec_id) WHERE rank <= 20)),
 d AS (SELECT query_id, sum((2.0::DOUBLE ** grade - 1) / log2(p + 1.0)) AS dcg FROM c WHERE p <= 5 GROUP BY query_id),
 b AS (SELECT query_id, count(*) AS n FROM j WHERE grade = 2 GROUP BY query_id),
@@ -514,29 +524,25 @@ SELECT q.query_id AS query, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / id
 FROM (SELECT DISTINCT query_id FROM r) q LEFT JOIN d USING (query_id) LEFT JOIN i USING (query_id) LEFT JOIN b USING (query_id) LEFT JOIN h USING (query_id)"""
 )
 def condensed_ndcg_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _results(spark, sf_dir, 50, 20)
-    out = evaluation.condensed(found, _grades(spark, sf_dir, 50), found)
+    found = _found(spark, sf_dir)
+    out = evaluation.condensed(found, _grades(found), found)
     return out.withColumns({c: F.round(c, 6) for c in ("ndcg", "recall")})
 
 
-def _draw_rows(n: int, iterations: int) -> str:
-    return ",".join(f"({k},{i},{c})" for k, counts in enumerate(evaluation.bootstrap_draws(n, iterations, 0)) for i, c in enumerate(counts) if c)
-
-
 @query(
-    f"""WITH {_KNN.format(below=20)}, x AS (SELECT query_id, max(sim) FILTER (rank = 1) - max(sim) FILTER (rank = 5) - 0.05 AS diff FROM r GROUP BY query_id),
-p AS (SELECT diff, row_number() OVER (ORDER BY query_id) - 1 AS i FROM x), w(k, i, c) AS (VALUES {_draw_rows(20, 200)}),
-m AS (SELECT k, sum(c * diff) / 20 AS m FROM w JOIN p USING (i) GROUP BY k), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m),
-e AS (SELECT max(m) FILTER (r = 5) AS low, max(m) FILTER (r = 194) AS high FROM o)
-SELECT round((SELECT avg(diff) FROM x), 6) AS mean_diff, 20::BIGINT AS n, round(low, 6) AS low, round(high, 6) AS high, low <= 0 AND high >= 0 AS holds_zero FROM e"""
+    f"""WITH {_KNN}, x AS (SELECT query_id, (max(sim) FILTER (rank = 1) - max(sim) FILTER (rank = 5) - 0.05)::DECIMAL(20, 9) AS diff FROM r GROUP BY query_id),
+p AS (SELECT diff, row_number() OVER (ORDER BY query_id) - 1 AS i, count(*) OVER () AS n FROM x),
+w AS (SELECT k.range AS k, ('0x' || substr(md5('0|' || k.range || '|' || p.i), 1, 8))::BIGINT % n AS i FROM range(2000) k, p),
+m AS (SELECT k, sum(diff)::DOUBLE / max(n) AS m FROM w JOIN p USING (i) GROUP BY k), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m),
+e AS (SELECT max(m) FILTER (r = 50) AS low, max(m) FILTER (r = 1949) AS high FROM o)
+SELECT (SELECT sum(diff)::DOUBLE / count(*) FROM x) AS mean_diff, (SELECT count(*) FROM x) AS n, low, high, low <= 0 AND high >= 0 AS holds_zero FROM e"""
 )
 def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of a mean difference by 200 resamples of 20 queries."""
-    found = _neighbours(spark, sf_dir, 20, 5)
+    """Interval of a mean difference by 2,000 resamples of all queries."""
+    found = _neighbours(spark, sf_dir, 5)
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("sim")))
     diffs = found.groupBy(F.col("query_id").alias("query")).agg((at(1) - at(5) - 0.05).alias("diff"))
-    out = evaluation.paired_bootstrap(diffs, 200, 0)
-    return out.withColumns({c: F.round(c, 6) for c in ("mean_diff", "low", "high")})
+    return evaluation.paired_bootstrap(diffs, 2000, 0, hashed=True)
 
 
 @query(
@@ -623,17 +629,19 @@ def conversion_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks, choices and errors as feedback on the first words of the conversation with the user's number."""
-    asked = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("user_id"), F.substring("text", 1, 40).alias("query"))
-    events = table(spark, sf_dir, "events").filter("event_type IN ('click', 'purchase', 'error')")
+    """Clicks, choices and errors as feedback on the turns of the conversation with the user's number, one turn an event."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("user_id"), "turn", F.coalesce("text", F.lit("")).alias("query"))
+    many = turns.groupBy("user_id").agg((F.max("turn") + 1).alias("turns"))
+    events = table(spark, sf_dir, "events").filter("event_type IN ('click', 'purchase', 'error')").join(many, "user_id").withColumn("turn", F.col("event_id") % F.col("turns"))
     keyword = F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string"))
     liked = F.when(F.col("event_type") == "click", 1).otherwise(0)
-    return events.join(asked, "user_id").select("event_id", "query", keyword.alias("keyword"), liked.alias("liked"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("chosen"))
+    return events.join(turns, ["user_id", "turn"]).select("event_id", "query", keyword.alias("keyword"), liked.alias("liked"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("chosen"))
 
 
 _FEEDBACK = """
-f AS (SELECT event_id, left(text, 40) AS query, 'k' || (event_id % 7)::VARCHAR AS keyword, (event_type IN ('click', 'purchase'))::INT AS liked, (event_type = 'purchase')::INT AS chosen
-      FROM events JOIN conversations ON user_id = conv_id WHERE turn = 0 AND event_type IN ('click', 'purchase', 'error')),
+n AS (SELECT conv_id, max(turn) + 1 AS turns FROM conversations GROUP BY conv_id),
+f AS (SELECT event_id, coalesce(text, '') AS query, 'k' || (event_id % 7)::VARCHAR AS keyword, (event_type IN ('click', 'purchase'))::INT AS liked, (event_type = 'purchase')::INT AS chosen
+      FROM events JOIN n ON user_id = n.conv_id JOIN conversations c ON c.conv_id = n.conv_id AND turn = event_id % turns WHERE event_type IN ('click', 'purchase', 'error')),
 x AS (SELECT query, keyword, liked, chosen, unnest(list_distinct(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> ''))) AS token FROM f),
 c AS (SELECT token, keyword, sum(CASE WHEN liked = 1 THEN 1 + chosen ELSE 0 END)::BIGINT AS likes, sum(CASE WHEN liked = 0 THEN 1 ELSE 0 END)::BIGINT AS dislikes FROM x GROUP BY token, keyword)"""
 
@@ -646,21 +654,22 @@ def token_feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FEEDBACK} SELECT * FROM c")
 def feedback_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counters kept by a Structured Streaming query over the folder of events."""
-    source = _scratch(spark, "feedback-events")
+    source = shared_path(spark, "feedback-events")
     events = _feedback(spark, sf_dir)
     events.write.parquet(source)
-    return feedback.run_stream(spark, source, events.schema, _scratch(spark, "feedback-counts"), _scratch(spark, "feedback-checkpoint"))
+    return feedback.run_stream(spark, source, events.schema, shared_path(spark, "feedback-counts"), shared_path(spark, "feedback-checkpoint"))
 
 
 @query(
     f"""WITH {_FEEDBACK}, q AS (SELECT DISTINCT query, 'k' || ((length(query) + 1) % 7)::VARCHAR AS keyword FROM f),
 t AS (SELECT query, keyword, unnest(list_distinct(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> ''))) AS token FROM q)
-SELECT query, keyword, round(0.15 * avg(coalesce((likes - dislikes) / (likes + dislikes + 2.0::DOUBLE), 0)), 6) AS boost FROM t LEFT JOIN c USING (token, keyword) GROUP BY query, keyword"""
+SELECT query, keyword, (15 * sum(coalesce((likes - dislikes) * 1000000000 // (likes + dislikes + 2), 0)))::DOUBLE / (count(*) * 100000000000)::DOUBLE AS boost
+FROM t LEFT JOIN c USING (token, keyword) GROUP BY query, keyword"""
 )
 def feedback_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _feedback(spark, sf_dir)
     pairs = events.select("query", F.concat(F.lit("k"), ((F.length("query") + 1) % 7).cast("string")).alias("keyword"))
-    return feedback.boosts(pairs, feedback.token_counts(events)).withColumn("boost", F.round("boost", 6))
+    return feedback.boosts(pairs, feedback.token_counts(events))
 
 
 @query(f"WITH {_FEEDBACK} SELECT query, keyword FROM f GROUP BY query, keyword HAVING sum(liked) * 2 > count(*)")
@@ -774,17 +783,23 @@ SENTENCES = (
 )
 
 
+def _asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, whole, and after it what someone might want to eat."""
+    wants = F.element_at(F.array(*map(F.lit, SENTENCES)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(SENTENCES))) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", wants).alias("asked"))
+
+
 @query()
 def query_parse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of literal sentences, parsed in Arrow batches."""
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(SENTENCES)], "n int, sentence string")
-    return rows.select("n", "sentence", parse_column(F.col("sentence")).alias("p")).select("n", "sentence", "p.*")
+    """The parts of every text, parsed in Arrow batches."""
+    return _asked_texts(spark, sf_dir).select("conv_id", "turn", parse_column(F.col("asked")).alias("p")).select("conv_id", "turn", "p.*")
 
 
 @query()
 def query_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, t["label"], t["group"], t["avoid"]) for i, s in enumerate(SENTENCES) for t in tags(parse(s))]
-    return spark.createDataFrame(rows, "n int, label string, grp string, avoid boolean")
+    """The tags of every text, by the table function."""
+    register_tags(spark)
+    return spark.sql("SELECT conv_id, turn, label, grp, avoid FROM {asked}, LATERAL query_tags(asked)", asked=_asked_texts(spark, sf_dir))
 
 
 def identity_index(spark: SparkSession, names: list[tuple[str, str, str, dict]]) -> DataFrame:
@@ -794,19 +809,41 @@ def identity_index(spark: SparkSession, names: list[tuple[str, str, str, dict]])
     return spark.createDataFrame(rows, RECORD)
 
 
+# Dishes and their categories, for vectors to stand for.
+DISHES = (("김치 찌개", "찌개 및 전골류"), ("냉면", "면 및 만두류"), ("칼국수", "면 및 만두류"), ("볶음밥", "밥류"), ("치킨", "튀김류"), ("피자", "빵 및 과자류"), ("된장 찌개", "찌개 및 전골류"), ("샐러드", "생채·무침류"))
+
+
+def vector_records(vectors: DataFrame) -> DataFrame:
+    """``vectors`` as records: a dish by the label, every attribute by the id."""
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.pmod(by, F.lit(len(values))) + 1).cast("int"))
+    labels = {a: pick([*values, UNKNOWN], F.floor(F.col("vec_id") / (i + 1))) for i, (a, values) in enumerate(DOMAINS.items())}
+    labels |= {"계열": pick(["한식", "중식", "양식"], F.col("vec_id")), "안주": pick(["예", "아니오"], F.col("vec_id"))}
+    dish = pick([d for d, _ in DISHES], F.col("label"))
+    texts = {
+        "id": F.format_string("%012d", "vec_id"), "name": F.concat(F.lit("v"), F.col("vec_id").cast("string"), F.lit(" "), dish), "representative": dish,
+        "category": pick([c for _, c in DISHES], F.col("label")), "company": F.lit(""),
+    }
+    made = F.create_map(*(x for a, v in labels.items() for x in (F.lit(a), v)))
+    return vectors.select(
+        *(c.alias(n) for n, c in texts.items()), made.alias("labels"), F.array_except(F.map_values(made), F.array(F.lit(UNKNOWN))).alias("tokens"),
+        F.lit("approved").alias("review"), F.lit("model").alias("label_source"), F.col("embedding").cast("array<float>"),
+    )
+
+
+def recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is recommended from all vectors for every query vector and a text."""
+    vectors = table(spark, sf_dir, "embeddings")
+    text = F.element_at(F.array(*map(F.lit, SENTENCES)), (F.pmod(F.floor(F.col("vec_id") / 50), F.lit(len(SENTENCES))) + 1).cast("int"))
+    asked = vectors.filter(ASKED).select(F.col("vec_id").alias("query"), text.alias("text"), F.col("embedding").alias("vector"))
+    return recommend_all(vector_records(vectors), asked, PipelineConfig(candidate_k=20, preference_widen_k=80))
+
+
 @query()
 def recommend_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole recommendation over a small index: parsing, search, filters, ranking, choice and widening."""
-    hot, cold = {"매운맛": "강함", "국물": "국물요리", "제공온도": "뜨거움"}, {"매운맛": "없음", "국물": "국물없음", "제공온도": "차가움"}
-    names = [("김치 찌개", "김치 찌개", "찌개 및 전골류", hot), ("냉면", "냉면", "면 및 만두류", cold), ("물냉면", "냉면", "면 및 만두류", cold), ("된장 찌개", "된장 찌개", "찌개 및 전골류", hot | {"매운맛": "없음"})]
-    vectors = {"맵지 않은 국물": [0.9, 0.3, 0.2, 0.8], "냉면": [0.1, 0.9, 0.8, 0.2]}
-    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
-    engine = Recommender(identity_index(spark, names), lambda t: unit(vectors[t]), PipelineConfig(top_k=2, candidate_k=1))
-    rows = []
-    for text in vectors:
-        result = engine.recommend(text)
-        rows += [(text, result.status, ",".join(map(str, result.trail)), r["rank"], r["id"], r["name"], r["score"], r["evidence"]) for r in item_rows(result)]
-    return spark.createDataFrame(rows, "query string, status string, trail string, rank int, id string, name string, score double, evidence string")
+    """A whole recommendation from all vectors for every query vector: parsing, search, filters, ranking, choice and widening."""
+    found = recommended(spark, sf_dir)
+    out = found.select("query", "p.text", "status", F.array_join(F.col("trail").cast("array<string>"), ",").alias("trail"), F.posexplode_outer("selected").alias("pos", "s"))
+    return out.select("query", "text", "status", "trail", (F.col("pos") + 1).alias("rank"), "s.id", "s.name", F.round("s.score", 6).alias("score"), F.col("s.row.evidence").alias("evidence"))
 
 
 @query(

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.evaluation import per_query, summary
+from tessera.operators.reports import ordered_distinct
 from tessera.plans.recommend import PipelineConfig, Recommender, item_rows
 
-ITEMS = "recommender string, config string, query string, id string, name string, company string, representative string, category string, rank int, score double, status string"
+ITEMS = "pos long, recommender string, config string, query string, id string, name string, company string, representative string, category string, rank int, score double, status string"
 
 
 def run_grid(recommenders: dict[str, Recommender], queries: Iterable[str], configs: dict[str, PipelineConfig], k: int = 5) -> DataFrame:
@@ -22,13 +23,13 @@ def run_grid(recommenders: dict[str, Recommender], queries: Iterable[str], confi
         for name, engine in recommenders.items():
             for label, config in configs.items():
                 result = engine.recommend(query, replace(config, top_k=k))
-                rows += [(name, label, query, *(r[c] for c in ("id", "name", "company", "representative", "category", "rank", "score")), result.status) for r in item_rows(result)]
+                rows += [(len(rows) + i, name, label, query, *(r[c] for c in ("id", "name", "company", "representative", "category", "rank", "score")), result.status) for i, r in enumerate(item_rows(result))]
     return spark.createDataFrame(rows, ITEMS)
 
 
 def build_pool(grid: DataFrame) -> DataFrame:
-    """What is to be judged: each query's items once, whichever configuration found them."""
-    return grid.groupBy("query", "id").agg(*(F.first(c).alias(c) for c in ("name", "company", "representative", "category")))
+    """What is to be judged: each query's items once, as the first configuration that found them says, with their place."""
+    return ordered_distinct(grid.select("query", "id", "name", "company", "representative", "category", "pos"), ["query", "id"], "pos")
 
 
 def evaluate_grid(grid: DataFrame, grades: DataFrame, k: int = 5) -> DataFrame:
@@ -49,6 +50,17 @@ def weight_grid(base: PipelineConfig, menu: Iterable[float], context: Iterable[f
     return {f"menu={m}, context={c}": replace(base, ranking=replace(base.ranking, menu_match_weight=m, context_match_weight=c)) for m in menu for c in context}
 
 
+def diversity_grid(base: PipelineConfig, caps: Iterable[int], penalties: Iterable[float]) -> dict[str, PipelineConfig]:
+    """Configurations of every cap and penalty of a group."""
+    caps, penalties = list(caps), list(penalties)
+    return {f"cap={c}, penalty={p}": replace(base, ranking=replace(base.ranking, group_cap=c, group_penalty=p)) for c in caps for p in penalties}
+
+
+def range_grid(base: PipelineConfig, ranges: Iterable[int]) -> dict[str, PipelineConfig]:
+    """Configurations of every first search range."""
+    return {f"candidates={k}": replace(base, candidate_k=k) for k in ranges}
+
+
 def compare_first(grid: DataFrame, a: str, b: str) -> DataFrame:
     """``query, first_a, first_b, same``: whether two configurations agree on the first item."""
     top = grid.filter("rank = 1").groupBy("query").pivot("config", [a, b]).agg(F.first("id"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import any_of, parse_name, parse_quantity
+from tessera.functions.text import any_of, is_franchise, parse_name, parse_quantity
 from tessera.operators.cleaning import deduplicate, first_match, keyword_class, ladder, names_company, record_groups, sentinel_to_null
+from tessera.operators.reports import same_order
 from tessera.schema import CUISINES, NOT_APPLICABLE, SNACK
+from tessera.sources.vector_store import ModelSpec, StoreError, VectorStore, incompatible, provenance
 
 # Categories and keywords of the catalogue, in their natural order.
 MEAL = ["밥류", "면 및 만두류", "국 및 탕류", "찌개 및 전골류", "죽 및 스프류", "볶음류", "구이류", "튀김류", "찜류", "조림류", "전·적 및 부침류"]
@@ -157,9 +159,34 @@ def with_derived_labels(records: DataFrame, given: DataFrame | None = None) -> D
     return out.withColumns({"labels": labels, "tokens": tokens, "cuisine_source": source}).drop("_c", "_s", "_any")
 
 
-def candidates(records: DataFrame, given: DataFrame | None = None) -> DataFrame:
-    """What can be recommended: records without a company that are no plain staple, with derived labels."""
-    from tessera.functions.text import is_franchise
-
-    public = records.filter(~is_franchise(F.col("company")) & ~is_staple(F.col("representative")))
-    return with_derived_labels(public, given)
+def candidates(records: DataFrame, given: DataFrame | None = None, companies: bool = False, staples: bool = False) -> DataFrame:
+    """What can be recommended, with derived labels: without companies' records and plain staples unless asked for."""
+    rows = records
+    if not companies:
+        rows = rows.filter(~is_franchise(F.col("company")))
+    if not staples:
+        rows = rows.filter(~is_staple(F.col("representative")))
+    return with_derived_labels(rows, given)
+
+
+def load_index(
+    store: VectorStore, variant: str, spec: ModelSpec, source_files: dict[str, str], given: DataFrame | None = None, companies: bool = False, staples: bool = False
+) -> tuple[DataFrame, dict]:
+    """(candidates with vectors, where they come from and which were taken) of the one stored table that fits.
+
+    Raises if there is not exactly one, or if encoder or sources have changed since it was stored.
+    """
+    name = store.find(spec, variant)
+    manifest = store.manifest(name)
+    if problems := incompatible(manifest, spec, source_files):
+        raise StoreError(f"{name} does not fit: " + "; ".join(problems))
+    index = candidates(store.load(name), given, companies, staples)
+    scope = {"companies": companies, "staples": staples, "n": index.count(), "of": manifest["num_vectors"], "given": 0 if given is None else given.count()}
+    return index, provenance(manifest) | {"scope": scope}
+
+
+def active_index(base: DataFrame, swapped: DataFrame | None, id_: str = "id", position: str = "position") -> tuple[DataFrame, str]:
+    """The swapped-in vectors if they hold the same ids in the same order as the current candidates, else the base."""
+    if swapped is not None and same_order(base, swapped, id_, position).first()["same"]:
+        return swapped, "swapped"
+    return base, "base"

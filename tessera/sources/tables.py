@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,26 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; what is written there goes when the application ends."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is computed once and lost executors reread it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _hadoop(spark, path)
     return fs.exists(p)
@@ -86,17 +108,36 @@ def canonical_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
-def write_pointer(path: str, value: dict) -> None:
-    """A small JSON file that is replaced at once."""
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False)
-    os.replace(f"{path}.tmp", path)
-
-
-def read_pointer(path: str) -> dict:
+def write_pointer(spark: SparkSession, path: str, value: dict) -> None:
+    """A small JSON file in the shared folder that is replaced at once: written aside, then moved over the one before."""
+    fs, target = _hadoop(spark, path)
+    _, fresh = _hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
+    out.close()
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
+
+
+def read_pointer(spark: SparkSession, path: str) -> dict:
     """The pointer, or an empty one if it is missing or broken."""
+    if not exists(spark, path):
+        return {}
     try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    except (OSError, ValueError):
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    except (TypeError, ValueError):
         return {}
+
+
+def load_sources(spark: SparkSession, units: str, labels: str, rows: str, schemas: dict[str, T.StructType]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units (CSV), labels (JSON lines) and rows (CSV), each with its schema of that name."""
+    return read_csv(spark, units, schemas["units"]), read_jsonl(spark, labels, schemas["labels"]), read_csv(spark, rows, schemas["rows"])
+
+
+def read_queries(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """The evaluation's queries, all texts, of one ``split`` if given."""
+    rows = read_csv(spark, path)
+    return rows if split is None else rows.filter(F.col("split") == split)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,55 @@ from tessera.sources.tables import _hadoop, canonical_hash, exists
 VERSION = 1
 
 
+@dataclass(frozen=True)
+class ModelSpec:
+    """What an encoder must agree on with stored vectors."""
+
+    model_id: str
+    model_revision: str
+    dimension: int
+    normalized: bool = True
+    pooling: str = "mean"
+    max_seq_length: int = 512
+    query_prefix: str = "query: "
+    document_prefix: str = "passage: "
+    text_spec_version: int = 1
+
+    def as_dict(self) -> dict:
+        return asdict(self)
+
+    @property
+    def slug(self) -> str:
+        """The model's name as a part of a folder's name."""
+        return re.sub(r"[^a-z0-9]+", "-", self.model_id.rsplit("/", 1)[-1].lower()).strip("-")
+
+
+def store_config(spec: ModelSpec, variant: str, source_files: dict[str, str], text_field: str = "embedding_text") -> dict:
+    """The configuration that a table of vectors is stored under: the encoder, the text variant and the sources' hashes."""
+    return spec.as_dict() | {"text_variant": variant, "text_field": text_field, "source_files": dict(sorted(source_files.items()))}
+
+
+def result_name(spec: ModelSpec, variant: str, config: dict) -> str:
+    """A table's name: model, revision, variant and the beginning of its configuration's hash."""
+    return f"{spec.slug}_{spec.model_revision[:8]}_{variant}_{canonical_hash(config)[:10]}"
+
+
+def incompatible(manifest: dict, spec: ModelSpec, source_files: dict[str, str]) -> list[str]:
+    """What in a stored table disagrees with the encoder or the sources' hashes; empty if it may be used."""
+    config = manifest.get("config") or {}
+    said = {k: config.get(k) for k in spec.as_dict()}
+    out = [f"{k}: stored {said[k]!r}, expected {v!r}" for k, v in spec.as_dict().items() if said[k] != v]
+    kept = config.get("source_files") or {}
+    return out + [f"{name} has changed" for name, digest in sorted(source_files.items()) if kept.get(name) != digest]
+
+
+def provenance(manifest: dict) -> dict:
+    """Where vectors come from, as it is kept with what was made of them."""
+    config = manifest.get("config") or {}
+    parts = {k: config.get(k) for k in ("model_id", "model_revision", "text_variant", "text_spec_version", "source_files")}
+    return {k: manifest.get(k) for k in ("name", "config_hash", "num_vectors", "dimension", "created_at")} | parts
+
+
 class StoreError(ValueError):
     """A vector table is not what its manifest, or the caller, says."""
 
@@ -63,7 +115,7 @@ class VectorStore:
                 raise StoreError(f"{name} is there already")
         stats = self.check(vectors, config.get("dimension"))
         vectors.write.mode("overwrite").parquet(self._path(name, "vectors"))
-        manifest = {"version": VERSION, "name": name, "config": config, "config_hash": canonical_hash(config), **stats}
+        manifest = {"version": VERSION, "name": name, "config": config, "config_hash": canonical_hash(config), "created_at": datetime.now(timezone.utc).isoformat(), **stats}
         self.spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(self._path(name, "manifest"))
         return manifest
 
@@ -79,10 +131,19 @@ class VectorStore:
         return vectors
 
     def catalogue(self) -> list[dict]:
-        """Manifests of all tables; folders without one are listed as unmanaged."""
+        """Manifests of all tables; folders without one, and bare arrays of earlier versions, are listed as unmanaged."""
         fs, root = _hadoop(self.spark, self.root)
-        names = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory()) if fs.exists(root) else []
-        return [self.manifest(n) if exists(self.spark, self._path(n, "manifest")) else {"name": n, "unmanaged": True} for n in names]
+        found = sorted((f.getPath().getName(), f.isDirectory()) for f in fs.listStatus(root)) if fs.exists(root) else []
+        names = [name for name, folder in found if folder or name.endswith(".npy")]
+        return [self.manifest(n) if exists(self.spark, self._path(n, "manifest")) else {"name": n.removesuffix(".npy"), "unmanaged": True} for n in names]
+
+    def find(self, spec: ModelSpec, variant: str) -> str:
+        """The name of the one table of an encoder and a text variant; raises if there is none or more than one."""
+        want = {"model_id": spec.model_id, "model_revision": spec.model_revision, "text_variant": variant}
+        names = [m["name"] for m in self.catalogue() if not m.get("unmanaged") and all(m["config"].get(k) == v for k, v in want.items())]
+        if len(names) != 1:
+            raise StoreError(f"{len(names)} tables of text {variant} ({', '.join(names)}), there must be one")
+        return names[0]
 
     def reuse_check(self, name: str, config: dict) -> dict:
         """Whether a stored table fits a configuration, and where they differ."""

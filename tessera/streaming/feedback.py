@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.text import is_test_query, token_set
 
-WEIGHT, PRIOR = 0.15, 2.0
+#: A word's weight in hundredths, and the votes that every word starts with.
+WEIGHT, PRIOR = 15, 2
 
 
 def normalized(events: DataFrame) -> DataFrame:
@@ -26,12 +27,14 @@ def token_counts(events: DataFrame) -> DataFrame:
     return rows.groupBy("token", "keyword").agg(up.alias("likes"), down.alias("dislikes"))
 
 
-def boosts(pairs: DataFrame, counts: DataFrame, weight: float = WEIGHT, prior: float = PRIOR) -> DataFrame:
-    """``query, keyword, boost`` of each pair: the mean over all words of the query, unseen ones counting 0."""
+def boosts(pairs: DataFrame, counts: DataFrame, weight: int = WEIGHT, prior: int = PRIOR) -> DataFrame:
+    """``query, keyword, boost`` of each pair: ``weight`` hundredths of the mean over all words of the query, unseen ones
+    counting 0.  A word's worth is cut to a whole number of billionths, so that sums are exact in whatever order they are made.
+    """
     asked = pairs.select("query", "keyword").distinct()
     rows = asked.withColumn("token", F.explode_outer(token_set(F.col("query")))).join(counts, ["token", "keyword"], "left")
-    worth = F.coalesce((F.col("likes") - F.col("dislikes")) / (F.col("likes") + F.col("dislikes") + prior), F.lit(0.0))
-    return rows.groupBy("query", "keyword").agg((weight * F.avg(worth)).alias("boost"))
+    worth = F.coalesce(F.expr(f"(likes - dislikes) * 1000000000L div (likes + dislikes + {prior})"), F.lit(0).cast("long"))
+    return rows.groupBy("query", "keyword").agg(((weight * F.sum(worth)).cast("double") / (F.count("*") * F.lit(100_000_000_000)).cast("double")).alias("boost"))
 
 
 def liked_pairs(events: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Ranking, recommendation, preparation, stores and feedback on literal fixtures."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -7,14 +9,18 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import family, is_test_query, menu_key, parse_name, parse_quantity, same_menu
 from tessera.operators.evaluation import condensed, kappa, paired_bootstrap, per_query
-from tessera.operators.ranking import RankingConfig, choice_columns, drop_reasons, select_top_k
+from tessera.operators.ranking import RankingConfig, choice_columns, drop_reasons, select_top_k, top_k_similar
 from tessera.operators.sampling import packed_batches, sqrt_quotas
-from tessera.plans import food
-from tessera.plans.catalogue import identity_index
-from tessera.plans.recommend import EMBEDDING_ONLY, PipelineConfig, Recommender, pick_menus
+from tessera.operators.reports import observe_lists
+from tessera.plans import catalogue, food
+from tessera.plans.catalogue import SENTENCES, identity_index, vector_records
+from tessera.plans.experiments import ITEMS, build_pool, diversity_grid, range_grid
+from tessera.plans.parser import parse, tags
+from tessera.plans.recommend import EMBEDDING_ONLY, PipelineConfig, Recommender, check_request, pick_menus, recommend_all
+from tessera.plans.report_queries import parser_coverage_summary
 from tessera.schema import FEEDBACK, Condition
 from tessera.sources.tables import add_column_if_missing, append_jsonl, read_csv, read_or_empty, read_pointer, write_pointer, write_sheet, write_with_backup
-from tessera.sources.vector_store import StoreError, VectorStore, encode
+from tessera.sources.vector_store import ModelSpec, StoreError, VectorStore, encode, result_name, store_config
 from tessera.streaming import feedback
 
 # --- names and cleaning
@@ -182,9 +188,10 @@ def test_sheets_and_logs(spark, tmp_path):
     assert spark.read.parquet(table).count() == 2 and spark.read.parquet(backup).count() == 1
     assert add_column_if_missing(spark.range(1), "chosen", "int", 0).first()["chosen"] == 0
     pointer = str(tmp_path / "current.json")
-    assert read_pointer(pointer) == {}
-    write_pointer(pointer, {"dir": "m"})
-    assert read_pointer(pointer) == {"dir": "m"}
+    assert read_pointer(spark, pointer) == {}
+    for name in ("l", "m"):
+        write_pointer(spark, pointer, {"dir": name})
+    assert read_pointer(spark, pointer) == {"dir": "m"}
 
 
 def test_vector_store(spark, tmp_path):
@@ -239,3 +246,142 @@ def test_grid_pool_and_tags(spark, index):
     assert len(weight_grid(engine.config, [0, 0.3], [0, 0.05, 0.15])) == 6
     register_tags(spark)
     assert {r["label"] for r in spark.sql("SELECT * FROM query_tags('피자 말고 매운 거')").collect()} == {"매운", "피자 말고"}
+
+
+# --- tables of queries
+
+
+def plain_recommendation(records, vectors, text, vector, config):
+    """One query, step by step, in plain Python: parse, search, filter, score, choose, widen."""
+    spec = parse(text)
+    if spec.is_empty or spec.contradictions:
+        return ("empty_query" if spec.is_empty else "contradiction"), [], []
+    order = sorted(records, key=lambda i: (-round(float(np.dot(vectors[i], vector)), 9), i))
+    known = lambda r, c: r["labels"].get(c.attribute) or "미확인"
+    points = lambda r, t: t in (r["representative"], r["category"]) or t in r["name"].split() or t in r["category"].split()
+    alias = {"밥": "밥류", "면": "면 및 만두류", "죽": "죽 및 스프류", "전": "전·적 및 부침류", "부침개": "전·적 및 부침류"}
+    out_terms = [alias.get(e["term"], e["term"]) for e in spec.menu_exclusions]
+    menu = [alias.get(t, t) for t in spec.menu_terms]
+    context = [t["term"] for t in spec.context_terms if t["term"] not in spec.menu_terms]
+    group = lambda r: r["representative"].split()[-1]
+    free = {group(r) for r in records.values() if any(points(r, t) for t in menu + [alias.get(t, t) for t in context])}
+    size, soft_limit = len(records), min(config.preference_widen_k, len(records))
+    k, trail = min(max(config.candidate_k, 1), size), []
+    while True:
+        trail.append(k)
+        scored = []
+        for i in order[:k]:
+            r = records[i]
+            if any(known(r, c) not in c.allowed for c in spec.hard) or any(points(r, t) for t in out_terms):
+                continue
+            sim = round(float(np.dot(vectors[i], vector)), 9)
+            pref = sum(known(r, c) in c.allowed for c in spec.soft) / len(spec.soft) if spec.soft else 0.0
+            bonus = max(0.3 if any(points(r, t) for t in menu) else 0.0, 0.05 if any(points(r, alias.get(t, t)) for t in context) else 0.0)
+            scored.append((-round(0.7 * sim + 0.3 * pref + bonus, 9), -sim, i, pref))
+        taken, held = [], {}
+        for _, _, i, pref in sorted(scored):
+            words = [w.lower() for w in records[i]["name"].split()]
+            if any(w[: min(len(w), len(words))] == words[: min(len(w), len(words))] for w in ([x.lower() for x in records[j]["name"].split()] for j, _ in taken)):
+                continue
+            g = group(records[i])
+            if held.get(g, 0) >= 2 and g not in free:
+                continue
+            held[g] = held.get(g, 0) + 1
+            taken.append((i, pref))
+            if len(taken) == config.top_k:
+                break
+        if len(taken) < config.top_k and k < size:
+            k = min(2 * k, size)
+        elif spec.soft and k < soft_limit and sum(p >= 1 for _, p in taken) < config.top_k:
+            k = min(2 * k, soft_limit)
+        else:
+            return ("ok" if len(taken) == config.top_k else "shortage"), trail, [i for i, _ in taken]
+
+
+def test_recommendations_like_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, 12))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist(), i % 8) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    index = vector_records(vectors).cache()
+    records = {r["id"]: r.asDict() for r in index.drop("embedding").collect()}
+    at = {f"{i:012d}": v.astype(np.float64) for i, v in enumerate(x)}
+    texts = [*SENTENCES, None, "치킨 말고 매운 거", "꼭 매운 찌개", "냉면"]
+    asked = spark.createDataFrame([(n, t, x[n].tolist()) for n, t in enumerate(texts)], "query long, text string, vector array<float>")
+    config = PipelineConfig(candidate_k=5, preference_widen_k=40)
+    found = recommend_all(index, asked, config).cache()
+    seen = {r["query"]: r for r in observe_lists(found).collect()}
+    for r in found.collect():
+        status, trail, items = plain_recommendation(records, at, texts[r["query"]], x[r["query"]].astype(np.float64), config)
+        assert (r["status"], list(r["trail"] or []), [s["id"] for s in r["selected"] or []]) == (status, trail, items), texts[r["query"]]
+        o, spec = seen[r["query"]], parse(texts[r["query"]])
+        known = lambda i, c: records[i]["labels"].get(c.attribute) or "미확인"  # noqa: B023, E731
+        assert (o["returned"], o["violations"], o["duplicates"], o["widened_times"]) == (len(items), 0, 0, max(len(trail) - 1, 0))
+        assert o["mismatched"] == sum(known(i, c) not in (*c.allowed, "미확인") for i in items for c in spec.soft)
+        assert o["unknown"] == sum(any(known(i, c) == "미확인" for c in (*spec.hard, *spec.soft)) for i in items)
+        assert o["repeated"] == len(items) - len({records[i]["representative"] for i in items})
+
+
+def test_texts_are_parsed_whole_in_batches_and_by_the_table_function(spark, tmp_path):
+    rows = [(c, t, text) for c in range(6) for t, text in enumerate(["hello there " * 400, None, "맵지 않은 " * 3])]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    texts = {(c, t): " ".join(x for x in (text, SENTENCES[(c + t) % len(SENTENCES)]) if x is not None) for c, t, text in rows}
+    for r in catalogue.query_parse_table(spark, str(tmp_path)).collect():
+        spec = parse(texts[r["conv_id"], r["turn"]])
+        assert [(c["attribute"], tuple(c["allowed"])) for c in r["hard"]] == [(c.attribute, c.allowed) for c in spec.hard] and list(r["menu_terms"]) == spec.menu_terms
+    want = sorted((c, t, x["label"], x["group"], x["avoid"]) for (c, t), text in texts.items() for x in tags(parse(text)))
+    assert sorted(tuple(r) for r in catalogue.query_tags(spark, str(tmp_path)).collect()) == want
+    cover = parser_coverage_summary(spark, str(tmp_path)).first()
+    specs = [parse(t) for t in texts.values()]
+    assert (cover["n"], cover["with_hard"], cover["with_menu"], cover["with_unhandled"]) == (18, sum(bool(s.hard) for s in specs), sum(bool(s.menu_terms) for s in specs), sum(bool(s.unhandled) for s in specs))
+
+
+def test_search_leaves_out_what_it_cannot_compare(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0]), (3, [1.0, None]), (4, None), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = [(r["query_id"], r["id"], r["sim"]) for r in top_k_similar(df.filter("id < 2 or id > 4"), df, 2, "id", "id", exclude_self=True).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 6, 1.0), (0, 7, 1.0), (1, 0, 0.0), (1, 6, 0.0), (6, 0, 1.0), (6, 7, 1.0), (7, 0, 1.0), (7, 6, 1.0)]
+    assert top_k_similar(df.limit(0), df, 2, "id", "id").count() == 0 and top_k_similar(df, df.limit(0), 2, "id", "id").count() == 0
+
+
+# --- stored indexes
+
+
+def test_an_index_is_found_checked_and_cut_to_its_scope(spark, tmp_path):
+    store, spec = VectorStore(spark, f"file:{tmp_path}/store"), ModelSpec("org/Some Model", "abcdef0123", 8)
+    hashes = {"units.csv": "1", "labels.jsonl": "2"}
+    config = store_config(spec, "B", hashes)
+    name = result_name(spec, "B", config)
+    assert name.startswith("some-model_abcdef01_B_")
+    with pytest.raises(StoreError):
+        store.find(spec, "B")
+    names = [*NAMES[:6], ("쌀밥", "쌀밥", "밥류", HOT), ("버거", "버거", "빵 및 과자류", COLD)]
+    rows = identity_index(spark, names).withColumn("company", F.when(F.col("id") == "u7", "회사").otherwise(""))
+    store.save(name, rows, config)
+    open(f"{tmp_path}/store/old-result.npy", "w").close()
+    assert {"name": "old-result", "unmanaged": True} in store.catalogue()
+    index, ref = food.load_index(store, "B", spec, hashes)
+    assert index.count() == 6 and ref["scope"] == {"companies": False, "staples": False, "n": 6, "of": 8, "given": 0} and ref["model_id"] == "org/Some Model"
+    assert food.load_index(store, "B", spec, hashes, companies=True, staples=True)[0].count() == 8
+    for other, changed in ((replace(spec, pooling="cls"), hashes), (spec, hashes | {"units.csv": "9"})):
+        with pytest.raises(StoreError):
+            food.load_index(store, "B", other, changed)
+    placed = lambda ids: spark.createDataFrame(list(enumerate(ids)), "position long, id string")
+    assert [food.active_index(placed("abc"), s)[1] for s in (None, placed("abc"), placed("acb"), placed("ab"))] == ["base", "swapped", "base", "base"]
+
+
+def test_requests_out_of_bounds(spark):
+    check_request(query="x", keyword="k", menu="", place_id="", limit=10)
+    for wrong in ({"query": ""}, {"query": "x" * 201}, {"keyword": "k" * 51}, {"menu": "m" * 101}, {"place_id": "p" * 31}, {"limit": 0}, {"limit": 11}):
+        with pytest.raises(ValueError):
+            check_request(**wrong)
+
+
+def test_pools_and_grids_keep_the_first_finding():
+    base = PipelineConfig()
+    assert len(diversity_grid(base, [1, 2, 3], [0.0, 0.1, 0.2])) == 9 and [c.candidate_k for c in range_grid(base, [5, 10]).values()] == [5, 10]
+
+
+def test_pool_in_order(spark):
+    rows = [(0, "a", "x", "q", "1", "first", "", "", "", 1, 0.5, "ok"), (1, "a", "y", "q", "1", "second", "", "", "", 1, 0.5, "ok"), (2, "a", "y", "q", "2", "other", "", "", "", 2, 0.4, "ok")]
+    assert [(r["id"], r["name"]) for r in build_pool(spark.createDataFrame(rows, ITEMS)).orderBy("pos").collect()] == [("1", "first"), ("2", "other")]
