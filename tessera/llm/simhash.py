@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,35 +203,67 @@ def sized_buckets(entries: DataFrame, keys: list[str], hot: dict[tuple, int]) ->
     return entries.filter(~is_hot).withColumn("n", F.count("*").over(counted)), entries.filter(is_hot).withColumn("n", many[bucket])
 
 
-def near_edges(nodes: DataFrame, radius: int, masks: list[int], block: int = BLOCK) -> DataFrame:
+def near_edges(scratch: Scratch, nodes: DataFrame, radius: int, masks: list[int], block: int = BLOCK) -> DataFrame:
     """Star edges ``a, b`` that connect what lies within ``radius`` bits, over distinct fingerprints ``node, f0``."""
     tables = [F.struct(F.lit(i).cast("long").alias("t"), F.col("f0").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)]
     entries = nodes.select("node", "f0", F.inline(F.array(*tables)))
     hot = hot_buckets(entries.filter(in_sample()), ["t", "k"])
-    return bucket_edges(*sized_buckets(entries, ["t", "k"], hot), ["t", "k"], ["f0"], within(radius), block)
+    return bucket_edges(scratch, *sized_buckets(entries, ["t", "k"], hot), ["t", "k"], ["f0"], within(radius), block)
 
 
-def bucket_edges(sized: DataFrame, hot: DataFrame, keys: list[str], prints: list[str], near, block: int = BLOCK) -> DataFrame:
+def _small_or_passed(cluster, block: int, names: list[str]):
+    """Rows of :func:`sized_buckets` in bucket order in; edges of the buckets of at most ``block`` rows out, with nulls for
+    all else, and the rows of larger buckets as they are, with nulls for the edge."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((n, pa.int64()) for n in names)])
+
+    def full(columns: dict) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(rows, pa.int64())) for n in schema.names], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: list[pa.RecordBatch] = []
+
+        def small() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fits = pa.compute.less_equal(batch.column("n"), block)
+                large = batch.filter(pa.compute.invert(fits))
+                if large.num_rows:
+                    passed.append(full(dict(zip(names, large.columns))))
+                yield batch.filter(fits).select(names[:-1])
+
+        for edges in cluster(small()):
+            yield from passed
+            passed.clear()
+            yield full({"a": edges.column(0), "b": edges.column(1)})
+        yield from passed
+
+    return run, ", ".join(f"{n} long" for n in schema.names)
+
+
+def bucket_edges(scratch: Scratch, sized: DataFrame, hot: DataFrame, keys: list[str], prints: list[str], near, block: int = BLOCK) -> DataFrame:
     """Edges ``a, b`` that connect what is ``near`` by its ``prints`` within buckets of equal ``keys`` and size ``n``.
 
-    The rows of a bucket in ``sized`` lie in one partition.  Buckets of at most ``block`` rows are searched in one task
-    each; larger ones and ``hot`` ones, which lie anywhere, are dealt into blocks and every pair of blocks is searched, so
-    that no task holds more than about two blocks and no pair is lost.
+    The rows of a bucket in ``sized`` lie in one partition, where buckets of at most ``block`` rows are searched.  The rows
+    of larger buckets, and those of ``hot`` ones, which lie anywhere, are dealt into blocks and every pair of blocks is
+    searched, so that no task holds more than about two blocks and no pair is lost.
     """
     cluster = _cluster(len(prints), near)
-    small = sized.filter((F.col("n") > 1) & (F.col("n") <= block)).select(*keys, "node", *prints).sortWithinPartitions(*keys).mapInArrow(cluster, "a long, b long")
+    columns = [*keys, "node", *prints, "n"]
+    run, schema = _small_or_passed(cluster, block, columns)
+    first = scratch.save(sized.filter("n > 1").select(columns).sortWithinPartitions(*keys).mapInArrow(run, schema))
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     large = (
-        sized.filter(F.col("n") > block)
-        .unionByName(hot)
+        first.filter("a is null")
+        .select(columns)
+        .unionByName(hot.select(columns))
         .select(*keys, F.inline(pairs), "node", *prints)
         .repartition(*keys, "i", "j")
         .sortWithinPartitions(*keys, "i", "j")
         .mapInArrow(cluster, "a long, b long")
     )
-    return small.unionByName(large)
+    return first.filter("a is not null").select("a", "b").unionByName(large)
 
 
 def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -246,7 +279,7 @@ def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprints(docs, k, id_col, text_col))
     nodes = scratch.save(prints.groupBy("f0").agg(F.min(id_col).alias("node")).filter("node is not null"))
-    edges = contracted(scratch.save(near_edges(nodes, radius, covering_masks(radius), block)))
+    edges = contracted(scratch.save(near_edges(scratch, nodes, radius, covering_masks(radius), block)))
     # A repeated id with several texts ties its fingerprints together.
     tied = prints.join(nodes, "f0").filter(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("a"), F.col("node").alias("b"))
     tied = tied.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
@@ -466,7 +499,7 @@ def verified_groups(
     hot = hot_buckets(postings(nodes.filter(in_sample())), ["k"])
     # Most first shingles are in one set only; the others alone take parities along.
     shared, common = (x.filter("n > 1").join(nodes.select("node", *prints), "node").select("k", "node", *prints, "n") for x in sized_buckets(postings(nodes), ["k"], hot))
-    edges = bucket_edges(shared.repartition("k"), common, ["k"], prints, may_reach(similarity), block)
+    edges = bucket_edges(scratch, shared.repartition("k"), common, ["k"], prints, may_reach(similarity), block)
     proposed = contracted(scratch.save(edges.distinct()))
     members = scratch.save(connected_components(proposed).select(F.col("node").alias("id"), F.col("component").alias("_grp")))
     # Only the texts of proposed documents travel, and few others.

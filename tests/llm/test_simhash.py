@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from tessera.llm.common import Scratch
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import bucket_edges, covering_masks, fingerprint, hot_buckets, in_sample, local_roots, simhash_groups, similar_roots, sized_buckets, verified_groups, within
 
@@ -129,7 +130,7 @@ def test_hot_buckets_are_split_without_losing_a_pair(spark):
     hot = hot_buckets(entries.filter(in_sample()), ["t", "k"])
     assert hot
     got = [
-        sorted((r["node"], r["component"]) for r in connected_components(bucket_edges(*sized_buckets(entries, ["t", "k"], h), ["t", "k"], ["f0"], within(4), block=block)).collect())
+        sorted((r["node"], r["component"]) for r in connected_components(bucket_edges(Scratch(spark, "buckets"), *sized_buckets(entries, ["t", "k"], h), ["t", "k"], ["f0"], within(4), block=block)).collect())
         for h, block in ((hot, 300), ({}, 65_536), (hot, 65_536))
     ]
     assert got[0] and got[0] == got[1] == got[2]
