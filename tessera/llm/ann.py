@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, rows_of
+from tessera.llm.common import Scratch, partition_keys, rows_of
 from tessera.llm.embed_dedup import dimension, usable
 
 #: Vectors of a shard; links of a vector in the upper layers (twice that in the lowest); candidates that they are chosen
@@ -199,18 +199,6 @@ def _doubles(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x, y / np.sqrt((y * y).sum(axis=1, keepdims=True))
 
 
-def _assigned(at: np.ndarray, dim: int):
-    """Rows (v, ...) in; their nearest centre before them out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 4096):
-            if batch.num_rows:
-                cell = (_doubles(batch.column(batch.schema.names.index("v")), dim)[1] @ at.T).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *batch.columns], ["cell", *batch.schema.names])
-
-    return run
-
-
 def probed_cells(units: DataFrame, asked: DataFrame, at: np.ndarray, dim: int, k: int, held: float = HELD, probes: int = PROBES) -> int:
     """How many of the cells nearest to a query must be searched to hold a share ``held`` of the k true neighbours.
 
@@ -279,25 +267,42 @@ def nearest(
     at = centres(_doubles(taken.column(0).combine_chunks(), dim)[1], min(cells, max(1, -(-total // shard)))) if total else np.zeros((1, max(1, dim)))
     near = probed_cells(units, asked, at, dim, k, held)
     kind = dict(units.dtypes)["v"]
-    base = units.select("h", "ids", "v").mapInArrow(_assigned(at, dim), f"cell int, h long, ids array<long>, v {kind}")
-    held_by = {r["cell"]: r["n"] for r in base.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    parts = np.maximum(1, -(-np.array([held_by.get(c, 0) for c in range(len(at))]) // shard))
+
+    def cell(batch: pa.RecordBatch) -> np.ndarray:
+        return (_doubles(batch.column("v"), dim)[1] @ at.T).argmax(axis=1)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 4096):
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(cell(batch))], ["cell"])
+
+    sizes = {r["cell"]: r["n"] for r in units.select("v").mapInArrow(assign, "cell long").groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    parts = np.maximum(1, -(-np.array([sizes.get(c, 0) for c in range(len(at))]) // shard))
     before = np.cumsum(parts) - parts
     shards = int(parts.sum())
-    number = lambda values: F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("cell") + 1)
-    dealt = base.select((number(before) + F.pmod("h", number(parts))).cast("int").alias("shard"), F.lit(0).alias("role"), F.col("h").alias("at"), "ids", "v")
+    tasks = min(shards, 8192)
+    keys = np.array(partition_keys(tasks), dtype=np.int32)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 4096):
+            if batch.num_rows:
+                c, h = cell(batch), batch.column("h").to_numpy()
+                to = (before[c] + h.view(np.uint64) % parts[c].astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[to % tasks]), pa.array(to), *batch.columns], ["key", "shard", "at", "ids", "v"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 512):
             if not batch.num_rows:
                 continue
-            close = np.argsort(-(_doubles(batch.column(1), dim)[1] @ at.T), axis=1, kind="stable")[:, :near]
+            close = np.argsort(-(_doubles(batch.column("v"), dim)[1] @ at.T), axis=1, kind="stable")[:, :near]
             many = parts[close].sum(axis=1)
             to = np.concatenate([np.arange(before[c], before[c] + parts[c]) for row in close for c in row]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(to), *batch.take(pa.array(np.repeat(np.arange(len(close)), many))).columns], ["shard", "id", "v"])
+            sent = batch.take(pa.array(np.repeat(np.arange(len(close)), many)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[to % tasks]), pa.array(to), *sent.columns], ["key", "shard", "at", "ids", "v"])
 
-    sent = asked.select("id", "v").mapInArrow(send, f"shard int, id long, v {dict(asked.dtypes)['v']}")
-    sent = sent.select("shard", F.lit(1).alias("role"), F.col("id").alias("at"), F.array("id").alias("ids"), "v")
+    schema = f"key int, shard int, at long, ids array<long>, v {kind}"
+    dealt = units.select("h", "ids", "v").mapInArrow(deal, schema).withColumn("role", F.lit(0))
+    sent = asked.select("id", F.array("id").alias("ids"), F.col("v").cast(kind)).mapInArrow(send, schema).withColumn("role", F.lit(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, graph = None, [], None
@@ -336,8 +341,8 @@ def nearest(
             columns[2] += [-s for s, _ in best]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "id", "score"])
 
-    both = dealt.unionByName(sent).repartition(min(shards, 8192), "shard").sortWithinPartitions("shard", "role", "at")
-    found = both.mapInArrow(run, "query_id long, id long, score double")
+    both = dealt.unionByName(sent).repartition(tasks, "key").sortWithinPartitions("shard", "role", "at")
+    found = both.select("shard", "role", "at", "ids", "v").mapInArrow(run, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, partition_keys
 from tessera.llm.components import connected_components
 
 #: Vectors that pivots and balls are chosen from; the least and the most of a block's own vectors; members in the sample
@@ -37,7 +37,7 @@ _AT_ONCE = 1 << 24
 
 def block_size(total: int) -> int:
     """Own vectors of a block for a join of ``total`` vectors."""
-    return min(BLOCK[1], max(BLOCK[0], int(64 * math.sqrt(total))))
+    return min(BLOCK[1], max(BLOCK[0], int(20 * math.sqrt(total))))
 
 
 def receives(own, other) -> np.ndarray:
@@ -285,6 +285,10 @@ def linked_vectors(vectors: DataFrame, least: float, id_col: str = "vec_id", vec
     nb = len(balls)
     share = np.bincount(cells.of(chosen)[0], minlength=nb + len(pivots)) * (total / len(chosen))
     blocks = np.maximum(1, np.ceil(share / block)).astype(np.int64)
+    # Every block is a task of its own, up to a number of tasks.
+    offset = np.cumsum(blocks) - blocks
+    tasks = int(min(blocks.sum(), 8192))
+    keys = np.array(partition_keys(tasks), dtype=np.int32)
     kind = dict(units.dtypes)["v"]
     item = pa.list_(pa.float32() if kind == "array<float>" else pa.float64())
 
@@ -318,11 +322,12 @@ def linked_vectors(vectors: DataFrame, least: float, id_col: str = "vec_id", vec
                     n[row],
                 )
                 vectors_ = batch.column(4).take(pa.array(row)).cast(item)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), vectors_], ["cell", "part", "role", "node", "n", "v"])
+                key = keys[(offset[columns[0]] + columns[1]) % tasks]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x) for x in columns), vectors_], ["key", "cell", "part", "role", "node", "n", "v"])
 
     source = units.filter("node is not null").select("h", "g", "node", "n", "v")
-    dealt = source.mapInArrow(deal, f"cell long, part long, role long, node long, n long, v {kind}")
-    joined = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "role").mapInArrow(_cell_join(least, dim, nb), _OUT)
+    dealt = source.mapInArrow(deal, f"key int, cell long, part long, role long, node long, n long, v {kind}")
+    joined = dealt.repartition(tasks, "key").sortWithinPartitions("cell", "part", "role").drop("key").mapInArrow(_cell_join(least, dim, nb), _OUT)
     found = scratch.save(joined)
     links = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))

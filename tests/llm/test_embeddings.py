@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.ann import Graph, centres, nearest, probed_cells
+from tessera.llm.common import partition_keys
 from tessera.llm.embed_dedup import Cells, block_size, linked_vectors, receives
 
 from .fixtures import components, unit, vector_rows, vectors
@@ -132,3 +134,9 @@ def test_each_pair_of_cells_is_compared_once_and_copies_grow_with_the_root():
         cells = Cells(np.zeros((0, 64)), x[: -(-total // block_size(total))], 0.3162)
         copies[total] = 1 + len(cells.of(x)[1]) / len(x)
     assert copies[400_000] / copies[10_000] < 40**0.5
+
+
+def test_keys_go_to_the_partitions_meant(spark):
+    for n in (1, 5, 12):
+        df = spark.createDataFrame([(k, p) for p, k in enumerate(partition_keys(n))], "key int, p int").repartition(n, "key")
+        assert all(r["p"] == r["at"] for r in df.select("p", F.spark_partition_id().alias("at")).collect())
