@@ -193,7 +193,8 @@ def packed_sequences(
     """Every document's pieces with their place: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts are one piece of the end id alone.  Repeated rows are packed each on its own; null ids stay
-    null; an empty table gives no rows.  Documents over ``size`` ids are cut, all others stay whole.
+    null; other columns are not read; an empty table gives no rows.  Texts of any length are encoded whole; documents over
+    ``size`` ids are cut, all others stay whole.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     return pack(scratch.save(pieces(docs, tokenizer, size, end_id, id_col, text_col)), size, open_bins, group, id_col)

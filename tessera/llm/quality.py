@@ -143,7 +143,8 @@ def _statistics(text: pa.Array) -> pa.Array:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Forest:
     """Fit on at most ``rows`` labelled documents outside the held-out fold, drawn by a hash of their id.
 
-    Labels without an id or value are ignored.  The drawn ids (at most ``rows``) are broadcast to the documents; only
+    Labels without an id or value are ignored; ids that occur more than once on either side give a row for each pair, of
+    which at most ``2 * rows`` are taken, smallest ids first.  The drawn ids (at most ``rows``) are broadcast to the documents; only
     their statistics and labels reach the driver.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (fold(id_col) != 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("double").alias("y"))
@@ -162,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 def with_score(docs: DataFrame, forest: Forest, name: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with the probability that a text is of quality; only the text column reaches Python.
 
-    Null and empty texts are scored by the statistics of an empty text; rows are kept as they are; an empty table gives
-    no rows; a column of that name is replaced.
+    Null and empty texts are scored by the statistics of an empty text, very long ones by those of the whole text; rows are
+    kept as they are, repeated ones and null ids included; an empty table gives no rows; a column of that name is replaced.
     """
 
     @F.arrow_udf("double")

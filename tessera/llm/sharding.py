@@ -67,16 +67,17 @@ def arc_of(key: Column, arc_bits: int = ARC_BITS) -> Column:
 def shard_rows(docs: DataFrame, shards: int, slack: float = 0.0, virtual: int = VIRTUAL, arc_bits: int = ARC_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, size, text_crc32, shard, slot``: every row's shard and its place there, gapless from 0.
 
-    ``size`` is the text's UTF-8 bytes plus 1.  With ``slack`` 0 the shards' row counts differ by at most one.  Copies
-    of a text have different ids and so lie on different arcs: a text that a third of the rows share is spread like
-    any other rows.  A null text has size 1 and the checksum of no bytes; a null id is hashed by its text; repeated
-    rows are kept; an empty table gives no rows.
-
-    Two passes: the first reads ids only and counts rows per arc (at most ``2**arc_bits`` numbers); the second ranks
-    rows inside their arc, which is the only shuffle and carries no text.  The plan that is broadcast has at most
+    ``size`` is the text's UTF-8 bytes plus 1.  With ``slack`` 0 the shards' row counts differ by at most one.  A row's key
+    is its id and text, so neither a text nor an id (or the lack of one) that a third of the rows share brings them to
+    one arc; only rows equal in both lie together.  Ties go by id, size and checksum.  A null text has size 1 and the
+    checksum of no bytes; texts of any length are hashed whole; repeated rows are kept; other columns are not read; an
+    empty table gives no rows.
+
+    Two passes: the first counts rows per arc (at most ``2**arc_bits`` numbers); the second ranks rows inside their arc,
+    which is the only shuffle and carries no text.  The plan that is broadcast has at most
     ``2**arc_bits + shards * (shards + 1)`` rows of 36 bytes, whatever the input.
     """
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
     counted = docs.groupBy(arc_of(key, arc_bits).alias("arc")).count().collect()
     counts = {r["arc"]: r["count"] for r in counted}
     stretches = plan(counts, walks(shards, virtual, arc_bits), capacities(sum(counts.values()), shards, slack))

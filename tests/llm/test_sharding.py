@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tessera.llm.sharding import capacities, plan, shard_rows, walks
 
 from .fixtures import documents, empty
@@ -63,3 +65,12 @@ def test_empty_and_tiny(spark):
 def test_only_native_operators(spark):
     plan_ = shard_rows(documents(spark), 8)._jdf.queryExecution().toString()
     assert "Python" not in plan_ and "Arrow" not in plan_ and "Pandas" not in plan_
+
+
+def test_one_id_or_text_in_a_third_of_the_rows_is_spread(spark):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "same" if i % 3 == 2 else f"text {i}" * (2000 if i == 5 else 1)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit(3), "size": F.lit("x"), "arc": F.lit(1)})
+    found = shard_rows(docs, 6).collect()
+    assert Counter(r["shard"] for r in found) == dict.fromkeys(range(6), 150)
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((i, len(t) + 1) for i, t in rows)
+    assert len({r["shard"] for r in found if r["doc_id"] == 7}) == 6
