@@ -123,9 +123,9 @@ def local_roots(prints: np.ndarray, nodes: np.ndarray, near) -> np.ndarray:
     return roots
 
 
-def _cluster(lanes: int, near):
+def _cluster(lanes: int, near, whole: int = 6):
     """Rows sorted by bucket in, edges (row's node, smallest node that it reaches in the bucket) out; of buckets of up to
-    six rows every near pair."""
+    ``whole`` rows, six at least, every near pair."""
 
     def edges(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -140,6 +140,11 @@ def _cluster(lanes: int, near):
                     b.append(np.minimum(nodes[hit + i], nodes[hit + j]))
         for s, n in zip(starts[sizes > 6].tolist(), sizes[sizes > 6].tolist()):
             own = nodes[s : s + n]
+            if n <= whole:
+                i, j = np.nonzero(np.triu(near(prints[s : s + n][:, None, :], prints[s : s + n][None, :, :]), 1))
+                a.append(np.maximum(own[i], own[j]))
+                b.append(np.minimum(own[i], own[j]))
+                continue
             roots = local_roots(prints[s : s + n], own, near)
             a.append(own[roots != own])
             b.append(roots[roots != own])
@@ -240,30 +245,31 @@ def _small_or_passed(cluster, block: int, names: list[str]):
     return run, ", ".join(f"{n} long" for n in schema.names)
 
 
-def bucket_edges(scratch: Scratch, sized: DataFrame, hot: DataFrame, keys: list[str], prints: list[str], near, block: int = BLOCK) -> DataFrame:
-    """Edges ``a, b`` that connect what is ``near`` by its ``prints`` within buckets of equal ``keys`` and size ``n``.
-
-    The rows of a bucket in ``sized`` lie in one partition, where buckets of at most ``block`` rows are searched.  The rows
-    of larger buckets, and those of ``hot`` ones, which lie anywhere, are dealt into blocks and every pair of blocks is
-    searched, so that no task holds more than about two blocks and no pair is lost.
-    """
-    cluster = _cluster(len(prints), near)
+def small_buckets(scratch: Scratch, sized: DataFrame, hot: DataFrame, keys: list[str], prints: list[str], near, most: int, whole: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Edges ``a, b`` of what is ``near`` by its ``prints`` in buckets of equal ``keys`` of at most ``most`` rows, and the rows of
+    all larger buckets.  The rows of a bucket in ``sized`` lie in one partition, those of ``hot`` ones anywhere."""
     columns = [*keys, "node", *prints, "n"]
-    run, schema = _small_or_passed(cluster, block, columns)
+    run, schema = _small_or_passed(_cluster(len(prints), near, whole), most, columns)
     first = scratch.save(sized.filter("n > 1").select(columns).sortWithinPartitions(*keys).mapInArrow(run, schema))
+    return first.filter("a is not null").select("a", "b"), first.filter("a is null").select(columns).unionByName(hot.select(columns))
+
+
+def dealt_blocks(rows: DataFrame, keys: list[str], carried: list[str], block: int) -> DataFrame:
+    """``rows`` (keys, node, carried columns, bucket size n) copied to every pair of blocks of their bucket, ``i`` and ``j``, and
+    sorted by these, so that no task holds more than about two blocks of a bucket and no pair of rows is lost."""
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    large = (
-        first.filter("a is null")
-        .select(columns)
-        .unionByName(hot.select(columns))
-        .select(*keys, F.inline(pairs), "node", *prints)
-        .repartition(*keys, "i", "j")
-        .sortWithinPartitions(*keys, "i", "j")
-        .mapInArrow(cluster, "a long, b long")
-    )
-    return first.filter("a is not null").select("a", "b").unionByName(large)
+    return rows.select(*keys, F.inline(pairs), "node", *carried).repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
+def bucket_edges(scratch: Scratch, sized: DataFrame, hot: DataFrame, keys: list[str], prints: list[str], near, block: int = BLOCK) -> DataFrame:
+    """Edges ``a, b`` that connect what is ``near`` by its ``prints`` within buckets of equal ``keys`` and size ``n``.
+
+    Buckets of at most ``block`` rows are searched where they lie, larger and hot ones in pairs of blocks.
+    """
+    edges, large = small_buckets(scratch, sized, hot, keys, prints, near, block)
+    return edges.unionByName(dealt_blocks(large, keys, prints, block).mapInArrow(_cluster(len(prints), near), "a long, b long"))
 
 
 def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -403,6 +409,82 @@ def _shingle_sets(k: int):
     return run
 
 
+#: Buckets of up to so many texts give all their pairs that may be similar; larger ones are searched with sketches, so many
+#: texts at once.
+PAIRS, CROWD = 64, 8192
+
+
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of a shingle set in at least one bit for two members, a power of two of them: two sets differ in as many members
+    as their sketches in bits, at least, and a longer sketch folds to a shorter one."""
+    bits = 64
+    while 2 * bits < len(x):
+        bits *= 2
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Which texts may reach a similarity by their sketches and sizes; none that does is lost."""
+
+    def __init__(self, similarity: float):
+        self.share, self.least = (1 - similarity) / (1 + similarity), similarity
+
+    def may_reach(self, a: int, bits_a: int, m: int, b: int, bits_b: int, n: int) -> bool:
+        if min(m, n) < self.least * max(m, n) - 1e-6:
+            return False
+        while bits_a > bits_b:
+            bits_a //= 2
+            a = (a >> bits_a) ^ (a & ((1 << bits_a) - 1))
+        while bits_b > bits_a:
+            bits_b //= 2
+            b = (b >> bits_b) ^ (b & ((1 << bits_b) - 1))
+        return (a ^ b).bit_count() <= (m + n) * self.share + 1e-6
+
+    def pairs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (a, b, size and sketch of both) in, the pairs that may reach the similarity out."""
+        for batch in rows_of(batches, 4096):
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
+            kept = [self.may_reach(int.from_bytes(x, "little"), 8 * len(x), m, int.from_bytes(y, "little"), 8 * len(y), n) for m, x, n, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    def roots(self, own: list[tuple[int, int, int, int]]) -> list[int]:
+        """For each (node, sketch, bits, size) the smallest node that it reaches; found ones leave the pool."""
+        out: dict[int, int] = {}
+        pool = sorted(own)
+        while pool:
+            root, front, pool = pool[0][0], [pool[0]], pool[1:]
+            out[root] = root
+            while front and pool:
+                _, x, bits, m = front.pop()
+                near = [self.may_reach(x, bits, m, y, bits_y, n) for _, y, bits_y, n in pool]
+                found = [p for p, hit in zip(pool, near) if hit]
+                if found:
+                    out.update((p[0], root) for p in found)
+                    front += found
+                    pool = [p for p, hit in zip(pool, near) if not hit]
+            out.update((p[0], root) for p in front)
+        return [out[o[0]] for o in own]
+
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (k, i, j, node, size, sketch) sorted by the first three in, star edges out."""
+        at, held = None, []
+
+        def edges() -> pa.RecordBatch:
+            pairs = [(o[0], r) for o, r in zip(held, self.roots(held)) if o[0] != r]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+        for batch in rows_of(batches, 4096):
+            for k, i, j, node, size, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, i, j) != at:
+                    if len(held) > 1:
+                        yield edges()
+                    at, held = (k, i, j), []
+                held.append((node, int.from_bytes(own, "little"), 8 * len(own), size))
+        if len(held) > 1:
+            yield edges()
+
+
 #: Texts from which common shingles are learnt, and the most such shingles: they only order the search.
 SAMPLE, COMMON = 20_000, 500_000
 #: 64-bit lanes of a set's parities.
@@ -429,7 +511,7 @@ def common_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(k: int, similarity: float, words: np.ndarray, counts: np.ndarray):
-    """Rows (id, text) in; the id, a 128-bit digest of the text's shingle set, its parities, size and first shingles out.
+    """Rows (id, text) in; the id, a 128-bit digest of the text's shingle set, its parities, size, first shingles and sketch out.
 
     Shingles are ordered from the rarest on, those not known as common by their hash.  Two sets of n and m shingles that
     reach the similarity share one of the first n - ceil(similarity * n) + 1 and m - ceil(similarity * m) + 1, in
@@ -452,8 +534,8 @@ def _prefixes(k: int, similarity: float, words: np.ndarray, counts: np.ndarray):
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
             digests = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), dtype=np.int64).reshape(-1, 2)
             numbers = [*digests.T, *np.array([parities(x) for x in sets]).T, np.array([len(x) for x in sets], dtype=np.int64)]
-            columns = [batch.column(0), *map(pa.array, numbers), pa.array([first(x).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "d0", "d1", *(f"p{i}" for i in range(PARITIES)), "size", "firsts"])
+            columns = [batch.column(0), *map(pa.array, numbers), pa.array([first(x).tobytes() for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "d0", "d1", *(f"p{i}" for i in range(PARITIES)), "size", "firsts", "sketch"])
 
     return run
 
@@ -472,15 +554,17 @@ def verified_groups(
     similarity: float = 0.8,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block: int = BLOCK,
+    block: int = CROWD,
     shingles: int = SHINGLES,
 ) -> DataFrame:
     """Groups of texts linked, directly or through others, by the sets of their k-word shingles: ``id_col, component_id``.
 
     Texts are linked if their sets have at least that Jaccard similarity; no pair is left out.  Such sets share a shingle
-    among the first of each (see :func:`_prefixes`).  Those that do and that sizes and parities do not keep apart are
-    proposed as groups, in which the sets themselves are compared.  Texts with one set count as one, so equal texts cost
-    one row however many they are.
+    among the first of each (see :func:`_prefixes`).  Pairs that do, and that sizes, parities and then sketches do not keep
+    apart, are proposed; the sets of what the proposals connect are compared.  Of shingles that more than :data:`PAIRS`
+    texts have among their first, as a large group of near copies does, no pairs are made: there a search by sketches
+    takes each text out of the pool once it is reached.  Texts with one set count as one, so equal texts cost one row
+    however many they are.
 
     Null and empty texts are one set and are linked like any other.  Rows of one id with several texts each take the
     component of their text; a null id takes that of its set (null if that has no other id).  An empty table gives no rows.
@@ -488,9 +572,9 @@ def verified_groups(
     scratch = Scratch(docs.sparkSession, "verified")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("_text"))
     prints = [*(f"p{i}" for i in range(PARITIES)), "size"]
-    schema = "id long, d0 long, d1 long, " + ", ".join(f"{x} long" for x in prints) + ", firsts binary"
+    schema = "id long, d0 long, d1 long, " + ", ".join(f"{x} long" for x in prints) + ", firsts binary, sketch binary"
     made = scratch.save(texts.mapInArrow(_prefixes(k, similarity, *common_shingles(texts, k)), schema))
-    carried = [F.any_value(x).alias(x) for x in (*prints, "firsts")]
+    carried = [F.any_value(x).alias(x) for x in (*prints, "firsts", "sketch")]
     nodes = scratch.save(made.groupBy("d0", "d1").agg(F.min("id").alias("node"), *carried).filter("node is not null"))
     keyed = made
     made = scratch.save(keyed.select("id", "d0", "d1"))
@@ -499,8 +583,12 @@ def verified_groups(
     hot = hot_buckets(postings(nodes.filter(in_sample())), ["k"])
     # Most first shingles are in one set only; the others alone take parities along.
     shared, common = (x.filter("n > 1").join(nodes.select("node", *prints), "node").select("k", "node", *prints, "n") for x in sized_buckets(postings(nodes), ["k"], hot))
-    edges = bucket_edges(scratch, shared.repartition("k"), common, ["k"], prints, may_reach(similarity), block)
-    proposed = contracted(scratch.save(edges.distinct()))
+    near, large = small_buckets(scratch, shared.repartition("k"), common, ["k"], prints, may_reach(similarity), PAIRS, PAIRS)
+    sketches, sketched = Sketches(similarity), nodes.select("node", "size", "sketch")
+    side = lambda name: sketched.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    pairs = near.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(sketches.pairs, "a long, b long")
+    crowds = dealt_blocks(large.select("k", "node", "n").join(sketched, "node"), ["k"], ["size", "sketch"], block).mapInArrow(sketches.blocks, "a long, b long")
+    proposed = scratch.save(pairs.unionByName(crowds).distinct())
     members = scratch.save(connected_components(proposed).select(F.col("node").alias("id"), F.col("component").alias("_grp")))
     # Only the texts of proposed documents travel, and few others.
     near = maybe_among(texts, members.select("id"), "id", "_maybe").filter("_maybe").drop("_maybe")

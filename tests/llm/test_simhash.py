@@ -6,7 +6,7 @@ import pytest
 
 from tessera.llm.common import Scratch
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import bucket_edges, covering_masks, fingerprint, hot_buckets, in_sample, local_roots, simhash_groups, similar_roots, sized_buckets, verified_groups, within
+from tessera.llm.simhash import Sketches, bucket_edges, covering_masks, fingerprint, hot_buckets, in_sample, local_roots, simhash_groups, similar_roots, sized_buckets, sketch, verified_groups, within
 
 from .fixtures import DOCS, components, documents, empty, prose, shingle_set, simhash
 
@@ -112,6 +112,43 @@ def test_repeated_lines_and_short_texts_are_found(spark):
     assert len(set(root)) == 407 and [got[i] for i in range(len(texts))] == root
 
 
+@pytest.mark.parametrize("block", [16, 8192])
+def test_crowds_of_near_copies_and_of_shared_passages(spark, block):
+    """More texts share their first shingles than give pairs: near copies are found by sketches, a passage alone links nothing."""
+    rng = random.Random(11)
+    base, passage = prose(rng, 400).split(), prose(rng, 70)
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for at in rng.sample(range(400), rng.randrange(0, 12)):
+            words[at] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [f"{prose(rng, rng.randrange(100, 1500))} {passage}" for _ in range(90)]
+    sets = [shingle_set(t) for t in texts]
+    root = components(len(texts), ((i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in verified_groups(docs, block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == root and len(set(root)) < 130
+
+
+def test_sketches_never_part_what_is_similar():
+    rng = random.Random(12)
+    sketches = Sketches(0.8)
+    parted = 0
+    for _ in range(3000):
+        n = rng.choice([1, 3, 9, 40, 150, 400])
+        base = [rng.randrange(2**64) for _ in range(n)]
+        x, y = set(base), set(base) - set(rng.sample(base, rng.randrange(0, n // 4 + 1))) | {rng.randrange(2**64) for _ in range(rng.randrange(0, n // 4 + 1))}
+        if not y:
+            continue
+        a, b = (sketch(np.array(sorted(z), dtype=np.uint64)) for z in (x, y))
+        may = sketches.may_reach(int.from_bytes(a, "little"), 8 * len(a), len(x), int.from_bytes(b, "little"), 8 * len(b), len(y))
+        similar = len(x & y) >= 0.8 * len(x | y)
+        assert may or not similar
+        parted += not may
+    assert parted > 500
+
+
 def test_components_of_stars_chains_and_loops(spark):
     edges = [(1, 2), (3, 2), (3, 4), (4, 5), (5, 6), (10, 10), (20, 21), (21, 20), (None, 5)] + [(100, i) for i in range(101, 200)]
     edges += [(5000, i) for i in range(4000, 4600)] + [(4700, i) for i in range(4701, 5000)]  # hot as the larger and as the smaller end
