@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -118,8 +120,17 @@ def partition_keys(n: int) -> list[int]:
     return [out[p] for p in range(n)]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its task, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """The same batches in slices of at most ``chunk`` rows, so that a worker holds few decoded texts at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, chunk):
             yield batch.slice(at, chunk)
+        del batch
+        give_back()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import utf8
+from tessera.llm.common import give_back, utf8
 
 #: The most labelled rows that a model is fitted on.
 TRAIN_ROWS = 20_000
@@ -133,7 +133,10 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def _table(texts: pa.Array) -> np.ndarray:
-    return np.array([statistics(t) for t in texts.to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
+    """Statistics row by row; few texts are decoded at a time."""
+    rows = [statistics(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
+    give_back()
+    return np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
 
 
 def _statistics(text: pa.Array) -> pa.Array:
