@@ -296,7 +296,23 @@ def stratified_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_take(docs, quotas, "lang", "doc_id", queue="long").select("doc_id", "lang", "long")
 
 
-@query()
+@query(
+    """WITH u AS (SELECT *, p_size > 45 AS odd, p_partkey % 2 = 1 AS second, md5('42|' || p_partkey::VARCHAR) AS h FROM part),
+able AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY odd DESC, h, p_partkey) AS n FROM u) WHERE n <= 3),
+heads AS (SELECT *, row_number() OVER (PARTITION BY second ORDER BY h, p_partkey) AS q FROM able WHERE odd),
+ahead AS (SELECT p_partkey FROM heads WHERE q <= 10 ORDER BY 2 * q + second::INT, h, p_partkey LIMIT 10),
+rest AS (SELECT * FROM able ANTI JOIN ahead USING (p_partkey)), k AS (SELECT 100 - count(*) AS total FROM ahead),
+c AS (SELECT p_type, count(*) AS m FROM rest GROUP BY p_type), w AS (SELECT *, sqrt(m) / sum(sqrt(m)) OVER () * total AS raw FROM c, k),
+f AS (SELECT *, least(floor(raw), m)::BIGINT AS fl FROM w),
+g AS (SELECT *, total - sum(fl) OVER () AS lack, row_number() OVER (PARTITION BY fl < m ORDER BY round(raw - floor(raw), 9) DESC, p_type) AS o FROM f),
+quota AS (SELECT p_type, fl + (fl < m AND o <= lack)::BIGINT AS quota FROM g),
+t AS (SELECT *, row_number() OVER (PARTITION BY p_type, second ORDER BY h, p_partkey) AS turn FROM rest),
+p AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY 2 * turn + second::INT, h, p_partkey) AS place FROM t),
+shared AS (SELECT p_partkey, p.p_type, p_name, h FROM p JOIN quota USING (p_type) WHERE place <= quota),
+left_over AS (SELECT *, row_number() OVER (ORDER BY h, p_partkey) AS nth FROM rest ANTI JOIN shared USING (p_partkey))
+SELECT p_partkey, p_type, p_name, 'first' AS why FROM able SEMI JOIN ahead USING (p_partkey) UNION ALL SELECT p_partkey, p_type, p_name, 'quota' FROM shared
+UNION ALL SELECT p_partkey, p_type, p_name, 'fill' FROM left_over WHERE nth <= (SELECT total FROM k) - (SELECT count(*) FROM shared)"""
+)
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A balanced sample of 100 parts: unusual ones first, quotas by type, at most three of a name."""
     parts = table(spark, sf_dir, "part").withColumns({"odd": F.col("p_size") > 45, "second": F.pmod("p_partkey", F.lit(2)) == 1})
