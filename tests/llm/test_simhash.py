@@ -149,6 +149,21 @@ def test_sketches_never_part_what_is_similar():
     assert parted > 500
 
 
+def test_whole_table_like_brute_force(spark, small):
+    """Every link at the similarity in the test table's documents is found and no other."""
+    docs = spark.read.parquet(f"{small}/../sf0.01/documents.parquet")
+    rows = [(r["doc_id"], shingle_set(r["text"])) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    index = {}
+    for i, (_, own) in enumerate(rows):
+        for x in own:
+            index.setdefault(x, []).append(i)
+    pairs = {p for at in index.values() for p in combinations(at, 2)}
+    linked = [(i, j) for i, j in pairs if len(rows[i][1] & rows[j][1]) >= 0.8 * len(rows[i][1] | rows[j][1])]
+    root = components(len(rows), linked)
+    got = {r["doc_id"]: r["component_id"] for r in verified_groups(docs).collect()}
+    assert len(linked) > 50 and got == {d: rows[root[i]][0] for i, (d, _) in enumerate(rows)}
+
+
 def test_components_of_stars_chains_and_loops(spark):
     edges = [(1, 2), (3, 2), (3, 4), (4, 5), (5, 6), (10, 10), (20, 21), (21, 20), (None, 5)] + [(100, i) for i in range(101, 200)]
     edges += [(5000, i) for i in range(4000, 4600)] + [(4700, i) for i in range(4701, 5000)]  # hot as the larger and as the smaller end
