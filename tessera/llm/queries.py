@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.ann import nearest
 from tessera.llm.embed_dedup import linked_vectors
+from tessera.llm.hard_negatives import hard_negatives
 from tessera.llm.html_extract import extract_main_text
+from tessera.llm.merkle import proved_documents
 from tessera.llm.mixing import cycle, mix
 from tessera.llm.packing import packed_sequences
 from tessera.llm.quality import fold, train, with_score
 from tessera.llm.sharding import shard_rows
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.token_counts import token_counts
+from tessera.llm.token_files import token_round_trip
 from tessera.llm.warc import round_trip
 
 
@@ -80,6 +83,22 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50, against all rows; every seventh id has a wrong label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document written to Simple-8b files, and what they hold when read back."""
+    return token_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and checked proof of every document, a part of them tampered with."""
+    return proved_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hash_ring_shards": op1_hash_ring_shards,
@@ -92,6 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixed_sources": op8_mixed_sources,
         "op9_quality_scores": op9_quality_scores,
         "op10_nearest_vectors": op10_nearest_vectors,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_token_files": op12_token_files,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -109,7 +131,35 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(parts, lambda p: a
   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((p >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM x"""
 
+_OP11_SQL = """WITH t AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM t a JOIN t b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3"""
+
+# The checksum of the id's digits, bit by bit; levels by recursion until one node is left; then every leaf's way up.
+_OP13_SQL = """WITH RECURSIVE d AS (SELECT *, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)) AS c FROM documents),
+t AS (SELECT doc_id, lang, xor(c, 4294967295::UBIGINT) % 7 = 0 AS touched, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+  coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS b, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS b1, coalesce(strlen(text) || ':' || text, '-') AS e FROM d),
+f AS (SELECT doc_id, lang, sha256(a || b || e) AS leaf, sha256(a || CASE WHEN touched THEN b1 ELSE b END || e) AS claim FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM f),
+g(lang, level, pos, n, h) AS (SELECT lang, 0, pos, n, leaf FROM r UNION ALL SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM g WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM g WHERE n = 1),
+o(level, pos, n, h) AS (SELECT 0, pos, n, subroot FROM s UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM o WHERE n > 1 GROUP BY level, pos // 2, n),
+w(lang, leaf, i, level, j, n, proof, folded) AS (SELECT lang, leaf, pos, 0, pos, n, '', claim FROM r UNION ALL
+  SELECT w.lang, w.leaf, w.i, w.level + 1, w.j // 2, (w.n + 1) // 2, proof || coalesce(h, ''), sha256(CASE WHEN w.j % 2 = 1 THEN coalesce(h, '') || folded ELSE folded || coalesce(h, '') END)
+  FROM w LEFT JOIN g ON g.lang IS NOT DISTINCT FROM w.lang AND g.level = w.level AND g.pos = xor(w.j, 1) WHERE w.n > 1),
+v(lang, leaf, i, level, j, n, proof, folded) AS (SELECT w.lang, w.leaf, w.i, 0, s.pos, s.n, proof, folded FROM w JOIN s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1 UNION ALL
+  SELECT v.lang, v.leaf, v.i, v.level + 1, v.j // 2, (v.n + 1) // 2, proof || coalesce(h, ''), sha256(CASE WHEN v.j % 2 = 1 THEN coalesce(h, '') || folded ELSE folded || coalesce(h, '') END)
+  FROM v LEFT JOIN o ON o.level = v.level AND o.pos = xor(v.j, 1) WHERE v.n > 1),
+z AS (SELECT h AS root FROM o WHERE n = 1)
+SELECT r.doc_id, r.leaf, s.subroot, z.root, sha256(v.proof) AS proof_sha256, v.folded AS folded_root, v.folded = z.root AS verified
+FROM r JOIN v ON v.n = 1 AND v.lang IS NOT DISTINCT FROM r.lang AND v.i = r.pos JOIN s ON s.lang IS NOT DISTINCT FROM r.lang CROSS JOIN z"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others rest on hashes, trained models, tokenizers or graphs that SQL has not; tests compare them with brute force."""
-    return {"op2_linked_vectors": _OP2_SQL, "op3_warc_bundles": _OP3_SQL}
+    return {"op2_linked_vectors": _OP2_SQL, "op3_warc_bundles": _OP3_SQL, "op11_hard_negatives": _OP11_SQL, "op13_merkle_manifest": _OP13_SQL}

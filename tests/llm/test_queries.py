@@ -16,6 +16,9 @@ SCHEMAS = {
     "op8_mixed_sources": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op9_quality_scores": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_nearest_vectors": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op11_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
+    "op12_token_files": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op13_merkle_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
 }
 
 
