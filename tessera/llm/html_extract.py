@@ -47,17 +47,20 @@ _ENDS_P = frozenset(
 )
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("article aside blockquote body details div dl fieldset figure footer form header main menu nav ol section table td th ul".split())
-_DROPPED = frozenset("nav footer aside form head button select datalist dialog menu svg canvas object audio video map fieldset".split())
+_DROPPED = frozenset("nav footer aside head button select datalist dialog menu svg canvas object audio video map".split())
+#: Ruled out inside an article and where they hold less than half of the page's text, but never around an article.
+_FORMS = frozenset(("form", "fieldset"))
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status tablist".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that hold a run of blocks; a list or a table belongs to the one around it.
 _CONTAINERS = frozenset("article body div main section td th".split())
-# Words in class and id names.  These mark what is no article text wherever they stand in a name,
+# Words in class and id names.  These mark what is no article text if the rest of the name says what kind or
+# part of a box it is ("comments-area", not "comments-on-the-law"),
 _SURE = frozenset(
     "adsense adslot adunit advert adverts advertisement advertising advertorial breadcrumb breadcrumbs colophon comment commentlist comments "
     "consent cookie cookies disqus gdpr lightbox masthead menubar navbar newsletter pagination paywall sidebar sidebars skiplink sponsor sponsored sponsors submenu topbar".split()
 )
-# these if the rest of the name only says what kind of box it is,
+# these if the rest of the name says the kind of box alone,
 _ALONE = frozenset(
     "ad ads alert aside copyright crumbs footer footnav hidden login menu modal nav navi navigation notice notices notification notifications overlay pager paging popup "
     "promo promoted promotion rail recirculation recommendations recommended related replies search searchbox share shares sharing signin signup skip social subscribe "
@@ -69,18 +72,25 @@ _KINDS = frozenset(
     "area banner bar block box boxes button buttons col column container content desktop fixed global group inner item items left link links list main mobile outer page panel "
     "primary right row secondary section site slot sticky top unit wrap wrapper".split()
 )
+_PARTS = frozenset(
+    "accept actions author avatar body card close count dialog feed footer form heading info js label meta message more no policy post posts prompt reader readers section show template text thread title toggle user".split()
+)
 #: What a character counts in a block that a doubtful name stands on.
 DOUBT = 0.25
 _ARTICLE_NAMES = frozenset("article post entry story articlebody postbody entrycontent content main".split())
+#: Names that, whole, say article whatever stands beside them ("post promoted"), but for the readers' own posts.
+_OWN_NAMES = _ARTICLE_NAMES - {"content", "main"}
+_READERS = frozenset("comment commentlist comments disqus reply replies".split())
 
 
 class _Element:
-    __slots__ = ("name", "drop", "keep", "start", "end", "parent", "out", "above", "wide", "doubt", "box")
+    __slots__ = ("name", "drop", "keep", "start", "end", "parent", "out", "above", "wide", "doubt", "box", "holds")
 
     def __init__(self, name: str, parent: _Element | None, start: int):
         self.name, self.parent, self.start, self.end = name, parent, start, None
         self.drop, self.keep, self.out = 0, 0, False
         self.above = self.wide = 0
+        self.holds = False  # whether an element that may be the article lies in it
         self.doubt = parent is not None and parent.doubt  # whether a doubtful name stands on it or around it
         self.box = self if parent is None or name in _CONTAINERS else parent.box
 
@@ -92,17 +102,24 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _whole(token: str) -> str:
+    return re.sub(r"[^a-z]", "", token.lower())
+
+
 def _verdict(value: str) -> int:
-    """What class and id names say: 2 no article beyond doubt, 1 doubtful, 0 nothing."""
+    """What class and id names say: 2 no article, 1 doubtful, 0 nothing."""
     said = 0
+    whole = {_whole(t) for t in value.split()}
+    article = whole & _OWN_NAMES and not whole & _READERS
     for token in value.split():
-        words = {w.lower() for w in _NAMES.findall(token)}
-        rest = {w for w in words if not w.isdigit()} - _KINDS
-        if words & _SURE or re.sub(r"[^a-z]", "", token.lower()) in _SURE or rest and rest <= _ALONE:
+        words = {w.lower() for w in _NAMES.findall(token) if not w.isdigit()}
+        rest = words - _KINDS
+        sure = _whole(token) in _SURE or words & _SURE and rest <= _SURE | _ALONE | _DOUBTFUL | _PARTS | _ARTICLE_NAMES
+        if (sure or rest and rest <= _ALONE) and not article:
             return 2
-        if rest and rest <= _ALONE | _DOUBTFUL:
+        if words & _SURE or rest and rest <= _ALONE | _DOUBTFUL:
             said = 1
-    return said
+    return 0 if article else said
 
 
 def _names(value: str) -> set[str]:
@@ -140,12 +157,13 @@ def _judge(e: _Element, attrs: str, inside_article: bool) -> None:
 @dataclass(frozen=True)
 class Block:
     """A text with its characters outside links, weighed; the container it lies in; whether something was left out, or
-    links stand, between it and the block before."""
+    links stand, between it and the block before; whether it is a heading."""
 
     text: str
     length: float
     box: _Element
     cut: bool
+    heading: bool = False
 
 
 def read_blocks(html: str) -> tuple[list[Block], list[_Element]]:
@@ -251,6 +269,16 @@ def read_blocks(html: str) -> tuple[list[Block], list[_Element]]:
     # A name may stand on a wrapper of the whole page ("with-sidebar").  If every article or main part lies in elements
     # that names rule out, those around the longest one are no ruling; without such a part, those around most of the text.
     size = lambda e: chars[e.end] - chars[e.start]
+    for e in marked:
+        up = e.parent if e.keep and not e.drop else None
+        while up is not None and not up.holds:
+            up.holds, up = True, up.parent
+    within: set[_Element] = set()  # elements inside an article, parents first
+    for e in made:
+        if e.parent.keep or e.parent in within:
+            within.add(e)
+        if e.name in _FORMS and not e.drop and not e.holds and (e in within or 2 * size(e) < chars[-1]):
+            e.drop = 2
     for e in made:  # the strongest ruling above each element, and the size of the largest one that is ruled out
         up = e.parent
         e.above, e.wide = max(up.above, up.drop), max(up.wide, size(up) if up.drop else 0)
@@ -269,7 +297,7 @@ def read_blocks(html: str) -> tuple[list[Block], list[_Element]]:
             cut = True
         else:
             linked = 3 * outside < len(text)  # mostly links: no text
-            kept.append(Block(text, 0 if linked else outside * (DOUBT if e.doubt else 1), e.box, cut or linked))
+            kept.append(Block(text, 0 if linked else outside * (DOUBT if e.doubt else 1), e.box, cut or linked, e.name in _HEADINGS))
             cut = linked
         number.append(len(kept))
     holders = []
@@ -337,6 +365,23 @@ def run_on(blocks: list[Block], stretches: list[tuple[int, int]]) -> list[tuple[
     return out
 
 
+def led_in(blocks: list[Block], stretches: list[tuple[int, int]], surge: int = SURGE) -> list[tuple[int, int]]:
+    """The stretches from where their text surges: short text before it, in another container than most of the stretch and
+    before its heading, only shares a window with the first long block."""
+    out = []
+    for start, end in stretches:
+        held: dict[_Element, float] = {}
+        for b in blocks[start:end]:
+            held[b.box] = held.get(b.box, 0) + b.length
+        most = max(held, key=held.get, default=None)
+        at, short = start, 0.0
+        while at < end and blocks[at].box is not most and not blocks[at].heading:
+            short += blocks[at].length
+            at += 1
+        out.append((at if short < surge and at < end else start, end))
+    return out
+
+
 def _meets(h: _Element, stretches: list[tuple[int, int]]) -> bool:
     """Whether a stretch reaches into the element; stretches are in order and apart."""
     k = bisect_right(stretches, (h.start, len(stretches) and stretches[-1][1])) - 1
@@ -346,7 +391,7 @@ def _meets(h: _Element, stretches: list[tuple[int, int]]) -> bool:
 def main_blocks(html: str, window: int = WINDOW, surge: int = SURGE) -> list[str]:
     blocks, holders = read_blocks(html)
     lengths = [b.length for b in blocks]
-    stretches = run_on(blocks, text_stretches(lengths, window, surge))
+    stretches = led_in(blocks, run_on(blocks, text_stretches(lengths, window, surge)), surge)
     if not stretches:
         stretches = [(0, len(blocks))] if blocks and holders else []
     sums = [0.0]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.html_extract import extract_main_text, main_text, text_stretches
+from tessera.llm.html_extract import Block, _Element, extract_main_text, led_in, main_text, text_stretches
 from tessera.llm.packing import BestFit, UnitEncoder, cut, packed_sequences
 from tessera.llm.token_counts import PrefixCounter, cut_at, prefix_tables, token_counts, truncated
 from tessera.llm.warc import read_record, read_seek_table, round_trip, seek_table, write_archives
@@ -299,6 +299,42 @@ def test_stretches_like_brute_force():
         assert all(lengths[s] and lengths[e - 1] for s, e in found)
 
 
+def test_no_article_is_lost_to_forms_and_names():
+    text = LONG.strip()
+    article = f"<article><p>{LONG}</p><p>{LONG}</p></article>"
+    want = f"{text} {text}"
+    assert main_text(f'<body><nav>Menu</nav><form id="aspnetForm">{article}<footer>{LONG}</footer></form></body>') == want
+    assert main_text(f'<body><form id="aspnetForm"><div><p>{LONG}</p><p>{LONG}</p></div></form></body>') == want
+    assert main_text(f"<body>{article}<form><label>Mail</label><p>Write to us.</p></form></body>") == want
+    assert main_text(f"<body><article><p>{LONG}</p><form><p>Mail me new texts.</p></form><p>{LONG}</p></article></body>") == want
+    for name in ("post promoted", "post sponsored", "entry featured promo"):
+        assert main_text(f'<body><div class="{name}"><p>{LONG}</p><p>{LONG}</p></div><div class="box"><p>short</p></div></body>') == want, name
+    for tag, name in (("div", "cookie-recipe"), ("p", "sponsor-history"), ("section", "comments-on-the-law"), ("div", "newsletter-of-1910")):
+        assert main_text(f'<body><article><p>{LONG}</p><{tag} class="{name}" id="{name}">Told at length.</{tag}><p>{LONG}</p></article></body>') == f"{text} Told at length. {text}", name
+    for name in ("comments", "comments-area", "post-comments", "article-sidebar", "cookie-consent-banner", "newsletter-signup-form", "sponsor-box", "post comment"):
+        assert main_text(f'<body><article><p>{LONG}</p><div class="{name}"><p>{LONG}</p></div><p>{LONG}</p></article></body>') == want, name
+
+
+@pytest.mark.parametrize("before", ["", "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>", "<div>Buy this now.</div>", "<ul><li><a href=a>One</a></ul><div>Buy this. Now.</div><div>Only here.</div>"])
+def test_bare_pages_begin_where_the_text_surges(before):
+    """Without an article element, a main part or any name, the sums alone find the text."""
+    body = BODY.format(long=LONG)
+    assert main_text(f"<body>{before}<div>{body}</div></body>") == WANT.format(long=LONG.strip())
+    assert main_text(f"<body>{before}<div><h1>A head</h1></div><div><p>{LONG}</p><p>{LONG}</p></div><ul><li><a href=x>Next</a></ul></body>") == f"A head {LONG.strip()} {LONG.strip()}"
+
+
+def test_lead_in_like_brute_force():
+    """A lead-in goes exactly if it is shorter than a surge, has no heading and lies outside the container with most text."""
+    rng = random.Random(5)
+    boxes = [_Element("div", None, 0) for _ in range(3)]
+    for _ in range(500):
+        blocks = [Block("x", rng.choice([0, 10, 60, 200]), rng.choice(boxes), False, rng.random() < 0.2) for _ in range(rng.randrange(1, 12))]
+        ((start, end),) = led_in(blocks, [(0, len(blocks))])
+        most = max(boxes, key=lambda b: (sum(x.length for x in blocks if x.box is b), -next((i for i, x in enumerate(blocks) if x.box is b), 99)))
+        first = next(i for i, b in enumerate(blocks) if b.box is most or b.heading)
+        assert end == len(blocks) and start == (first if sum(b.length for b in blocks[:first]) < 86 else 0)
+
+
 def test_broken_pages():
     for page, text in {"": "", "  ": "", "a < b and c > d": "a < b and c > d", "<p>x": "x", "<script>var x": "", "<!-- x": "", "<article></article>": "", "x &lt;b&gt; &#233;&nbsp;y": "x <b> é y", "<p title='a>b'>t</p>": "t", "<a href='x>t</a>u": "t u".replace(" ", "")}.items():
         assert main_text(page) == text, page
