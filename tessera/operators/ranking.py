@@ -31,7 +31,8 @@ class RankingConfig:
 
 
 def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k largest finite values, ties to the smaller column."""
+    """Rows and columns of each row's k largest finite values, ties to the smaller column; what is no finite number is out."""
+    sims = np.where(np.isfinite(sims), sims, -np.inf)
     if sims.shape[1] > k:
         rows, columns = np.nonzero(sims >= -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k])
     else:
@@ -45,7 +46,8 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _whole(v: Column, dim: int) -> Column:
-    return F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    """Whether a vector can be compared: right length, no null, NaN or infinite component."""
+    return F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), F.lit(False))
 
 
 def _against_chunks(queries: DataFrame, docs: DataFrame, answer, schema: str, query_id: str, doc_id: str, query_vec: str, doc_vec: str, per: str | None, limits: tuple[str, str] | None) -> DataFrame:

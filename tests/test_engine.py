@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import family, is_test_query, menu_key, parse_name, parse_quantity, same_menu
 from tessera.operators.evaluation import condensed, kappa, paired_bootstrap, per_query
-from tessera.operators.ranking import RankingConfig, choice_columns, drop_reasons, select_top_k, top_k_similar
+from tessera.operators.ranking import RankingConfig, _best, choice_columns, drop_reasons, select_top_k, top_k_similar
 from tessera.operators.sampling import packed_batches, sqrt_quotas
 from tessera.operators.reports import observe_lists
 from tessera.plans import catalogue, food
@@ -254,8 +254,8 @@ def test_grid_pool_and_tags(spark, index):
 def plain_recommendation(records, vectors, text, vector, config):
     """One query, step by step, in plain Python: parse, search, filter, score, choose, widen."""
     spec = parse(text)
-    if spec.is_empty or spec.contradictions:
-        return ("empty_query" if spec.is_empty else "contradiction"), [], []
+    if not spec.text.strip() or spec.contradictions:
+        return ("empty_query" if not spec.text.strip() else "contradiction"), [], []
     order = sorted(records, key=lambda i: (-round(float(np.dot(vectors[i], vector)), 9), i))
     known = lambda r, c: r["labels"].get(c.attribute) or "미확인"
     points = lambda r, t: t in (r["representative"], r["category"]) or t in r["name"].split() or t in r["category"].split()
@@ -337,13 +337,20 @@ def test_texts_are_parsed_whole_in_batches_and_by_the_table_function(spark, tmp_
 
 
 def test_search_leaves_out_what_it_cannot_compare(spark):
-    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0]), (3, [1.0, None]), (4, None), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0]), (3, [1.0, None]), (4, None), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [float("inf"), 0.0]), (9, [0.0, float("-inf")])]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
     got = [(r["query_id"], r["id"], r["sim"]) for r in top_k_similar(df.filter("id < 2 or id > 4"), df, 2, "id", "id", exclude_self=True).orderBy("query_id", "rank").collect()]
     assert got == [(0, 6, 1.0), (0, 7, 1.0), (1, 0, 0.0), (1, 6, 0.0), (6, 0, 1.0), (6, 7, 1.0), (7, 0, 1.0), (7, 6, 1.0)]
     assert top_k_similar(df.limit(0), df, 2, "id", "id").count() == 0 and top_k_similar(df, df.limit(0), 2, "id", "id").count() == 0
 
 
+def test_blocks_with_few_finite_products():
+    """Products that are no numbers don't hide the others, in blocks with fewer than k finite ones too."""
+    nan, inf = float("nan"), float("inf")
+    for sims, k, want in (([[nan, nan, nan, 0.3, 0.2]], 3, [3, 4]), ([[inf, 0.1, -inf]], 1, [1]), ([[nan]], 2, []), ([[0.5, 0.5, nan, 0.7]], 2, [3, 0])):
+        assert _best(np.array(sims), k)[1].tolist() == want
+
+
 # --- stored indexes
 
 
