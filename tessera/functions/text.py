@@ -78,13 +78,18 @@ def same_menu(a: Column, b: Column) -> Column:
     return named & ((a["key"] == b["key"]) | ((a["company"] == b["company"]) & F.when(a["company"] != "", by_key).otherwise(by_word)))
 
 
+def term_key(term: Column) -> Column:
+    """What a menu term stands for: a category's name for its everyday word, else itself."""
+    table = F.create_map(*(F.lit(x) for pair in CATEGORY_ALIASES.items() for x in pair))
+    return F.coalesce(table[term], term)
+
+
 def mentions(term: str | Column, name: Column, representative: Column, category: Column) -> Column:
     """Whether a menu term points at a record: its representative, category, a word of its name or of its category.  Never a part of a word."""
     if isinstance(term, str):
         term = F.lit(CATEGORY_ALIASES.get(term, term))
     else:
-        table = F.create_map(*(F.lit(x) for pair in CATEGORY_ALIASES.items() for x in pair))
-        term = F.coalesce(table[term], term)
+        term = term_key(term)
     empty = F.lit("")
     return (
         (term == F.coalesce(representative, empty))

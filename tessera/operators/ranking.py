@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import company, family, key_tokens, menu_key, mentions, same_menu
+from tessera.functions.text import company, family, key_tokens, menu_key, mentions, same_menu, term_key, words
 from tessera.schema import UNKNOWN, Condition
 
 #: Documents that a task holds at most, and at least if there are enough for that; queries that are compared with them at once.
@@ -50,12 +50,13 @@ def _whole(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), F.lit(False))
 
 
-def _against_chunks(queries: DataFrame, docs: DataFrame, answer, schema: str, query_id: str, doc_id: str, query_vec: str, doc_vec: str, per: str | None, limits: tuple[str, str] | None) -> DataFrame:
+def _against_chunks(queries: DataFrame, docs: DataFrame, answer, schema: str, query_id: str, doc_id: str, query_vec: str, doc_vec: str, per: str | None, limits: tuple[str, str] | None, more: tuple[Column, Column] | None = None, prepare=lambda column: column) -> DataFrame:
     """What ``answer(held, queries)`` yields for every block of queries and chunk of documents.
 
     Documents are dealt into chunks that a task holds as matrices, one for each value of ``per``; queries stream past each
     chunk in blocks.  Vectors that are null, hold a null or NaN, or have another length than most queries, and rows
-    without an id, take no part.  ``limits`` names two columns of the queries that come along.
+    without an id, take no part.  ``limits`` names two columns of the queries that come along; ``more`` is a column of the
+    documents, held with them as what ``prepare`` makes of it, and one of the queries (column ``a`` of their batches).
     """
     lengths = queries.filter(F.col(query_vec).isNotNull()).groupBy(F.size(query_vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = lengths["d"] if lengths else 0
@@ -69,23 +70,26 @@ def _against_chunks(queries: DataFrame, docs: DataFrame, answer, schema: str, qu
 
     total = docs.count()
     chunks = max(1, -(-total // CHUNK), min(32, total // LEAST))
+    holds = more is not None
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    told, asks = ((m, df.select(m.alias("m")).schema[0].dataType) for m, df in zip(more, (docs, queries))) if more else ((F.lit(0), "int"), (F.lit(0), "int"))
     here = side(docs, doc_id, doc_vec).select(
-        F.pmod(F.xxhash64("_i"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("role"), null("long", "q"), F.col("_i").cast(id_kind).alias("i"), (F.col(per) if per else F.lit(0)).alias("g"), null("double", "s"), F.col("_v").alias("v")
+        F.pmod(F.xxhash64("_i"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("role"), null("long", "q"), F.col("_i").cast(id_kind).alias("i"), (F.col(per) if per else F.lit(0)).alias("g"), null("double", "s"), F.col("_v").alias("v"), told[0].alias("d"), null(asks[1], "a")
     )
     near, after = (F.col(limits[0]).cast("double"), F.col(limits[1]).cast(id_kind)) if limits else (F.lit(None).cast("double"), F.lit(None).cast(id_kind))
     sent = side(queries, query_id, query_vec).select(
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("role"), F.col("_i").cast("long").alias("q"), after.alias("i"), null(group_kind, "g"), near.alias("s"), F.col("_v").alias("v")
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("role"), F.col("_i").cast("long").alias("q"), after.alias("i"), null(group_kind, "g"), near.alias("s"), F.col("_v").alias("v"), null(told[1], "d"), asks[0].alias("a")
     )
 
     def hold(parts: list[pa.RecordBatch]) -> list[tuple]:
-        """Per group: its value, ids upwards, and vectors."""
+        """Per group: its value, ids upwards, vectors, and what else is held."""
         table = pa.Table.from_batches(parts).combine_chunks()
         ids, codes = _keys(table.column("i").combine_chunks()), table.column("g").combine_chunks().dictionary_encode(null_encoding="encode")
         x, number = _matrix(table.column("v").combine_chunks(), dim), codes.indices.to_numpy()
         order = np.lexsort((ids, number))
         cuts = np.r_[0, np.flatnonzero(np.diff(number[order])) + 1, len(order)]
-        return [(codes.dictionary[int(number[order[s]])], ids[order[s:e]], x[order[s:e]]) for s, e in zip(cuts[:-1], cuts[1:])]
+        told_ = table.column("d").combine_chunks()
+        return [(codes.dictionary[int(number[order[s]])], ids[order[s:e]], x[order[s:e]], prepare(told_.take(pa.array(order[s:e]))) if holds else None) for s, e in zip(cuts[:-1], cuts[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, held = None, [], None
@@ -131,7 +135,7 @@ def top_k_similar(
     id_kind, group_kind = ("string" if kinds[doc_id] == "string" else "long"), (kinds[per] if per else "int")
 
     def answer(held: list[tuple], q: np.ndarray, x: np.ndarray, _: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for value, ids, own in held:
+        for value, ids, own, _ in held:
             sims = np.round(x @ own.T, digits)
             if exclude_self:
                 sims[q[:, None] == ids[None, :]] = -np.inf
@@ -154,7 +158,7 @@ def places(limits: DataFrame, docs: DataFrame, query_id: str, doc_id: str, sim:
 
     def answer(held: list[tuple], q: np.ndarray, x: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         near, after = batch.column("s").to_numpy()[:, None], _keys(batch.column("i"))[:, None]
-        for _, ids, own in held:
+        for _, ids, own, _ in held:
             sims = np.round(x @ own.T, digits)
             if exclude_self:
                 sims[q[:, None] == ids[None, :]] = -np.inf
@@ -165,6 +169,130 @@ def places(limits: DataFrame, docs: DataFrame, query_id: str, doc_id: str, sim:
     return found.groupBy(F.col("q").alias("query_id")).agg((F.sum("n") + 1).alias("rank"))
 
 
+class Bitmaps:
+    """Which of a chunk's documents have each of their facts, and which pass a query's conditions.
+
+    A condition is a list of facts of which a document must have one; then come the facts that it must not have.  What a
+    combination of conditions lets through is worked out once for all queries that share it.
+    """
+
+    def __init__(self, facts: pa.Array, remembered: int = 256):
+        codes = facts.flatten().dictionary_encode()
+        number = codes.indices.to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(facts)), facts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        order = np.argsort(number, kind="stable")
+        cuts = np.searchsorted(number[order], np.arange(len(codes.dictionary) + 1))
+        self.n, self.remembered = len(facts), remembered
+        self.rows = {f: owner[order[a:b]] for f, a, b in zip(codes.dictionary.to_pylist(), cuts[:-1], cuts[1:])}
+        self.known: dict[tuple, tuple[np.ndarray, list[dict]]] = {}
+
+    def having(self, facts: tuple[str, ...]) -> np.ndarray:
+        out = np.zeros(self.n, bool)
+        for f in facts:
+            out[self.rows.get(f, [])] = True
+        return out
+
+    def passing(self, must: tuple[tuple[str, ...], ...], out: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[dict]]:
+        """The documents that pass, and how many fail for each reason: every condition failed, with the value that the document
+        has instead, or else the first of ``out``."""
+        if (must, out) not in self.known:
+            if len(self.known) >= self.remembered:
+                self.known.clear()
+            good, why = np.ones(self.n, bool), {}
+            for facts in must:
+                met = self.having(facts)
+                head = facts[0].rpartition(FACT)[0] + FACT
+                left = ~met
+                for fact, rows in self.rows.items():
+                    if fact.startswith(head) and (n := int((~met[rows]).sum())):
+                        reason = fact.removeprefix(LABEL).replace(FACT, "=")
+                        why[reason] = why.get(reason, 0) + n
+                        left[rows] = False
+                if left.any():
+                    reason = f"{head.removeprefix(LABEL).removesuffix(FACT)}={UNKNOWN}"
+                    why[reason] = why.get(reason, 0) + int(left.sum())
+                good &= met
+            for fact, term in out:
+                hit = good & self.having((fact,))
+                if hit.any():
+                    reason = f"메뉴={term}"
+                    why[reason] = why.get(reason, 0) + int(hit.sum())
+                good &= ~hit
+            self.known[must, out] = good, [{"reason": r, "n": n} for r, n in why.items()]
+        return self.known[must, out]
+
+
+#: Marks of facts: a label's attribute and value, and a word or whole field that a menu term may equal.
+FACT, LABEL, WORD = "\x1f", "l\x1f", "w\x1f"
+
+
+def facts_of(labels: Column, name: Column, representative: Column, category: Column) -> Column:
+    """A record's facts: its labels but empty ones, and what :func:`mentions` compares a term with."""
+    known = F.filter(F.map_entries(labels), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    said = F.array_compact(F.concat(words(name), F.array(representative, category), words(category)))
+    return F.concat(F.coalesce(F.transform(known, lambda e: F.concat(F.lit(LABEL), e["key"], F.lit(FACT), e["value"])), F.array().cast("array<string>")), F.transform(F.array_distinct(said), lambda w: F.concat(F.lit(WORD), w)))
+
+
+def asked_facts(hard: Column, excluded: Column) -> Column:
+    """A query's conditions as facts; ``excluded`` are menu terms."""
+    must = F.transform(hard, lambda c: F.transform(c["allowed"], lambda v: F.concat(F.lit(LABEL), c["attribute"], F.lit(FACT), v)))
+    out = F.transform(excluded, lambda t: F.named_struct(F.lit("fact"), F.concat(F.lit(WORD), term_key(t)), F.lit("said"), t))
+    return F.named_struct(F.lit("must"), must, F.lit("out"), out)
+
+
+def filtered_search(queries: DataFrame, docs: DataFrame, near: int, kept: int, facts: Column, asked: Column, query_id: str, doc_id: str, query_vec: str, doc_vec: str = "embedding", digits: int = 9) -> DataFrame:
+    """One pass over all documents for all queries: rows ``query_id, <doc_id>, sim, passes`` of the ``near`` most similar and of
+    the ``kept`` most similar that pass, and one row per query and chunk with ``n_pass`` and ``reasons`` over all documents.
+
+    Documents are held with bitmaps of their facts, so conditions are tested inside the search and what fails beyond the
+    nearest never travels.
+    """
+    id_kind = "string" if dict(docs.dtypes)[doc_id] == "string" else "long"
+
+    def answer(held: list[tuple], q: np.ndarray, x: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        wants = [(tuple(map(tuple, a["must"])), tuple((o["fact"], o["said"]) for o in a["out"])) for a in batch.column("a").to_pylist()]
+        for _, ids, own, maps in held:
+            good = [maps.passing(*w) for w in wants]
+            sims = np.round(x @ own.T, digits)
+            able = np.array([g[0] for g in good])
+            first = _best(sims, near)
+            rows, columns = (np.concatenate(both) for both in zip(first, _best(np.where(able, sims, -np.inf), kept)))
+            _, once = np.unique(rows * len(ids) + columns, return_index=True)
+            rows, columns = rows[once], columns[once]
+            n, m = len(rows), len(q)
+            out = [pa.array(np.r_[q[rows], q]), pa.concat_arrays([pa.array(ids[columns], pa.string() if id_kind == "string" else pa.int64()), pa.nulls(m, pa.string() if id_kind == "string" else pa.int64())])]
+            out += [pa.array([*sims[rows, columns], *[None] * m], pa.float64()), pa.array([*able[rows, columns], *[None] * m], pa.bool_())]
+            out += [pa.array([None] * n + [int(g[0].sum()) for g in good], pa.int64()), pa.array([None] * n + [g[1] for g in good], pa.list_(pa.struct([("reason", pa.string()), ("n", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(out, ["q", "i", "sim", "passes", "n_pass", "reasons"])
+
+    schema = f"q long, i {id_kind}, sim double, passes boolean, n_pass long, reasons array<struct<reason:string,n:long>>"
+    found = _against_chunks(queries, docs, answer, schema, query_id, doc_id, query_vec, doc_vec, None, None, (facts, asked), Bitmaps)
+    return found.withColumnsRenamed({"q": "query_id", "i": doc_id})
+
+
+def places_of(lists: DataFrame, docs: DataFrame, query_id: str, doc_id: str, query_vec: str, doc_vec: str = "embedding", digits: int = 9) -> DataFrame:
+    """``query_id, nth, rank``: the rank among all documents of the nth entry (from 1) of each query's ``list`` (array of struct
+    (sim, id)).  Each chunk counts the documents ahead of every entry, so only numbers travel."""
+
+    def answer(held: list[tuple], q: np.ndarray, x: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        asked = batch.column("a").to_pylist()
+        for _, ids, own, _ in held:
+            sims = np.round(x @ own.T, digits)
+            out: list[list] = [[], [], []]
+            for i, entries in enumerate(asked):
+                order = np.argsort(-sims[i], kind="stable")  # ids stand upwards already
+                down, after = -sims[i][order], ids[order]
+                for nth, e in enumerate(entries, 1):
+                    low, high = np.searchsorted(down, -e["sim"], "left"), np.searchsorted(down, -e["sim"], "right")
+                    out[0].append(q[i])
+                    out[1].append(nth)
+                    out[2].append(int(low + np.searchsorted(after[low:high], e["id"])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["q", "nth", "n"])
+
+    found = _against_chunks(lists, docs, answer, "q long, nth long, n long", query_id, doc_id, query_vec, doc_vec, None, None, (F.lit(0), F.col("list")))
+    return found.groupBy(F.col("q").alias("query_id"), "nth").agg((F.sum("n") + 1).alias("rank"))
+
+
 def label(labels: Column, attribute: str) -> Column:
     """A record's label; missing and empty ones are unknown."""
     return F.coalesce(F.nullif(labels[attribute], F.lit("")), F.lit(UNKNOWN))
