@@ -19,8 +19,9 @@ from tessera.operators.ranking import (
 from tessera.plans.parser import parse_column, register_tags
 from tessera.plans.recommend import PipelineConfig, observe, recommend_all, widening_ladder
 from tessera.schema import DOMAINS, RECORD, UNKNOWN, Condition
-from tessera.sources.tables import shared_path
-from tessera.streaming import feedback
+from tessera.sources.snapshots import SnapshotTable
+from tessera.sources.tables import shared_path, stored
+from tessera.streaming import attempts, feedback
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -669,11 +670,14 @@ def token_feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FEEDBACK} SELECT * FROM c")
 def feedback_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same counters kept by a Structured Streaming query over the folder of events."""
-    source = shared_path(spark, "feedback-events")
-    events = _feedback(spark, sf_dir)
-    events.write.parquet(source)
-    return feedback.run_stream(spark, source, events.schema, shared_path(spark, "feedback-counts"), shared_path(spark, "feedback-checkpoint"))
+    """The same counters kept by a Structured Streaming query over a folder to which events are added: three batches, of which
+    each rewrites the buckets that it touches."""
+    source, counts, checkpoint = (shared_path(spark, f"feedback-{part}") for part in ("events", "counts", "checkpoint"))
+    events = stored(_feedback(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("query", "keyword"), F.lit(3))), "feedback")
+    for part in range(3):
+        events.filter(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        found, _ = feedback.run_stream(spark, source, events.drop("part").schema, counts, checkpoint)
+    return found
 
 
 @query(
@@ -748,6 +752,62 @@ def run_cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelqc.run_summary(log, F.col("event_id") % 2 == 0).withColumn("cost", F.round("cost", 6))
 
 
+_CALLS = """
+w AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS until FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY ms, seq) AS n FROM (
+  SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS unit, epoch_us(ts) // 1000 AS ms, event_id AS seq, json_extract_string(props, '$.k')::DOUBLE AS cost,
+    CASE event_type WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'transient_failed' WHEN 'view' THEN 'permanent_failed' ELSE 'validation_failed' END AS outcome
+  FROM events, w WHERE epoch_us(ts) // 1000 <= until)),
+r AS (SELECT DISTINCT unit, 0::BIGINT AS n, '' AS status, 0 AS attempt, 0 AS invalid, 0::BIGINT AS waited, 0.0::DOUBLE AS spent, 0::BIGINT AS ms, 0::BIGINT AS seq, false AS done,
+    false AS idle, '' AS o_status, 0 AS o_attempt, 0 AS o_invalid, 0::BIGINT AS o_waited, 0.0::DOUBLE AS o_spent, 0::BIGINT AS o_ms, 0::BIGINT AS o_seq, false AS ends FROM e
+  UNION ALL
+  SELECT unit, n, CASE WHEN stop THEN 'stopped' ELSE outcome END, CASE WHEN stop THEN b_attempt ELSE b_attempt + 1 END, CASE WHEN stop THEN b_invalid ELSE b_invalid + (outcome = 'validation_failed')::INT END,
+    CASE WHEN stop OR outcome <> 'transient_failed' THEN b_waited ELSE b_waited + 2 * (b_attempt + 1) END, CASE WHEN stop OR outcome = 'transient_failed' THEN o_spent ELSE o_spent + cost END, e_ms, e_seq, stop OR outcome = 'success',
+    idle, o_status, o_attempt, o_invalid, o_waited, o_spent, o_ms, o_seq, stop OR outcome IN ('success', 'permanent_failed') OR b_attempt + 1 > 2
+  FROM (SELECT unit, n, outcome, cost, e_ms, e_seq, idle, status AS o_status, attempt AS o_attempt, invalid AS o_invalid, waited AS o_waited, spent AS o_spent, ms AS o_ms, seq AS o_seq, spent + 100 > 250 AS stop,
+      CASE WHEN idle THEN 0 ELSE attempt END AS b_attempt, CASE WHEN idle THEN 0 ELSE invalid END AS b_invalid, CASE WHEN idle THEN 0 ELSE waited END AS b_waited
+    FROM (SELECT r.unit, e.n, e.outcome, e.cost, e.ms AS e_ms, e.seq AS e_seq, r.status, r.spent, r.ms, r.seq, CASE WHEN ends THEN 0 ELSE attempt END AS attempt, CASE WHEN ends THEN 0 ELSE invalid END AS invalid,
+        CASE WHEN ends THEN 0 ELSE waited END AS waited, NOT ends AND attempt > 0 AND e.ms - r.ms > 21600000 AS idle
+      FROM r JOIN e ON e.unit = r.unit AND e.n = r.n + 1 WHERE NOT done))),
+z AS (SELECT *, lead(n) OVER (PARTITION BY unit ORDER BY n) IS NULL AS last FROM r)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CALLS}
+SELECT unit, o_status AS status, o_attempt AS attempt, o_invalid AS invalid, o_waited AS waited, o_spent AS spent, o_ms AS ms, o_seq AS seq FROM z WHERE idle
+UNION ALL SELECT unit, status, attempt, invalid, waited, spent, ms, seq FROM z WHERE ends
+UNION ALL SELECT unit, status, attempt, invalid, waited, spent, ms, seq FROM z, w WHERE last AND NOT ends AND attempt > 0 AND ms + 21600000 <= until"""
+)
+def attempt_final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of every call, from a stream of attempts with keyed state: retries, backoff, budget and idle calls."""
+    source, log, checkpoint = (shared_path(spark, f"attempts-{part}") for part in ("source", "log", "checkpoint"))
+    outcome = F.when(F.col("event_type") == "purchase", attempts.SUCCESS).when(F.col("event_type") == "signup", attempts.TRANSIENT).when(F.col("event_type") == "view", attempts.PERMANENT).otherwise(attempts.INVALID)
+    rows = table(spark, sf_dir, "events").select(
+        F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("unit"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), outcome.alias("outcome"),
+        F.get_json_object("props", "$.k").cast("double").alias("cost"),
+    )
+    rows.write.parquet(source)
+    policy = attempts.Policy(retries=2, wait=2, budget=250.0, ceiling=100.0, idle=21_600_000)
+    found = attempts.run_attempts(spark, source, rows.schema, log, checkpoint, policy)
+    return found.filter("final").drop("final")
+
+
+@query(
+    """SELECT 1 AS version, count(*) AS n, sum(quality)::BIGINT AS good FROM labels
+UNION ALL SELECT 2, count(*), sum(quality)::BIGINT FROM labels WHERE toxic = 0"""
+)
+def snapshot_swap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader of version 1 sees while version 2 is swapped in and version 1 is asked to be removed, and what the next
+    reader sees."""
+    labels = table(spark, sf_dir, "labels")
+    versions = SnapshotTable(spark, shared_path(spark, "snapshots"))
+    first = versions.open(versions.write(labels))
+    second = versions.open(versions.write(labels.filter("toxic = 0"), expected=first.version))
+    versions.expire()  # version 1 is being read and stays
+    seen = [r.df.agg(F.lit(r.version).alias("version"), F.count("*").alias("n"), F.sum("quality").cast("long").alias("good")) for r in (first, second)]
+    return seen[0].unionByName(seen[1])
+
+
 @query(
     f"""WITH {_ATTEMPTS}, o AS (SELECT event_id, user_id, coalesce(sum(k) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 100 > 1000 AS over FROM a)
 SELECT event_id, NOT bool_or(over) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS runs FROM o"""

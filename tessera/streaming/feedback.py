@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tessera.functions.text import is_test_query, token_set
+from tessera.sources.snapshots import KeyedTable
 
 #: A word's weight in hundredths, and the votes that every word starts with.
 WEIGHT, PRIOR = 15, 2
@@ -60,25 +61,23 @@ def better(new: dict, old: dict) -> bool:
     return new["ndcg"] >= old["ndcg"] + 0.01 and new["recall"] >= old["recall"]
 
 
-def stream_counts(spark: SparkSession, path: str, schema, name: str, checkpoint: str, files_per_trigger: int = 100) -> StreamingQuery:
-    """Keep the counters of an append-only event folder in a memory table; the checkpoint resumes them."""
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return token_counts(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
+def run_stream(spark: SparkSession, path: str, schema: StructType, table: str, checkpoint: str, files_per_trigger: int = 100, buckets: int = 64) -> tuple[DataFrame, list[list[int]]]:
+    """Count what is new in an append-only folder of events; returns the counters and the buckets that each batch rewrote.
 
-def run_stream(spark: SparkSession, path: str, schema, table: str, checkpoint: str) -> DataFrame:
-    """Process what is there and return the counters as a table written by each micro-batch.
-
-    The state is keyed by (token, keyword); a micro-batch replaces the small result table, so a replay changes nothing.
+    The state is keyed by (token, keyword).  A micro-batch gives only the counters that it changed, and these are put into
+    their hash buckets, so that a batch costs in proportion to what it touches; readers stay on the version they opened, and a
+    replayed batch changes nothing.
     """
-    events = spark.readStream.schema(schema).parquet(path)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    counts = KeyedTable(spark, table, StructType.fromDDL("token string, keyword string, likes long, dislikes long"), ["token", "keyword"], buckets)
+    touched: list[list[int]] = []
 
-    def replace_table(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").parquet(table)
+    def put(df: DataFrame, batch: int) -> None:
+        touched.append(counts.upsert(df, batch))
 
-    query = token_counts(events).writeStream.outputMode("complete").foreachBatch(replace_table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = token_counts(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(table)
+    return counts.read(), touched
 
 
 def append_once(events: DataFrame, table: str, key: str) -> int:
