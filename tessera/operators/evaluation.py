@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,37 +94,49 @@ def bootstrap_draws(n: int, iterations: int, seed: int) -> list[list[int]]:
     return out
 
 
-def hashed_draws(spark: SparkSession, n: int, iterations: int, seed: int) -> DataFrame:
-    """``k, i``: n items drawn in each of so many iterations, by a hash, so that any tool can repeat it; made on the executors."""
-    drawn = spark.range(iterations * n).select(F.floor(F.col("id") / n).cast("long").alias("k"), F.pmod("id", F.lit(n)).alias("j"))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("k").cast("string"), F.col("j").cast("string")).cast("binary")
-    return drawn.select("k", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("i"))
+def poisson_thresholds(bits: int = 32) -> list[int]:
+    """Where a number of so many bits stands for one draw more: the sums of the Poisson distribution of mean 1."""
+    out, below, term = [], 0.0, math.exp(-1)
+    for n in range(1, 12):
+        below += term
+        term /= n
+        out.append(round(below * 2**bits))
+    return [t for t in out if t < 2**bits]
 
 
-def paired_bootstrap(diffs: DataFrame, iterations: int = 2000, seed: int = 0, hashed: bool = False) -> DataFrame:
-    """One row: mean difference, 95 % interval, number, whether it holds 0, over ``diffs`` (query, diff) in query order.
+def resampling_weight(iteration: Column, key: Column, seed: int) -> Column:
+    """How often an item is drawn in an iteration: a Poisson number of mean 1 from a hash, so that any tool can repeat it and no
+    table of draws is needed."""
+    text = F.concat_ws("|", F.lit(str(seed)), iteration.cast("string"), key.cast("string"))
+    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return reduce(lambda a, b: a + b, ((number >= t).cast("int") for t in poisson_thresholds()))
 
-    One number per evaluated query takes part, counted in billionths, so that sums don't depend on their order.  Draws are
-    those of Python's generator, made on the driver, or with ``hashed`` those of :func:`hashed_draws`.
+
+def paired_bootstrap(diffs: DataFrame, iterations: int = 2000, seed: int = 0, draws: list[list[int]] | None = None) -> DataFrame:
+    """One row: mean difference, 95 % interval, number, whether it holds 0, over ``diffs`` (query, diff), one row a query.
+
+    Every difference meets every iteration where it lies, weighed by :func:`resampling_weight`; what is shuffled is one sum an
+    iteration and task.  Sums are made in billionths, so they don't depend on their order; an iteration that draws nothing
+    has the mean of all.  ``draws`` are used in place of weights, in query order, for small fixtures (:func:`bootstrap_draws`).
     """
-    n = diffs.count()
-    if not n:
-        raise ValueError("no differences to resample")
     spark = diffs.sparkSession
     exact = diffs.select("query", F.col("diff").cast("decimal(20,9)").alias("diff"))
-    placed = exact.select("diff", (F.row_number().over(Window.orderBy("query")) - 1).cast("long").alias("i"))
-    if hashed:
-        draws = hashed_draws(spark, n, iterations, seed).withColumn("c", F.lit(1))
+    mean, n = exact.agg(F.sum("diff").cast("double") / F.count("*"), F.count("*")).first()
+    if not n:
+        raise ValueError("no differences to resample")
+    if draws is None:
+        drawn = exact.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+        drawn = drawn.withColumn("c", resampling_weight(F.col("k"), F.col("query"), seed))
     else:
-        drawn = [(k, i, c) for k, counts in enumerate(bootstrap_draws(n, iterations, seed)) for i, c in enumerate(counts) if c]
-        draws = spark.createDataFrame(drawn, "k long, i long, c int")
-    means = draws.join(placed, "i").groupBy("k").agg((F.sum(F.col("c") * F.col("diff")).cast("double") / n).alias("m"))
-    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)
-    ends = ranked.agg(
-        F.max(F.when(F.col("r") == int(0.025 * iterations), F.col("m"))).alias("low"), F.max(F.when(F.col("r") == int(0.975 * iterations) - 1, F.col("m"))).alias("high")
-    )
-    mean = exact.agg((F.sum("diff").cast("double") / F.count("*")).alias("mean_diff"), F.count("*").alias("n"))
-    return mean.join(ends).withColumn("holds_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
+        place = {r["query"]: i for i, r in enumerate(exact.select("query").orderBy("query").collect())}
+        table = spark.createDataFrame([(q, k, counts[i]) for q, i in place.items() for k, counts in enumerate(draws)], f"query {dict(diffs.dtypes)['query']}, k int, c int")
+        drawn = exact.join(table, "query")
+    sums = drawn.groupBy("k").agg(F.sum(F.col("c") * F.col("diff")).cast("double").alias("s"), F.sum("c").alias("w"))
+    means = sums.select(F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(mean).alias("m"))
+    ordered = means.agg(F.array_sort(F.collect_list("m")).alias("all"))  # one number an iteration
+    at = lambda place: F.element_at("all", place + 1)
+    out = ordered.select(F.lit(mean).alias("mean_diff"), F.lit(n).cast("long").alias("n"), at(int(0.025 * iterations)).alias("low"), at(int(0.975 * iterations) - 1).alias("high"))
+    return out.withColumn("holds_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
 
 
 def kappa(pairs: DataFrame, a: str, b: str, values: list) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,18 +18,59 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, by: Seq
     )
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, low, middle, high, mean`` of numeric columns.
+#: Bins of a range at each refinement, and rows of a bin that are counted value by value.
+BINS, FEW = 4096, 100_000
+
+
+def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))))
+
 
-    The exact median comes from running counts of the distinct values, which are sorted and may spill, never held at once.
+def quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> DataFrame:
+    """``column, fraction, value``: exact quantiles of numeric columns, interpolated between the two values around each.
+
+    A histogram finds the bin of a range that holds a wanted place, and the bin becomes the next range.  Its ends are values
+    of the column, so every round splits it, and one with few rows is counted value by value.  A round reads the column
+    once; what is shuffled or brought to the driver are counts, at most :data:`BINS` a place, and no task holds a column.
+    Null, NaN and infinite values take no part; a column without others has no quantiles.
     """
-    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))))
-    whole = long.groupBy("column").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
-    values = long.filter(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("c"))
-    running = values.withColumn("upto", F.sum("c").over(Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    placed = running.join(whole.select("column", "n"), "column")
-    first = lambda place: F.min(F.when(F.col("upto") >= place, F.col("v")))
-    middle = placed.groupBy("column").agg(((first(F.floor((F.col("n") + 1) / 2)) + first(F.floor(F.col("n") / 2) + 1)) / 2).alias("middle"))
+    spark = df.sparkSession
+    values = _long(df, columns).filter(F.abs("v") < F.lit(float("inf")))
+    open_ = []  # (column, fraction, upper, place in the range, range)
+    for r in values.groupBy("column").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+        for f in fractions:
+            at = f * (r["n"] - 1)
+            open_ += [(r["column"], float(f), upper, int(place) + 1, r["low"], r["high"], r["n"]) for upper, place in ((False, math.floor(at)), (True, math.ceil(at)))]
+    sizes = {o[0]: o[6] for o in open_}
+    found: dict[tuple, float] = {}
+    keys = ["column", "fraction", "upper"]
+    while open_:
+        found |= {o[:3]: o[4] for o in open_ if o[4] == o[5]}
+        open_ = [o for o in open_ if o[4] < o[5]]
+        if not open_:
+            break
+        wanted = spark.createDataFrame(open_, "column string, fraction double, upper boolean, place long, low double, high double, n long")
+        inside = values.join(F.broadcast(wanted), "column").filter("v >= low AND v <= high")
+        share = (F.col("v") / F.lit(2.0) - F.col("low") / F.lit(2.0)) / (F.col("high") / F.lit(2.0) - F.col("low") / F.lit(2.0))  # halves, so that no difference overflows
+        few = F.col("n") <= FEW
+        bin_ = F.when(few, F.col("v")).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("double"))
+        counts = inside.withColumn("bin", bin_).groupBy(*keys, "place", "bin").agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        hit = counts.withColumn("upto", upto).filter("upto >= place AND upto - c < place")
+        open_ = [(r["column"], r["fraction"], r["upper"], r["place"] - r["upto"] + r["c"], r["a"], r["b"], r["c"]) for r in hit.collect()]
+    rows = []
+    for column in dict.fromkeys(c for c, _, _ in found):
+        for f in fractions:
+            low, high = found[column, float(f), False], found[column, float(f), True]
+            at = f * (sizes[column] - 1)
+            rows.append((column, float(f), low + (high - low) * (at - math.floor(at))))
+    return spark.createDataFrame(rows, "column string, fraction double, value double")
+
+
+def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, low, middle, high, mean`` of numeric columns, the middle an exact median."""
+    whole = _long(df, columns).groupBy("column").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    middle = quantiles(df, columns, [0.5]).select("column", F.col("value").alias("middle"))
     return whole.join(middle, "column", "left").select("column", "low", "middle", "high", "mean")
 
 

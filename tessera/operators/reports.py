@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import company, family, key_tokens, mentions, menu_key, same_menu
 from tessera.operators.joins import last_per_key
+from tessera.operators.profile import quantiles
 from tessera.operators.ranking import label
 from tessera.schema import UNKNOWN
 
@@ -222,8 +223,10 @@ def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "group_size"
 def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, n, mean, sd, low, high`` and exact quartiles of numeric columns."""
     long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))))
-    q = lambda p, name: F.percentile("v", p).alias(name)
-    return long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), q(0.25, "q1"), q(0.5, "q2"), q(0.75, "q3"), F.max("v").alias("high"))
+    whole = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high"))
+    named = lambda f, name: F.max(F.when(F.col("fraction") == f, F.col("value"))).alias(name)
+    quarters = quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("column").agg(named(0.25, "q1"), named(0.5, "q2"), named(0.75, "q3"))
+    return whole.join(quarters, "column", "left").select("column", "n", "mean", "sd", "low", "q1", "q2", "q3", "high")
 
 
 def compare_tables(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -546,11 +546,16 @@ def condensed_ndcg_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("ndcg", "recall")})
 
 
+def drawn(table: str, iterations: int, seed: int) -> str:
+    """SQL for the means ``m`` of every iteration over ``table`` (query_id, diff), weighed by the numbers of Poisson draws."""
+    weight = " + ".join(f"(h >= {t})::INT" for t in evaluation.poisson_thresholds())
+    return f"""w AS (SELECT k, diff, {weight} AS c FROM (SELECT k.range AS k, diff, ('0x' || substr(md5('{seed}|' || k.range || '|' || query_id), 1, 8))::BIGINT AS h FROM range({iterations}) k, {table})),
+m AS (SELECT k, CASE WHEN sum(c) > 0 THEN sum(c * diff)::DOUBLE / sum(c) ELSE (SELECT sum(diff)::DOUBLE / count(*) FROM {table}) END AS m FROM w GROUP BY k)"""
+
+
 @query(
     f"""WITH {_KNN}, x AS (SELECT query_id, (max(sim) FILTER (rank = 1) - max(sim) FILTER (rank = 5) - 0.05)::DECIMAL(20, 9) AS diff FROM r GROUP BY query_id),
-p AS (SELECT diff, row_number() OVER (ORDER BY query_id) - 1 AS i, count(*) OVER () AS n FROM x),
-w AS (SELECT k.range AS k, ('0x' || substr(md5('0|' || k.range || '|' || p.i), 1, 8))::BIGINT % n AS i FROM range(2000) k, p),
-m AS (SELECT k, sum(diff)::DOUBLE / max(n) AS m FROM w JOIN p USING (i) GROUP BY k), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m),
+{drawn("x", 2000, 0)}, o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m),
 e AS (SELECT max(m) FILTER (r = 50) AS low, max(m) FILTER (r = 1949) AS high FROM o)
 SELECT (SELECT sum(diff)::DOUBLE / count(*) FROM x) AS mean_diff, (SELECT count(*) FROM x) AS n, low, high, low <= 0 AND high >= 0 AS holds_zero FROM e"""
 )
@@ -559,7 +564,7 @@ def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _neighbours(spark, sf_dir, 5)
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("sim")))
     diffs = found.groupBy(F.col("query_id").alias("query")).agg((at(1) - at(5) - 0.05).alias("diff"))
-    return evaluation.paired_bootstrap(diffs, 2000, 0, hashed=True)
+    return evaluation.paired_bootstrap(diffs, 2000, 0)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import cleaning, evaluation, reports
-from tessera.plans.catalogue import _ATTEMPTS, _GRADED, _KNN, ASKED, _asked_texts, _attempts, _found, _grades, _neighbours, query, recommended, table
+from tessera.plans.catalogue import _ATTEMPTS, _GRADED, _KNN, ASKED, _asked_texts, _attempts, _found, _grades, _neighbours, drawn, query, recommended, table
 from tessera.plans.parser import parse_column
 from tessera.sources import tables
 from tessera.sources.vector_store import VectorStore
@@ -170,9 +170,7 @@ def metrics_by_condition_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_KNN}, x AS (SELECT query_id, (max(sim) FILTER (rank = 1) - max(sim) FILTER (rank = 5))::DECIMAL(20, 9) AS diff FROM r WHERE q_label < 6 GROUP BY query_id),
-p AS (SELECT diff, row_number() OVER (ORDER BY query_id) - 1 AS i, count(*) OVER () AS n FROM x),
-w AS (SELECT k.range AS k, ('0x' || substr(md5('7|' || k.range || '|' || p.i), 1, 8))::BIGINT % n AS i FROM range(1000) k, p),
-m AS (SELECT k, sum(diff)::DOUBLE / max(n) AS m FROM w JOIN p USING (i) GROUP BY k), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m),
+{drawn("x", 1000, 7)}, o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m),
 e AS (SELECT max(m) FILTER (r = 25) AS low, max(m) FILTER (r = 974) AS high FROM o)
 SELECT (SELECT sum(diff)::DOUBLE / count(*) FROM x) AS mean_diff, (SELECT count(*) FROM x) AS n, low, high, low <= 0 AND high >= 0 AS holds_zero FROM e"""
 )
@@ -180,7 +178,7 @@ def subpopulation_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interval of a mean difference over some of the queries."""
     found = _found(spark, sf_dir).filter("q_label < 6").select("query", "id", "rank").join(_neighbours(spark, sf_dir, 5).select(F.col("query_id").alias("query"), F.col("vec_id").alias("id"), "sim"), ["query", "id"])
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("sim")))
-    return evaluation.paired_bootstrap(found.groupBy("query").agg((at(1) - at(5)).alias("diff")), 1000, 7, hashed=True)
+    return evaluation.paired_bootstrap(found.groupBy("query").agg((at(1) - at(5)).alias("diff")), 1000, 7)
 
 
 @query(

@@ -8,7 +8,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.functions.text import family, is_test_query, menu_key, parse_name, parse_quantity, same_menu
-from tessera.operators.evaluation import condensed, kappa, paired_bootstrap, per_query
+from tessera.operators.evaluation import bootstrap_draws, condensed, kappa, paired_bootstrap, per_query
+from tessera.operators import profile
 from tessera.operators.ranking import RankingConfig, _best, choice_columns, drop_reasons, select_top_k, top_k_similar
 from tessera.operators.sampling import packed_batches, sqrt_quotas
 from tessera.operators.reports import observe_lists
@@ -229,6 +230,36 @@ def test_feedback(spark, tmp_path):
     assert feedback.better({"ndcg": 0.51, "recall": 0.4}, {"ndcg": 0.5, "recall": 0.4}) and not feedback.better({"ndcg": 0.505, "recall": 0.5}, {"ndcg": 0.5, "recall": 0.4})
 
 
+def test_bootstrap_by_draws_and_by_weights(spark):
+    """Draws of Python's generator give the interval of a plain loop; weights give one about as wide."""
+    rng = np.random.default_rng(2)
+    values = [round(float(v), 6) for v in rng.normal(0.3, 1.0, 40)]
+    diffs = spark.createDataFrame([(f"q{i:02d}", v) for i, v in enumerate(values)], "query string, diff double")
+    draws = bootstrap_draws(40, 400, 5)
+    means = sorted(sum(c * v for c, v in zip(d, values)) / 40 for d in draws)
+    got = paired_bootstrap(diffs, 400, 5, draws=draws).first()
+    assert (got["low"], got["high"], got["mean_diff"]) == pytest.approx((means[10], means[389], sum(values) / 40))
+    by_weight = paired_bootstrap(diffs, 2000, 1).first()
+    error = np.std(values) / np.sqrt(40)
+    assert by_weight["low"] == pytest.approx(by_weight["mean_diff"] - 1.96 * error, abs=0.4 * error) and by_weight["high"] == pytest.approx(by_weight["mean_diff"] + 1.96 * error, abs=0.4 * error)
+    assert by_weight["holds_zero"] == (by_weight["low"] <= 0 <= by_weight["high"])
+
+
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_quantiles_without_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(profile, "FEW", few)
+    monkeypatch.setattr(profile, "BINS", 8)
+    rng = np.random.default_rng(6)
+    columns = {"wide": np.exp(rng.normal(0, 30, 500)), "ties": np.where(rng.random(500) < 0.7, 3.0, rng.normal(0, 1, 500)), "same": np.full(500, -2.5), "huge": rng.choice([-1.7e308, 1.7e308, 0.0], 500), "near": 1 + rng.integers(0, 5, 500) * 2.0**-52}
+    rows = [tuple(float(columns[c][i]) for c in columns) + (None,) for i in range(500)] + [(None, float("nan"), None, float("inf"), None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns) + ", none double")
+    fractions = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r["column"], r["fraction"]): r["value"] for r in profile.quantiles(df, [*columns, "none"], fractions).collect()}
+    want = {(c, f): float(np.quantile(v, f)) for c, v in columns.items() for f in fractions if c != "huge"}
+    assert {k: v for k, v in got.items() if k[0] != "huge"} == {k: pytest.approx(v, rel=1e-12) for k, v in want.items()}
+    assert got["huge", 0.0] == -1.7e308 and got["huge", 1.0] == 1.7e308 and profile.quantiles(df.limit(0), ["wide"], [0.5]).count() == 0
+
+
 # --- experiments
 
 
