@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -10,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import company, family, key_tokens, menu_key, mentions, same_menu, term_key, words
 from tessera.schema import UNKNOWN, Condition
@@ -400,9 +403,9 @@ def select_top_k(scored: DataFrame, k: int, config: RankingConfig, by: list[str]
     ``exempt``, an array of groups, or ``free``, a condition, frees rows from the cap; ``row`` is what ``carry`` holds.
 
     Records are taken best first; a variant of one taken before and one whose group is at the cap are skipped, until k
-    are taken.  With a group penalty the best is sought anew at each step.  The rule depends on the order and
-    duplicates are not transitive, so each list is folded in order, inside the JVM.  A list is what one query
-    retrieved, at most its candidate number, so its size does not grow with the data.
+    are taken.  With a group penalty the best is sought anew at each step, from a sorted stream (:class:`Penalised`).  The rule
+    depends on the order and duplicates are not transitive, so without a penalty each list is folded in order, inside the
+    JVM; a list holds what its query retrieved, so callers bound it by the query's range.
     """
     table = scored.withColumns(choice_columns(config))
     table = table.withColumn("_pos", F.row_number().over(Window.partitionBy(*by).orderBy(*best_first(id_=id_))))
@@ -412,6 +415,8 @@ def select_top_k(scored: DataFrame, k: int, config: RankingConfig, by: list[str]
         F.col("_pos").alias("pos"), F.col(id_).alias("id"), F.col("name"), F.col("score"), F.col("_group").alias("group"), F.col("_key").alias("key"),
         F.coalesce(free, F.lit(False)).alias("free"), F.lit("").alias("reason"), (F.lit(None).cast("string") if carry is None else carry).alias("row"),
     )
+    if config.group_penalty:
+        return _penalised(table.select(*by, item.alias("item")), k, config, by)
     lists = table.groupBy(*by).agg(F.array_sort(F.collect_list(item), lambda a, b: a["pos"] - b["pos"]).alias("items"))
     none = F.filter("items", lambda _: F.lit(False))
 
@@ -431,31 +436,129 @@ def select_top_k(scored: DataFrame, k: int, config: RankingConfig, by: list[str]
         skipped = F.when(taken, state["skipped"]).otherwise(F.concat(state["skipped"], F.array(with_reason(x, F.coalesce(reason, F.lit(""))))))
         return selected, skipped
 
-    if not config.group_penalty:
-        start = F.struct(none.alias("selected"), none.alias("skipped"))
+    start = F.struct(none.alias("selected"), none.alias("skipped"))
 
-        def fold(state: Column, x: Column) -> Column:
-            selected, skipped = step(state, x)
-            more = F.struct(selected.alias("selected"), skipped.alias("skipped"))
-            return F.when(F.size(state["selected"]) < k, more).otherwise(state)
+    def fold(state: Column, x: Column) -> Column:
+        selected, skipped = step(state, x)
+        more = F.struct(selected.alias("selected"), skipped.alias("skipped"))
+        return F.when(F.size(state["selected"]) < k, more).otherwise(state)
 
-        out = F.aggregate("items", start, fold)
-    else:
-        start = F.struct(none.alias("selected"), none.alias("skipped"), F.col("items").alias("left"))
+    out = F.aggregate("items", start, fold)
+    return lists.select(*by, out.alias("_out")).select(*by, "_out.selected", "_out.skipped")
 
-        def fold(state: Column, _: Column) -> Column:
-            def worth(y: Column) -> Column:
-                held = F.size(F.filter(state["selected"], lambda s: s["group"] == y["group"]))
-                return y["score"] - F.when(y["free"], 0.0).otherwise(config.group_penalty * held)
 
-            best = F.array_min(F.transform(state["left"], lambda y: F.struct((-worth(y)).alias("w"), y["pos"].alias("p"))))
-            x = F.try_element_at(F.filter(state["left"], lambda y: y["pos"] == best["p"]), F.lit(1))
-            selected, skipped = step(state, x)
-            more = F.struct(selected.alias("selected"), skipped.alias("skipped"), F.filter(state["left"], lambda y: y["pos"] != x["pos"]).alias("left"))
-            return F.when((F.size(state["selected"]) < k) & (F.size(state["left"]) > 0), more).otherwise(state)
+def is_variant(a: dict, b: dict) -> bool:
+    """:func:`same_menu` for two keys outside the JVM."""
+    if not a["key"] or not b["key"]:
+        return False
+    if a["key"] == b["key"] or a["company"] != b["company"]:
+        return a["key"] == b["key"]
+    if a["company"]:
+        return a["key"].startswith(b["key"]) or b["key"].startswith(a["key"])
+    short = min(len(a["parts"]), len(b["parts"]))
+    return a["parts"][:short] == b["parts"][:short]
 
-        out = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("items"), F.lit(1))), start, fold)
-    return lists.select(*by, out.alias("_out")).select(*by, "_out.selected", "_out.skipped")
+
+class Penalised:
+    """The choice of one query with a group penalty, fed with its records best first.
+
+    Every group waits with its best record in a heap, worth its score less the penalty for those of the group taken before;
+    worths in the heap may be too high and are put right when they come up.  A record is taken once nothing that is still
+    to come can be worth more, so no more is read than the choice needs, and only what was read is held.
+    """
+
+    #: Scores are ordered by nine digits: one still to come is at most this much above the last.
+    SLACK = 1e-9
+
+    def __init__(self, k: int, config: RankingConfig):
+        self.k, self.config = k, config
+        self.selected: list[dict] = []
+        self.skipped: list[dict] = []
+        self.held: dict[str | None, int] = {}
+        self.waiting: dict[tuple, list[tuple]] = {}
+        self.heads: list[tuple] = []
+
+    def _key(self, x: dict) -> tuple:
+        return ("free",) if x["free"] else ("group", x["group"])
+
+    def _worth(self, x: dict) -> float:
+        return x["score"] - (0.0 if x["free"] else self.config.group_penalty * self.held.get(x["group"], 0))
+
+    def _show(self, key: tuple) -> None:
+        if own := self.waiting.get(key):
+            x = own[0][2]
+            heapq.heappush(self.heads, (-self._worth(x), x["pos"], key))
+
+    def feed(self, x: dict) -> bool:
+        """Take in the next record; whether more are needed."""
+        key = self._key(x)
+        own = self.waiting.setdefault(key, [])
+        heapq.heappush(own, (-x["score"], x["pos"], x))
+        if own[0][2] is x:
+            self._show(key)
+        self.settle(x["score"] + self.SLACK)
+        return len(self.selected) < self.k
+
+    def settle(self, to_come: float = -math.inf) -> None:
+        """Take what is worth at least as much as anything to come."""
+        while self.heads and len(self.selected) < self.k:
+            worth, pos, key = self.heads[0]
+            own = self.waiting.get(key)
+            if not own or own[0][1] != pos:
+                heapq.heappop(self.heads)  # a better one of the group was shown later, or this one is gone
+                continue
+            x = own[0][2]
+            if -worth > self._worth(x):
+                heapq.heapreplace(self.heads, (-self._worth(x), pos, key))
+                continue
+            if -worth < to_come:
+                return
+            heapq.heappop(self.heads)
+            heapq.heappop(own)
+            self._decide(x)
+            self._show(key)
+
+    def _decide(self, x: dict) -> None:
+        c = self.config
+        twin = next((s for s in self.selected if is_variant(s["key"], x["key"])), None) if c.collapse_duplicates else None
+        if twin is not None:
+            self.skipped.append(x | {"reason": f"duplicate: {twin['name']}"})
+        elif c.group_cap and not x["free"] and self.held.get(x["group"], 0) >= c.group_cap:
+            self.skipped.append(x | {"reason": f"{c.group_key} cap({c.group_cap}): {x['group']}"})
+        else:
+            self.selected.append(x)
+            self.held[x["group"]] = self.held.get(x["group"], 0) + 1
+
+
+def _penalised(table: DataFrame, k: int, config: RankingConfig, by: list[str]) -> DataFrame:
+    """``by, selected, skipped`` from rows (by, item): a query's rows stream past its :class:`Penalised` in order, never as a list."""
+    kinds = T.ArrayType(table.schema["item"].dataType)
+    schema = table.select(*by).schema.add("selected", kinds).add("skipped", kinds)
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, choice, more, columns = None, None, False, None
+
+        def done() -> pa.RecordBatch:
+            choice.settle()
+            made = [pa.array([v], c.type) for v, c in zip(at, columns)]
+            made += [pa.array([rows], pa.list_(columns[n].type)) for rows in (choice.selected, choice.skipped)]
+            return pa.RecordBatch.from_arrays(made, schema.names)
+
+        for batch in batches:
+            columns = batch.columns
+            keys = list(zip(*(c.to_pylist() for c in columns[:n])))
+            for i, key in enumerate(keys):
+                if key != at:
+                    if choice is not None:
+                        yield done()
+                    at, choice, more = key, Penalised(k, config), True
+                if more:
+                    more = choice.feed(columns[n][i].as_py())
+        if choice is not None:
+            yield done()
+
+    return table.repartition(*by).sortWithinPartitions(*by, "item.pos").mapInArrow(run, schema)
 
 
 def cap_per_group(ranked: DataFrame, cap: int, k: int, by: str, group: str, order: list[Column]) -> DataFrame:

@@ -189,6 +189,26 @@ def greedy_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_brand", (F.col("pos") + 1).alias("pick"), F.col("s.id").alias("p_partkey"))
 
 
+@query(
+    """WITH t AS (SELECT p_brand, p_partkey, p_type AS grp, p_retailprice / 1000.0::DOUBLE AS score FROM part),
+g AS (SELECT *, row_number() OVER (PARTITION BY p_brand, grp ORDER BY round(score, 9) DESC, p_partkey) AS nth FROM t),
+w AS (SELECT *, score - 0.05::DOUBLE * (nth - 1) AS worth FROM g)
+SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY worth DESC, round(score, 9) DESC, p_partkey))::INTEGER AS pick, p_partkey, grp FROM w
+QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY worth DESC, round(score, 9) DESC, p_partkey) <= 8"""
+)
+def penalised_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight parts of each brand, where every one taken of a type makes the next of it worth less.
+
+    Within a type the n-th best is taken with the penalty of the n - 1 before it, which is how SQL can say it.
+    """
+    config = RankingConfig(group_key="representative", group_cap=0, collapse_duplicates=False, group_penalty=0.05)
+    parts = table(spark, sf_dir, "part").select(
+        "p_brand", "p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("representative"), F.lit("-").alias("company"), (F.col("p_retailprice") / 1000.0).alias("score"), F.lit(0.0).alias("sim")
+    )
+    out = select_top_k(parts, 8, config, ["p_brand"], id_="p_partkey").select("p_brand", F.posexplode("selected").alias("pos", "s"))
+    return out.select("p_brand", (F.col("pos") + 1).alias("pick"), F.col("s.id").alias("p_partkey"), F.col("s.group").alias("grp"))
+
+
 @query("SELECT string_split(p_name, ' ')[-1] AS family, count(*) AS n FROM part GROUP BY 1")
 def last_token_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.value_counts(table(spark, sf_dir, "part").select(family(F.col("p_name"), F.lit("-")).alias("family")), "family")

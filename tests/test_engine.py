@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import family, is_test_query, menu_key, parse_name, parse_quantity, same_menu
 from tessera.operators.evaluation import bootstrap_draws, condensed, kappa, paired_bootstrap, per_query
 from tessera.operators import profile
-from tessera.operators.ranking import RankingConfig, _best, choice_columns, drop_reasons, select_top_k, top_k_similar
+from tessera.operators.ranking import Penalised, RankingConfig, _best, choice_columns, drop_reasons, select_top_k, top_k_similar
 from tessera.operators.sampling import packed_batches, sqrt_quotas
 from tessera.operators.reports import observe_lists
 from tessera.plans import catalogue, food
@@ -99,6 +99,48 @@ def test_group_penalty_seeks_the_best_anew(spark):
     assert chosen(spark, rows, 2, RankingConfig(group_cap=0, collapse_duplicates=False, group_penalty=0.01))[0] == ["p1", "p2"]
 
 
+def plain_penalised(rows, k, config):
+    """The best is sought in the whole list at every step."""
+    left, taken, out = sorted(rows, key=lambda r: (-round(r[4], 9), -r[5], r[0])), [], []
+    left = [dict(id=i, name=n, group=r.split()[-1] if not c and r.split() else r, key=n.split(), company=c, score=s, pos=p) for p, (i, n, r, c, s, _) in enumerate(left)]
+    while left and len(taken) < k:
+        x = min(left, key=lambda y: (-(y["score"] - config.group_penalty * sum(t["group"] == y["group"] for t in taken)), y["pos"]))
+        left.remove(x)
+        short = lambda t: min(len(t["key"]), len(x["key"]))  # noqa: B023, E731
+        if config.collapse_duplicates and any(t["key"][: short(t)] == x["key"][: short(t)] for t in taken):
+            out.append(x["id"])
+        elif config.group_cap and sum(t["group"] == x["group"] for t in taken) >= config.group_cap:
+            out.append(x["id"])
+        else:
+            taken.append(x)
+    return [t["id"] for t in taken], out
+
+
+def test_penalised_choice_like_a_plain_search(spark):
+    rng = np.random.default_rng(8)
+    for penalty, cap, collapse, n in ((0.05, 0, False, 80), (0.3, 2, True, 120), (0.02, 3, True, 60), (1.0, 1, False, 40)):
+        rows = [(f"i{i:03d}", " ".join(f"w{rng.integers(5)}" for _ in range(rng.integers(1, 4))), f"g{rng.integers(6)}", "", float(np.round(rng.random(), 2)), 0.0) for i in range(n)]
+        config = RankingConfig(group_cap=cap, collapse_duplicates=collapse, group_penalty=penalty)
+        got = chosen(spark, [r[:5] for r in rows], 7, config)
+        assert (got[0], [i for i, _ in got[1]]) == plain_penalised(rows, 7, config)
+
+
+def test_a_long_list_is_read_only_as_far_as_needed(spark):
+    """100,000 records, a third of one group: the choice stops early and equals the plain search over the head that it needs."""
+    rng = np.random.default_rng(9)
+    rows = [(f"i{i:06d}", f"name{i}", "hot" if i % 3 == 0 else f"g{i % 997}", "", float(s), 0.0) for i, s in enumerate(rng.random(100_000))]
+    config = RankingConfig(group_cap=0, collapse_duplicates=True, group_penalty=0.01)
+    head = sorted(rows, key=lambda r: -r[4])[:400]
+    assert chosen(spark, [r[:5] for r in rows], 10, config)[0] == plain_penalised(head, 10, config)[0]
+    read = 0
+    choice = Penalised(10, config)
+    for pos, r in enumerate(sorted(rows, key=lambda r: -r[4])):
+        read += 1
+        if not choice.feed({"pos": pos, "id": r[0], "name": r[1], "score": r[4], "group": r[2], "key": {"key": r[1], "company": "", "parts": [r[1]]}, "free": False, "reason": "", "row": None}):
+            break
+    assert read < 500
+
+
 def test_unknown_fails_and_says_so(spark):
     rows = spark.createDataFrame([({"a": "1"},), ({"a": ""},), ({"b": "1"},)], "labels map<string,string>")
     got = [r["r"] for r in rows.select(drop_reasons(F.col("labels"), [Condition("a", ("1",))]).alias("r")).collect()]
