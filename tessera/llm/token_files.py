@@ -40,50 +40,55 @@ RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all blocks (uint64) and the number of words of each; the last block may be short.
 
-    All blocks advance together: every step chooses, for each, the selector that takes most of the ids ahead.
+    For every place the selector is found that takes most of the ids ahead; then all blocks are walked together, one word a
+    step, and the words of all places that were met are made at once, selector by selector.
     """
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blocks = -(-n // BLOCK)
-    padded = np.zeros(blocks * BLOCK, np.uint64)
+    padded = np.zeros(blocks * BLOCK + COUNTS[0], np.uint64)
     padded[:n] = ids
-    end = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    place = np.arange(len(padded)).reshape(blocks, BLOCK)
-    grid = padded.reshape(blocks, BLOCK)
-    # choice[i]: the first selector whose count of ids from i on all fit, or reach the end of the block.
-    choice = np.zeros(len(padded), np.uint8)
+    grid = padded[: blocks * BLOCK].reshape(blocks, BLOCK)
+    most = int(grid.max()).bit_length()
+    choice = np.zeros((blocks, BLOCK), np.uint8)
     for selector in range(len(COUNTS), 0, -1):
         count, width = COUNTS[selector - 1], WIDTHS[selector - 1]
-        misfit = np.where(grid >> np.uint64(width), place, np.iinfo(np.int64).max)
-        ahead = np.minimum.accumulate(misfit[:, ::-1], axis=1)[:, ::-1]
-        choice[(ahead - place >= count).reshape(-1)] = selector
-    at = np.arange(blocks) * BLOCK
-    live = np.arange(blocks)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(live):
-        here = at[live]
-        chosen = choice[here]
-        word = np.zeros(len(live), np.uint64)
-        taken = np.ones(len(live), np.int64)
-        for selector in np.unique(chosen):
-            of = np.flatnonzero(chosen == selector)
-            if selector == 0:
-                steps.append((live[of], np.zeros(len(of), np.uint64)))
-                word[of] = padded[here[of]]
-                continue
+        if width >= most:
+            choice[:] = selector
+            continue
+        # Ids that don't fit, up to each place: none lies ahead if the number is the same ``count`` places on.
+        wide = np.zeros((blocks, BLOCK + count), np.int16)
+        np.cumsum(grid >= np.uint64(1 << width), axis=1, dtype=np.int16, out=wide[:, 1 : BLOCK + 1])
+        wide[:, BLOCK + 1 :] = wide[:, BLOCK : BLOCK + 1]
+        choice[wide[:, count:] == wide[:, :BLOCK]] = selector
+    choice = choice.reshape(-1)
+    end = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
+    taken = np.array((1, *COUNTS))[choice]
+    met = np.zeros(blocks * BLOCK, bool)
+    live, at = end, np.arange(blocks) * BLOCK
+    while len(at):
+        met[at] = True
+        at = at + taken[at]
+        left = at < live
+        at, live = at[left], live[left]
+    places = np.flatnonzero(met)
+    chosen = choice[places]
+    sizes = 1 + (chosen == 0)
+    slots = np.cumsum(sizes) - 1  # an escape's id stands in the last of its words
+    words = np.zeros(int(sizes.sum()), np.uint64)
+    words[slots[chosen == 0]] = padded[places[chosen == 0]]
+    for selector in range(1, len(COUNTS) + 1):
+        of = np.flatnonzero(chosen == selector)
+        if len(of):
             count, width = COUNTS[selector - 1], WIDTHS[selector - 1]
-            index = here[of][:, None] + np.arange(count)
-            inside = index < end[live[of]][:, None]
-            values = np.where(inside, padded[np.minimum(index, len(padded) - 1)], np.uint64(0))
-            shifts = (np.arange(count) * width).astype(np.uint64)
-            word[of] = (values << shifts).sum(axis=1, dtype=np.uint64) | np.uint64(int(selector) << 60)
-            taken[of] = inside.sum(axis=1)
-        steps.append((live, word))
-        at[live] = here + taken
-        live = live[at[live] < end[live]]
-    owner, words = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps])
-    return words[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=blocks)
+            word = np.full(len(of), selector << 60, np.uint64)
+            last = end[places[of] // BLOCK]
+            for k in range(count):
+                index = places[of] + k
+                word |= np.where(index < last, padded[index], np.uint64(0)) << np.uint64(k * width)
+            words[slots[of]] = word
+    return words, np.bincount(places // BLOCK, weights=sizes, minlength=blocks).astype(np.int64)
 
 
 def decode_words(words: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
