@@ -61,12 +61,18 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")
 
 
-#: A key is hot if it has more than this share of the rows, so there are at most 256 hot keys whatever the input.
-HOT = 1 / 256
+#: A key is hot if it has more than this share of the rows, or more rows than one task should hold, whatever the input; the
+#: largest so many are dealt with as such.
+HOT, HELD, MOST_HOT = 1 / 256, 1_000_000, 4096
 #: Tasks that a hot key's rows are spread over.
 SALTS = 64
 
 
+def hot_from(total: int, least: int, sampled: int = 1) -> int:
+    """The number of rows from which a key is hot among ``total`` (both counted in one row of ``sampled``)."""
+    return max(least, min(int(total * HOT), HELD // sampled))
+
+
 def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, hot: list, how: str = "inner") -> DataFrame:
     """``many`` joined with ``one`` (one row a key) on ``key``; rows of the ``hot`` keys are dealt to :data:`SALTS` tasks by a
     hash of ``by``, to which the one row goes as often."""

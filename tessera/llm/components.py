@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT, Scratch, spread_join
+from tessera.llm.common import MOST_HOT, Scratch, hot_from, spread_join
 
 
 def _pairs(df: DataFrame, a, b) -> DataFrame:
@@ -34,14 +34,13 @@ def _small_star(edges: DataFrame, hot: list) -> DataFrame:
 
 
 def _state(edges: DataFrame, before: int):
-    """Number and checksum of the edges, and the vertices that hold a hot share of them as their larger or smaller end.
-
-    Edges only get fewer, so with the number ``before`` there are at most 256 hot vertices on either side.
-    """
+    """Number and checksum of the edges, and the vertices that hold a hot share of them as their larger or smaller end, the
+    largest 4,096 on either side; ``before`` is the number of edges a round ago."""
     ends = edges.select(F.xxhash64("u", "v").alias("h"), F.inline(F.array(F.struct(F.lit(True).alias("larger"), F.col("u").alias("x")), F.struct(F.lit(False).alias("larger"), F.col("v").alias("x")))))
     counts = ends.groupBy("larger", "x").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
-    hot = F.col("n") > max(256, int(before * HOT))
-    some = lambda side: F.collect_list(F.when(hot & side, F.col("x")))
+    hot = F.col("n") > hot_from(before, 256)
+    largest = lambda side: F.slice(F.sort_array(F.collect_list(F.when(hot & side, F.struct("n", "x"))), False), 1, MOST_HOT)
+    some = lambda side: F.transform(largest(side), lambda s: s["x"])
     return counts.agg(F.sum("n"), F.sum("h"), some(F.col("larger")), some(~F.col("larger"))).first()
 
 

@@ -119,6 +119,14 @@ def route(sizes: dict[tuple, int], targets: dict, copies: int) -> dict[tuple, di
     return out
 
 
+#: Patterns whose table is sent to every task; a larger one is joined by a shuffle.
+SENT = 100_000
+
+
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= SENT else table
+
+
 def _step(steps: int) -> Column:
     """The slice of the seeded order that a row lies in by its ``draw``."""
     return F.pmod(F.shiftright("draw", 20), F.lit(steps))
@@ -136,22 +144,23 @@ def borders(sized: DataFrame, flows: list[tuple], copies: int, steps: int = STEP
     goals = spark.createDataFrame([(p, q, flow - q * total) for p, q, flow, total in rounds], kind)
     sums = sized.groupBy("pattern", _step(steps).alias("step")).agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    reached = sums.withColumn("upto", upto).join(F.broadcast(goals), "pattern").filter(F.col("upto") > F.col("goal"))
+    reached = sums.withColumn("upto", upto).join(_sent(goals, len(rounds)), "pattern").filter(F.col("upto") > F.col("goal"))
     first = reached.groupBy("pattern").agg(F.min_by(F.struct("step", (F.col("goal") - F.col("upto") + F.col("words")).alias("left")), "step").alias("b")).collect()
     at = {tuple((s["none"], s["name"]) for s in r["pattern"]): (r["b"]["step"], r["b"]["left"]) for r in first}
     # Without a slice that goes beyond the goal, all of them are read once more.
     return [(p, q, *at.get(tuple(map(tuple, p)), (steps, 0))) for p, q, _, _ in rounds]
 
 
-def seeded_takes(sized: DataFrame, plan: DataFrame, whole_only: bool, size: Column, steps: int = STEPS) -> DataFrame:
+def seeded_takes(sized: DataFrame, plan: DataFrame, patterns: int, whole_only: bool, size: Column, steps: int = STEPS) -> DataFrame:
     """``sized`` (id, pattern, draw, ...) with ``size``, the columns of ``plan`` (pattern, rounds, at, left, ...) and ``taken``.
 
     Sums over ``steps`` slices of the seeded order found the slice where the last reading ends (:func:`borders`).  All other
     rows are decided on the spot, without a shuffle; only that slice, one in ``steps``, is ordered document by document, so
     a pattern that holds most rows is spread over all tasks.  The document at the end is taken in part, or, with
-    ``whole_only``, whole if at least half of it is wanted.  ``plan`` has one row per pattern, which the driver held before.
+    ``whole_only``, whole if at least half of it is wanted.  ``plan`` has a row for each of the ``patterns``; it is sent to
+    every task only if these are few.
     """
-    rows = sized.withColumn("_step", _step(steps)).join(F.broadcast(plan), "pattern")
+    rows = sized.withColumn("_step", _step(steps)).join(_sent(plan, patterns), "pattern")
     order = Window.partitionBy("pattern").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     left = F.col("left") - (F.sum("size").over(order) - F.col("size"))
     if whole_only:
@@ -196,8 +205,8 @@ def mix(
     table = [(p, *at, float(sum(targets[tuple(s)] for s in p)), sum(each[tuple(s)] for s in p)) for p, *at in plan]
     plan_table = spark.createDataFrame(table, kind)
     if whole_rows:  # words are counted once more, which is cheaper than to carry texts through a shuffle
-        return seeded_takes(wide, plan_table, whole_only, word_count(F.col("text"))).select("row", "size", "taken")
-    taken = seeded_takes(sized, plan_table, whole_only, F.col("size"))
+        return seeded_takes(wide, plan_table, len(table), whole_only, word_count(F.col("text"))).select("row", "size", "taken")
+    taken = seeded_takes(sized, plan_table, len(table), whole_only, F.col("size"))
     named = F.transform("pattern", lambda s: F.when(~s["none"], s["name"]))
     return taken.select(F.col("id").alias(id_col), named.alias("sources"), "size", "source_size", "target", "taken")
 

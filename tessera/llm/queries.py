@@ -55,7 +55,7 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes and tokens of every document against a limit of 2,048 tokens."""
+    """Bytes and tokens of every document against a limit of 2,048 tokens, and how much of it stays within."""
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 

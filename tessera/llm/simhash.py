@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT, Scratch, maybe_among, rows_of, utf8
+from tessera.llm.common import MOST_HOT, Scratch, hot_from, maybe_among, rows_of, utf8
 from tessera.llm.components import connected_components, contracted
 
 #: The most distinct fingerprints that one task compares in one table; larger buckets are compared block by block.
@@ -179,33 +179,29 @@ def _cluster(lanes: int, near, whole: int = 6):
 SAMPLED = 64
 
 
-def hot_buckets(sample: DataFrame, keys: list[str]) -> dict[tuple, int]:
-    """Buckets with more than a 1/256 share of the rows, at most 256, and about how many rows they have.
+def hot_buckets(sample: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, hot``: buckets with more than a 1/256 share of the rows or more than a million rows, the largest 4,096 of them, and
+    about how many rows they have.
 
     ``sample`` holds the bucket keys of the entries of one node in :data:`SAMPLED`.  What is found here only decides how
     rows are dealt to tasks: a bucket that the sample misses is counted and split all the same.
     """
     counts = sample.groupBy(*keys).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.filter(F.col("n") > max(4, total * HOT)).collect()
-    return {tuple(r[k] for k in keys): r["n"] * SAMPLED for r in found}
+    found = counts.filter(F.col("n") > hot_from(total, 4, SAMPLED)).orderBy(F.desc("n"), *keys).limit(MOST_HOT).collect()
+    return sample.sparkSession.createDataFrame([(*(r[k] for k in keys), r["n"] * SAMPLED) for r in found], ", ".join(f"{k} long" for k in (*keys, "hot")))
 
 
 def in_sample(node: str = "node") -> Column:
     return F.pmod(F.xxhash64(F.lit(5), node), F.lit(SAMPLED)) == 0
 
 
-def sized_buckets(entries: DataFrame, keys: list[str], hot: dict[tuple, int]) -> tuple[DataFrame, DataFrame]:
+def sized_buckets(entries: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``entries`` with the number of rows of their bucket as ``n``: those of other buckets, counted exactly and left in
-    bucket order within their partitions, and those of the ``hot`` buckets with the estimated number."""
-    counted = Window.partitionBy(*keys)
-    if not hot:
-        return entries.withColumn("n", F.count("*").over(counted)), entries.limit(0).withColumn("n", F.lit(0).cast("long"))
-    bucket = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-    lit = lambda k: F.lit(k[0]).cast("long") if len(keys) == 1 else F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip(k, keys)))
-    is_hot = bucket.isin(*map(lit, hot)) if len(keys) == 1 else F.array_contains(F.array(*map(lit, hot)), bucket)
-    many = F.map_from_arrays(F.array(*map(lit, hot)), F.array(*(F.lit(n).cast("long") for n in hot.values())))
-    return entries.filter(~is_hot).withColumn("n", F.count("*").over(counted)), entries.filter(is_hot).withColumn("n", many[bucket])
+    bucket order within their partitions, and those of the ``hot`` buckets (at most 4,096 rows) with the estimated number."""
+    marked = entries.join(F.broadcast(hot), keys, "left").select(*entries.columns, "hot")
+    rest = marked.filter(F.col("hot").isNull()).drop("hot")
+    return rest.withColumn("n", F.count("*").over(Window.partitionBy(*keys))), marked.filter(F.col("hot").isNotNull()).withColumnRenamed("hot", "n")
 
 
 def near_edges(scratch: Scratch, nodes: DataFrame, radius: int, masks: list[int], block: int = BLOCK) -> DataFrame:

@@ -229,6 +229,22 @@ class PrefixCounter:
         return out
 
 
+    def cut(self, text: str, budget: int) -> tuple[int, int]:
+        """Characters and tokens of the longest prefix of at most ``budget`` tokens.
+
+        Stretches are counted whole up to the one that goes beyond the budget, whose prefix table holds the place: all prefixes
+        that end behind it have more tokens."""
+        before = 0
+        for m in _RUN.finditer(text):
+            n = self.chunk(m[0].encode("utf-8", "surrogatepass"))
+            if before + n > budget:
+                table = np.array([0, *self._run(m[0])])
+                at = cut_at(table, budget - before)
+                return m.start() + at, before + int(table[at])
+            before += n
+        return len(text), before
+
+
 def cut_at(counts: np.ndarray, budget: int) -> int:
     """Characters of the longest prefix of at most ``budget`` tokens, from its prefix table (a longer prefix may have fewer)."""
     fits = np.flatnonzero(np.asarray(counts) <= budget)
@@ -241,22 +257,30 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_bytes, n_tokens, over_limit`` for every row, from whole texts.
+    """``id_col, n_bytes, n_tokens, over_limit, kept_chars, kept_tokens`` for every row, from whole texts.
+
+    The longest beginning of at most ``limit`` tokens has ``kept_chars`` code points and ``kept_tokens`` tokens, found by prefix
+    counts and no second encoding; it is the whole text where that is not over the limit.
 
     ``tokenizer`` is the path of a tokenizers file.  Null and empty texts have 0 bytes and 0 tokens; repeated rows
     and null ids are kept; texts of any length are counted whole, with or without white space; other columns are not
     read; an empty table gives no rows.  One narrow pass without a shuffle.
     """
+    names = [id_col, "n_bytes", "n_tokens", "kept_chars", "kept_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer).count
+        count, cut = counter(tokenizer).count, counter(tokenizer).cut
         for batch in rows_of(batches, 512):
-            texts = batch.column(1).to_pylist()
-            made = [[len(t) for t in texts], [count(t) for t in texts]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in made)], [id_col, "n_bytes", "n_tokens"])
+            made: list[list[int]] = [[], [], [], []]
+            for raw in batch.column(1).to_pylist():
+                text, n = raw.decode("utf-8", "replace"), count(raw)
+                kept = (len(text), n) if n <= limit else cut(text, limit)
+                for column, value in zip(made, (len(raw), n, *kept)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in made)], names)
 
-    counted = docs.select(F.col(id_col).cast("long").alias(id_col), utf8(text_col).alias("_text")).mapInArrow(run, f"{id_col} long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = docs.select(F.col(id_col).cast("long").alias(id_col), utf8(text_col).alias("_text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit).select(*names[:3], "over_limit", *names[3:])
 
 
 def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,15 +307,14 @@ def truncated(docs: DataFrame, tokenizer: str, budget: int, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = counter(tokenizer).prefixes
+        cut = counter(tokenizer).cut
         for batch in rows_of(batches, 64):
             texts, counts = [], []
             for raw in batch.column(1).to_pylist():
                 text = raw.decode("utf-8", "replace")
-                table = prefixes(text)
-                n = cut_at(table, budget)
+                n, tokens = cut(text, budget)
                 texts.append(text[:n])
-                counts.append(int(table[n]))
+                counts.append(tokens)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], [id_col, "text", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), utf8(text_col).alias("_text")).mapInArrow(run, f"{id_col} long, text string, n_tokens long")

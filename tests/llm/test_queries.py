@@ -11,7 +11,7 @@ SCHEMAS = {
     "op3_warc_bundles": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op4_main_text": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op5_simhash_groups": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
-    "op6_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+    "op6_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean", "kept_chars": "bigint", "kept_tokens": "bigint"},
     "op7_packed_sequences": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
     "op8_mixed_sources": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op9_quality_scores": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},

@@ -53,6 +53,7 @@ def test_every_prefix_equals_the_library():
         for budget in (0, 1, 7, 30):
             n = cut_at(table, budget)
             assert table[n] <= budget and all(c > budget for c in table[n + 1 :].tolist())
+            assert counter.cut(text, budget) == (n, table[n])
 
 
 def test_truncation_keeps_text_without_white_space(spark):
@@ -96,6 +97,10 @@ def test_token_count_rows(spark):
     text = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
     n = [len(library.encode(t, add_special_tokens=False).ids) for _, t in text]
     assert got == sorted((str(d), len(t.encode()), k, k > 2048) for (d, t), k in zip(text, n))
+    short = sorted((str(r["doc_id"]), r["n_tokens"], r["kept_chars"], r["kept_tokens"]) for r in token_counts(docs, WORD, 50).collect())
+    table = PrefixCounter(WORD).prefixes
+    kept = [(c, t[c]) for c, t in ((cut_at(t, 50), t) for t in (table(t[:4000]) for _, t in text))]  # fifty tokens end before that
+    assert short == sorted((str(d), k, *c) for (d, _), k, c in zip(text, n, kept))
     assert token_counts(empty(spark), WORD, 1).count() == 0
     tables = prefix_tables(docs.filter("doc_id < 5"), WORD).collect()
     text = {r["doc_id"]: r["text"] for r in docs.filter("doc_id < 5").collect()}
@@ -111,6 +116,17 @@ def test_ids_equal_the_library():
         assert units.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
 
 
+def test_ids_on_both_sides_of_the_long_units_and_the_settled_letters():
+    """The two encoders give the same ids at the length and the letter where one takes over from the other."""
+    library, units = Tokenizer.from_file(BYTE), UnitEncoder(BYTE)
+    for n in (4095, 4096, 4097):
+        for text in ("ab" * (n // 2) + "c" * (n % 2), "-" * n, "1" * n, " " * n + "x", "x " + "é" * (n - 1), "abc " + "theand" * (n // 6) + "q" * (n % 6)):
+            assert units.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), (n, text[:9])
+    for letter in ("\u024e", "\u024f", "\u0250", "\u0251"):
+        for text in (letter, f"a{letter}b", f"{letter * 3} x{letter}", f" {letter}'s", f"1{letter}1"):
+            assert units.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+
+
 def test_cut_leaves_only_the_first_piece_short():
     for total in (1, 5, 10, 11, 20, 35):
         pieces = cut(total, 10)
