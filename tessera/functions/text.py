@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,14 +150,34 @@ def attribute_tokens(labels: Column, order=tuple(DOMAINS)) -> Column:
     return F.array_compact(F.array(*one))
 
 
+def _names_text(name: Column, representative: Column, category: Column, labels: Column | None) -> Column:
+    return joined([clean(name), clean(representative), clean(category)])
+
+
+def _labelled_text(name: Column, representative: Column, category: Column, labels: Column | None) -> Column:
+    base = _names_text(name, representative, category, labels)
+    return F.array_join(F.filter(F.concat(F.array(base), attribute_tokens(labels)), lambda p: p != ""), " ")
+
+
+#: Texts that records can be embedded as: A has name, representative and category, B also the known labels.
+TEXT_VARIANTS: dict[str, Callable[[Column, Column, Column, Column | None], Column]] = {"A": _names_text, "B": _labelled_text}
+
+
 def embedding_text(variant: str, name: Column, representative: Column, category: Column, labels: Column | None = None) -> Column:
-    """Text A: name, representative and category; B: also the known labels."""
-    base = joined([clean(name), clean(representative), clean(category)])
-    if variant == "A":
-        return base
-    if variant == "B":
-        return F.array_join(F.filter(F.concat(F.array(base), attribute_tokens(labels)), lambda p: p != ""), " ")
-    raise ValueError(f"no text variant {variant!r}; there are A and B")
+    """A record's text of a registered variant; others can be added to :data:`TEXT_VARIANTS`."""
+    if variant not in TEXT_VARIANTS:
+        raise ValueError(f"no text variant {variant!r}; there are {', '.join(sorted(TEXT_VARIANTS))}")
+    return TEXT_VARIANTS[variant](name, representative, category, labels)
+
+
+def utc_stamp(c: Column) -> Column:
+    """A time as ISO text in UTC, in seconds; the session's time zone must be UTC for times without a zone."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def compact_stamp(c: Column) -> Column:
+    """A time as digits for the names of runs and backups."""
+    return F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
 
 
 def unit_id(parts: list[Column], length: int = 12) -> Column:

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import company, embedding_text, family, is_test_query, mentions, parse_name, parse_quantity, words
+from tessera.functions.text import company, compact_stamp, embedding_text, family, is_test_query, mentions, parse_name, parse_quantity, utc_stamp, words
 from tessera.functions.vector import vector_stats
-from tessera.operators import cleaning, evaluation, joins, labelqc, profile, sampling
+from tessera.operators import cleaning, evaluation, joins, labelqc, ordering, profile, sampling, variants
 from tessera.operators.ranking import (
     RankingConfig, best_first, cap_per_group, drop_reasons, final_score, first_mention, pick_per_keyword, preference, reason_histogram, select_top_k, top_k_similar,
 )
@@ -283,6 +283,42 @@ def dedup_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.key_integrity(docs, kept, moved, "doc_id", "kept_code")
 
 
+@query(
+    """WITH k AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text)
+SELECT doc_id, (row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1)::BIGINT AS position FROM k"""
+)
+def dedup_in_input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without copies in the order of the input, here one that has nothing to do with the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("place"))
+    kept, _ = ordering.deduplicated_in_order(docs, ["digest"], "doc_id", "place")
+    return kept.select("doc_id", "position")
+
+
+_NAMED = """n AS (SELECT CASE p_partkey % 3 WHEN 0 THEN string_split(p_name, ' ')[1] WHEN 1 THEN p_name ELSE p_name || ' ' || lower(p_type) END AS name FROM part),
+d AS (SELECT name, count(*) AS n FROM n GROUP BY name)"""
+
+
+@query(
+    f"""WITH {_NAMED}, s AS (SELECT b.name, count(*) AS shorter FROM d a JOIN d b ON starts_with(b.name, a.name || ' ') GROUP BY b.name),
+l AS (SELECT a.name, count(*) AS longer FROM d a JOIN d b ON starts_with(b.name, a.name || ' ') GROUP BY a.name),
+e AS (SELECT replace(name, ' ', '') AS key, count(*) - 1 AS equal FROM d GROUP BY 1)
+SELECT d.name, n, coalesce(shorter, 0) AS shorter, coalesce(longer, 0) AS longer, equal FROM d LEFT JOIN s USING (name) LEFT JOIN l USING (name) JOIN e ON key = replace(d.name, ' ', '')"""
+)
+def name_variant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which names begin which others, over all parts, by a table of prefixes."""
+    first = F.substring_index("p_name", " ", 1)
+    longer = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    kind = F.col("p_partkey") % 3
+    named = table(spark, sf_dir, "part").select(F.when(kind == 0, first).when(kind == 1, F.col("p_name")).otherwise(longer).alias("name"), F.lit("").alias("company"))
+    return variants.name_variants(named, "name", "company")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS utc, strftime(ts, '%Y%m%dT%H%M%SZ') AS run FROM events")
+def event_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's time as text, for logs and for names."""
+    return table(spark, sf_dir, "events").select("event_id", utc_stamp(F.col("ts")).alias("utc"), compact_stamp(F.col("ts")).alias("run"))
+
+
 @query(
     """SELECT substr(sha1(p_name || '|' || p_type), 1, 12) AS unit_id, arg_min(p_brand, p_partkey) AS p_brand, min(p_partkey) AS p_partkey,
   string_agg(p_partkey::VARCHAR, ';' ORDER BY p_partkey::VARCHAR) AS codes, count(*) AS n FROM part GROUP BY p_name, p_type"""
@@ -670,14 +706,22 @@ def conversion_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- feedback
 
 
-def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("user_id"), "turn", F.coalesce("text", F.lit("")).alias("query"))
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks, choices and errors as feedback on the turns of the conversation with the user's number, one turn an event."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("user_id"), "turn", F.coalesce("text", F.lit("")).alias("query"))
-    many = turns.groupBy("user_id").agg((F.max("turn") + 1).alias("turns"))
+    many = _turns(spark, sf_dir).groupBy("user_id").agg((F.max("turn") + 1).alias("turns"))
     events = table(spark, sf_dir, "events").filter("event_type IN ('click', 'purchase', 'error')").join(many, "user_id").withColumn("turn", F.col("event_id") % F.col("turns"))
     keyword = F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string"))
     liked = F.when(F.col("event_type") == "click", 1).otherwise(0)
-    return events.join(turns, ["user_id", "turn"]).select("event_id", "query", keyword.alias("keyword"), liked.alias("liked"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("chosen"))
+    return events.select("event_id", "user_id", "turn", keyword.alias("keyword"), liked.alias("liked"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("chosen"))
+
+
+def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The votes with the texts of their turns."""
+    return _votes(spark, sf_dir).join(_turns(spark, sf_dir), ["user_id", "turn"]).select("event_id", "query", "keyword", "liked", "chosen")
 
 
 _FEEDBACK = """
@@ -690,7 +734,7 @@ c AS (SELECT token, keyword, sum(CASE WHEN liked = 1 THEN 1 + chosen ELSE 0 END)
 
 @query(f"WITH {_FEEDBACK} SELECT * FROM c")
 def token_feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feedback.token_counts(_feedback(spark, sf_dir))
+    return feedback.token_counts_by_text(_votes(spark, sf_dir), _turns(spark, sf_dir), ["user_id", "turn"])
 
 
 @query(f"WITH {_FEEDBACK} SELECT * FROM c")
@@ -714,7 +758,8 @@ FROM t LEFT JOIN c USING (token, keyword) GROUP BY query, keyword"""
 def feedback_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _feedback(spark, sf_dir)
     pairs = events.select("query", F.concat(F.lit("k"), ((F.length("query") + 1) % 7).cast("string")).alias("keyword"))
-    return feedback.boosts(pairs, feedback.token_counts(events))
+    counts = feedback.token_counts_by_text(_votes(spark, sf_dir), _turns(spark, sf_dir), ["user_id", "turn"])
+    return feedback.boosts(pairs, counts)
 
 
 @query(f"WITH {_FEEDBACK} SELECT query, keyword FROM f GROUP BY query, keyword HAVING sum(liked) * 2 > count(*)")

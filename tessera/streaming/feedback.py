@@ -28,6 +28,20 @@ def token_counts(events: DataFrame) -> DataFrame:
     return rows.groupBy("token", "keyword").agg(up.alias("likes"), down.alias("dislikes"))
 
 
+def token_counts_by_text(events: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+    """:func:`token_counts` for events that name their text by ``on`` (keyword, liked, chosen) and a table of those texts (query).
+
+    Events are counted per text and keyword before texts come in, so that each is split once and travels once.
+    """
+    weight = F.when(F.col("chosen") == 1, 2).otherwise(1)
+    up, down = (F.sum(F.when(F.col("liked") == v, weight).otherwise(0)) for v in (1, 0))
+    votes = normalized(events).groupBy(*on, "keyword").agg(up.alias("up"), down.alias("down"))
+    told = votes.groupBy(*on).agg(F.collect_list(F.struct("keyword", "up", "down")).alias("votes"))  # one entry a keyword
+    words = told.join(texts.select(*on, token_set(F.col("query")).alias("tokens")), on).select("votes", F.explode("tokens").alias("token"))
+    rows = words.select("token", F.inline("votes"))
+    return rows.groupBy("token", "keyword").agg(F.sum("up").alias("likes"), F.sum("down").alias("dislikes"))
+
+
 def boosts(pairs: DataFrame, counts: DataFrame, weight: int = WEIGHT, prior: int = PRIOR) -> DataFrame:
     """``query, keyword, boost`` of each pair: ``weight`` hundredths of the mean over all words of the query, unseen ones
     counting 0.  A word's worth is cut to a whole number of billionths, so that sums are exact in whatever order they are made.
