@@ -81,6 +81,20 @@ def condensed(results: DataFrame, grades: DataFrame, neighbours: DataFrame, k: i
     return out.select("query", ndcg.alias("ndcg"), recall.alias("recall"))
 
 
+def experiment(results: DataFrame, grades: DataFrame, by: list[str], k: int = 5, pool: int = 20, recall_at: int = 10) -> DataFrame:
+    """``by, query, ndcg, unjudged, condensed, recall`` of every run (a value of ``by``, such as model and seed) and query of
+    ``results`` (by, query, id, rank).
+
+    A run's queries are queries of their own to the metrics; judgments are joined to those that were asked.
+    """
+    key = F.struct(*by, "query")
+    own = results.select(key.alias("query"), "id", "rank")
+    judged = results.select(*by, "query").distinct().join(grades, "query").select(key.alias("query"), "id", "grade")
+    at_k = per_query(own, judged, k).select("query", "ndcg", (F.col("unjudged") / F.greatest(F.col("returned"), F.lit(1))).alias("unjudged"))
+    deep = condensed(own, judged, own, k, pool, recall_at).select("query", F.col("ndcg").alias("condensed"), "recall")
+    return at_k.join(deep, "query").select("query.*", "ndcg", "unjudged", "condensed", "recall")
+
+
 def bootstrap_draws(n: int, iterations: int, seed: int) -> list[list[int]]:
     """How often each of n items is drawn in each iteration; Python's generator, so that other tools can repeat it."""
     rng = random.Random(seed)

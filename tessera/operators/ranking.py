@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.spread import partition_keys
 from tessera.functions.text import company, family, key_tokens, menu_key, mentions, same_menu, term_key, words
 from tessera.schema import UNKNOWN, Condition
 
@@ -61,8 +62,10 @@ def _against_chunks(queries: DataFrame, docs: DataFrame, answer, schema: str, qu
     without an id, take no part.  ``limits`` names two columns of the queries that come along; ``more`` is a column of the
     documents, held with them as what ``prepare`` makes of it, and one of the queries (column ``a`` of their batches).
     """
-    lengths = queries.filter(F.col(query_vec).isNotNull()).groupBy(F.size(query_vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = lengths["d"] if lengths else 0
+    # One job for both numbers: the queries' usual length and how many documents there are.
+    usual = queries.agg(F.mode(F.when(F.col(query_vec).isNotNull(), F.size(query_vec)), True).alias("d"))
+    dim, total = usual.crossJoin(docs.agg(F.count("*").alias("n"))).first()
+    dim = dim or 0
     kinds = dict(docs.dtypes)
     id_kind = "string" if kinds[doc_id] == "string" else "long"
     group_kind = kinds[per] if per else "int"
@@ -71,17 +74,17 @@ def _against_chunks(queries: DataFrame, docs: DataFrame, answer, schema: str, qu
         out = df.withColumns({"_i": F.col(id_), "_v": F.col(vec).cast("array<double>")})
         return out.filter(_whole(F.col("_v"), dim) & F.col("_i").isNotNull())
 
-    total = docs.count()
     chunks = max(1, -(-total // CHUNK), min(32, total // LEAST))
+    numbers = F.array(*map(F.lit, partition_keys(chunks))).cast("array<int>")  # a chunk is a task's work, so each gets its own
     holds = more is not None
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     told, asks = ((m, df.select(m.alias("m")).schema[0].dataType) for m, df in zip(more, (docs, queries))) if more else ((F.lit(0), "int"), (F.lit(0), "int"))
     here = side(docs, doc_id, doc_vec).select(
-        F.pmod(F.xxhash64("_i"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("role"), null("long", "q"), F.col("_i").cast(id_kind).alias("i"), (F.col(per) if per else F.lit(0)).alias("g"), null("double", "s"), F.col("_v").alias("v"), told[0].alias("d"), null(asks[1], "a")
+        F.element_at(numbers, F.pmod(F.xxhash64("_i"), F.lit(chunks)).cast("int") + 1).alias("chunk"), F.lit(0).alias("role"), null("long", "q"), F.col("_i").cast(id_kind).alias("i"), (F.col(per) if per else F.lit(0)).alias("g"), null("double", "s"), F.col("_v").alias("v"), told[0].alias("d"), null(asks[1], "a")
     )
     near, after = (F.col(limits[0]).cast("double"), F.col(limits[1]).cast(id_kind)) if limits else (F.lit(None).cast("double"), F.lit(None).cast(id_kind))
     sent = side(queries, query_id, query_vec).select(
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("role"), F.col("_i").cast("long").alias("q"), after.alias("i"), null(group_kind, "g"), near.alias("s"), F.col("_v").alias("v"), null(told[1], "d"), asks[0].alias("a")
+        F.explode(numbers).alias("chunk"), F.lit(1).alias("role"), F.col("_i").cast("long").alias("q"), after.alias("i"), null(group_kind, "g"), near.alias("s"), F.col("_v").alias("v"), null(told[1], "d"), asks[0].alias("a")
     )
 
     def hold(parts: list[pa.RecordBatch]) -> list[tuple]:

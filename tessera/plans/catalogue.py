@@ -941,7 +941,22 @@ def query_parse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked_texts(spark, sf_dir).select("conv_id", "turn", parse_column(F.col("asked")).alias("p")).select("conv_id", "turn", "p.*")
 
 
-@query()
+# The tags of each of the sentences (by number), as a person reads them.
+_TAGS = (
+    (0, "맵지 않고", "맛", True), (0, "국물", "맛", False), (0, "따뜻한", "맛", False), (1, "안 매운 건 싫", "맛", False), (2, "매운", "맛", True), (3, "매운 거 싫어", "맛", True),
+    (4, "피자 말고", "메뉴", True), (4, "치킨", "메뉴", False), (5, "얼큰한", "맛", False), (5, "국물", "맛", False), (5, "비 오는 날", "상황", False), (6, "얼큰한", "맛", False),
+    (6, "얼큰한, 시원하고", "맛", False), (7, "맵지 않은", "맛", True), (8, "살짝 매운", "맛", False), (8, "떡볶이", "메뉴", False), (9, "밥", "맛", False), (10, "튀김 말고", "맛", True),
+    (10, "담백한", "맛", False), (10, "한식", "맛", False), (11, "매운 것도 괜찮", "맛", False), (12, "찌개", "맛", False), (12, "든든한", "맛", False), (12, "추운 날", "상황", False),
+    (13, "바삭한, 튀김", "맛", False), (13, "안주", "맛", False), (15, "점심", "상황", False),
+)
+#: Which sentence each turn asks.  The conversations' own words are in other scripts and no condition.
+ASKED_NUMBER = f"(conv_id + turn) % {len(SENTENCES)}"
+
+
+@query(
+    f"""WITH s(i, label, grp, avoid) AS (VALUES {", ".join(f"({i}, '{label}', '{group}', {str(avoid).lower()})" for i, label, group, avoid in _TAGS)})
+SELECT conv_id, turn, label, grp, avoid FROM conversations JOIN s ON i = {ASKED_NUMBER}"""
+)
 def query_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tags of every text, by the table function."""
     register_tags(spark)

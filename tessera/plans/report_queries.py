@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import cleaning, evaluation, reports
-from tessera.plans.catalogue import _ATTEMPTS, _GRADED, _KNN, ASKED, _asked_texts, _attempts, _found, _grades, _neighbours, drawn, query, recommended, table
+from tessera.plans.catalogue import _ATTEMPTS, _GRADED, _KNN, ASKED, ASKED_NUMBER, _asked_texts, _attempts, _found, _grades, _neighbours, drawn, query, recommended, table
 from tessera.plans.parser import parse_column
 from tessera.sources import tables
 from tessera.sources.vector_store import VectorStore
@@ -196,11 +196,72 @@ def recommendation_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.observe_lists(recommended(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT {ASKED_NUMBER} AS i FROM conversations)
+SELECT count(*) AS n, count(*) FILTER (i IN (0, 2, 3, 5, 6, 7, 8, 9, 10, 12, 13)) AS with_condition, count(*) FILTER (i IN (0, 2, 3, 7, 10)) AS with_hard, count(*) FILTER (i IN (4, 8, 9, 12)) AS with_menu,
+  count(*) FILTER (i IN (5, 12, 15)) AS with_context, count(*) FILTER (i IN (1, 6, 11)) AS with_unhandled FROM q"""
+)
 def parser_coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.parser_coverage(_asked_texts(spark, sf_dir).select(parse_column(F.col("asked")).alias("p")))
 
 
+# What each of the sentences (by number) asks for: kind, attribute, values, words, rule.
+_CONDITIONS = (
+    (0, "hard", "매운맛", "없음", "맵지 않고", "매운맛_제외"),
+    (0, "soft", "국물", "국물요리", "국물", "국물"),
+    (0, "soft", "제공온도", "뜨거움/따뜻함", "따뜻한", "따뜻함"),
+    (2, "hard", "매운맛", "보통/강함", "매운", "매운맛"),
+    (3, "hard", "매운맛", "없음", "매운 거 싫어", "매운맛_제외"),
+    (5, "soft", "매운맛", "보통/강함", "얼큰한", "얼큰"),
+    (5, "soft", "제공온도", "뜨거움/따뜻함", "얼큰한", "얼큰"),
+    (5, "soft", "국물", "국물요리", "국물", "국물"),
+    (6, "soft", "매운맛", "보통/강함", "얼큰한", "얼큰"),
+    (7, "hard", "매운맛", "없음", "맵지 않은", "매운맛_제외"),
+    (8, "soft", "매운맛", "약함/보통", "살짝 매운", "매운맛_약함"),
+    (9, "soft", "계열", "한식", "밥", "밥_한식"),
+    (10, "hard", "조리법", "끓임/볶음/구이/찜/조림/부침/오븐/비조리/혼합", "튀김 말고", "튀김_제외"),
+    (10, "soft", "기름짐", "낮음", "담백한", "담백"),
+    (10, "soft", "매운맛", "없음/약함", "담백한", "담백"),
+    (10, "soft", "계열", "한식", "한식", "계열_한식"),
+    (12, "soft", "국물", "국물요리", "찌개", "국물"),
+    (12, "soft", "든든함", "든든함", "든든한", "든든함"),
+    (13, "soft", "조리법", "튀김", "바삭한, 튀김", "튀김, 튀김"),
+    (13, "soft", "안주", "예", "안주", "안주"),
+)
+
+
+@query(
+    f"""WITH s(i, strength, attribute, allowed, evidence, rule) AS (VALUES {", ".join(str(c) for c in _CONDITIONS)})
+SELECT conv_id, turn, strength, attribute, allowed, evidence, rule FROM conversations JOIN s ON i = {ASKED_NUMBER}"""
+)
+def query_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every condition of every text as a row."""
+    parsed = _asked_texts(spark, sf_dir).select("conv_id", "turn", parse_column(F.col("asked")).alias("p"))
+    said = parsed.select("conv_id", "turn", F.explode(F.concat("p.hard", "p.soft")).alias("c"))
+    return said.select("conv_id", "turn", "c.strength", "c.attribute", F.array_join("c.allowed", "/").alias("allowed"), "c.evidence", "c.rule")
+
+
+@query(
+    f"""WITH {_KNN}, {_GRADED}, runs(model, seed, step) AS (VALUES ('base', 0, 1), ('tuned', 1, 3), ('tuned', 2, 7), ('tuned', 3, 9)),
+x AS (SELECT model, seed, query_id, vec_id, ((rank - 1) * step + seed) % 20 + 1 AS rank FROM r, runs WHERE rank <= 20),
+y AS (SELECT x.*, grade FROM x LEFT JOIN j USING (query_id, vec_id)),
+t AS (SELECT model, seed, query_id, count(*) FILTER (grade IS NULL) / count(*)::DOUBLE AS unjudged, sum((2.0::DOUBLE ** coalesce(grade, 0) - 1) / log2(rank + 1.0)) AS dcg FROM y WHERE rank <= 5 GROUP BY ALL),
+c AS (SELECT model, seed, query_id, sum((2.0::DOUBLE ** grade - 1) / log2(p + 1.0)) AS own FROM (SELECT *, row_number() OVER (PARTITION BY model, seed, query_id ORDER BY rank) AS p FROM y WHERE grade IS NOT NULL) WHERE p <= 5 GROUP BY ALL),
+h AS (SELECT model, seed, query_id, count(*) AS hits FROM y WHERE rank <= 10 AND grade = 2 GROUP BY ALL), b AS (SELECT query_id, count(*) AS n FROM j WHERE grade = 2 GROUP BY query_id)
+SELECT model, seed, query_id AS query, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg, round(unjudged, 6) AS unjudged, round(CASE WHEN ideal > 0 THEN coalesce(own, 0) / ideal ELSE 0 END, 6) AS condensed,
+  round(CASE WHEN n > 0 THEN coalesce(hits, 0) / least(10, n)::DOUBLE END, 6) AS recall
+FROM t LEFT JOIN i USING (query_id) LEFT JOIN c USING (model, seed, query_id) LEFT JOIN h USING (model, seed, query_id) LEFT JOIN b USING (query_id)"""
+)
+def experiment_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base ranking and three seeds of another one, measured query by query."""
+    found = _found(spark, sf_dir)
+    runs = spark.createDataFrame([("base", 0, 1), ("tuned", 1, 3), ("tuned", 2, 7), ("tuned", 3, 9)], "model string, seed int, step int")
+    place = ((F.col("rank") - 1) * F.col("step") + F.col("seed")) % 20 + 1
+    results = found.filter("rank <= 20").join(F.broadcast(runs)).withColumn("rank", place).select("model", "seed", "query", "id", "rank")
+    out = evaluation.experiment(results, _grades(found), ["model", "seed"])
+    return out.withColumns({c: F.round(c, 6) for c in ("ndcg", "unjudged", "condensed", "recall")})
+
+
 # --- tables
 
 
