@@ -393,7 +393,11 @@ def best_first(score: str = "score", sim: str = "sim", id_: str = "id") -> list[
 
 
 def choice_columns(config: RankingConfig) -> dict[str, Column]:
-    """The columns that :func:`select_top_k` compares records by."""
+    """The columns that :func:`select_top_k` compares records by; without the collapse of variants names need no key."""
+    if not config.collapse_duplicates:
+        blank = F.lit("")
+        none = F.struct(blank.alias("key"), blank.alias("company"), F.array().cast("array<string>").alias("parts"))
+        return {"_key": none, "_group": family(F.col(config.group_key), F.col("company"))}
     return {
         "_key": F.struct(menu_key(F.col("name")).alias("key"), company(F.col("company")).alias("company"), key_tokens(F.col("name")).alias("parts")),
         "_group": family(F.col(config.group_key), F.col("company")),

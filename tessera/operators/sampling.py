@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import numbered_within
+
 
 
 def sqrt_quotas(counts: DataFrame, total: int, key: str, n: str = "n") -> DataFrame:
@@ -62,7 +64,8 @@ def sample_units(units: DataFrame, total: int, n_first: int, cap: int, stratum:
 
 
 def packed_batches(pairs: list[tuple[str, str]], size: int) -> list[list[tuple[str, str]]]:
-    """First-fit batches in which no left and no right value occurs twice; training pairs of one model, on the driver."""
+    """First-fit batches in which no left and no right value occurs twice, for a list in memory; tables take
+    :func:`conflict_free_batches`."""
     batches: list[tuple[list, set, set]] = []
     for left, right in pairs:
         fit = next((b for b in batches if len(b[0]) < size and left not in b[1] and right not in b[2]), None)
@@ -74,3 +77,20 @@ def packed_batches(pairs: list[tuple[str, str]], size: int) -> list[list[tuple[s
     return [b[0] for b in batches]
 
 
+
+
+def conflict_free_batches(pairs: DataFrame, left: str, right: str, size: int, seed: int = 42, ranges: int | None = None) -> DataFrame:
+    """``pairs`` with ``batch`` (struct lap_left, lap_right, block): no left and no right value occurs twice in a batch, and none has
+    more than ``size`` pairs.
+
+    The pairs of a left value are numbered, and so are those of a right value; pairs with equal two numbers never share a
+    value, so these colours of the bipartite graph are cut into blocks.  A value with many pairs needs as many batches
+    however they are made; beside those, all but a colour's last block are full.  Numbers come from sorted ranges, so a value
+    that holds a third of the pairs is no task's burden.  Repeated pairs are pairs of their own, null is a value.
+    """
+    shuffled = F.xxhash64(F.lit(seed), left, right)
+    out = numbered_within(pairs, [left], [shuffled], "_l", ranges)
+    out = numbered_within(out, [right], [shuffled], "_r", ranges)
+    out = numbered_within(out, ["_l", "_r"], [shuffled], "_n", ranges)
+    batch = F.struct(F.col("_l").alias("lap_left"), F.col("_r").alias("lap_right"), F.floor(F.col("_n") / size).alias("block"))
+    return out.select(*pairs.columns, batch.alias("batch"))

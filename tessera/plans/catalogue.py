@@ -313,6 +313,20 @@ def name_variant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.name_variants(named, "name", "company")
 
 
+@query("SELECT count(*) AS n_pairs, 0::BIGINT AS repeated, 0::BIGINT AS too_large, true AS few FROM lineitem")
+def conflict_free_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of orders and parts in batches of 16 without a repeated order or part: what breaks the rule, and whether the batches
+    are at most half as many again as they must be, and a thousand (of colours that few pairs have)."""
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    made = stored(sampling.conflict_free_batches(pairs, "l_orderkey", "l_partkey", 16), "batches")
+    per = made.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("a"), F.countDistinct("l_partkey").alias("b"))
+    out = per.agg(F.sum("n").alias("n_pairs"), F.sum(2 * F.col("n") - F.col("a") - F.col("b")).alias("repeated"), F.count_if(F.col("n") > 16).alias("too_large"), F.count("*").alias("batches"))
+    degree = lambda c: made.groupBy(c).count().agg(F.max("count").alias(f"{c}_most"))
+    out = out.join(degree("l_orderkey")).join(degree("l_partkey"))
+    least = F.greatest(F.col("n_pairs") / 16, "l_orderkey_most", "l_partkey_most")
+    return out.select("n_pairs", "repeated", "too_large", (F.col("batches") <= 1.5 * least + 1000).alias("few"))
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS utc, strftime(ts, '%Y%m%dT%H%M%SZ') AS run FROM events")
 def event_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event's time as text, for logs and for names."""

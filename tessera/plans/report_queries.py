@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.vector import dot
 from tessera.operators import cleaning, evaluation, reports
 from tessera.plans.catalogue import _ATTEMPTS, _GRADED, _KNN, ASKED, ASKED_NUMBER, _asked_texts, _attempts, _found, _grades, _neighbours, drawn, query, recommended, table
 from tessera.plans.parser import parse_column
@@ -340,13 +341,18 @@ def replaced_table_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size("now", path).unionByName(size("backup", backup))
 
 
-@query("SELECT vec_id::VARCHAR AS id, len(embedding)::INTEGER AS dim, label FROM embeddings WHERE label IS NOT NULL")
+@query("SELECT vec_id::VARCHAR AS id, len(embedding)::INTEGER AS dim, label, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) ** 0.5, 4) AS along, 0.0::DOUBLE AS apart FROM embeddings WHERE label IS NOT NULL")
 def vector_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit vectors stored with a manifest, checked, and loaded again."""
+    """Unit vectors stored with a manifest, checked, and loaded again: how far each reaches along the vector that was given,
+    which is that one's length, and how far aside of it, which is nothing."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding", "label")
     unit = vectors.withColumn("embedding", F.transform("embedding", lambda x: (x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y * y))).cast("float")))
     store = VectorStore(spark, tables.shared_path(spark, "vectors"))
-    return store.get_or_compute("vectors-A", {"model": "given"}, lambda: unit).select("id", F.size("embedding").alias("dim"), "label")
+    back = store.get_or_compute("vectors-A", {"model": "given"}, lambda: unit).join(vectors.select("id", F.col("embedding").alias("given")), "id")
+    double = lambda c: F.col(c).cast("array<double>")
+    along, length = dot(double("embedding"), double("given")), dot(double("given"), double("given"))
+    apart = F.sqrt(F.greatest(F.lit(0.0), length - along * along))
+    return back.select("id", F.size("embedding").alias("dim"), "label", F.round(along, 4).alias("along"), F.round(apart, 2).alias("apart"))
 
 
 @query("SELECT event_id, (event_type IN ('click', 'purchase'))::INTEGER AS liked, 0 AS chosen, 'web' AS place FROM events")

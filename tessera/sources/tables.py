@@ -75,22 +75,40 @@ def write_sheet(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def write_with_backup(df: DataFrame, path: str) -> str | None:
-    """Replace a table; the one before is moved to ``<path>.backups/<time>``, which is returned."""
+    """Replace a table; the one before is moved to ``<path>.backups/<time>``, which is returned.
+
+    The new table is whole before the old one moves.  If it can't take the place, the old one returns; if the driver ends in
+    between, :func:`current_table` finds the backup.
+    """
     spark = df.sparkSession
     stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
     fresh = f"{path}.new-{stamp}"
     df.write.parquet(fresh)
     fs, target = _hadoop(spark, path)
-    backup = None
+    backup, to = None, None
     if fs.exists(target):
         backup = f"{path}.backups/{stamp}"
         _, to = _hadoop(spark, backup)
         fs.mkdirs(to.getParent())
-        fs.rename(target, to)
-    fs.rename(_hadoop(spark, fresh)[1], target)
+        if not fs.rename(target, to):
+            raise OSError(f"{path} can't be moved to {backup}")
+    if not fs.rename(_hadoop(spark, fresh)[1], target):
+        if to is not None:
+            fs.rename(to, target)
+        raise OSError(f"{fresh} can't be moved to {path}")
     return backup
 
 
+def current_table(spark: SparkSession, path: str) -> str:
+    """Where a table of :func:`write_with_backup` is: its place, or its newest backup if a replacement was cut off."""
+    fs, target = _hadoop(spark, path)
+    _, folder = _hadoop(spark, f"{path}.backups")
+    if fs.exists(target) or not fs.exists(folder):
+        return path
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return f"{path}.backups/{max(names)}" if names else path
+
+
 def add_column_if_missing(df: DataFrame, name: str, kind: str, default) -> DataFrame:
     """Additive schema change: old rows get the default."""
     value = F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)

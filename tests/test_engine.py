@@ -1,5 +1,6 @@
 """Ranking, recommendation, preparation, stores and feedback on literal fixtures."""
 
+import os
 from dataclasses import replace
 
 import numpy as np
@@ -20,7 +21,7 @@ from tessera.plans.parser import parse, tags
 from tessera.plans.recommend import EMBEDDING_ONLY, PipelineConfig, Recommender, check_request, pick_menus, recommend_all
 from tessera.plans.report_queries import parser_coverage_summary
 from tessera.schema import FEEDBACK, Condition
-from tessera.sources.tables import add_column_if_missing, append_jsonl, read_csv, read_or_empty, read_pointer, write_pointer, write_sheet, write_with_backup
+from tessera.sources.tables import add_column_if_missing, append_jsonl, current_table, read_csv, read_or_empty, read_pointer, write_pointer, write_sheet, write_with_backup
 from tessera.sources.vector_store import ModelSpec, StoreError, VectorStore, encode, result_name, store_config
 from tessera.streaming import feedback
 
@@ -229,6 +230,10 @@ def test_sheets_and_logs(spark, tmp_path):
     assert write_with_backup(spark.range(1), table) is None
     backup = write_with_backup(spark.range(2), table)
     assert spark.read.parquet(table).count() == 2 and spark.read.parquet(backup).count() == 1
+    assert current_table(spark, table) == table
+    os.rename(table, f"{table}.lost")  # as if the driver had ended between the two moves
+    assert spark.read.parquet(current_table(spark, table)).count() == 1 and write_with_backup(spark.range(3), table) is None
+    assert spark.read.parquet(current_table(spark, table)).count() == 3 and current_table(spark, f"{table}.none") == f"{table}.none"
     assert add_column_if_missing(spark.range(1), "chosen", "int", 0).first()["chosen"] == 0
     pointer = str(tmp_path / "current.json")
     assert read_pointer(spark, pointer) == {}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tests.test_engine import recommender
 
 from tessera.functions.text import TEXT_VARIANTS, company, embedding_text, key_tokens, menu_key, same_menu
-from tessera.operators.ordering import deduplicated_in_order, numbered
+from tessera.operators.ordering import deduplicated_in_order, numbered, numbered_within
+from tessera.operators.sampling import conflict_free_batches
 from tessera.operators.variants import name_variants
 from tessera.plans.catalogue import identity_index
 from tessera.plans.recommend import PipelineConfig
@@ -25,6 +26,32 @@ def test_places_in_a_global_order(spark, ranges):
     assert numbered(df.limit(0), [F.asc("v")]).count() == 0
 
 
+def test_places_within_groups(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 17 == 0 else 7 if i % 3 else rng.randrange(9), rng.randrange(1000), i) for i in range(300)]
+    got = numbered_within(spark.createDataFrame(rows, "g long, v long, i long"), ["g"], [F.asc("v"), F.asc("i")], "place", 6).collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        for place, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])):
+            want[r[2]] = place
+    assert {r["i"]: r["place"] for r in got} == want
+
+
+@pytest.mark.parametrize("ranges", [None, 5])
+def test_batches_repeat_no_value(spark, ranges):
+    """A third of the pairs share one left value, some share a right one, some are repeated."""
+    rng = random.Random(6)
+    rows = [(0 if i % 3 == 0 else rng.randrange(1, 90), 5 if i % 7 == 0 else rng.randrange(80)) for i in range(900)] + [(1, 1)] * 5 + [(None, 3), (None, 4)]
+    got = conflict_free_batches(spark.createDataFrame(rows, "q long, m long"), "q", "m", 8, ranges=ranges).collect()
+    assert sorted(((r["q"], r["m"]) for r in got), key=str) == sorted(rows, key=str)
+    batches: dict = {}
+    for r in got:
+        batches.setdefault(tuple(r["batch"]), []).append((r["q"], r["m"]))
+    for batch in batches.values():
+        assert len(batch) <= 8 and len({q for q, _ in batch}) == len(batch) == len({m for _, m in batch})
+    assert conflict_free_batches(spark.createDataFrame([], "q long, m long"), "q", "m", 8).count() == 0
+
+
 def test_kept_rows_return_to_the_order_of_the_input(spark):
     rows = [(0, "c5", "x"), (1, "c1", "y"), (2, "c3", "x"), (3, "c2", None), (4, "c9", None), (5, "c0", "x")]
     kept, moved = deduplicated_in_order(spark.createDataFrame(rows, "row long, code string, text string"), ["text"], "code", "row")
