@@ -420,6 +420,39 @@ def sketch(x: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def _folded(bits: np.ndarray, length: int) -> np.ndarray:
+    """Sketches (the last axis are their bytes) brought to a shorter length, as :meth:`Sketches.may_reach` does."""
+    while bits.shape[-1] > length:
+        half = bits.shape[-1] // 2
+        bits = bits[..., half:] ^ bits[..., :half]
+    return bits
+
+
+class _Pool:
+    """Sketches of one length, in the order of their sets' sizes, that no group has taken."""
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
+        self.nodes, self.sizes, self.bits = nodes, sizes, bits
+        self.alive = np.ones(len(nodes), bool)
+        self.short: dict[int, np.ndarray] = {bits.shape[1]: bits}
+
+    def take(self, x: np.ndarray, m: int, share: float, least: float) -> list[tuple[int, np.ndarray, int]]:
+        """Node, sketch and size of what a text of sketch ``x`` and size ``m`` may reach; it leaves the pool."""
+        length = min(len(x), self.bits.shape[1])
+        if length not in self.short:
+            self.short[length] = _folded(self.bits, length)
+        low, high = np.searchsorted(self.sizes, [least * m - 1e-6, (m + 1e-6) / least], "left") if m else (0, np.searchsorted(self.sizes, 0, "right"))
+        at = low + np.flatnonzero(self.alive[low : min(len(self.sizes), high + 1)])
+        if not len(at):
+            return []
+        n = self.sizes[at]
+        differ = np.bitwise_count(self.short[length][at] ^ _folded(x, length)).sum(axis=1, dtype=np.int64)
+        fits = (np.minimum(m, n) >= least * np.maximum(m, n) - 1e-6) & (differ <= (m + n) * share + 1e-6)
+        at = at[fits]
+        self.alive[at] = False
+        return [(int(self.nodes[i]), self.bits[i], int(self.sizes[i])) for i in at]
+
+
 class Sketches:
     """Which texts may reach a similarity by their sketches and sizes; none that does is lost."""
 
@@ -444,22 +477,31 @@ class Sketches:
             kept = [self.may_reach(int.from_bytes(x, "little"), 8 * len(x), m, int.from_bytes(y, "little"), 8 * len(y), n) for m, x, n, y in rows]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    def roots(self, own: list[tuple[int, int, int, int]]) -> list[int]:
-        """For each (node, sketch, bits, size) the smallest node that it reaches; found ones leave the pool."""
+    def roots(self, own: list[tuple[int, bytes, int]]) -> list[int]:
+        """For each (node, sketch, size) the smallest node that it reaches; found ones leave the pool.
+
+        Sketches of one length are a matrix in the order of their sizes, so a text is compared with those alone whose size can
+        match, at once.
+        """
         out: dict[int, int] = {}
-        pool = sorted(own)
-        while pool:
-            root, front, pool = pool[0][0], [pool[0]], pool[1:]
-            out[root] = root
-            while front and pool:
-                _, x, bits, m = front.pop()
-                near = [self.may_reach(x, bits, m, y, bits_y, n) for _, y, bits_y, n in pool]
-                found = [p for p, hit in zip(pool, near) if hit]
-                if found:
-                    out.update((p[0], root) for p in found)
-                    front += found
-                    pool = [p for p, hit in zip(pool, near) if not hit]
-            out.update((p[0], root) for p in front)
+        pools = []
+        for length in sorted({len(o[1]) for o in own}):
+            rows = sorted((o for o in own if len(o[1]) == length), key=lambda o: o[2])
+            bits = np.frombuffer(b"".join(o[1] for o in rows), np.uint8).reshape(-1, length)
+            pools.append(_Pool(np.array([o[0] for o in rows]), np.array([o[2] for o in rows]), bits))
+        for node, sketch_, size in sorted(own):
+            if node in out:
+                continue
+            out[node] = node
+            for pool in pools:
+                pool.alive[pool.nodes == node] = False
+            front = [(np.frombuffer(sketch_, np.uint8), size)]
+            while front:
+                x, m = front.pop()
+                for pool in pools:
+                    for n, y, other in pool.take(x, m, self.share, self.least):
+                        out[n] = node
+                        front.append((y, other))
         return [out[o[0]] for o in own]
 
     def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +518,7 @@ class Sketches:
                     if len(held) > 1:
                         yield edges()
                     at, held = (k, i, j), []
-                held.append((node, int.from_bytes(own, "little"), 8 * len(own), size))
+                held.append((node, own, size))
         if len(held) > 1:
             yield edges()
 

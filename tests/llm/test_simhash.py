@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -149,6 +150,35 @@ def test_sketches_never_part_what_is_similar():
     assert parted > 500
 
 
+def test_matrices_of_sketches_like_pairs_of_numbers():
+    """Groups found with matrices are those of the pairwise rule, with sketches of every length and empty sets."""
+    rng = random.Random(13)
+    sketches = Sketches(0.8)
+    for _ in range(30):
+        sets = []
+        for _ in range(60):
+            if sets and rng.random() < 0.6:
+                base = sorted(rng.choice(sets))
+                sets.append(set(base) - set(rng.sample(base, rng.randrange(0, len(base) // 8 + 1))) | {rng.randrange(2**64) for _ in range(rng.randrange(0, len(base) // 8 + 1))})
+            else:
+                sets.append({rng.randrange(2**64) for _ in range(rng.choice([0, 1, 2, 9, 60, 300, 1200]))})
+        nodes = rng.sample(range(1000), len(sets))
+        own = [(n, sketch(np.array(sorted(x), dtype=np.uint64)), len(x)) for n, x in zip(nodes, sets)]
+        number = lambda b: (int.from_bytes(b, "little"), 8 * len(b))
+        near = [(i, j) for i, j in combinations(range(len(own)), 2) if sketches.may_reach(*number(own[i][1]), own[i][2], *number(own[j][1]), own[j][2])]
+        group = components(len(own), near)
+        least = {g: min(n for n, h in zip(nodes, group) if h == g) for g in group}
+        assert sketches.roots(own) == [least[g] for g in group]
+
+
+def test_a_full_block_of_unlike_sketches_takes_seconds():
+    rng = np.random.default_rng(14)
+    own = [(i, rng.bytes(64), int(s)) for i, s in enumerate(rng.integers(180, 220, 16_384))]
+    began = time.perf_counter()
+    assert Sketches(0.8).roots(own) == list(range(16_384))
+    assert time.perf_counter() - began < 60
+
+
 def test_whole_table_like_brute_force(spark, small):
     """Every link at the similarity in the test table's documents is found and no other."""
     docs = spark.read.parquet(f"{small}/../sf0.01/documents.parquet")
