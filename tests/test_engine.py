@@ -18,6 +18,7 @@ from tessera.plans import catalogue, food
 from tessera.plans.catalogue import SENTENCES, identity_index, vector_records
 from tessera.plans.experiments import ITEMS, build_pool, diversity_grid, range_grid
 from tessera.plans.parser import parse, tags
+from tessera.plans import recommend
 from tessera.plans.recommend import EMBEDDING_ONLY, PipelineConfig, Recommender, check_request, pick_menus, recommend_all
 from tessera.plans.report_queries import parser_coverage_summary
 from tessera.schema import FEEDBACK, Condition
@@ -400,6 +401,27 @@ def test_recommendations_like_a_plain_loop(spark):
         assert o["repeated"] == len(items) - len({records[i]["representative"] for i in items})
 
 
+@pytest.mark.parametrize("listed", [3, 64])
+def test_recommendations_beyond_the_preferred_range_like_a_plain_loop(spark, monkeypatch, listed):
+    """Few records pass, and those far behind: ranges go on to any rank and to the whole index, with short lists and long ones."""
+    monkeypatch.setattr(recommend, "LISTED", listed)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 12))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    index = vector_records(spark.createDataFrame([(i, v.tolist(), i % 8) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).cache()
+    records = {r["id"]: r.asDict() for r in index.drop("embedding").collect()}
+    at = {f"{i:012d}": v.astype(np.float64) for i, v in enumerate(x)}
+    texts = ["꼭 매운 거 먹고 싶어", "맵지 않고 따뜻한 국물", "꼭 매운 찌개", "냉면", "튀김 말고 담백한 한식"]
+    asked = spark.createDataFrame([(n, t, x[n].tolist()) for n, t in enumerate(texts)], "query long, text string, vector array<float>")
+    for config in (PipelineConfig(candidate_k=2, preference_widen_k=4), PipelineConfig(top_k=40, candidate_k=2, preference_widen_k=4)):
+        trails = []
+        for r in recommend_all(index, asked, config).collect():
+            status, trail, items = plain_recommendation(records, at, texts[r["query"]], x[r["query"]].astype(np.float64), config)
+            assert (r["status"], list(r["trail"] or []), [s["id"] for s in r["selected"] or []]) == (status, trail, items), texts[r["query"]]
+            trails.append(trail)
+        assert any(t[-1] > 4 for t in trails)
+
+
 def test_texts_are_parsed_whole_in_batches_and_by_the_table_function(spark, tmp_path):
     rows = [(c, t, text) for c in range(6) for t, text in enumerate(["hello there " * 400, None, "맵지 않은 " * 3])]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
