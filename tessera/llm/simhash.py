@@ -41,6 +41,15 @@ def shingle_hashes(words: list[bytes], k: int, at: int, upto: int) -> np.ndarray
     return np.array([digest(joined[s:e], 42) for s, e in spans], dtype=np.uint64)
 
 
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduce(bits, axis=0, dtype=np.uint32)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: bytes, k: int) -> int:
     """A signed 64-bit number; A-Z are lower-cased and words end at ASCII white space."""
     words = text.lower().split()
@@ -49,10 +58,8 @@ def fingerprint(text: bytes, k: int) -> int:
     n = max(1, len(words) - k + 1)
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _STEP):
-        h = shingle_hashes(words, min(k, len(words)), at, min(n, at + _STEP))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += np.add.reduce(bits, axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+        counts += _bit_counts(shingle_hashes(words, min(k, len(words)), at, min(n, at + _STEP)))
+    return _majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,6 +107,11 @@ def may_reach(similarity: float):
     return near
 
 
+def apart(near):
+    """``near`` for rows that hold their class after what it tests: rows of one class need no test."""
+    return lambda a, b: near(a[..., :-1], b[..., :-1]) & (a[..., -1] != b[..., -1])
+
+
 def local_roots(prints: np.ndarray, nodes: np.ndarray, near) -> np.ndarray:
     """For each row the smallest node that it reaches inside this bucket; ``near`` is a test of rows or a radius.
 
@@ -394,6 +406,19 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
+def fingerprint_and_set(text: bytes, k: int) -> tuple[int, np.ndarray]:
+    """:func:`fingerprint` and :func:`shingle_set` of a text, whose shingles are hashed once."""
+    words = text.lower().split()
+    if not words:
+        return 0, np.zeros(1, dtype=np.uint64)
+    n = max(1, len(words) - k + 1)
+    counts, parts = np.zeros(64, dtype=np.int64), []
+    for at in range(0, n, _STEP):
+        parts.append(shingle_hashes(words, min(k, len(words)), at, min(n, at + _STEP)))
+        counts += _bit_counts(parts[-1])
+    return _majority(counts, n), np.unique(np.concatenate(parts))
+
+
 def _shingle_sets(k: int):
     """Rows (group, node, text) in; the text's shingle set in place of the text out."""
 
@@ -549,7 +574,8 @@ def common_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(k: int, similarity: float, words: np.ndarray, counts: np.ndarray):
-    """Rows (id, text) in; the id, a 128-bit digest of the text's shingle set, its parities, size, first shingles and sketch out.
+    """Rows (id, text) in; the id, a 128-bit digest of the text's shingle set, the text's fingerprint, the set's parities, size, first
+    shingles and sketch out.
 
     Shingles are ordered from the rarest on, those not known as common by their hash.  Two sets of n and m shingles that
     reach the similarity share one of the first n - ceil(similarity * n) + 1 and m - ceil(similarity * m) + 1, in
@@ -569,11 +595,11 @@ def _prefixes(k: int, similarity: float, words: np.ndarray, counts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 256):
-            sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            prints, sets = zip(*(fingerprint_and_set(t, k) for t in batch.column(1).to_pylist()))
             digests = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), dtype=np.int64).reshape(-1, 2)
-            numbers = [*digests.T, *np.array([parities(x) for x in sets]).T, np.array([len(x) for x in sets], dtype=np.int64)]
+            numbers = [*digests.T, np.array(prints, dtype=np.int64), *np.array([parities(x) for x in sets]).T, np.array([len(x) for x in sets], dtype=np.int64)]
             columns = [batch.column(0), *map(pa.array, numbers), pa.array([first(x).tobytes() for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "d0", "d1", *(f"p{i}" for i in range(PARITIES)), "size", "firsts", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "d0", "d1", "f0", *(f"p{i}" for i in range(PARITIES)), "size", "firsts", "sketch"])
 
     return run
 
@@ -594,12 +620,16 @@ def verified_groups(
     text_col: str = "text",
     block: int = CROWD,
     shingles: int = SHINGLES,
+    radius: int = 4,
 ) -> DataFrame:
     """Groups of texts linked, directly or through others, by the sets of their k-word shingles: ``id_col, component_id``.
 
-    Texts are linked if their sets have at least that Jaccard similarity; no pair is left out.  Such sets share a shingle
-    among the first of each (see :func:`_prefixes`).  Pairs that do, and that sizes, parities and then sketches do not keep
-    apart, are proposed; the sets of what the proposals connect are compared.  Of shingles that more than :data:`PAIRS`
+    Texts are linked if their sets have at least that Jaccard similarity; no pair is left out.  The covering masks of
+    :func:`simhash_groups` propose first: texts whose fingerprints lie within ``radius`` bits, and whose sketches do not keep
+    them apart, are one class.  A fingerprint's radius can't hold all pairs at the similarity; the rest has an exact way.
+    Similar sets share a shingle among the first of each (see :func:`_prefixes`).  Pairs of different classes that do, and
+    that sizes, parities and then sketches do not keep apart, are proposed too; the sets of what the proposals connect are
+    compared.  Of shingles that more than :data:`PAIRS`
     texts have among their first, as a large group of near copies does, no pairs are made: there a search by sketches
     takes each text out of the pool once it is reached.  Texts with one set count as one, so equal texts cost one row
     however many they are.
@@ -610,23 +640,39 @@ def verified_groups(
     scratch = Scratch(docs.sparkSession, "verified")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("_text"))
     prints = [*(f"p{i}" for i in range(PARITIES)), "size"]
-    schema = "id long, d0 long, d1 long, " + ", ".join(f"{x} long" for x in prints) + ", firsts binary, sketch binary"
-    made = scratch.save(texts.mapInArrow(_prefixes(k, similarity, *common_shingles(texts, k)), schema))
-    carried = [F.any_value(x).alias(x) for x in (*prints, "firsts", "sketch")]
-    nodes = scratch.save(made.groupBy("d0", "d1").agg(F.min("id").alias("node"), *carried).filter("node is not null"))
-    keyed = made
-    made = scratch.save(keyed.select("id", "d0", "d1"))
-    scratch.drop(keyed)
+    schema = "id long, d0 long, d1 long, f0 long, " + ", ".join(f"{x} long" for x in prints) + ", firsts binary, sketch binary"
+    made = scratch.save(texts.mapInArrow(_prefixes(k, similarity, *common_shingles(texts, k)), schema).withColumn("row", F.monotonically_increasing_id()))
+    # First shingles are long and stay where they were made; the row that stands for a set says whose are used.
+    carried = [F.any_value(x).alias(x) for x in (*prints, "sketch")]
+    own = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row", "f0")))
+    sets = made.groupBy("d0", "d1").agg(own.alias("own"), *carried).filter("own is not null")
+    nodes = scratch.save(sets.select("d0", "d1", F.col("own.id").alias("node"), "own.row", "own.f0", *prints, "sketch"))
+    sketches, sketched = Sketches(similarity), nodes.select("node", "size", "sketch")
+
+    def may_be_copies(pairs: DataFrame) -> DataFrame:
+        side = lambda name: sketched.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(sketches.pairs, "a long, b long")
+
+    # First the operator's tables of fingerprints; what they link needs no test in the search for the rest.
+    heads = scratch.save(nodes.groupBy("f0").agg(F.min("node").alias("node")))
+    equal = nodes.select("f0", F.col("node").alias("a")).join(heads.withColumnRenamed("node", "b"), "f0").filter("a <> b").select("a", "b")
+    linked = scratch.save(may_be_copies(near_edges(scratch, heads, radius, covering_masks(radius)).unionByName(equal).distinct()))
+    classes = connected_components(linked).withColumnRenamed("component", "class")
+    other = scratch.save(made.select("row", F.col("id").isNotNull().alias("named")).join(nodes.select("row"), "row", "left_anti").filter("named").select("row"))
+    maybe = maybe_among(made.filter("id is not null").select("row", F.col("id").alias("node"), "firsts"), other, "row", "_maybe")
+    chosen = maybe.filter("not _maybe").unionByName(maybe.filter("_maybe").join(other, "row", "left_anti").select(maybe.columns))
     postings = lambda df: df.select("node", "firsts").mapInArrow(_postings, "k long, node long")
-    hot = hot_buckets(postings(nodes.filter(in_sample())), ["k"])
+    hot = hot_buckets(postings(chosen.filter(in_sample())), ["k"])
     # Most first shingles are in one set only; the others alone take parities along.
-    shared, common = (x.filter("n > 1").join(nodes.select("node", *prints), "node").select("k", "node", *prints, "n") for x in sized_buckets(postings(nodes), ["k"], hot))
-    near, large = small_buckets(scratch, shared.repartition("k"), common, ["k"], prints, may_reach(similarity), PAIRS, PAIRS)
-    sketches, sketched = Sketches(similarity), nodes.select("node", "size", "sketch")
-    side = lambda name: sketched.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-    pairs = near.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(sketches.pairs, "a long, b long")
+    lanes = [*prints, "class"]
+    known = scratch.save(nodes.select("node", *prints).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    shared, common = (x.filter("n > 1").join(known, "node").select("k", "node", *lanes, "n") for x in sized_buckets(postings(chosen), ["k"], hot))
+    near, large = small_buckets(scratch, shared.repartition("k"), common, ["k"], lanes, apart(may_reach(similarity)), PAIRS, PAIRS)
     crowds = dealt_blocks(large.select("k", "node", "n").join(sketched, "node"), ["k"], ["size", "sketch"], block).mapInArrow(sketches.blocks, "a long, b long")
-    proposed = scratch.save(pairs.unionByName(crowds).distinct())
+    proposed = scratch.save(linked.unionByName(may_be_copies(near.distinct())).unionByName(crowds).distinct())
+    keyed = made
+    made = scratch.save(keyed.select("id", "d0", "d1"))
+    scratch.drop(keyed)
     members = scratch.save(connected_components(proposed).select(F.col("node").alias("id"), F.col("component").alias("_grp")))
     # Only the texts of proposed documents travel, and few others.
     near = maybe_among(texts, members.select("id"), "id", "_maybe").filter("_maybe").drop("_maybe")

@@ -7,6 +7,7 @@ import pytest
 
 from tessera.llm.common import Scratch
 from tessera.llm.components import connected_components
+from tessera.llm import simhash as module
 from tessera.llm.simhash import Sketches, bucket_edges, covering_masks, fingerprint, hot_buckets, in_sample, local_roots, simhash_groups, similar_roots, sized_buckets, sketch, verified_groups, within
 
 from .fixtures import DOCS, components, documents, empty, prose, shingle_set, simhash
@@ -220,3 +221,21 @@ def test_hot_buckets_are_split_without_losing_a_pair(spark):
 
 def test_empty_table(spark):
     assert simhash_groups(empty(spark, DOCS)).count() == 0 and verified_groups(empty(spark, DOCS)).count() == 0
+
+
+def test_near_copies_come_by_the_fingerprints_tables_first(spark, monkeypatch):
+    """What lies within the radius is found without the search for the rest, is compared exactly, and needs no test there."""
+    tested = []
+    monkeypatch.setattr(module, "may_reach", lambda similarity: tested.append(similarity) or (lambda a, b: np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), bool)))
+    rng = random.Random(15)
+    rows = []
+    for _ in range(6):
+        words = prose(rng, 1500).split()
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:700], "edit", *words[701:]]))]
+    assert all((fingerprint(a.encode(), 5) ^ fingerprint(b.encode(), 5)).bit_count() <= 4 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    line = " ".join(f"l{i}" for i in range(15))
+    rows += [(12 + i, " ".join([line] * 150) + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(100))) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in verified_groups(docs).collect()} == {i: i // 2 * 2 for i in range(12)} | {12: 12, 13: 13}
+    near = module.apart(within(64))
+    assert near(np.array([[1, 5], [1, 5]], np.uint64), np.array([[1, 5], [1, 6]], np.uint64)).tolist() == [False, True] and tested
