@@ -12,7 +12,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import Scratch, rows_of, utf8
+from tessera.llm.common import Scratch, give_back, rows_of, utf8
 
-#: Entries of a worker's table of encoded units, and the longest key that it keeps, so that it holds some 100 MB at most;
+#: Entries of a worker's table of encoded units, and the longest key that it keeps, so that it holds some 50 MB at most;
 #: it starts anew when full, which costs time and changes no result.
-CACHE, KEY = 500_000, 64
+CACHE, KEY = 200_000, 64
 #: Pieces that one packing group holds on average, and its open bins.
 GROUP, OPEN = 65_536, 1024
 #: Units beyond this length are left to the tokenizers library.
@@ -52,7 +52,7 @@ class UnitEncoder:
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._check(path, spec)
@@ -62,6 +62,12 @@ class UnitEncoder:
         specials = [t["content"] for t in spec["added_tokens"]]
         self._special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self._units: dict[str, bytes] = {}
+        give_back()  # what the file's description took
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Read when a text needs it, as few do; it takes more memory than all else here but the table."""
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def _check(path: str, spec: dict) -> None:
