@@ -770,8 +770,8 @@ SELECT query, keyword, (15 * sum(coalesce((likes - dislikes) * 1000000000 // (li
 FROM t LEFT JOIN c USING (token, keyword) GROUP BY query, keyword"""
 )
 def feedback_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _feedback(spark, sf_dir)
-    pairs = events.select("query", F.concat(F.lit("k"), ((F.length("query") + 1) % 7).cast("string")).alias("keyword"))
+    texts = _votes(spark, sf_dir).select("user_id", "turn").distinct().join(_turns(spark, sf_dir), ["user_id", "turn"])  # each once, however many events
+    pairs = texts.select("query", F.concat(F.lit("k"), ((F.length("query") + 1) % 7).cast("string")).alias("keyword"))
     counts = feedback.token_counts_by_text(_votes(spark, sf_dir), _turns(spark, sf_dir), ["user_id", "turn"])
     return feedback.boosts(pairs, counts)
 

@@ -278,6 +278,25 @@ def test_feedback(spark, tmp_path):
     assert feedback.better({"ndcg": 0.51, "recall": 0.4}, {"ndcg": 0.5, "recall": 0.4}) and not feedback.better({"ndcg": 0.505, "recall": 0.5}, {"ndcg": 0.5, "recall": 0.4})
 
 
+def test_boosts_send_no_text_along_with_each_word(spark):
+    """Ten texts of 2,000 words: what is shuffled is in proportion to them, and pairs without words or without a text stay."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 2000)) for _ in range(10)]
+    pairs = spark.createDataFrame([*((t, f"k{i % 2}") for i, t in enumerate(texts)), ("", "k0"), (None, "k1"), (texts[0], None)], "query string, keyword string")
+    word = texts[0].split()[0]
+    counts = spark.createDataFrame([(word, "k0", 8, 0)], "token string, keyword string, likes long, dislikes long")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    got = {(r["query"], r["keyword"]): r["boost"] for r in feedback.boosts(pairs, counts).collect()}
+    assert shuffled() - before < 8_000_000
+    assert got == {(t, f"k{i % 2}"): 0.0 for i, t in enumerate(texts)} | {("", "k0"): 0.0, (None, "k1"): 0.0, (texts[0], None): 0.0} | {(texts[0], "k0"): pytest.approx(0.15 * 0.8 / len(set(texts[0].split())))}
+
+
 def test_bootstrap_by_draws_and_by_weights(spark):
     """Draws of Python's generator give the interval of a plain loop; weights give one about as wide."""
     rng = np.random.default_rng(2)
