@@ -870,7 +870,7 @@ def attempt_final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("unit"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), outcome.alias("outcome"),
         F.get_json_object("props", "$.k").cast("double").alias("cost"),
     )
-    rows.write.parquet(source)
+    rows.coalesce(100).write.parquet(source)  # files of one micro-batch: what a later one brings may lie behind the watermark
     policy = attempts.Policy(retries=2, wait=2, budget=250.0, ceiling=100.0, idle=21_600_000)
     found = attempts.run_attempts(spark, source, rows.schema, log, checkpoint, policy)
     return found.filter("final").drop("final")

@@ -1,25 +1,34 @@
 """Attempts at labelling as a stream with keyed state: retries, backoff, budgets and one final row for each call.
 
-Outcomes of one unit arrive in any order within the watermark's delay; they wait in the unit's state until the watermark
-passes them and are then taken in the order of their time.  A timer closes a call whose next attempt never comes.
+Outcomes of one unit arrive in any order within the watermark's delay; they wait in the state until the watermark passes
+them and are then taken in the order of their time.  A timer closes a call whose next attempt never comes.  The state's keys are
+buckets of units, so that one read, write and timer serves many units.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import astuple, dataclass, replace
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 SUCCESS, INVALID, TRANSIENT, PERMANENT, FATAL, STOPPED = "success", "validation_failed", "transient_failed", "permanent_failed", "fatal", "stopped"
 
 #: Row of the log: one for every attempt whose response was not valid, and a ``final`` one for every call.
 LOG = "unit string, status string, attempt int, final boolean, invalid int, waited long, spent double, ms long, seq long"
-_OPEN = StructType([StructField(n, k) for n, k in (("attempt", LongType()), ("status", StringType()), ("invalid", LongType()), ("waited", LongType()), ("spent", StringType()), ("ms", LongType()), ("seq", LongType()), ("done", LongType()))])
-_WAITING = StructType([StructField(n, k) for n, k in (("ms", LongType()), ("seq", LongType()), ("outcome", StringType()), ("cost", StringType()))])
+#: Buckets of units; a bucket is one key of the state, which costs by its calls more than by its bytes.  A checkpoint holds units
+#: by their bucket, so the number must stay.
+BUCKETS = 8192
+#: A bucket's units with a past, and its outcomes that the watermark has not passed, as columns.
+_KINDS = {"unit": StringType(), "outcome": StringType(), "status": StringType(), "spent": DoubleType(), "cost": DoubleType(), "done": BooleanType()}
+_CALLS, _WAITING = (
+    StructType([StructField(n, ArrayType(_KINDS.get(n, LongType()))) for n in names])
+    for names in (("unit", "attempt", "status", "invalid", "waited", "spent", "ms", "seq", "done"), ("unit", "ms", "seq", "outcome", "cost"))
+)
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -49,6 +58,10 @@ class Call:
     done: bool = False
 
 
+_NEW = Call()
+_ROW = Row("unit", "status", "attempt", "final", "invalid", "waited", "spent", "ms", "seq")
+
+
 def final(call: Call) -> tuple[Call, tuple]:
     """The call's last row, and the unit without an open call."""
     row = (call.status, call.attempt, True, call.invalid, call.waited, call.spent, call.ms, call.seq)
@@ -78,49 +91,59 @@ def take(call: Call, ms: int, seq: int, outcome: str, cost: float, policy: Polic
     return call, rows
 
 
+def _columns(rows: list[tuple], schema: StructType) -> tuple[list, ...]:
+    return tuple(map(list, zip(*rows))) if rows else tuple([] for _ in schema)
+
+
 class AttemptLog(StatefulProcessor):
-    """State of a unit: its open call, and the outcomes that the watermark has not passed."""
+    """State of a bucket of units: the past of each, and the outcomes that the watermark has not passed."""
 
     def __init__(self, policy: Policy):
         self.policy = policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.call = handle.getValueState("call", _OPEN)
-        self.waiting = handle.getListState("waiting", _WAITING)
-
-    def _proceed(self, key: tuple, new: list[tuple], until: int) -> Iterator[Row]:
-        held = [tuple(w) for w in self.waiting.get()] + new
-        due = sorted(w for w in held if w[0] <= until)
-        rest = [w for w in held if w[0] > until]
-        found = self.call.get() if self.call.exists() else None
-        call = Call(*found[:4], float(found[4]), *found[5:7], bool(found[7])) if found else Call()
+        self.calls = handle.getValueState("calls", _CALLS)
+        self.waiting = handle.getValueState("waiting", _WAITING)
+
+    def _past(self) -> dict[str, Call]:
+        found = self.calls.get()
+        return {unit: Call(*rest) for unit, *rest in zip(*found)} if found else {}
+
+    def _proceed(self, new: list[tuple], until: int) -> Iterator[Row]:
+        kept = self.waiting.get()
+        held = (list(zip(*kept)) if kept else []) + new
+        due = sorted((w for w in held if w[1] <= until), key=itemgetter(1, 2, 3, 4))
+        rest = [w for w in held if w[1] > until]
         rows: list[tuple] = []
-        for ms, seq, outcome, cost in due:
-            call, more = take(call, ms, seq, outcome, float(cost), self.policy)
-            rows += more
-        if call.attempt and call.ms + self.policy.idle <= until:
-            call, row = final(call)
-            rows.append(row)
-        self.call.update((call.attempt, call.status, call.invalid, call.waited, repr(call.spent), call.ms, call.seq, int(call.done)))
-        if rest:
-            self.waiting.put(rest)
-        elif held:
-            self.waiting.clear()
-        wake = [w[0] for w in rest] + ([call.ms + self.policy.idle] if call.attempt else [])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if wake:
-            self.handle.registerTimer(min(wake))
+        calls = self._past()
+        for unit, ms, seq, outcome, cost in due:
+            calls[unit], more = take(calls.get(unit, _NEW), ms, seq, outcome, cost, self.policy)
+            rows += ((unit, *r) for r in more)
+        over = [u for u, c in calls.items() if c.attempt and c.ms + self.policy.idle <= until]
+        for unit in over:
+            calls[unit], row = final(calls[unit])
+            rows.append((unit, *row))
+        if due or over:
+            self.calls.update(_columns([(u, *astuple(c)) for u, c in calls.items()], _CALLS))
+        if new or due:
+            self.waiting.update(_columns(rest, _WAITING))
+        wake = min([w[1] for w in rest] + [c.ms + self.policy.idle for c in calls.values() if c.attempt], default=None)
+        timers = list(self.handle.listTimers())
+        for timer in timers:
+            if timer != wake:
+                self.handle.deleteTimer(timer)
+        if wake is not None and wake not in timers:
+            self.handle.registerTimer(wake)
         for r in rows:
-            yield Row(unit=key[0], status=r[0], attempt=r[1], final=r[2], invalid=r[3], waited=r[4], spent=r[5], ms=r[6], seq=r[7])
+            yield _ROW(*r)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r["ms"], r["seq"], r["outcome"], repr(float(r["cost"]))) for r in rows]
-        yield from self._proceed(key, new, timerValues.getCurrentWatermarkInMs())
+        new = [(r["unit"], r["ms"], r["seq"], r["outcome"], r["cost"]) for r in rows]
+        yield from self._proceed(new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._proceed(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._proceed([], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -134,7 +157,8 @@ def run_attempts(spark: SparkSession, path: str, schema: StructType, table: str,
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     rows = rows.filter("unit IS NOT NULL AND ts IS NOT NULL").withColumns({"ms": F.expr("unix_millis(ts)"), "cost": F.coalesce(F.col("cost").cast("double"), F.lit(0.0))})
-    log = rows.withWatermark("ts", delay).groupBy("unit").transformWithState(AttemptLog(policy), LOG, "Append", "EventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(BUCKETS)).cast("int"))
+    log = rows.withWatermark("ts", delay).groupBy("bucket").transformWithState(AttemptLog(policy), LOG, "Append", "EventTime")
 
     def keep(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{table}/batch={batch}")

@@ -145,3 +145,68 @@ def test_of_two_writers_one_is_beaten(spark, tmp_path):
     with pytest.raises(Conflict):
         b.commit(0, {"by": "b"})
     assert a.value(1) == {"by": "a"} and a.versions() == [1]
+
+
+def test_an_outcome_at_the_watermark_is_taken(spark, tmp_path):
+    rows = [("u", START, 1, A.FATAL, 1.0), ("v", START + datetime.timedelta(minutes=10), 2, A.SUCCESS, 1.0)]
+    spark.createDataFrame(rows, OUTCOMES).write.parquet(f"{tmp_path}/in")
+    log = A.run_attempts(spark, f"{tmp_path}/in", T.StructType.fromDDL(OUTCOMES), f"{tmp_path}/log", f"{tmp_path}/checkpoint", A.Policy())
+    assert [(r["unit"], r["status"]) for r in log.collect()] == [("u", A.FATAL)]
+
+
+class Kept:
+    """A value state, or a handle's timers, that counts its calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.n = None, [], 0
+
+    def getValueState(self, *_):
+        self.states = [*getattr(self, "states", []), Kept()]
+        return self.states[-1]
+
+    getListState = getValueState
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def exists(self):
+        self.n += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.n, self.value = self.n + 1, value
+
+    def listTimers(self):
+        self.n += 1
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_state_calls_of_a_bucket_do_not_grow_with_its_units():
+    calls = []
+    for units in (10, 1000):
+        log, handle = A.AttemptLog(A.Policy()), Kept()
+        log.init(handle)
+        rows = [{"unit": f"u{i}", "ms": 5 + i % 7, "seq": i, "outcome": A.PERMANENT, "cost": 0.1} for i in range(units)]
+        assert not list(log.handleInputRows((3,), iter(rows), At(0)))
+        assert handle.timers == [5]
+        found = list(log.handleExpiredTimer((3,), At(8), None))
+        assert sorted(r["unit"] for r in found) == sorted(r["unit"] for r in rows if r["ms"] <= 8)
+        calls.append(handle.n + sum(s.n for s in handle.states))
+    assert calls[0] == calls[1]
