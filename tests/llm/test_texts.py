@@ -127,6 +127,17 @@ def test_ids_on_both_sides_of_the_long_units_and_the_settled_letters():
             assert units.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
 
 
+def test_plain_texts_are_encoded_whole():
+    """Texts without odd letters and long runs leave the table of units empty; runs of any length and place give the library's ids."""
+    library, units = Tokenizer.from_file(BYTE), UnitEncoder(BYTE)
+    for n in (0, 1, 2047, 2048, 4094, 4095, 4096, 6143):
+        for text in ("x y " * n, "b " + "é" * n + "\r\n", " " * n + "'ll", "a\tb " * 700 + "!1" * (n // 2), "w" + "\n " * (n // 2)):
+            units._units.clear()
+            assert units.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), (n, text[:9])
+            if n < 2048 or text[:1] == "x":
+                assert not units._units, (n, text[:9])
+
+
 def test_cut_leaves_only_the_first_piece_short():
     for total in (1, 5, 10, 11, 20, 35):
         pieces = cut(total, 10)
